@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from objectlake.session import materialise
 
 from .expressions import BLANKS, call, count_of, let, text_or_empty
+from .weak import estimate
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 MIN_WORDS = 50
 RULES = ("length", "word_size", "symbols", "lines", "repeats", "capitals", "stops")
-#: A rule is never taken for worse than a coin, nor for an oracle.
-ACCURACY = (0.55, 0.99)
 KEEP = 0.5
 
 
@@ -111,30 +110,6 @@ def votes() -> list[Column]:
     ]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[float]]:
-    """EM over vote patterns and their counts: share of good documents, accuracy of each rule."""
-    n_rules = len(patterns[0][0]) if patterns else len(RULES)
-    prior, right = 0.8, [0.8] * n_rules
-    total = sum(n for _, n in patterns)
-    for _ in range(rounds if total else 0):
-        good, hit, cast = 0.0, [0.0] * n_rules, [0.0] * n_rules
-        for pattern, n in patterns:
-            p = posterior(pattern, prior, right)
-            good += n * p
-            for j, v in enumerate(pattern):
-                if v:
-                    hit[j] += n * (p if v > 0 else 1 - p)
-                    cast[j] += n
-        prior = min(0.95, max(0.5, good / total))
-        right = [min(ACCURACY[1], max(ACCURACY[0], (h + 0.8) / (c + 1))) for h, c in zip(hit, cast, strict=True)]
-    return prior, right
-
-
-def posterior(pattern: tuple[int, ...], prior: float, right: list[float]) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(pattern, right, strict=True))
-    return 1 / (1 + math.exp(-odds))
-
-
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, p_good and kept for every document.
 
@@ -143,7 +118,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     measured = materialise(measures(docs).withColumn("_votes", F.array(*votes())), "quality")
     counted = measured.groupBy("_votes").count().collect()  # 3 ** len(RULES) rows at most
-    prior, right = estimate(sorted((tuple(r["_votes"]), r["count"]) for r in counted))
+    prior, right = estimate(sorted((tuple(r["_votes"]), r["count"]) for r in counted), len(RULES))
     odds = F.lit(math.log(prior / (1 - prior)))
     for j, a in enumerate(right):
         odds = odds + F.col("_votes")[j] * math.log(a / (1 - a))
