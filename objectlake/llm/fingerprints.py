@@ -9,16 +9,12 @@ ones), so the share of equal samples estimates it.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from objectlake.session import materialise
 
-SAMPLES = 24
-#: Gamma draws are taken from 2 ** QUANTILE_BITS equally likely values.
-QUANTILE_BITS = 12
+SAMPLES = 16
 #: A draw's place, between LOW and LOW + SPAN, takes the high bits of a sample; the term's hash the low 32.
 LOW, SPAN = -200.0, 256.0
 #: Rows that one range of doc_id is meant to hold while each document's successor is looked up.
@@ -26,58 +22,58 @@ RANGE_ROWS = 20_000
 LOWEST = -(1 << 63)
 
 
-def gamma_quantiles(n: int) -> list[float]:
-    """n equally likely values of a Gamma(2, 1) variable: where 1 - (1 + x) exp(-x) is (i + 1/2) / n."""
-    out, x = [], 1e-3
-    for i in range(n):
-        p = (i + 0.5) / n
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x / 2, x - step)
-            if abs(step) < 1e-12 * x:
-                break
-        out.append(x)
-    return out
-
-
-def _table(values: list[float]) -> Column:
-    """A constant array of doubles; one literal, which is folded once."""
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
-
+def draws(term: Column, ln_w: Column) -> Column:
+    """For each sample a long that orders as the term's draw and names the term and t in its low bits.
 
-def samples_of(term: Column, ln_w: Column) -> Column:
-    """Longs that order as the draws of a term and name it and t in their low bits, one for each sample.
-
-    64 hash bits of term and j give the place of r and of c among the quantiles, and beta.
+    Two 64-bit hashes of the term and j give four uniforms of 32 bits, whose logarithms add up to r and c,
+    and the bits of both give beta.
     """
-    quantiles = gamma_quantiles(1 << QUANTILE_BITS)
-    gamma, ln_gamma = _table(quantiles), _table([math.log(x) for x in quantiles])
 
     def sample(j: int) -> Column:
-        h = F.xxhash64(term, F.lit(j))
-        place = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << QUANTILE_BITS) - 1)).cast("int")
-        r, ln_c = F.get(gamma, place(64 - QUANTILE_BITS)), F.get(ln_gamma, place(64 - 2 * QUANTILE_BITS))
-        beta = (h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / float(1 << 32)
+        g, h = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
+        uniform = lambda bits: (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / float(1 << 32)
+        high = lambda bits: F.shiftrightunsigned(bits, 32)
+        r, ln_c = -F.ln(uniform(g) * uniform(high(g))), F.ln(-F.ln(uniform(h) * uniform(high(h))))
+        beta = uniform(g.bitwiseXOR(high(h)))
         t = F.floor(ln_w / r + beta)
         at = F.least(F.greatest((ln_c - r * (t - beta + 1) - LOW) / SPAN, F.lit(0.0)), F.lit(1.0))
-        name = F.shiftrightunsigned(h, 8).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
+        name = F.shiftrightunsigned(g.bitwiseXOR(h), 16).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.shiftleft((at * float((1 << 31) - 1)).cast("long"), 32).bitwiseOR(name)
 
     return F.array(*[sample(j) for j in range(SAMPLES)])
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """doc_id, edit and samples (array<int>) of rows of doc_id, edit, text; no row for texts without words.
+def signatures(parts: DataFrame) -> DataFrame:
+    """doc_id with the samples of its own and of its edited text, null for a text without words.
 
-    Rows are grouped where they lie if texts is already partitioned by doc_id.
+    parts: doc_id and words, three arrays: what both texts share, what the own text alone has, and what
+    the edited one alone has. A term that weighs as much in both texts is drawn once. Rows are grouped
+    where they lie if parts is already partitioned by doc_id.
     """
-    words = texts.select("doc_id", "edit", F.explode(F.split(F.lower("text"), "[ \\t-\\r]+")).alias("_word")).filter("_word <> ''")
-    weighed = words.groupBy("doc_id", "edit", F.xxhash64("_word").alias("_term")).agg(F.ln(F.count(F.lit(1)).cast("double")).alias("_ln_w"))
+    words = parts.select("doc_id", F.posexplode("words").alias("_part", "_words")).select("doc_id", "_part", F.explode("_words").alias("_word"))
+    of = lambda k: F.count(F.when(F.col("_part") == k, 1))
+    counted = (
+        words.filter("_word <> ''").groupBy("doc_id", F.xxhash64(F.lower("_word")).alias("_term"))
+        .agg(of(0).alias("_both"), of(1).alias("_own"), of(2).alias("_edited"))
+        .select("doc_id", "_term", (F.col("_both") + F.col("_own")).alias("_own"), (F.col("_both") + F.col("_edited")).alias("_edited"))
+    )
+    one = lambda n, own, edited: F.struct(n.alias("n"), F.lit(own).alias("own"), F.lit(edited).alias("edited"))
+    weighed = counted.select("doc_id", "_term", F.explode(
+        F.when(F.col("_own") == F.col("_edited"), F.array(one(F.col("_own"), True, True)))
+        .otherwise(F.array(one(F.col("_own"), True, False), one(F.col("_edited"), False, True)))
+    ).alias("_w")).filter("_w.n > 0").select("doc_id", "_term", F.ln(F.col("_w.n").cast("double")).alias("_ln_w"), "_w.own", "_w.edited")
     # The lambda keeps this projection out of whole-stage code: its many draws in one method would be
     # too long for the JIT, while a plain projection splits them into short methods.
-    draws = weighed.select("doc_id", F.transform(F.array("edit"), lambda e: e)[0].alias("edit"), samples_of(F.col("_term"), F.col("_ln_w")).alias("_draws"))
-    drawn = draws.groupBy("doc_id", "edit").agg(*[F.min(F.col("_draws")[j]).alias(f"_{j}") for j in range(SAMPLES)])
-    return drawn.select("doc_id", "edit", F.array(*[F.shiftright(F.shiftleft(f"_{j}", 32), 32).cast("int") for j in range(SAMPLES)]).alias("samples"))
+    drawn = weighed.select(
+        "doc_id", F.transform(F.array("own"), lambda x: x)[0].alias("own"), "edited", draws(F.col("_term"), F.col("_ln_w")).alias("_draws")
+    )
+    least = drawn.groupBy("doc_id").agg(
+        *[F.min(F.when(F.col(side), F.col("_draws")[j])).alias(f"_{side}_{j}") for side in ("own", "edited") for j in range(SAMPLES)]
+    )
+    low = lambda side, j: F.shiftright(F.shiftleft(f"_{side}_{j}", 32), 32).cast("int")
+    return least.select("doc_id", *[
+        F.when(F.col(f"_{side}_0").isNotNull(), F.array(*[low(side, j) for j in range(SAMPLES)])).alias(side) for side in ("own", "edited")
+    ])
 
 
 def successors(ids: DataFrame, n_rows: int) -> DataFrame:
@@ -95,16 +91,28 @@ def successors(ids: DataFrame, n_rows: int) -> DataFrame:
 
 
 def edited_texts(texts: DataFrame, follow: DataFrame) -> DataFrame:
-    """doc_id, next_id, text and edited: the text with its last quarter replaced by the next one's beginning.
+    """doc_id, next_id, text, cut and _head: text up to cut and then _head is the edited text.
 
     doc_id is distinct. Both joins read the same exchange of the texts.
     """
     asked = follow.select(F.col("doc_id").alias("_of"), F.col("next_id").alias("doc_id"), F.floor(F.col("n_chars") / 4).cast("int").alias("_q"))
     heads = texts.join(asked, "doc_id").select(F.col("_of").alias("doc_id"), F.substring("text", F.lit(1), F.col("_q")).alias("_head"), F.col("doc_id").alias("next_id"))
     n = F.length("text")
-    return texts.join(heads, "doc_id").select(
-        "doc_id", "next_id", "text", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("_head")).alias("edited")
-    )
+    return texts.join(heads, "doc_id").select("doc_id", "next_id", "text", (n - F.floor(n / 4)).cast("int").alias("cut"), "_head")
+
+
+def word_parts(cut: DataFrame) -> DataFrame:
+    """doc_id and words: those before the cut, those after it, those of the head put in instead.
+
+    A word that the cut goes through belongs to the last two, as far as it stands before the cut.
+    """
+    split = lambda text: F.split(text, "[ \\t-\\r]+")
+    kept = cut.select("doc_id", "text", "cut", "_head", split(F.substring("text", F.lit(1), F.col("cut"))).alias("_kept"))
+    broken = F.element_at("_kept", -1)
+    return kept.select("doc_id", F.array(
+        F.slice("_kept", F.lit(1), F.size("_kept") - 1),
+        split(F.concat(broken, F.substr("text", F.col("cut") + 1))), split(F.concat(broken, F.col("_head"))),
+    ).alias("words"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -128,14 +136,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
         ids = materialise(texts.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("rows")), "ids")
     follow = materialise(successors(ids.drop("rows"), ids.count()), "successors")
-    both = edited_texts(texts, follow)
-    each = both.select("doc_id", F.posexplode(F.array("text", "edited")).alias("edit", "text"))
-    samples = signatures(each).groupBy("doc_id").agg(
-        F.first(F.when(F.col("edit") == 0, F.col("samples")), ignorenulls=True).alias("own"),
-        F.first(F.when(F.col("edit") == 1, F.col("samples")), ignorenulls=True).alias("edited"),
+    cut = edited_texts(texts, follow)
+    digests = cut.select(
+        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.concat(F.substring("text", F.lit(1), F.col("cut")), F.col("_head")), 256).alias("edited_sha256"),
     )
-    digests = both.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    return materialise(digests.join(samples, "doc_id", "left"), "fingerprints")
+    return materialise(digests.join(signatures(word_parts(cut)), "doc_id", "left"), "fingerprints")
 
 
 def compare(docs: DataFrame) -> DataFrame:
