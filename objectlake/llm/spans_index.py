@@ -22,6 +22,7 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -408,8 +409,6 @@ def without_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     Other columns stay as they are, as do null texts; no row is dropped.
     """
-    import pandas as pd
-
     found = spans(_texts(docs), batches)
 
     @F.pandas_udf("string")
