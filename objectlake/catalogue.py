@@ -1,10 +1,12 @@
-"""Registry of the object-lake queries and of their DuckDB equivalents."""
+"""All object-lake queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import sets
+from .plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _part in (sets,):
+    QUERIES |= _part.R.queries
+    ORACLES |= _part.R.sql
