@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import sets
+from .plans import data, sets
 from .plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _part in (sets,):
+for _part in (sets, data):
     QUERIES |= _part.R.queries
     ORACLES |= _part.R.sql
