@@ -112,7 +112,7 @@ def write_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         k.alias("id"), F.lit("Customer").alias("object_type"), F.col("user_id").cast("string").alias("object_id"),
         F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("update").alias("operation"),
-        F.when(k % 50 == 1, F.lit("{}")).otherwise(F.concat(F.lit('{"'), field, F.lit('":"'), F.col("value").cast("string"), F.lit('"}'))).alias("changes"),
+        F.when(k % 50 == 2, F.lit("{}")).otherwise(F.concat(F.lit('{"'), field, F.lit('":"'), F.col("value").cast("string"), F.lit('"}'))).alias("changes"),
         F.when(k % 10 == 0, "pending").when(k % 10 == 1, "abandoned").otherwise("applied").alias("status"),
         F.concat(F.lit("user_"), k % 5).alias("user_id"), F.col("ts").cast("timestamp").alias("created_at"), F.lit(None).cast("string").alias("batch_id"),
     )
@@ -120,7 +120,7 @@ def write_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOG_SQL = """log AS (SELECT event_id AS id, 'Customer' AS object_type, CAST(user_id AS VARCHAR) AS object_id,
   CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS operation,
-  CASE WHEN event_id % 50 = 1 THEN NULL WHEN event_id % 3 = 0 THEN 'c_acctbal' WHEN event_id % 3 = 1 THEN 'c_mktsegment' ELSE 'c_phone' END AS field,
+  CASE WHEN event_id % 50 = 2 THEN NULL WHEN event_id % 3 = 0 THEN 'c_acctbal' WHEN event_id % 3 = 1 THEN 'c_mktsegment' ELSE 'c_phone' END AS field,
   CAST(value AS VARCHAR) AS field_value,
   CASE WHEN event_id % 10 = 0 THEN 'pending' WHEN event_id % 10 = 1 THEN 'abandoned' ELSE 'applied' END AS status,
   'user_' || (event_id % 5) AS writer, ts AS created_at FROM events)"""
@@ -134,5 +134,5 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REQUESTS_SQL = """requests AS (SELECT event_id AS request_id, event_type AS route, ts AS at, value AS duration_ms,
+REQUESTS_SQL = """requests AS (SELECT event_id AS request_id, event_type AS route, ts AS at_, value AS duration_ms,
   CASE WHEN event_id % 20 = 0 THEN 500 ELSE 200 END AS status, user_id FROM events)"""
