@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AT = F.struct("created_at", "id")
+AT = "struct(created_at, id)"
 OBJECT = ["object_type", "object_id"]
 
 
@@ -26,7 +26,7 @@ def exploded(log: DataFrame) -> DataFrame:
 def latest_by_field(log: DataFrame, status: str) -> DataFrame:
     """object_type, object_id, field, value: the last entry of a status for each field."""
     some = exploded(log.filter((F.col("status") == status) & (F.col("operation") != "delete")))
-    return some.groupBy(*OBJECT, "field").agg(F.max_by(F.struct("value"), AT).alias("_v")).select(*OBJECT, "field", F.col("_v.value").alias("value"))
+    return some.groupBy(*OBJECT, "field").agg(F.max_by(F.struct("value"), F.expr(AT)).alias("_v")).select(*OBJECT, "field", F.col("_v.value").alias("value"))
 
 
 def pending(log: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def all_pending(log: DataFrame, subwrites: DataFrame) -> DataFrame:
 
 def tombstones(log: DataFrame) -> DataFrame:
     """Objects whose last applied entry is a delete."""
-    last = log.filter(F.col("status") == "applied").groupBy(*OBJECT).agg(F.max_by("operation", AT).alias("_last"))
+    last = log.filter(F.col("status") == "applied").groupBy(*OBJECT).agg(F.max_by("operation", F.expr(AT)).alias("_last"))
     return last.filter("_last = 'delete'").select(*OBJECT)
 
 
@@ -95,8 +95,8 @@ def edit_history(log: DataFrame, readable: list[str]) -> DataFrame:
 
 def superseded(log: DataFrame) -> DataFrame:
     """id, superseded: whether an object has a later applied entry."""
-    last = log.filter("status = 'applied'").groupBy(*OBJECT).agg(F.max(AT).alias("_last"))
-    return log.join(last, OBJECT, "left").select("id", F.coalesce(AT < F.col("_last"), F.lit(False)).alias("superseded"))
+    last = log.filter("status = 'applied'").groupBy(*OBJECT).agg(F.max(F.expr(AT)).alias("_last"))
+    return log.join(last, OBJECT, "left").select("id", F.coalesce(F.expr(AT) < F.col("_last"), F.lit(False)).alias("superseded"))
 
 
 def edits_by_field(log: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from .bindings import LOG_SQL, table, users, write_log
 from .registry import Registry
 
 R = Registry()
-SINCE = F.lit("2024-01-20 00:00:00").cast("timestamp")
+SINCE = "timestamp '2024-01-20 00:00:00'"
 FIELD_ROWS = f"WITH {LOG_SQL}, f AS (SELECT * FROM log WHERE field IS NOT NULL)"
 LAST = "SELECT object_id, field, arg_max(field_value, (created_at, id)) AS value FROM f WHERE {} AND operation <> 'delete' GROUP BY 1, 2"
 
@@ -26,7 +26,7 @@ def pending(spark, sf_dir) -> DataFrame:
 
 @R.add("applied_since", f"{FIELD_ROWS} {LAST.format(chr(39).join(['status = ', 'applied', ' AND created_at >= TIMESTAMP ', '2024-01-20', '']))}")
 def applied_since(spark, sf_dir) -> DataFrame:
-    return _fields(edits.applied_since(write_log(spark, sf_dir), SINCE))
+    return _fields(edits.applied_since(write_log(spark, sf_dir), F.expr(SINCE)))
 
 
 @R.add("all_pending", f"WITH {LOG_SQL}, own AS (SELECT object_id FROM log WHERE status = 'pending' AND id % 20 = 0), flat AS (SELECT DISTINCT CAST(event_id % 300 AS VARCHAR) AS object_id, event_id FROM events WHERE event_id % 500 = 10) SELECT object_id, false AS batched, CAST(COUNT(*) AS BIGINT) AS n FROM own GROUP BY 1 UNION ALL SELECT object_id, true, COUNT(*) FROM flat WHERE object_id NOT IN (SELECT object_id FROM own) GROUP BY 1")
@@ -55,7 +55,7 @@ LEFT JOIN p pa ON pa.object_id = i.object_id AND pa.field = 'c_acctbal' LEFT JOI
 LEFT JOIN a aa ON aa.object_id = i.object_id AND aa.field = 'c_acctbal' LEFT JOIN a ab ON ab.object_id = i.object_id AND ab.field = 'c_mktsegment'
 WHERE i.object_id NOT IN (SELECT object_id FROM t)""")
 def overlay(spark, sf_dir) -> DataFrame:
-    return edits.overlay(table(spark, sf_dir, "customer"), "c_custkey", "Customer", write_log(spark, sf_dir), SINCE, ["c_mktsegment", "c_acctbal"])
+    return edits.overlay(table(spark, sf_dir, "customer"), "c_custkey", "Customer", write_log(spark, sf_dir), F.expr(SINCE), ["c_mktsegment", "c_acctbal"])
 
 
 @R.add("overlay_search", f"""{FIELD_ROWS}, {TOMBS}, p AS ({LAST.format("status = 'pending'")}), a AS ({LAST.format("status = 'applied' AND created_at >= TIMESTAMP '2024-01-20'")}),

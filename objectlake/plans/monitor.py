@@ -15,7 +15,7 @@ from .bindings import LOG_SQL, REQUESTS_SQL, request_log, table, write_log
 from .registry import Registry
 
 R = Registry()
-NOW = F.lit("2024-01-28 00:00:00").cast("timestamp")
+NOW = "timestamp '2024-01-28 00:00:00'"
 
 COUNTS_SQL = """b AS (SELECT event_type AS condition, 'user_' || (user_id % 10) AS user_id, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
 a AS (SELECT event_type AS condition, 'user_' || (user_id % 10) AS user_id, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2),
@@ -72,7 +72,7 @@ def slowest_routes(spark, sf_dir) -> DataFrame:
 
 @R.add("metrics_retention", f"WITH {REQUESTS_SQL} SELECT request_id FROM requests WHERE at_ >= TIMESTAMP '2024-01-28' - INTERVAL 10 DAY")
 def metrics_retention(spark, sf_dir) -> DataFrame:
-    return watch.retained(request_log(spark, sf_dir), "at", NOW, 10).select("request_id")
+    return watch.retained(request_log(spark, sf_dir), "at", F.expr(NOW), 10).select("request_id")
 
 
 @R.add("notifications_top", "SELECT user_id, event_id AS notification_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place, CAST(COUNT(*) FILTER (event_id % 4 <> 0) OVER (PARTITION BY user_id) AS BIGINT) AS unseen FROM events QUALIFY place <= 50")
