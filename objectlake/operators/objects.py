@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import LinkType, Ontology, User
@@ -145,10 +145,12 @@ class ObjectSet:
     def value_counts(self, field: str, top: int = 12) -> DataFrame:
         """value, n: the most frequent values, and the rest as Other (k)."""
         n = self.rows.filter(F.col(field).isNotNull()).groupBy(F.col(field).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        ranked = n.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
-        shown, rest = ranked.filter(F.col("_rank") <= top), ranked.filter(F.col("_rank") > top)
-        other = rest.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).filter("k > 0").select(F.concat(F.lit("Other ("), "k", F.lit(")")).alias("value"), "n")
-        return shown.select("value", "n").unionByName(other)
+        shown = n.orderBy(F.desc("n"), "value").limit(top)
+        total = lambda rows, a, b: rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(a), F.count(F.lit(1)).alias(b))
+        other = total(n, "all", "values").crossJoin(total(shown, "seen", "bars")).filter("values > bars").select(  # one row by one row
+            F.concat(F.lit("Other ("), F.col("values") - F.col("bars"), F.lit(")")).alias("value"), (F.col("all") - F.col("seen")).alias("n")
+        )
+        return shown.unionByName(other)
 
     def histogram(self, field: str) -> DataFrame:
         return self.rows.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count(F.lit(1)).alias("n"))

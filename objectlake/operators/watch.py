@@ -25,20 +25,19 @@ def unrepeated(fired: DataFrame, notified: DataFrame) -> DataFrame:
     return fired.join(notified, ["condition", "user_id", "verdict"], "left_anti")
 
 
-def ranked_value(value: Column, by: list[str], f: float, n: str) -> Column:
-    """The value at rank min(int(n * f), n - 1) from 0, as an aggregate over rows with _rank and n."""
-    return F.min(F.when(F.col("_rank") == F.least(F.floor(F.col(n) * f), F.col(n) - 1), value))
-
-
 def red(requests: DataFrame, by: list[str]) -> DataFrame:
     """n, errors (status 400 or more), error_ratio, p50 and p99 of successes; requests: status, duration_ms and by.
 
     A percentile is a request's own duration, the one at rank min(int(n f), n - 1).
     """
     ok = requests.filter("status < 400 and duration_ms is not null")
+    # Equal durations are counted before they are put in order, so a busy group is ordered by its distinct durations.
+    counted = ok.groupBy(*by, "duration_ms").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by)
-    ranked = ok.withColumn("_rank", F.row_number().over(w.orderBy("duration_ms")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    tails = ranked.groupBy(*by).agg(*[ranked_value(F.col("duration_ms"), by, f, "_n").alias(name) for f, name in ((0.5, "p50"), (0.99, "p99"))])
+    upto = F.sum("_c").over(w.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(w))
+    at = lambda f: F.least(F.floor(F.col("_n") * f), F.col("_n") - 1)
+    tails = placed.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > at(f), F.col("duration_ms"))).alias(name) for f, name in ((0.5, "p50"), (0.99, "p99"))])
     all_ = requests.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 400).alias("errors"))
     return all_.join(tails, by, "left").withColumn("error_ratio", F.col("errors") / F.col("n"))
 
