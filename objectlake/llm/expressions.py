@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters that separate words: blank and \t to \r.
@@ -27,3 +27,21 @@ def text_or_empty(column: str = "text") -> Column:
 def count_of(text: Column, characters: str) -> Column:
     """How many code points of text are among characters."""
     return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name like this one that rows do not have, upper and lower case alike."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def thinned(rows: DataFrame, by: Column, total: int, wanted: int) -> DataFrame:
+    """About 1.5 times the wanted rows of total, those with the smallest hashes by; all if there are few.
+
+    So that a bounded sample by order of hash is drawn from little more than itself, and not from the
+    first rows of every task.
+    """
+    share = 1.5 * wanted / max(total, 1)
+    return rows if share >= 1 else rows.filter(F.shiftrightunsigned(by, 12) < int(share * (1 << 52)))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from objectlake.session import materialise
 
-from .tokens import checksum, tokenizer_path, word_tokenizer
+from .tokens import checksum, id_lists, tokenizer_path, word_tokenizer
 
 CAPACITY = 4096
 END_ID = 2
@@ -68,10 +68,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
             arrays = [pa.array(c, pa.int64()) for c in out[:5]]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                from .tokens import id_lists
-
                 arrays, names = [*arrays, id_lists(out[5])], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        known.forget()
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(tokenize, PIECES + ", ids array<int>" * with_ids)

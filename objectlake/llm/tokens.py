@@ -15,8 +15,8 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 
-#: Words, and parts of words, that a worker remembers; it starts anew beyond that.
-REMEMBERED = 600_000
+#: Words, and parts of words, that a task remembers; it starts anew beyond that.
+REMEMBERED = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +48,10 @@ class WordTokenizer:
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """At the end of a task, so that an idle worker holds no words."""
+        self.parts, self.words = {}, {}
+
     def ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from objectlake.session import materialise
 
+from .expressions import thinned, unused
+
 #: Labelled documents that the chain is fitted on, at most; chosen by hash of doc_id.
 TRAINING_DOCS = 8_000
 #: Words and beginnings of words that the models see: those that go most with the label.
@@ -28,6 +30,8 @@ VOCABULARY = 400
 STEMS = (4, 5, 6, 7)
 FOLDS = 5
 REJECT = 0.5
+#: Documents whose terms are held at once.
+BLOCK = 500
 WORD = re.compile(r"[^\W\d_]+")
 
 # Words that mark a toxic document as belonging to a category.
@@ -84,16 +88,19 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l1: float = 1e-4, rounds: int = 200
     w, z, step_t = np.zeros(d + 1, x.dtype), np.zeros(d + 1, x.dtype), 1.0
     rate = (y.sum() + 0.5) / (n + 1)
     w[0] = z[0] = np.log(rate / (1 - rate))
-    if y.min(initial=1) == y.max(initial=0):
+    if not n:
+        w[0] = -30.0  # no labels: nothing is predicted
+    if not n or y.min() == y.max():
         return w
-    x1 = np.hstack([np.ones((n, 1), x.dtype), x])
+    ahead = lambda u: x @ u[1:] + u[0]
+    back = lambda r: np.concatenate(([r.sum()], x.T @ r)).astype(x.dtype)
     v = np.ones(d + 1, x.dtype)
     for _ in range(20):  # the largest curvature
-        v = x1.T @ (x1 @ v)
+        v = back(ahead(v))
         v /= np.linalg.norm(v)
-    step = 4 * n / np.linalg.norm(x1 @ v) ** 2
+    step = 4 * n / np.linalg.norm(ahead(v)) ** 2
     for _ in range(rounds):
-        new = (z - step * (x1.T @ (sigmoid(x1 @ z) - y)) / n).astype(x.dtype)
+        new = (z - step * back(sigmoid(ahead(z)) - y) / n).astype(x.dtype)
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * l1, 0)
         t = (1 + np.sqrt(1 + 4 * step_t**2)) / 2
         z, w, step_t = (new + (step_t - 1) / t * (new - w)).astype(x.dtype), new, t
@@ -105,33 +112,36 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, folds: np.ndarray, words: tupl
     fed, weights = np.zeros((len(x), 0), "f4"), []
     for link in range(targets.shape[1]):
         own, y = np.hstack([x, fed]), targets[:, link]
-        out = np.zeros(len(x), "f4")
-        for k in range(FOLDS if link < targets.shape[1] - 1 else 0):
+        weights.append(fit_linear(own, y))
+        out = sigmoid(weights[-1][0] + own @ weights[-1][1:]).astype("f4")
+        constant = not len(y) or y.min() == y.max()  # nothing to learn, and the same in every fold
+        for k in range(FOLDS if link < targets.shape[1] - 1 and not constant else 0):
             at = folds == k
             w = fit_linear(own[~at], y[~at])
             out[at] = sigmoid(w[0] + own[at] @ w[1:])
-        weights.append(fit_linear(own, y))
         fed = np.hstack([fed, out[:, None]])
     return Chain(words, tuple(weights))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
     """A chain from documents with labels (doc_id, toxic). Null labels are left out; of several for a document, toxic counts."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    order = F.xxhash64("doc_id")
     sample = (
-        labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCS)
+        thinned(known, order, known.count(), TRAINING_DOCS).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .orderBy(F.shiftrightunsigned(order, 12), "doc_id").limit(TRAINING_DOCS)
     )
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     labelled = materialise(texts.join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxic")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for f in frames:
-            for t, y in zip(f["text"], f["toxic"], strict=True):
-                seen[int(y > 0)].update(set(terms(t)[0]))
-        rows = [(w, seen[1][w], seen[0][w]) for w in seen[0].keys() | seen[1].keys()]
-        yield pd.DataFrame(rows, columns=["word", "bad", "good"])
+            for k in range(0, len(f), BLOCK):
+                seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+                for t, y in zip(f["text"][k : k + BLOCK], f["toxic"][k : k + BLOCK], strict=True):
+                    seen[int(y > 0)].update(set(terms(t)[0]))
+                rows = [(w, seen[1][w], seen[0][w]) for w in seen[0].keys() | seen[1].keys()]
+                yield pd.DataFrame(rows, columns=["word", "bad", "good"])
 
     n_bad, n_good = (labelled.filter(F.col("toxic") > 0).count(), labelled.filter(F.col("toxic") <= 0).count())
     lift = F.col("bad") / max(n_bad, 1) - F.col("good") / max(n_good, 1)
@@ -143,31 +153,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     )
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for whole, k in ((f, k) for f in frames for k in range(0, len(f), BLOCK)):
+            f = whole[k : k + BLOCK]
             own = [set(WORD.findall(t.lower())) for t in f["text"]]
             yield pd.DataFrame({
-                "x": list(features(list(f["text"]), words)),
+                "x": [v.tobytes() for v in features(list(f["text"]), words)],
                 "y": [[int(y > 0 and bool(s & c)) for c in CATEGORIES.values()] + [int(y > 0)] for s, y in zip(own, f["toxic"], strict=True)],
                 "fold": [crc32(t.encode()) % FOLDS for t in f["text"]],
             })
 
-    rows = labelled.mapInPandas(vectors, "x array<float>, y array<int>, fold int").collect()  # TRAINING_DOCS rows at most
-    x = np.array([r["x"] for r in rows], "f4").reshape(len(rows), 2 * len(words))
+    rows = labelled.mapInPandas(vectors, "x binary, y array<int>, fold int").collect()  # TRAINING_DOCS rows at most
+    x = np.frombuffer(b"".join(r["x"] for r in rows), "f4").reshape(len(rows), 2 * len(words))
     y = np.array([r["y"] for r in rows], "f4").reshape(len(rows), len(CHAIN))
-    return fit_chain(x, y, np.array([r["fold"] for r in rows], int), words)
+    folds = np.array([r["fold"] for r in rows], int)
+    del rows
+    return fit_chain(x, y, folds, words)
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs with p_insult, p_contempt, p_toxic added. Null text counts as empty."""
-    fields = ", ".join(f"p_{c} double" for c in CHAIN)
+def scored(docs: DataFrame, chain: Chain, name: str) -> DataFrame:
+    """docs with a struct of p_insult, p_contempt and p_toxic under a name. Null text counts as empty."""
 
-    @F.pandas_udf(f"struct<{fields.replace(' double', ':double')}>")
+    @F.pandas_udf(f"struct<{', '.join(f'p_{c}:double' for c in CHAIN)}>")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        p = chain.probabilities(features([t or "" for t in texts], chain.words))
-        return pd.DataFrame(np.round(p, 6), columns=[f"p_{c}" for c in CHAIN])
+        own = [t or "" for t in texts]
+        parts = [chain.probabilities(features(own[k : k + BLOCK], chain.words)) for k in range(0, len(own), BLOCK)]
+        return pd.DataFrame(np.round(np.vstack([np.zeros((0, len(CHAIN))), *parts]), 6), columns=[f"p_{c}" for c in CHAIN])
 
-    # A project of its own for the call: it is run once though three fields are read from it.
-    return docs.withColumn("_p", predicted(F.col("text").cast("string"))).withColumns({f"p_{c}": F.col(f"_p.p_{c}") for c in CHAIN}).drop("_p")
+    return docs.withColumn(name, predicted(F.col("text").cast("string")))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,11 +188,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are judged by the intercepts. Without labels of both kinds the chain is
     constant. An empty table gives no rows; repeated rows are judged alike.
     """
-    scored = score(docs.select("doc_id", "text"), train(docs, labels)).drop("text")
-    toxic = F.col("p_toxic") >= REJECT
-    return scored.withColumn("toxic", toxic).withColumn("kept", ~toxic)
+    toxic = F.col("p.p_toxic") >= REJECT
+    return scored(docs.select("doc_id", "text"), train(docs, labels), "p").select("doc_id", "p.*", toxic.alias("toxic"), (~toxic).alias("kept"))
 
 
 def remove(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not judged toxic, with their own columns."""
-    return score(docs, train(docs, labels)).filter(F.col("p_toxic") < REJECT).select(*docs.columns)
+    name = unused(docs, "p")
+    return scored(docs, train(docs, labels), name).filter(F.col(f"{name}.p_toxic") < REJECT).drop(name)
