@@ -2,7 +2,7 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document's measures. Expectation
 maximisation over the counts of vote patterns (at most 3 ** rules of them, whatever the corpus)
-estimates how often each rule is right and the share of good documents; the verdict is the posterior
+estimates what each vote says about a document and the share of good ones; the verdict is the posterior
 probability of good, not a conjunction of rules.
 """
 
@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from objectlake.session import materialise
 
 from .expressions import BLANKS, call, count_of, let, text_or_empty
-from .weak import estimate
+from .weak import estimate_outcomes
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 MIN_WORDS = 50
-RULES = ("length", "word_size", "symbols", "lines", "repeats", "capitals", "stops")
+RULES = ("length", "word_size", "symbols", "symbol_density", "lines", "repeats", "capitals", "stops")
 KEEP = 0.5
 
 
@@ -98,18 +98,24 @@ def votes() -> list[Column]:
     n, some = F.col("n_words"), F.col("n_words") > 0
     share = lambda c: F.col(c) / F.greatest(n, F.lit(1))
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
-    size, capital = F.col("word_chars") / F.greatest(n, F.lit(1)), F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1))
+    chars = F.greatest(F.col("word_chars"), F.lit(1))
+    size, capital = F.col("word_chars") / F.greatest(n, F.lit(1)), F.col("n_capitals") / chars
     return [
         vote(n < MIN_WORDS, n >= 2 * MIN_WORDS),
         vote(some & ((size < 2) | (size > 15)), some & size.between(3, 11)),
         vote(some & (share("n_symbols") > 0.1), some & (share("n_symbols") <= 0.02)),
+        vote(F.col("n_symbols") / chars > 0.1, F.lit(False)),
         vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines"), (F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0)),
         vote(some & (share("n_repeat_words") > 0.5), (n >= MIN_WORDS) & (share("n_repeat_words") <= 0.1)),
         vote(some & (capital > 0.4), some & (capital <= 0.15)),
-        vote((n >= MIN_WORDS) & (F.col("n_stops") == 0), some & share("n_stops").between(0.01, 0.5)),
+        vote(some & ((share("n_stops") > 0.8) | ((n >= MIN_WORDS) & (F.col("n_stops") == 0))), some & share("n_stops").between(0.01, 0.5)),
     ]
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, p_good and kept for every document.
 
@@ -117,12 +123,13 @@ def judge(docs: DataFrame) -> DataFrame:
     are kept. An empty table gives no rows.
     """
     measured = materialise(measures(docs).withColumn("_votes", F.array(*votes())), "quality")
-    counted = measured.groupBy("_votes").count().collect()  # 3 ** len(RULES) rows at most
-    prior, right = estimate(sorted((tuple(r["_votes"]), r["count"]) for r in counted), len(RULES))
+    # Documents that fail the base rules anyway teach nothing about the others.
+    counted = measured.filter(~_failed()).groupBy("_votes").count().collect()  # 3 ** len(RULES) rows at most
+    prior, adds = estimate_outcomes(sorted((tuple(r["_votes"]), r["count"]) for r in counted), len(RULES))
     odds = F.lit(math.log(prior / (1 - prior)))
-    for j, a in enumerate(right):
-        odds = odds + F.col("_votes")[j] * math.log(a / (1 - a))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    for j, (against, for_) in enumerate(adds):
+        odds = odds + F.when(F.col("_votes")[j] < 0, against).when(F.col("_votes")[j] > 0, for_).otherwise(0.0)
+    failed = _failed()
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
