@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from objectlake.session import materialise
 
 from . import weak
+from .expressions import thinned
 
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates that the classifier is fitted on, at most; chosen by a hash, in no order of the table.
@@ -208,10 +209,9 @@ def train(found: DataFrame) -> SpanModel:
         name: weak.estimate(sorted((tuple(r["votes"]), r["count"]) for r in counts if r["kind"] == k), len(LABELERS), prior=0.5, bounds=(0.05, 0.95))
         for k, name in enumerate(KINDS)
     }
-    rows = (
-        spans.select("kind", "votes", "x", F.xxhash64("kind", "votes", "x", "start").alias("_order"))
-        .orderBy("_order").limit(TRAINING_SPANS).collect()
-    )
+    order = F.xxhash64("kind", "votes", "x", "start", "end")
+    some = thinned(spans, order, sum(r["count"] for r in counts), TRAINING_SPANS)
+    rows = some.select("kind", "votes", "x", F.shiftrightunsigned(order, 12).alias("_order")).orderBy("_order").limit(TRAINING_SPANS).collect()
     if not rows:
         return SpanModel((0.0,) * (N_FEATURES + 1), learnt)
     soft = np.array([weak.posterior(tuple(r["votes"]), *learnt[KINDS[r["kind"]]]) for r in rows])
