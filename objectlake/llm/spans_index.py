@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from objectlake.session import materialise
 
+from .expressions import unused
+
 LENGTH, GRAM = 100, 16
 GRAMS = LENGTH - GRAM + 1
 #: Bytes that are hashed at once; longer documents are read in overlapping stretches.
@@ -348,11 +350,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with _spans: the repeated stretches of their text, null if there are none."""
-    lowest = F.lit(-(1 << 63))
-    each = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    return docs.join(each, F.coalesce(docs["doc_id"].cast("long"), lowest) == each["doc"], "left").drop("doc")
+def with_spans(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """docs with the repeated stretches of their text under a name, null if there are none."""
+    key = unused(docs, "key")
+    each = found.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(name))
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(each, key, "left").drop(key)
 
 
 def merged(starts: list[int], ends: list[int], size: int) -> list[tuple[int, int]]:
@@ -399,7 +401,7 @@ def removed_spans(docs: DataFrame, batches: int = BATCHES, hot_runs: int = HOT_R
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = spans(_texts(docs), batches, hot_runs)
-    return with_spans(source, found).select("doc_id", "text", "_spans").mapInArrow(
+    return with_spans(source, found, "spans").select("doc_id", "text", "spans").mapInArrow(
         digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
@@ -422,4 +424,5 @@ def without_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             out.append(remaining(data, merged([i["start"] for i in x], [i["end"] for i in x], len(data))).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    return with_spans(docs, found).withColumn("text", cleaned(F.col("text"), F.col("_spans"))).select(*docs.columns)
+    name = unused(docs, "spans")
+    return with_spans(docs, found, name).withColumn("text", cleaned(F.col("text"), F.col(name))).select(*docs.columns)
