@@ -1,0 +1,405 @@
+"""Each operator against a plain version of what it computes, on small whole tables."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from objectlake.llm import fingerprints, near_dedup, packing, pieces, pii, quality, sharding, shingles, spans_index, toxicity, urls, weak
+from objectlake.llm.tokens import WordTokenizer, tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(documents):
+    return sorted((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect())
+
+
+# Personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a.b", "@", "x-1", ".com", " ", "1.2.3.4", "256", ".", "+1", " (555) ", "555-1234", "4111 1111 1111 1111", "-", "é", "%", "12", "\n"]), max_size=14))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_pii_query(documents, rows):
+    found = {r.doc_id: r for r in pii.find(documents).collect()}
+    for doc_id, text in rows:
+        base = plain_spans(text)
+        want = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        r = found[doc_id]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == j for _, k, _ in base) for j in range(4))
+        assert set(want.split(",")) <= set(r.spans.split(",")) or not want
+
+
+def test_wide_spans_need_support():
+    text = "My phone: (555) 123-4567. Write to jo.doe [at] mail [dot] example [dot] com"
+    kinds = [k for _, k, _ in pii.wide_spans(text, pii.base_spans(text))]
+    assert kinds == [3, 0]
+    assert pii.replaced("mail a@b.com now", pii.SpanModel((0.0,) * (pii.N_FEATURES + 1), {})) == "mail [EMAIL] now"
+
+
+def test_em_finds_the_reliable_labeler():
+    rng = random.Random(5)
+    counts = Counter()
+    for _ in range(4000):
+        truth = 1 if rng.random() < 0.7 else -1
+        counts[tuple(truth if rng.random() < a else -truth for a in (0.95, 0.8, 0.6))] += 1
+    prior, right = weak.estimate(sorted(counts.items()), 3)
+    assert abs(prior - 0.7) < 0.08 and right[0] > right[1] > right[2]
+
+
+# Toxicity
+
+
+def test_toxicity_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    seen, held = labels.filter("doc_id % 4 <> 0"), labels.filter("doc_id % 4 = 0")
+    found = toxicity.judge(docs.join(held.select("doc_id"), "doc_id"), labels.limit(0)).limit(1).collect()
+    assert found[0].toxic is False
+    chain = toxicity.train(docs, seen)
+    scored = toxicity.scored(docs.join(held, "doc_id").select("text", "toxic"), chain, "p").select("toxic", "p.p_toxic").collect()
+    hit = sum(r.p_toxic >= 0.5 for r in scored if r.toxic) / sum(r.toxic for r in scored)
+    false = sum(r.p_toxic >= 0.5 for r in scored if not r.toxic) / sum(1 - r.toxic for r in scored)
+    assert hit > 0.85 and false < 0.01
+
+
+# Quality rules
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_measures(text):
+    words = WORDS.findall(text)
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(spark, documents, rows):
+    extra = ["a b c a b c", "x x x x x", "a b c d", "one\n\none\n \none", "", "a\x0bb\x0cc", "é é é é # é é é", "a b c x a b c y a b c"]
+    both = documents.select("doc_id", "text").union(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    found = {r.doc_id: r for r in quality.judge(both).collect()}
+    for doc_id, text in rows + [(10_000 + k, t) for k, t in enumerate(extra)]:
+        r, want = found[doc_id], plain_measures(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, text[:80]
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_keeps_good_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.judge(docs).join(labels, "doc_id").filter("not base_failed").collect()
+    kept = [r.kept for r in found if r.quality]
+    assert sum(kept) / len(kept) > 0.97
+    dropped = [not r.kept for r in found if not r.quality]
+    assert sum(dropped) / len(dropped) > 0.5
+
+
+# Urls
+
+
+def plain_url(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def test_urls(spark):
+    odd = ["HTTP://A.Example.NET/de/8#x", "x://net/de/", "a://b://c/d", "://org/es/1", "no", "http://example.com?x/en/", None, "ftp://notexample.com/en/7", "http://sub.net/de/9"]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    pages = pages.union(spark.createDataFrame([(10_000 + k, u) for k, u in enumerate(odd)], "page_id long, url string"))
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    found = {r.page_id: r for r in urls.filter_urls(pages).collect()}
+    for r in pages.collect():
+        host, path = plain_url(r.url)
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        got = found[r.page_id]
+        assert (got.host, got.path) == (host, path)
+        assert got.rule == (max(fits)[1] if fits else None)
+        assert got.verdict == (max(fits)[2] if fits else ("block" if got.p_block >= 0.5 else "allow"))
+
+
+# Sharding
+
+
+def test_sharding(documents, rows):
+    found = {r.doc_id: r for r in sharding.shard_documents(documents).collect()}
+    for doc_id, text in rows:
+        r = found[doc_id]
+        assert r.size == len(text.encode()) + 8 and r.text_crc32 == crc32(text.encode())
+        assert r.grown_shard in (r.shard, 24) and 0 <= r.shard < 24
+    for shard in range(24):
+        slots = sorted(r.slot for r in found.values() if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_weight_changes_stay_in_their_subtree(spark):
+    keys = spark.range(20_000)
+    tree = sharding.base_tree()
+    rack = tree[0].children[0]
+    heavier = (sharding.Node(tree[0].id, (sharding.Node(rack.id, (sharding.Shard(0, 2.0), *rack.children[1:])), *tree[0].children[1:])), *tree[1:])
+    moved = keys.select(sharding.shard_of(keys.id, tree).alias("a"), sharding.shard_of(keys.id, heavier).alias("b")).filter("a <> b").collect()
+    assert moved and all(not (r.a >= 12 and r.b >= 12) for r in moved)  # no row moves within the untouched region
+    counts = Counter(r.a for r in keys.select(sharding.shard_of(keys.id, heavier).alias("a")).collect())
+    assert abs(counts[0] / 20_000 - 2 / 25) < 0.01
+
+
+# SentencePiece
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return pieces.PieceCodec(tokenizer_path("piece_bpe_32k.model"))
+
+
+PIECES = st.lists(st.sampled_from(["the ", " ", "  ", "\n", "thing", "a", "é", "日本", "😀", "▁", "tion", "<s>", "1", "000", "zzz", "<0x0A>"]), max_size=40).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=PIECES, chunk=st.integers(17, 60))
+def test_chunks_encode_as_the_library_does(codec, text, chunk):
+    want = codec.model.encode(text)
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == want
+    assert codec.decode(np.array(want, "u4")) == codec.model.decode(want)
+    if not text:
+        return
+    z, margin, out = pieces.BLANK + text.replace(" ", pieces.BLANK), codec.longest, b""
+    cuts = [(max(0, k - margin), k, min(len(z), k + chunk)) for k in range(0, len(z), chunk)]
+    slices = [z[a : k + chunk + margin] for a, k, _ in cuts]
+    shift = lambda s, a: [(q + a, m) for q, m in s]
+    rows = []
+    for (a, k, to), part in zip(cuts, slices, strict=True):
+        ins, outs, weight = codec.transfer(part, k - a, to - a)
+        rows.append((shift(ins, a), shift(outs, a), weight))
+    for ((q, m), (x, n)), (a, k, to), part in zip(pieces.combine(rows), cuts, slices, strict=True):
+        out += codec.backtrace(part, k - a, to - a, (q - a, m), (x - a, n))
+    assert np.frombuffer(out, "<u4").tolist() == want
+
+
+def test_giant_documents_round_trip(spark, codec):
+    texts = ["word " * 3000, "ab" * 5000, "x" * 9000, "日本語" * 4000, "a  b " * 2500, " " * 9000 + "end"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    encoded = pieces.encode(docs, chunk=4096).cache()
+    for r in encoded.collect():
+        assert r.ids == codec.model.encode(texts[r.doc_id]) and r.n_chunks > 1
+    assert encoded.count() == 7
+    assert {r.doc_id: r.text for r in pieces.decode(encoded).collect()} == dict(enumerate(texts))
+
+
+# Packing
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB'sé ²3!\n\t<|>日Σİ́", max_size=60))
+def test_word_tokenizer_is_the_library(text):
+    own = test_word_tokenizer_is_the_library.__dict__.setdefault("own", WordTokenizer(tokenizer_path("word_bpe_49k.json")))
+    want = own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(iter(own.ids([text]))), "<u4").tolist() == want
+
+
+def test_packing(documents, rows):
+    own = WordTokenizer(tokenizer_path("word_bpe_49k.json"))
+    ids = {d: own.tokenizer.encode(t, add_special_tokens=False).ids + [2] for d, t in rows}
+    found = packing.pack(documents).collect()
+    by_doc, by_sequence = {}, {}
+    for r in found:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+        assert crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        assert r.doc_tokens == len(ids[r.doc_id])
+    for d, parts in by_doc.items():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == len(ids[d])
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= packing.CAPACITY
+    tokens = sum(map(len, ids.values()))
+    assert 1 - tokens / (packing.CAPACITY * len(by_sequence)) < 0.05
+
+
+@given(st.integers(1, 50_000))
+def test_cut(length):
+    parts = packing.cut(length)
+    assert sum(parts) == length and max(parts) <= packing.CAPACITY and len(parts) <= length // packing.CAPACITY + 4
+
+
+# Near duplicates
+
+
+def plain_similarity(a, b):
+    def weigh(t):
+        w = t.lower().encode().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    a, b = weigh(a), weigh(b)
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 300))) for _ in range(150)]
+    for k in range(60):
+        base = texts[k % 30].split()
+        for _ in range(max(1, len(base) // rng.choice([30, 60, 200]))):
+            base[rng.randrange(len(base))] = rng.choice(words)
+        texts.append(" ".join(base))
+    texts += texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or plain_similarity(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = {i: find(i) for i in range(len(texts))}
+    for sizes in ((4096, 512), (3, 2)):
+        got = {r.doc_id: r.class_id for r in near_dedup.classify(docs, chunk=sizes[0], rovers=sizes[1]).collect()}
+        assert got == want
+
+
+def test_samples_collide_as_weighted_jaccard():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 1 << 48, 600, dtype=np.uint64)
+    a, b = np.sort(ids[:400]), np.sort(ids[100:])
+    w_a, w_b = rng.integers(1, 4, 400).astype(float), rng.integers(1, 4, 500).astype(float)
+    s = [near_dedup.signatures(np.zeros(len(x), np.int64), x, w, 1)[0] for x, w in ((a, w_a), (b, w_b))]
+    weight_a, weight_b = dict(zip(a.tolist(), w_a, strict=True)), dict(zip(b.tolist(), w_b, strict=True))
+    keys = weight_a.keys() | weight_b.keys()
+    want = sum(min(weight_a.get(k, 0), weight_b.get(k, 0)) for k in keys) / sum(max(weight_a.get(k, 0), weight_b.get(k, 0)) for k in keys)
+    assert abs((s[0] == s[1]).mean() - want) < 4 * math.sqrt(want * (1 - want) / len(s[0]))
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_frequent_shingles_are_counted_over_all_documents(spark, parts):
+    rng = random.Random(8)
+    lines = [" ".join(rng.choices("abcdefghij", k=6)) for _ in range(12)]
+    texts = [" ".join(x for k, x in enumerate(lines) if rng.random() < 0.02 * k) + f" tail number {i} of these texts" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    df = Counter()
+    for t in texts:
+        df.update(shingles.shingles([t])[1].tolist())
+    want = {i: n for i, n in df.items() if n * near_dedup.COMMON > len(texts)}
+    known = near_dedup.weights(near_dedup._texts(docs))
+    assert want and known.ids.tolist() == sorted(want)
+    assert known.weight.tolist() == pytest.approx(near_dedup.idf(np.array([want[i] for i in sorted(want)], float), 300).tolist())
+
+
+def test_shingles_are_whole_texts():
+    doc, ids, count = shingles.shingles(["a b c d e f", "A  b\nc d e f", "a b", "", "x y z x y z x y z x y z"])
+    assert np.bincount(doc, minlength=5).tolist() == [2, 2, 1, 0, 3]
+    assert ids[doc == 0].tolist() == ids[doc == 1].tolist()
+    assert count[doc == 4].sum() == 8
+
+
+# Fingerprints
+
+
+def test_fingerprints(documents, rows):
+    found = {r.doc_id: r for r in fingerprints.compare(documents).collect()}
+    near, error = [], []
+    for k, (doc_id, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        q = len(text) // 4
+        edited = text[: len(text) - q] + after[:q]
+        r = found[doc_id]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = Counter(text.lower().split()), Counter(edited.lower().split())
+        near.append(r.near_edited > r.near_next)
+        error.append(r.near_edited - sum((a & b).values()) / max(1, sum((a | b).values())))
+    by_text = {}
+    for doc_id, text in rows:
+        assert by_text.setdefault(text, found[doc_id].fingerprint) == found[doc_id].fingerprint
+    assert np.mean(near) > 0.9 and abs(np.mean(error)) < 0.04
+
+
+# Repeated spans
+
+
+def plain_removed(rows):
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        data = text.encode()
+        mark = bytearray(len(data))
+        for i in range(len(data) - 99):
+            window = data[i : i + 100]
+            if window in seen:
+                mark[i : i + 100] = b"\1" * 100
+            seen.add(window)
+        kept = bytes(x for x, m in zip(data, mark, strict=True) if not m)
+        runs = sum(1 for i in range(len(mark)) if mark[i] and not (i and mark[i - 1]))
+        out[doc_id] = (len(data), sum(mark), runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize(("batches", "hot_runs"), [(1, 20_000), (3, 2)])
+def test_repeated_spans(spark, documents, rows, batches, hot_runs):
+    rng = random.Random(9)
+    passages = ["".join(rng.choices("abcdé ", k=rng.randint(90, 260))) for _ in range(6)]
+    more = [(10_000 + k, "".join(rng.choice(passages) if rng.random() < 0.7 else "".join(rng.choices("xyz ", k=40)) for _ in range(12))) for k in range(40)]
+    more += [(20_000, "The " * 200), (20_001, "a" * 1000), (20_002, "The " * 100)]
+    both = documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in spans_index.removed_spans(both, batches, hot_runs).collect()}
+    assert found == plain_removed(rows + more)
+
+
+def test_spans_of_documents_longer_than_a_stretch():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, spans_index.STRETCH + 5000, dtype=np.uint8).tobytes()
+    key, context, doc, s, e = spans_index.runs([(1, text)])
+    covered = np.zeros(len(text) - 99, bool)
+    for a, b in zip(s, e, strict=True):
+        covered[a : b + 1] = True
+    assert covered.all()
