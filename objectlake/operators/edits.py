@@ -198,14 +198,14 @@ def apply_batch(state: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFra
 
     state: object_id, value; writes: batch_id, object_id, operation, expected, value. An update or a
     delete needs the expected value, NULL equal to NULL; a create needs that there is no such object.
-    Two batches that touch one object are not both applied: the smaller batch_id goes first.
+    Of batches that touch one object all but the one with the smallest batch_id are abandoned.
     """
     here = state.select("object_id", F.col("value").alias("_now"), F.lit(True).alias("_here"))
     joined = writes.join(here, "object_id", "left")
     exists = F.coalesce("_here", F.lit(False))
     fits = F.when(F.col("operation") == "create", ~exists).otherwise(exists & F.col("_now").eqNullSafe(F.col("expected")))
-    first = writes.groupBy("object_id").agg(F.min("batch_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.countDistinct("batch_id").alias("_b"))
-    alone = (F.col("batch_id") == F.col("_first")) & (F.col("_n") >= F.col("_b"))
+    first = writes.groupBy("object_id").agg(F.min("batch_id").alias("_first"))
+    alone = F.col("batch_id") == F.col("_first")
     verdict = joined.join(first, "object_id").groupBy("batch_id").agg(F.bool_and(fits & alone).alias("_ok"))
     status = verdict.select("batch_id", F.when(F.col("_ok"), "applied").otherwise("abandoned").alias("status"))
     done = writes.join(verdict.filter("_ok").select("batch_id"), "batch_id", "left_semi").select(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import changes, edits
-from .bindings import LOG_SQL, table, users, write_log
+from ..operators import changes, edits, secure
+from .bindings import LOG_SQL, ONTOLOGY, loader, table, users, write_log
 from .registry import Registry
 
 R = Registry()
@@ -104,9 +104,6 @@ def undeclared_fields(spark, sf_dir) -> DataFrame:
 @R.add("out_of_reach", """SELECT event_id AS write_id, CAST(user_id AS VARCHAR) AS object_id FROM events LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
 JOIN region u ON u.r_regionkey = event_id % 5 WHERE region.r_name IS NULL OR region.r_name <> u.r_name""")
 def out_of_reach(spark, sf_dir) -> DataFrame:
-    from ..operators import secure
-    from .bindings import ONTOLOGY, loader
-
     own = users(spark, sf_dir).withColumnRenamed("security_value", "user_boundary")
     writes = write_log(spark, sf_dir).select(F.col("id").alias("write_id"), "object_id", "user_id").join(own, "user_id")
     here = secure.with_boundary(ONTOLOGY, "Customer", loader(spark, sf_dir)).select(F.col("c_custkey").cast("string").alias("object_id"), F.col(secure.BOUNDARY).alias("boundary"))
@@ -149,9 +146,6 @@ def approvals(spark, sf_dir) -> DataFrame:
 
 @R.add("eligible_tasks", """SELECT 'user_' || r_regionkey AS user_id, o_orderkey AS write_id, 0 AS task FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> o_orderkey % 5""")
 def eligible_tasks(spark, sf_dir) -> DataFrame:
-    from ..operators import secure
-    from .bindings import ONTOLOGY, loader
-
     orders = secure.with_boundary(ONTOLOGY, "Order", loader(spark, sf_dir))
     tasks = orders.select(F.col("o_orderkey").alias("write_id"), F.lit(0).alias("task"), F.col(secure.BOUNDARY).alias("boundary"), F.concat(F.lit("user_"), F.col("o_orderkey") % 5).alias("proposed_by"))
     return edits.eligible_tasks(tasks, users(spark, sf_dir).filter("security_value is not null"))
