@@ -6,10 +6,14 @@ r, c and a uniform beta of each shingle; two documents draw the same (shingle, t
 probability of their weighted Jaccard similarity. BANDS bands of ROWS samples bring candidates
 together, exact weighted Jaccard similarity verifies them, and classes are connected components.
 
-The IDF is 1 for a shingle in at most a twentieth of all documents and falls with the logarithm of
-the document frequency beyond. Only such frequent shingles need counting, and no more than
+The IDF is 1 for a shingle in at most a twentieth of all distinct texts and falls with the logarithm
+of the document frequency beyond. Only such frequent shingles need counting, and no more than
 COMMON * (mean shingles of a document) * 4 / 3 of them can exist: a first pass finds in each block of
-documents what could be that frequent, a second one counts it over all documents.
+texts what could be that frequent, a second one counts it over all texts.
+
+A large group of near copies makes its own shingles frequent. So that the threshold means the same for
+it, texts with frequent shingles also have bands drawn without the IDF, and a pair is near if it
+reaches the threshold with the IDF or without it. Without frequent shingles both are the same.
 """
 
 from __future__ import annotations
@@ -100,14 +104,36 @@ class Weights:
         return out
 
 
+#: Counts alone, without the IDF.
+PLAIN = Weights(np.zeros(0, np.uint64), np.zeros(0))
+
+
+def measures(known: Weights) -> list[Weights]:
+    """The weights by which a pair may be near."""
+    return [known, PLAIN] if len(known.ids) else [PLAIN]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
 
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """texts without exact copies; of equal texts the one with the smallest doc_id stays."""
+    key = F.md5("text")
+    rows = materialise(texts.groupBy(key.alias("_key"), "doc_id").agg(F.count(F.lit(1)).alias("_rows")), "keys")
+    first = rows.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+    copies = materialise(rows.join(first, ["_key", "doc_id"], "left_anti").select("_key", "doc_id"), "copies")
+    names = texts.columns
+    out = texts.withColumn("_key", key).join(copies, ["_key", "doc_id"], "left_anti")
+    if rows.filter("_rows > 1").limit(1).count():
+        out = out.dropDuplicates(["_key", "doc_id"])
+    return out.select(*names)
+
+
 def weights(texts: DataFrame) -> Weights:
-    """Exact document frequencies, over all documents, of the shingles that a twentieth of them or more hold."""
+    """Exact document frequencies, over all texts given, of the shingles that a twentieth of them or more hold."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,25 +173,40 @@ SIGNED = "doc_id long, key_a long, key_b long, n_shingles long, bands array<long
 
 
 def sign(texts: DataFrame, known: Weights) -> DataFrame:
-    """doc_id, a 128-bit key of the text, and a hash of each band of samples."""
+    """doc_id, a 128-bit key of the text, and a hash of each band of samples.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A text with frequent shingles has further hashes, of those bands that differ without the IDF.
+    """
+
+    def hashed(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
+        samples = signatures(doc, ids, weight, n_docs).view(np.uint64).reshape(n_docs, BANDS, ROWS)
         salt = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        h = salt * np.ones((n_docs, 1), np.uint64)
+        for k in range(ROWS):
+            h = (h ^ samples[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(31)
+        return h.view(np.int64)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(1).to_pylist()
-            n, bands = np.zeros(len(own), np.int64), np.zeros((len(own), BANDS), np.int64)
+            n, bands = np.zeros(len(own), np.int64), np.zeros((len(own), 2 * BANDS), np.int64)
+            given = np.zeros((len(own), 2 * BANDS), bool)
             for i, j in blocks(own):
                 doc, ids, count = shingles(own[i:j])
                 n[i:j] = np.bincount(doc, minlength=j - i)
-                samples = signatures(doc, ids, count * known.of(ids), j - i).view(np.uint64).reshape(j - i, BANDS, ROWS)
-                h = salt.copy() * np.ones((j - i, 1), np.uint64)
-                for k in range(ROWS):
-                    h = (h ^ samples[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
-                    h ^= h >> np.uint64(31)
-                bands[i:j] = h.view(np.int64)
+                rarity = known.of(ids)
+                bands[i:j, :BANDS] = hashed(doc, ids, count * rarity, j - i)
+                given[i:j, :BANDS] = (n[i:j] > 0)[:, None]
+                some = np.bincount(doc[rarity != 1], minlength=j - i) > 0
+                if some.any():
+                    of = some[doc]
+                    at = i + np.flatnonzero(some)
+                    bands[at, BANDS:] = hashed((np.cumsum(some) - 1)[doc[of]], ids[of], count[of].astype(float), len(at))
+                    given[at, BANDS:] = bands[at, BANDS:] != bands[at, :BANDS]
             keys = np.frombuffer(b"".join(md5(t.encode()).digest() for t in own), ">i8").astype(np.int64).reshape(-1, 2)
-            offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0))))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[n > 0].ravel()))
+            offsets = np.concatenate(([0], np.cumsum(given.sum(axis=1))))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[given]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(n), lists], ["doc_id", "key_a", "key_b", "n_shingles", "bands"])
 
     return texts.mapInArrow(each, SIGNED)
@@ -205,14 +246,14 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def verified(pairs: DataFrame, own: DataFrame, known: Weights, threshold: float) -> DataFrame:
-    """The pairs (a, b) of at least the threshold. own: id and shingles.
+    """The pairs (a, b) of at least the threshold, with the IDF or without. own: id and shingles.
 
     Both joins are plain equi-joins, so that a leader with very many partners is split by AQE.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [similarity(x, y, known) >= threshold for x, y in zip(_arrays(b.column(2)), _arrays(b.column(3)), strict=True)]
+            near = [any(similarity(x, y, w) >= threshold for w in measures(known)) for x, y in zip(_arrays(b.column(2)), _arrays(b.column(3)), strict=True)]
             yield b.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
     return (
@@ -234,15 +275,19 @@ def compared(batches: Iterator[pa.RecordBatch], known: Weights, threshold: float
         own = _arrays(rows.column("shingles").combine_chunks())
         sizes = np.array([len(x) for x in own])
         every = np.concatenate(own)
-        shingle, weight = every & ID_MASK, (every >> ID_BITS) * known.of(every & ID_MASK)
+        shingle = every & ID_MASK
         begins = np.cumsum(sizes) - sizes
-        total = np.add.reduceat(weight, begins)
+        weighed = [(every >> ID_BITS) * w.of(shingle) for w in measures(known)]
+        totals = [np.add.reduceat(weight, begins) for weight in weighed]
         found: list[tuple[int, int]] = []
         for i in np.flatnonzero(rows.column("roving").to_numpy(zero_copy_only=False)):
-            mine, my_weight = shingle[begins[i] : begins[i] + sizes[i]], weight[begins[i] : begins[i] + sizes[i]]
+            mine = shingle[begins[i] : begins[i] + sizes[i]]
             at = np.minimum(np.searchsorted(mine, shingle), sizes[i] - 1)
-            both = np.add.reduceat(np.where(mine[at] == shingle, np.minimum(my_weight[at], weight), 0.0), begins)
-            near = (both >= threshold * (total + total[i] - both)) & (component != component[i])
+            shared, near = mine[at] == shingle, np.zeros(len(ids), bool)
+            for weight, total in zip(weighed, totals, strict=True):
+                both = np.add.reduceat(np.where(shared, np.minimum(weight[begins[i] + at], weight), 0.0), begins)
+                near |= both >= threshold * (total + total[i] - both)
+            near &= component != component[i]
             _, one = np.unique(component[near], return_index=True)
             found += [(int(ids[i]), int(x)) for x in ids[near][one]]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
@@ -308,13 +353,13 @@ def classify(docs: DataFrame, threshold: float = SIMILARITY, chunk: int = CHUNK,
     shingle. An empty table gives no rows; further columns are not read.
     """
     texts = _texts(docs)
-    known = weights(texts)
+    known = weights(distinct_texts(texts))
     signed = materialise(sign(texts, known), "signed")
     own = materialise(
         signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts"
     )
     entries = materialise(
-        own.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket")), "entries"
+        own.select("id", F.explode("bands").alias("bucket")), "entries"
     )
     component = connected_components(links(texts, entries, known, threshold, chunk, rovers))
     of_text = own.select("key_a", "key_b", "id").join(component, "id", "left").select(

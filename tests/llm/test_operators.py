@@ -310,6 +310,41 @@ def test_near_duplicates(spark):
         assert got == want
 
 
+def changed(text, share, rng):
+    """text with single words put in until the plain similarity falls to share."""
+    words = text.split()
+    while True:
+        put = list(words)
+        put[rng.randrange(len(put))] = f"n{rng.random()}"
+        if plain_similarity(text, " ".join(put)) < share:
+            return " ".join(words)
+        words = put
+
+
+@pytest.mark.parametrize("sizes", [(4096, 512), (7, 3)])
+def test_threshold_is_the_same_in_hot_groups(spark, sizes):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    new = lambda: " ".join(rng.choices(words, k=400))
+    near, copied = new(), new()
+    texts = [near, *[changed(near, share, rng) for share in [0.81, 0.82, 0.83, 0.85] * 20], *[copied] * 80, changed(copied, 0.81, rng)]
+    texts += [changed(near, 0.6, rng), changed(copied, 0.6, rng), *[new() for _ in range(80)]]
+    want = [0] * 81 + [81] * 81 + list(range(162, len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in near_dedup.classify(docs, chunk=sizes[0], rovers=sizes[1]).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    kept = {r.doc_id for r in near_dedup.remove(docs).collect()}
+    assert kept == set(want)
+
+
+def test_copies_count_once_in_document_frequencies(spark):
+    texts = ["one text that many rows hold as it is"] * 50 + [f"row {i} has {i} words {i} of its own" for i in range(50)]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    own = near_dedup.distinct_texts(near_dedup._texts(docs))
+    assert sorted(r.doc_id for r in own.collect()) == [0, *range(50, 100)]
+    assert not len(near_dedup.weights(own).ids)
+
+
 def test_samples_collide_as_weighted_jaccard():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 1 << 48, 600, dtype=np.uint64)
