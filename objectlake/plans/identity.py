@@ -134,3 +134,26 @@ def standing_decisions(spark, sf_dir) -> DataFrame:
 @R.add("approved_pairs", f"SELECT proposal_id FROM ({STANDING_SQL}) s WHERE decision = 'approved'")
 def approved_pairs(spark, sf_dir) -> DataFrame:
     return _standing(spark, sf_dir).filter("decision = 'approved'").select("proposal_id")
+
+
+def _standing_all(spark, sf_dir) -> DataFrame:
+    """A proposal for every customer; an event decides its user's."""
+    decisions = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("proposal_id"), F.when(F.col("event_id") % 3 == 0, "approved").when(F.col("event_id") % 3 == 1, "rejected").otherwise("pending").alias("decision"),
+        F.col("ts").alias("decided_at"), F.col("event_id").alias("decision_id"),
+    )
+    return fuse.standing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("proposal_id")), decisions)
+
+
+STANDING_ALL_SQL = """WITH n AS (SELECT user_id AS proposal_id, arg_max(CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END, (ts, event_id)) AS decision FROM events GROUP BY 1)
+SELECT c_custkey AS proposal_id, COALESCE(decision, 'pending') AS decision FROM customer LEFT JOIN n ON c_custkey = proposal_id"""
+
+
+@R.add("standing_decisions_all", STANDING_ALL_SQL)
+def standing_decisions_all(spark, sf_dir) -> DataFrame:
+    return _standing_all(spark, sf_dir)
+
+
+@R.add("approved_pairs_all", f"SELECT proposal_id FROM ({STANDING_ALL_SQL}) s WHERE decision = 'approved'")
+def approved_pairs_all(spark, sf_dir) -> DataFrame:
+    return _standing_all(spark, sf_dir).filter("decision = 'approved'").select("proposal_id")

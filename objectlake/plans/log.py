@@ -190,3 +190,44 @@ def apply_batch_state(spark, sf_dir) -> DataFrame:
 @R.add("apply_batch_status", f"WITH {WRITES_SQL} SELECT batch_id, CASE WHEN ok THEN 'applied' ELSE 'abandoned' END AS status FROM ok")
 def apply_batch_status(spark, sf_dir) -> DataFrame:
     return _apply(spark, sf_dir)[1]
+
+
+ALL_WRITES_SQL = """s AS (SELECT o_orderkey AS object_id, o_orderstatus AS value FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 5 = 0),
+w AS (SELECT o_orderkey // 4 AS batch_id, CASE WHEN o_orderkey % 7 = 0 THEN 'create' WHEN o_orderkey % 8 = 5 THEN 'delete' ELSE 'update' END AS operation, o_orderkey AS object_id,
+  CASE WHEN o_orderkey % 50 = 11 THEN 'stale' ELSE o_orderstatus END AS expected, 'N' AS value FROM orders),
+ok AS (SELECT batch_id, bool_and(CASE WHEN operation = 'create' THEN s.object_id IS NULL ELSE s.object_id IS NOT NULL AND s.value IS NOT DISTINCT FROM expected END) AS ok FROM w LEFT JOIN s USING (object_id) GROUP BY 1)"""
+
+
+def _apply_all(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every order is written; every seventh is created, and of those each fifth is there already."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    state = o.filter((k % 7 != 0) | (k % 5 == 0)).select(k.alias("object_id"), F.col("o_orderstatus").alias("value"))
+    writes = o.select(
+        F.floor(k / 4).alias("batch_id"), F.when(k % 7 == 0, "create").when(k % 8 == 5, "delete").otherwise("update").alias("operation"), k.alias("object_id"),
+        F.when(k % 50 == 11, "stale").otherwise(F.col("o_orderstatus")).alias("expected"), F.lit("N").alias("value"),
+    )
+    return edits.apply_batch(state, writes)
+
+
+@R.add("apply_all_state", f"WITH {ALL_WRITES_SQL}, d AS (SELECT object_id, w.value, operation FROM w JOIN ok USING (batch_id) WHERE ok) SELECT COALESCE(s.object_id, d.object_id) AS object_id, COALESCE(d.value, s.value) AS value FROM s FULL JOIN d ON s.object_id = d.object_id WHERE d.operation IS NULL OR d.operation <> 'delete'")
+def apply_all_state(spark, sf_dir) -> DataFrame:
+    return _apply_all(spark, sf_dir)[0]
+
+
+@R.add("apply_all_status", f"WITH {ALL_WRITES_SQL} SELECT batch_id, CASE WHEN ok THEN 'applied' ELSE 'abandoned' END AS status FROM ok")
+def apply_all_status(spark, sf_dir) -> DataFrame:
+    return _apply_all(spark, sf_dir)[1]
+
+
+@R.add("approvals_all", """WITH t AS (SELECT o_orderkey AS write_id, k AS task FROM orders, (VALUES (0), (1)) v(k)),
+e AS (SELECT event_id // 2 AS write_id, * FROM events UNION ALL SELECT user_id AS write_id, * FROM events),
+d AS (SELECT write_id, event_id % 2 AS task, arg_max(CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'approved' END, (ts, event_id)) AS decision FROM e GROUP BY 1, 2)
+SELECT write_id, CASE WHEN bool_and(COALESCE(decision = 'approved', false)) THEN 'approved' WHEN bool_or(COALESCE(decision = 'rejected', false)) THEN 'rejected' ELSE 'undecided' END AS state FROM t LEFT JOIN d USING (write_id, task) GROUP BY 1""")
+def approvals_all(spark, sf_dir) -> DataFrame:
+    """Two tasks for each order; an event decides one of a write of its own and one of its user's."""
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("write_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("task"))
+    decisions = table(spark, sf_dir, "events").select(
+        F.explode(F.array(F.floor(F.col("event_id") / 2), F.col("user_id").cast("long"))).alias("write_id"), (F.col("event_id") % 2).cast("int").alias("task"),
+        F.when(F.col("event_type") == "error", "rejected").otherwise("approved").alias("decision"), F.col("ts").alias("decided_at"), F.col("event_id").alias("decision_id"),
+    )
+    return edits.approvals(tasks, decisions)
