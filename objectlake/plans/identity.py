@@ -91,6 +91,20 @@ def merge_components(spark, sf_dir) -> DataFrame:
     return fuse.merge_approved(pairs)
 
 
+def document_links(docs: DataFrame) -> DataFrame:
+    """(a, b): every document and the first of those with its text, with its first or with its last 60 characters."""
+    text = F.coalesce("text", F.lit(""))
+    keys = docs.select("doc_id", F.posexplode(F.array(F.md5(text), F.md5(F.substring(text, 1, 60)), F.md5(F.substring(text, -60, 60)))).alias("part", "key"))
+    first = keys.groupBy("part", "key").agg(F.min("doc_id").alias("b"))
+    return keys.join(first, ["part", "key"]).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+@R.add("merge_components_documents")
+def merge_components_documents(spark, sf_dir) -> DataFrame:
+    """Components over all documents; no SQL, as a recursive query is too slow for large ones."""
+    return fuse.merge_approved(document_links(table(spark, sf_dir, "documents")))
+
+
 @R.add("match_candidates", f"""WITH {SOURCES_SQL} SELECT a.source_id AS left_id, b.source_id AS right_id, CASE WHEN a.c_nationkey = b.c_nationkey AND a.c_acctbal = b.c_acctbal THEN 'propose' ELSE 'review' END AS disposition,
 CASE WHEN a.c_nationkey = b.c_nationkey AND a.c_acctbal = b.c_acctbal THEN 0.9986 ELSE 0.4502 END AS probability
 FROM erp a JOIN crm b ON a.c_name = b.c_name WHERE a.c_nationkey = b.c_nationkey OR a.c_acctbal = b.c_acctbal""")

@@ -1,6 +1,8 @@
 """Queries that must use every row of their tables."""
 
 from objectlake import catalogue
+from objectlake.operators import fuse
+from objectlake.plans import identity
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +20,36 @@ def test_writes_and_decisions_cover_whole_tables(spark):
     decided = run("standing_decisions_all")
     assert {r.proposal_id for r in decided} == customers
     assert {r.proposal_id for r in run("approved_pairs_all")} == {r.proposal_id for r in decided if r.decision == "approved"}
+
+
+def components(rows):
+    """The smallest id of each document's component, by union-find over texts and their ends."""
+    parent, seen = {k: k for k, _ in rows}, {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, text in rows:
+        for part in (("text", text), ("head", text[:60]), ("tail", text[-60:])):
+            a, b = sorted((find(k), find(seen.setdefault(part, k))))
+            parent[b] = a
+    return {k: find(k) for k, _ in rows}
+
+
+def test_components_over_all_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    found = catalogue.QUERIES["merge_components_documents"](spark, SF).collect()
+    assert {r.id: r.component for r in found} == components(rows)
+
+
+def test_components_of_a_chain_and_a_hot_group(spark):
+    end = lambda k: f"{k:060d}"
+    rows = [(k, end(k) + end(k + 1)) for k in range(0, 1000)]  # 60 characters in common at neither end
+    rows += [(2000 + k, end(5000 + (k + 1) // 2) + f" {k} " + end(7000 + k // 2)) for k in range(600)]  # a chain by heads and tails in turn
+    rows += [(4000 + k, end(9000) + f" {k} " + end(10_000 + k)) for k in range(500)]  # one head
+    want = components(rows)
+    assert len({want[2000 + k] for k in range(600)}) == len({want[4000 + k] for k in range(500)}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component for r in fuse.merge_approved(identity.document_links(docs)).collect()} == want
