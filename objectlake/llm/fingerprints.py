@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from objectlake.session import materialise
 
-SAMPLES = 16
+SAMPLES = 64
 #: A draw's place, between LOW and LOW + SPAN, takes the high bits of a sample; the term's hash the low 32.
 LOW, SPAN = -200.0, 256.0
 #: Rows that one range of doc_id is meant to hold while each document's successor is looked up.

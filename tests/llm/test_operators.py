@@ -400,6 +400,16 @@ def test_fingerprints(documents, rows):
     assert np.mean(near) > 0.9 and abs(np.mean(error)) < 0.04
 
 
+def test_likeness_is_close_on_each_document(documents, rows):
+    found = {r.doc_id: r.near_edited for r in fingerprints.compare(documents).collect()}
+    error = []
+    for k, (doc_id, text) in enumerate(rows):
+        q = len(text) // 4
+        a, b = Counter(text.lower().split()), Counter((text[: len(text) - q] + rows[(k + 1) % len(rows)][1][:q]).lower().split())
+        error.append(found[doc_id] - sum((a & b).values()) / max(1, sum((a | b).values())))
+    assert math.sqrt(np.mean(np.square(error))) < 0.075
+
+
 # Repeated spans
 
 
