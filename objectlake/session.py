@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,12 +61,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Lets Spark remove an action's shuffle files when the action ends, and not only when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Actions inside leave no shuffle files behind. Only for actions whose result is written out and never recomputed."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    Cuts lineage, survives lost executors, and lets several later jobs read one result.
+    Cuts lineage, survives lost executors, and lets several later jobs read one result. ``discard``
+    removes the files once no later job needs them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/objectlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with swept_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            hadoop = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
