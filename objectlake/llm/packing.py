@@ -25,6 +25,7 @@ from .tokens import checksum, id_lists, tokenizer_path, word_tokenizer
 
 CAPACITY = 4096
 END_ID = 2
+TOKENIZER = "word_bpe_49k.json"
 #: A piece that fills its share of a sequence up to one part in so many is not cut.
 TIGHT = 64
 #: Pieces shorter than capacity / SMALL are not cut.
@@ -50,10 +51,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document; with_ids adds the piece's ids as array<int>."""
+    """A row for each piece of each document; with_ids adds the piece's ids as array<int>.
+
+    tokenizer: a public tokenizer's name, looked up on each executor, or a path that all of them have.
+    """
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = word_tokenizer(tokenizer), END_ID.to_bytes(4, "little")
+        known, end = word_tokenizer(tokenizer_path(tokenizer)), END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -70,7 +74,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
             if with_ids:
                 arrays, names = [*arrays, id_lists(out[5])], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
-        known.forget()
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(tokenize, PIECES + ", ids array<int>" * with_ids)
@@ -91,16 +94,18 @@ def first_fit(rest: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     return rest.assign(sequence_id=np.array(sequence, np.int64), offset=np.array(offset, np.int64))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset. Offsets are gapless from 0; no sequence exceeds the capacity.
 
     Null text is an empty document, which is its end id alone. Repeated rows are packed as often as
-    they occur. An empty table gives no rows; further columns are not read.
+    they occur and dealt out by a number of their own, so that no row repeated very often gathers in
+    one task. A document longer than the capacity gives full pieces. An empty table gives no rows;
+    further columns are not read.
     """
-    cut_up = materialise(pieces(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), capacity, with_ids), "pieces")
+    cut_up = materialise(pieces(docs, tokenizer, capacity, with_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     k = F.floor(F.lit(capacity) / F.col("length"))
     n_buckets = max(1, cut_up.count() // RANK_ROWS)
-    dealt = cut_up.withColumn("_k", k.cast("int")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_buckets)))
+    dealt = cut_up.withColumn("_k", k.cast("int")).withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(n_buckets)))
     of_class = Window.partitionBy("_k")
     before = of_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
