@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.session import materialise
+from objectlake.session import discard, materialise
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -34,6 +34,7 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
         )
         new = materialise(small, "edges")
         changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(new, ["a", "b"], "left_anti").limit(1).count()
+        discard(edges)
         edges = new
         if not changed:
             break
