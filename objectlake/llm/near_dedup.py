@@ -1,19 +1,22 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is its distinct five-word shingles, weighted by count times IDF. A sample is the shingle
-that minimises ``ln a = ln c - r (t - beta + 1)`` with ``t = floor(ln w / r + beta)`` for gamma draws
-r, c and a uniform beta of each shingle; two documents draw the same (shingle, t) with the
-probability of their weighted Jaccard similarity. BANDS bands of ROWS samples bring candidates
-together, exact weighted Jaccard similarity verifies them, and classes are connected components.
+that minimises ``ln c - r (t - beta + 1)`` with ``t = floor(ln w / r + beta)`` for gamma draws r, c and
+a uniform beta of each shingle; two documents draw the same (shingle, t) with the probability of
+their weighted Jaccard similarity. BANDS bands of ROWS samples bring candidates together, exact
+weighted Jaccard similarity verifies them, and classes are connected components.
 
-The IDF is 1 for a shingle in at most a twentieth of all distinct texts and falls with the logarithm
-of the document frequency beyond. Only such frequent shingles need counting, and no more than
-COMMON * (mean shingles of a document) * 4 / 3 of them can exist: a first pass finds in each block of
-texts what could be that frequent, a second one counts it over all texts.
+The draws come as sums of exponentials: with a, e1 and e2 exponential, ``c = a + e1``, ``v = ln(c / a)``
+is exponential too, ``r = v + e2`` and ``beta = e2 / r``. The value to minimise is then ``ln a - r t``,
+and t is 0 for weight 1: the shingle's hash itself, from which a is drawn, tells the order.
+
+The IDF is ``ln(1 + n / df) / ln(1 + RARE)`` and 1 for a shingle in fewer than one of RARE documents.
+Document frequencies are counted over all documents in a count-min sketch of fixed size: collisions
+raise the frequency of a rare shingle by about the mean shingles of a document in WIDTH.
 
 A large group of near copies makes its own shingles frequent. So that the threshold means the same for
-it, texts with frequent shingles also have bands drawn without the IDF, and a pair is near if it
-reaches the threshold with the IDF or without it. Without frequent shingles both are the same.
+it, bands are also drawn without the IDF where they differ, and a pair is near if it reaches the
+threshold with the IDF or without it.
 """
 
 from __future__ import annotations
@@ -28,256 +31,275 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objectlake.operators.components import connected_components
-from objectlake.session import materialise
+from objectlake.session import discard, materialise
 
-from .expressions import unused
-from .shingles import ID_BITS, ID_MASK, blocks, shingles
+from .rows import LOWEST, keyed
+from .shingles import blocks, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 18, 4
 #: A shingle in more than one of so many documents weighs less than 1.
-COMMON = 20
-#: Draws are taken from a table of 2 ** TABLE_BITS triples, in order of their ln a for weight 1.
-TABLE_BITS = 18
-#: Texts of a bucket that one group holds, and how many of them are compared with all of those.
-CHUNK, ROVERS = 4_096, 512
-LOWEST = -(1 << 63)
+RARE = 1_000
+#: The sketch: counters in a row, rows, and counters that are added up together.
+WIDTH, DEPTH, PART = 1 << 20, 2, 1 << 12
+#: Weights are kept in so many steps.
+STEPS = 64
+#: Shingles of a bucket's texts that one group holds, and shingles of texts that are compared with all of those.
+CHUNK, ROVERS = 1 << 20, 1 << 17
+#: What a text counts for beside its shingles.
+PER_TEXT = 64
+
+#: Stands for no shingle of weight 1.
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 @lru_cache(maxsize=1)
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c, beta and ln a for weight 1, in ascending order of ln a; a multiplier for each sample."""
+def multipliers() -> np.ndarray:
+    """An odd factor for each sample."""
     rng = np.random.Generator(np.random.PCG64(20_240_501))
-    n = 1 << TABLE_BITS
-    r, c, beta = rng.gamma(2.0, size=n), rng.gamma(2.0, size=n), rng.random(n)
-    a = np.log(c) - r * (1 - beta)
-    order = np.argsort(a, kind="stable")
-    multipliers = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return r[order], np.log(c)[order], beta[order], a[order], multipliers
+    return rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signatures(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
-    """Samples, a row for each document; rows of documents without shingles are 0.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * M1
+    return h ^ (h >> np.uint64(29))
 
-    With weight 1 the smallest ln a is the smallest place in the table, so no draw is looked at;
-    shingles of other weights are placed among them by their own ln a.
-    """
-    r, ln_c, beta, a, multipliers = draws()
-    out = np.zeros((n_docs, BANDS * ROWS), np.int64)
+
+def _begins(doc: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+
+
+def signatures(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
+    """Samples (64-bit names of shingle and t), a row for each document; rows of documents without shingles are 0."""
+    out = np.zeros((n_docs, BANDS * ROWS), np.uint64)
     if not len(doc):
         return out
-    begins = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    odd = np.flatnonzero(weight != 1)
-    ln_w = np.log(weight[odd])
-    h = ids * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(32)
-    shift = np.uint64(64 - TABLE_BITS)
-    for j, m in enumerate(multipliers):
-        place = ((h * m) >> shift).astype(np.int64)
-        value = place << 16  # the place among ln a, and t: 0 for weight 1
-        if len(odd):
-            p = place[odd]
-            t = np.clip(np.floor(ln_w / r[p] + beta[p]), -32_000, 32_000)
-            rank = np.where(t == 0, p, np.searchsorted(a, ln_c[p] - r[p] * (t - beta[p] + 1)))
-            value[odd] = (rank << 16) | (t.astype(np.int64) & 0xFFFF)
-        out[doc[begins], j] = np.minimum.reduceat(value, begins)
+    begins = _begins(doc)
+    of = doc[begins]
+    other = weight != 1
+    odd = np.flatnonzero(other)
+    h = _mixed(ids * M2)
+    if len(odd):
+        odd_begins, h_odd = _begins(doc[odd]), h[odd]
+        odd_of, odd_size = doc[odd][odd_begins], np.diff(np.append(odd_begins, len(odd)))
+        place = np.searchsorted(of, odd_of)
+        w, ln_w = weight[odd], np.log(weight[odd])
+    order = lambda x: np.log(-np.log1p(-((x >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)))
+    exponential = lambda bits: -np.log((bits.astype(float) + 0.5) / float(1 << 32))
+    for j, m in enumerate(multipliers()):
+        x = h * m
+        if not len(odd):
+            out[of, j] = np.minimum.reduceat(x, begins)
+            continue
+        x_odd = x[odd]
+        x[odd] = NONE
+        name = np.minimum.reduceat(x, begins)
+        least = np.where(name == NONE, np.inf, order(name))
+        g = _mixed(x_odd ^ h_odd)
+        ln_a = order(x_odd)
+        v = np.log1p(exponential(g & np.uint64(0xFFFFFFFF)) / np.exp(ln_a))
+        r = v + exponential(g >> np.uint64(32))
+        t = np.floor((ln_w - v) / r) + 1
+        value = ln_a - r * t
+        best = np.minimum.reduceat(value, odd_begins)
+        hit = value == np.repeat(best, odd_size)
+        names = np.zeros(len(odd_of), np.uint64)
+        names[np.repeat(np.arange(len(odd_of)), odd_size)[hit]] = x_odd[hit] + t[hit].astype(np.int64).view(np.uint64) * M2
+        won = best < least[place]
+        name[place[won]] = names[won]
+        out[of, j] = name
     return out
 
 
-def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
-    """1 up to n_docs / COMMON, then (1 + ln(n / df)) / (1 + ln COMMON)."""
-    return np.minimum(1.0, (1 + np.log(n_docs / df)) / (1 + np.log(COMMON)))
-
-
 class Weights:
-    """IDF of the frequent shingles: sorted ids and their weights."""
+    """The IDF of any shingle, from the sketch's frequencies: for each counter a weight in STEPS steps."""
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray):
-        self.ids, self.weight = ids, weight
+    def __init__(self, steps: np.ndarray | None = None):
+        self.steps = steps
 
     def of(self, ids: np.ndarray) -> np.ndarray:
-        out = np.ones(len(ids))
-        if len(self.ids):
-            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-            hit = self.ids[at] == ids
-            out[hit] = self.weight[at[hit]]
-        return out
+        if self.steps is None:
+            return np.ones(len(ids))
+        return np.maximum.reduce([row[at] for row, at in zip(self.steps, counters(ids), strict=True)]) / STEPS
 
 
 #: Counts alone, without the IDF.
-PLAIN = Weights(np.zeros(0, np.uint64), np.zeros(0))
+PLAIN = Weights()
 
 
 def measures(known: Weights) -> list[Weights]:
     """The weights by which a pair may be near."""
-    return [known, PLAIN] if len(known.ids) else [PLAIN]
+    return [PLAIN] if known.steps is None else [known, PLAIN]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
+def counters(ids: np.ndarray) -> list[np.ndarray]:
+    """The counter of each shingle in each row of the sketch."""
+    h = _mixed(ids * M1)
+    return [((h >> np.uint64(20 * k)) & np.uint64(WIDTH - 1)).astype(np.int64) for k in range(DEPTH)]
 
 
-def distinct_texts(texts: DataFrame) -> DataFrame:
-    """texts without exact copies; of equal texts the one with the smallest doc_id stays."""
-    key = F.md5("text")
-    rows = materialise(texts.groupBy(key.alias("_key"), "doc_id").agg(F.count(F.lit(1)).alias("_rows")), "keys")
-    first = rows.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
-    copies = materialise(rows.join(first, ["_key", "doc_id"], "left_anti").select("_key", "doc_id"), "copies")
-    names = texts.columns
-    out = texts.withColumn("_key", key).join(copies, ["_key", "doc_id"], "left_anti")
-    if rows.filter("_rows > 1").limit(1).count():
-        out = out.dropDuplicates(["_key", "doc_id"])
-    return out.select(*names)
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """1 up to n_docs / RARE, then ln(1 + n / df) / ln(1 + RARE); in steps, the least of them 1 / STEPS."""
+    exact = np.minimum(1.0, np.log1p(n_docs / np.maximum(df, 1)) / np.log1p(RARE))
+    return np.maximum(np.round(exact * STEPS), 1).astype(np.uint8)
 
 
-def weights(texts: DataFrame) -> Weights:
-    """Exact document frequencies, over all texts given, of the shingles that a twentieth of them or more hold."""
+def _texts(rows: DataFrame, doc: str, sub: str) -> DataFrame:
+    return rows.select(F.col(doc).alias("doc"), F.col(sub).alias("sub"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = b.column(1).to_pylist()
-            ids = np.concatenate([shingles(own[i:j])[1] for i, j in blocks(own)] or [np.zeros(0, np.uint64)])
-            some, n = np.unique(ids, return_counts=True)
-            some, n = some[n * 4 * COMMON >= len(own)], n[n * 4 * COMMON >= len(own)]
-            slack = len(own) / (4 * COMMON)  # a shingle that the block does not report is in no more documents
-            if slack < 1:  # a small block reports what two of its documents hold
-                some, n, slack = some[n > 1], n[n > 1], 1.0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(some.astype(np.int64), -1)), pa.array(np.append(n, len(own))), pa.array(np.full(len(n) + 1, slack))], ["id", "n", "slack"]
-            )
-
-    counted = materialise(texts.mapInArrow(likely, "id long, n long, slack double").groupBy("id").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack")), "likely")
-    total, all_slack = counted.filter("id = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("slack"), F.lit(0.0))).first()
-    most = F.col("n") + (F.lit(all_slack) - F.col("slack")) + 1e-6
-    asked = np.array(sorted(r["id"] for r in counted.filter((F.col("id") >= 0) & (most * COMMON >= total)).select("id").collect()), np.int64).view(np.uint64)
-    if not len(asked):
-        return Weights(asked, np.zeros(0))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(asked), np.int64)
+
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """The sketch of document frequencies over all texts, and how many texts there are.
+
+    Each task adds up its own texts; the tasks' sketches are added up part by part, each part in one
+    task that reads them one after the other. The driver gets the sum: DEPTH * WIDTH numbers.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros((DEPTH, WIDTH), np.int32), 0
         for b in batches:
-            own = b.column(1).to_pylist()
+            own = b.column(0).to_pylist()
+            total += len(own)
             for i, j in blocks(own):
-                ids = shingles(own[i:j])[1]
-                at = np.minimum(np.searchsorted(asked, ids), len(asked) - 1)
-                n += np.bincount(at[asked[at] == ids], minlength=len(asked))
-        yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(n)], ["id", "n"])
+                for row, at in zip(n, counters(shingles(own[i:j])[1]), strict=True):
+                    some, times = np.unique(at, return_counts=True)
+                    row[some] += times.astype(np.int32)
+        parts = n.reshape(-1, PART)
+        used = np.flatnonzero(parts.any(axis=1))
+        values = [total.to_bytes(8, "little"), *[parts[k].tobytes() for k in used]]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array(values, pa.binary())], ["part", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.int32 if part >= 0 else np.int64)
+                sums[part] = sums[part] + own if part in sums else own.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "n"])
+
+    rows = materialise(texts.select("text").mapInArrow(counted, "part int, n binary").repartition("part").mapInArrow(added, "part int, n binary"), "sketch")
+    out, total = np.zeros((DEPTH * WIDTH // PART, PART), np.int64), 0
+    for r in rows.collect():  # a row for each part, whatever the corpus
+        if r["part"] < 0:
+            total = int(np.frombuffer(r["n"], np.int64)[0])
+        else:
+            out[r["part"]] = np.frombuffer(r["n"], np.int64)
+    discard(rows)
+    return out.reshape(DEPTH, WIDTH), total
+
 
-    rows = texts.mapInArrow(exact, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") * COMMON > total).orderBy("id").collect()
-    return Weights(np.array([r["id"] for r in rows], np.int64).view(np.uint64), idf(np.array([r["n"] for r in rows], float), max(total, 1)))
+def weights(texts: DataFrame) -> Weights:
+    """The IDF by document frequencies over all texts given."""
+    df, total = frequencies(texts)
+    return Weights(np.stack([idf(row, total) for row in df])) if total else PLAIN
 
 
-SIGNED = "doc_id long, key_a long, key_b long, n_shingles long, bands array<long>"
+SIGNED = "doc long, sub long, key_a long, key_b long, n_shingles long, bands array<long>"
 
 
 def sign(texts: DataFrame, known: Weights) -> DataFrame:
-    """doc_id, a 128-bit key of the text, and a hash of each band of samples.
+    """doc, sub, a 128-bit key of the text, how many shingles it has, and a hash of each band of samples.
 
     A text with frequent shingles has further hashes, of those bands that differ without the IDF.
     """
 
     def hashed(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
-        samples = signatures(doc, ids, weight, n_docs).view(np.uint64).reshape(n_docs, BANDS, ROWS)
+        samples = signatures(doc, ids, weight, n_docs).reshape(n_docs, BANDS, ROWS)
         salt = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
         h = salt * np.ones((n_docs, 1), np.uint64)
         for k in range(ROWS):
-            h = (h ^ samples[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(31)
+            h = _mixed((h ^ samples[:, :, k]) * M2)
         return h.view(np.int64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column(1).to_pylist()
+            own = b.column(2).to_pylist()
             n, bands = np.zeros(len(own), np.int64), np.zeros((len(own), 2 * BANDS), np.int64)
             given = np.zeros((len(own), 2 * BANDS), bool)
             for i, j in blocks(own):
                 doc, ids, count = shingles(own[i:j])
                 n[i:j] = np.bincount(doc, minlength=j - i)
-                rarity = known.of(ids)
-                bands[i:j, :BANDS] = hashed(doc, ids, count * rarity, j - i)
+                bands[i:j, :BANDS] = hashed(doc, ids, count.astype(float), j - i)
                 given[i:j, :BANDS] = (n[i:j] > 0)[:, None]
+                rarity = known.of(ids)
                 some = np.bincount(doc[rarity != 1], minlength=j - i) > 0
                 if some.any():
                     of = some[doc]
                     at = i + np.flatnonzero(some)
-                    bands[at, BANDS:] = hashed((np.cumsum(some) - 1)[doc[of]], ids[of], count[of].astype(float), len(at))
+                    bands[at, BANDS:] = hashed((np.cumsum(some) - 1)[doc[of]], ids[of], count[of] * rarity[of], len(at))
                     given[at, BANDS:] = bands[at, BANDS:] != bands[at, :BANDS]
             keys = np.frombuffer(b"".join(md5(t.encode()).digest() for t in own), ">i8").astype(np.int64).reshape(-1, 2)
             offsets = np.concatenate(([0], np.cumsum(given.sum(axis=1))))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[given]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(n), lists], ["doc_id", "key_a", "key_b", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(n), lists], ["doc", "sub", "key_a", "key_b", "n_shingles", "bands"])
 
     return texts.mapInArrow(each, SIGNED)
 
 
 def vectors(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and shingles (count and id packed in a long) of the texts named by ids."""
+    """id, shingles in ascending order and their counts. ids: id, and the doc and sub of a row that holds the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(1).to_pylist()
-            parts, sizes = [np.zeros(0, np.uint64)], []
+            place = 0
             for i, j in blocks(own):
                 doc, found, count = shingles(own[i:j])
-                parts.append((np.minimum(count, 32_767).astype(np.uint64) << ID_BITS) | found)
-                sizes.append(np.bincount(doc, minlength=j - i))
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else [0]
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "shingles"])
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=j - i)))), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (found.view(np.int64), count.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(place, j - i), *lists], ["id", "shingles", "counts"])
+                place += j - i
 
-    chosen = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return chosen.mapInArrow(each, "id long, shingles array<long>")
+    return texts.join(ids, ["doc", "sub"]).select("id", "text").mapInArrow(each, "id long, shingles array<long>, counts array<long>")
 
 
-def similarity(a: np.ndarray, b: np.ndarray, known: Weights) -> float:
-    """Weighted Jaccard similarity of two packed shingle arrays, each by ascending id."""
-    ids_a, ids_b = a & ID_MASK, b & ID_MASK
-    w_a, w_b = (a >> ID_BITS) * known.of(ids_a), (b >> ID_BITS) * known.of(ids_b)
+def similarity(ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, known: Weights) -> float:
+    """Weighted Jaccard similarity of two texts' shingles, each by ascending id, with their counts."""
+    w_a, w_b = n_a * known.of(ids_a), n_b * known.of(ids_b)
     _, i, j = np.intersect1d(ids_a, ids_b, assume_unique=True, return_indices=True)
     both = np.minimum(w_a[i], w_b[j]).sum()
     return float(both / max(w_a.sum() + w_b.sum() - both, 1e-12))
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:
-    values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
     return [values[offsets[k] : offsets[k + 1]] for k in range(len(column))]
 
 
 def verified(pairs: DataFrame, own: DataFrame, known: Weights, threshold: float) -> DataFrame:
-    """The pairs (a, b) of at least the threshold, with the IDF or without. own: id and shingles.
+    """The pairs (a, b) of at least the threshold, with the IDF or without. own: id, shingles and counts.
 
     Both joins are plain equi-joins, so that a leader with very many partners is split by AQE.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [any(similarity(x, y, w) >= threshold for w in measures(known)) for x, y in zip(_arrays(b.column(2)), _arrays(b.column(3)), strict=True)]
+            parts = [_arrays(b.column(k)) for k in range(2, 6)]
+            near = [any(similarity(x.view(np.uint64), n, y.view(np.uint64), m, w) >= threshold for w in measures(known)[::-1]) for x, n, y, m in zip(*parts, strict=True)]
             yield b.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
     return (
-        pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-        .join(own.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
-        .select("a", "b", "of_a", "of_b").mapInArrow(each, "a long, b long")
+        pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"), F.col("counts").alias("n_a")), "a")
+        .join(own.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"), F.col("counts").alias("n_b")), "b")
+        .select("a", "b", "of_a", "n_a", "of_b", "n_b").mapInArrow(each, "a long, b long")
     )
 
 
 def compared(batches: Iterator[pa.RecordBatch], known: Weights, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links between components of a group: rows of group, id, component, roving, shingles, sorted by group.
+    """Links between components of a group: rows of group, id, component, roving, shingles, counts, sorted by group.
 
     Each roving text is held against all texts of the group at once; of the texts it is linked to, one
-    for each component is handed on. A group has CHUNK + ROVERS rows at most.
+    for each component is handed on. Groups are dealt to about CHUNK + ROVERS shingles.
     """
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
-        own = _arrays(rows.column("shingles").combine_chunks())
+        own, n = (_arrays(rows.column(c).combine_chunks()) for c in ("shingles", "counts"))
         sizes = np.array([len(x) for x in own])
-        every = np.concatenate(own)
-        shingle = every & ID_MASK
+        shingle, count = np.concatenate(own).view(np.uint64), np.concatenate(n)
         begins = np.cumsum(sizes) - sizes
-        weighed = [(every >> ID_BITS) * w.of(shingle) for w in measures(known)]
+        weighed = [count * w.of(shingle) for w in measures(known)]
         totals = [np.add.reduceat(weight, begins) for weight in weighed]
         found: list[tuple[int, int]] = []
         for i in np.flatnonzero(rows.column("roving").to_numpy(zero_copy_only=False)):
@@ -304,94 +326,96 @@ def compared(batches: Iterator[pa.RecordBatch], known: Weights, threshold: float
         yield settle(held)
 
 
-def links(texts: DataFrame, entries: DataFrame, known: Weights, threshold: float, chunk: int, rovers: int) -> DataFrame:
+def links(texts: DataFrame, known_texts: DataFrame, entries: DataFrame, known: Weights, threshold: float, chunk: int, rovers: int) -> DataFrame:
     """Verified links that connect whatever texts of a bucket are connected within it.
 
-    entries: bucket and id. First each bucket's leader, the text that shares most buckets with others,
-    is compared with the rest. Where a bucket still holds several components, each text outside the
-    largest is compared with the whole bucket: texts are dealt into chunks and the outside ones into
-    smaller chunks, every pair of chunks is one group, and no pair of texts is ever a row.
+    known_texts: id, doc and sub; entries: bucket, id and size (shingles). First each bucket's leader, the text that shares most
+    buckets with others, is compared with the rest. Where a bucket still holds several components, each
+    text outside the largest is compared with the whole bucket: texts are dealt into chunks of bounded
+    size and the outside ones into smaller chunks, every pair of chunks is one group, and no pair of
+    texts is ever a row. Sums for each bucket are written out before rows are joined to them, so that a
+    hot bucket's rows are split by AQE.
     """
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    inside = materialise(entries.join(sizes, "bucket"), "buckets")
+    sizes = materialise(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    inside = materialise(entries.join(sizes, "bucket"), "inside")
     reach = inside.groupBy("id").agg(F.sum("n").alias("reach"))
-    leaders = inside.join(reach, "id").groupBy("bucket").agg(F.max(F.struct("reach", -F.col("id"))).alias("m")).select("bucket", (-F.col("m.col2")).alias("leader"))
-    inside = materialise(inside.select("bucket", "id").join(leaders, "bucket").filter("id <> leader"), "buckets")
-    pairs = inside.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    own = materialise(vectors(texts, inside.select("id").union(inside.select("leader")).distinct()), "vectors")
+    place = F.max(F.struct("reach", -F.col("id"))).alias("m")
+    leaders = materialise(inside.select("bucket", "id").join(reach, "id").groupBy("bucket").agg(place).select("bucket", (-F.col("m.col2")).alias("leader")), "leaders")
+    led = materialise(inside.select("bucket", "id", "size").join(leaders, "bucket").filter("id <> leader"), "led")
+    discard(sizes, inside, leaders)
+    pairs = led.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+    own = materialise(vectors(texts, known_texts.join(led.select("id").union(led.select("leader")).distinct(), "id")), "vectors")
     found = materialise(verified(pairs, own, known, threshold), "links")
-    component = connected_components(found)
-    now = inside.drop("leader").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_ = parts.groupBy("bucket").agg(
+    component = materialise(connected_components(found), "component")
+    now = materialise(led.drop("leader").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("load", F.col("size") + PER_TEXT), "now")
+    parts = now.groupBy("bucket", "component").agg(F.sum("load").alias("n"))
+    open_ = materialise(parts.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("largest")
-    ).filter("parts > 1")
+    ).filter("parts > 1"), "open")
     n_chunks = F.ceil(F.col("all") / chunk).cast("int")
     n_rovers = F.ceil((F.col("all") - F.col("largest.n")) / rovers).cast("int")
     deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     dealt = materialise(now.join(open_, "bucket").select(
         "bucket", "id", "component", (F.col("component") != F.col("largest.component")).alias("roving"),
         n_chunks.alias("chunks"), n_rovers.alias("groups"), deal(n_chunks, 1).alias("chunk"), deal(n_rovers, 2).alias("rover"),
-    ), "open")
+    ), "dealt")
     steady = dealt.select("bucket", "id", "component", F.lit(False).alias("roving"), "chunk", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("rover"))
     roving = dealt.filter("roving").select("bucket", "id", "component", "roving", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rover")
     groups = (
         steady.unionByName(roving).groupBy("bucket", "chunk", "rover", "id").agg(F.first("component").alias("component"), F.max("roving").alias("roving"))
         .select(F.xxhash64("bucket", "chunk", "rover").alias("group"), "id", "component", "roving")
         .join(own, "id").repartition("group").sortWithinPartitions("group")
-        .select("group", "id", "component", "roving", "shingles")
+        .select("group", "id", "component", "roving", "shingles", "counts")
     )
     more = groups.mapInArrow(lambda b: compared(b, known, threshold), "a long, b long")
-    return found.unionByName(materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more"))
+    more = materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    discard(led, own, component, now, open_, dealt)
+    return found.unionByName(more)
 
 
-def classify(docs: DataFrame, threshold: float = SIMILARITY, chunk: int = CHUNK, rovers: int = ROVERS) -> DataFrame:
-    """doc_id, key_a, key_b (the text's key), n_shingles and class_id of every document.
-
-    class_id is the smallest doc_id of the class. Equal texts are of one class, also empty ones; null
-    text counts as empty and a null doc_id as the smallest. Texts of one to four words have one
-    shingle. An empty table gives no rows; further columns are not read.
-    """
-    texts = _texts(docs)
-    known = weights(distinct_texts(texts))
+def _classify(texts: DataFrame, threshold: float = SIMILARITY, chunk: int = CHUNK, rovers: int = ROVERS) -> DataFrame:
+    """doc and sub, n_shingles, and class (doc and sub of the row that stands for it) of every row of doc, sub and text."""
+    known = weights(texts)
     signed = materialise(sign(texts, known), "signed")
     own = materialise(
-        signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts"
+        signed.groupBy("key_a", "key_b")
+        .agg(F.min(F.struct("doc", "sub")).alias("row"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+        .withColumn("id", F.monotonically_increasing_id()), "texts"
     )
-    entries = materialise(
-        own.select("id", F.explode("bands").alias("bucket")), "entries"
-    )
-    component = connected_components(links(texts, entries, known, threshold, chunk, rovers))
-    of_text = own.select("key_a", "key_b", "id").join(component, "id", "left").select(
-        "key_a", "key_b", F.coalesce("component", "id").alias("class_id")
-    )
-    return signed.drop("bands").join(of_text, ["key_a", "key_b"])
-
+    entries = materialise(own.select("id", "size", F.explode("bands").alias("bucket")), "entries")
+    component = materialise(connected_components(links(texts, own.select("id", "row.*"), entries, known, threshold, chunk, rovers)), "component")
+    discard(entries)
+    linked = own.select("id", "row").join(component, "id")
+    tops = linked.join(linked.groupBy("component").agg(F.min("row").alias("top")), "component").select("id", "top")
+    of_text = materialise(own.select("key_a", "key_b", "id", "row").join(tops, "id", "left").select(
+        "key_a", "key_b", F.coalesce("top", "row").alias("class")
+    ), "classes")
+    discard(own, component)
+    return signed.drop("bands").join(of_text, ["key_a", "key_b"]).select("doc", "sub", "n_shingles", "class")
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_shingles and first (whether the document stands for its class) of every document."""
-    null = lambda c: F.when(F.col(c) != LOWEST, F.col(c)).alias(c)
-    return classify(docs).select(null("doc_id"), null("class_id"), "n_shingles", (F.col("doc_id") == F.col("class_id")).alias("first"))
 
+def _null(doc: Column) -> Column:
+    return F.when(doc != LOWEST, doc)
 
-def _half_key(text: Column, half: int) -> Column:
-    """key_a (half 0) or key_b (half 1) of a text, as sign gives them."""
-    return F.conv(F.substring(F.md5(text), 1 + 16 * half, 16), 16, -10).cast("long")
 
+def classify(docs: DataFrame, threshold: float = SIMILARITY, chunk: int = CHUNK, rovers: int = ROVERS) -> DataFrame:
+    """doc_id, class_id, n_shingles and first (whether the row stands for its class) of every document.
 
-def remove(docs: DataFrame) -> DataFrame:
-    """One document of each class, with its own columns; of rows with its doc_id and text one stays.
-
-    Of rows that share a doc_id every text stays if the doc_id stands for its class.
+    class_id is the smallest doc_id of the class. Equal texts are of one class, also empty ones; null
+    text counts as empty and a null doc_id as the smallest. Texts of one to four words have one
+    shingle. A very long text is hashed in one piece and counts by its shingles when groups are dealt.
+    Rows that share a doc_id each have the class of their own text. An empty table gives no rows;
+    further columns are not read.
     """
-    names = [unused(docs, n) for n in ("id", "key_a", "key_b")]
-    kept = materialise(
-        classify(docs).filter(F.col("doc_id") == F.col("class_id"))
-        .groupBy(*[F.col(c).alias(n) for c, n in zip(("doc_id", "key_a", "key_b"), names, strict=True)]).agg(F.count(F.lit(1)).alias("rows")), "kept"
+    found = _classify(_texts(*keyed(docs.select("doc_id", "text"))), threshold, chunk, rovers)
+    return found.select(
+        _null(F.col("doc")).alias("doc_id"), _null(F.col("class.doc")).alias("class_id"), "n_shingles", (F.struct("doc", "sub") == F.col("class")).alias("first")
     )
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    values = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), _half_key(text, 0), _half_key(text, 1))
-    stay = docs.withColumns(dict(zip(names, values, strict=True))).join(kept, names, "left_semi")
-    if kept.filter("rows > 1").limit(1).count():
-        stay = stay.dropDuplicates(names)
-    return stay.drop(*names)
+
+
+def remove(docs: DataFrame) -> DataFrame:
+    """One document of each class, with its own columns: the row with the smallest doc_id, one of equal rows."""
+    rows, doc, sub = keyed(docs)
+    found = _classify(_texts(rows, doc, sub)).filter(F.struct("doc", "sub") == F.col("class"))
+    kept = materialise(found.select(F.col("doc").alias(doc), F.col("sub").alias(sub)), "kept")
+    return rows.join(kept, [doc, sub], "left_semi").select(docs.columns)

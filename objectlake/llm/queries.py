@@ -42,7 +42,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+    return near_dedup.classify(_table(spark, sf_dir, "documents"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from objectlake.llm import fingerprints, near_dedup, packing, pieces, pii, quality, sharding, shingles, spans_index, toxicity, urls, weak
+from objectlake.llm.rows import keyed
 from objectlake.llm.tokens import WordTokenizer, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -305,7 +306,7 @@ def test_near_duplicates(spark):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     want = {i: find(i) for i in range(len(texts))}
-    for sizes in ((4096, 512), (3, 2)):
+    for sizes in ((near_dedup.CHUNK, near_dedup.ROVERS), (2_000, 500)):
         got = {r.doc_id: r.class_id for r in near_dedup.classify(docs, chunk=sizes[0], rovers=sizes[1]).collect()}
         assert got == want
 
@@ -321,7 +322,7 @@ def changed(text, share, rng):
         words = put
 
 
-@pytest.mark.parametrize("sizes", [(4096, 512), (7, 3)])
+@pytest.mark.parametrize("sizes", [(near_dedup.CHUNK, near_dedup.ROVERS), (5_000, 1_500)])
 def test_threshold_is_the_same_in_hot_groups(spark, sizes):
     rng = random.Random(12)
     words = [f"w{k}" for k in range(5000)]
@@ -337,14 +338,6 @@ def test_threshold_is_the_same_in_hot_groups(spark, sizes):
     assert kept == set(want)
 
 
-def test_copies_count_once_in_document_frequencies(spark):
-    texts = ["one text that many rows hold as it is"] * 50 + [f"row {i} has {i} words {i} of its own" for i in range(50)]
-    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
-    own = near_dedup.distinct_texts(near_dedup._texts(docs))
-    assert sorted(r.doc_id for r in own.collect()) == [0, *range(50, 100)]
-    assert not len(near_dedup.weights(own).ids)
-
-
 def test_samples_collide_as_weighted_jaccard():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 1 << 48, 600, dtype=np.uint64)
@@ -358,7 +351,7 @@ def test_samples_collide_as_weighted_jaccard():
 
 
 @pytest.mark.parametrize("parts", [1, 40])
-def test_frequent_shingles_are_counted_over_all_documents(spark, parts):
+def test_document_frequencies_are_counted_over_all_documents(spark, parts):
     rng = random.Random(8)
     lines = [" ".join(rng.choices("abcdefghij", k=6)) for _ in range(12)]
     texts = [" ".join(x for k, x in enumerate(lines) if rng.random() < 0.02 * k) + f" tail number {i} of these texts" for i in range(300)]
@@ -366,10 +359,54 @@ def test_frequent_shingles_are_counted_over_all_documents(spark, parts):
     df = Counter()
     for t in texts:
         df.update(shingles.shingles([t])[1].tolist())
-    want = {i: n for i, n in df.items() if n * near_dedup.COMMON > len(texts)}
-    known = near_dedup.weights(near_dedup._texts(docs))
-    assert want and known.ids.tolist() == sorted(want)
-    assert known.weight.tolist() == pytest.approx(near_dedup.idf(np.array([want[i] for i in sorted(want)], float), 300).tolist())
+    known = near_dedup.weights(near_dedup._texts(*keyed(docs)))
+    ids = np.array(sorted(df), np.uint64)
+    want = near_dedup.idf(np.array([df[i] for i in ids.tolist()]), 300) / near_dedup.STEPS
+    assert (known.of(ids) <= want).all() and (known.of(ids) == want).mean() > 0.99  # a collision only lowers a weight
+    assert len(set(want.tolist())) > 5
+
+
+def test_similarity_with_idf_decides(spark):
+    """Pairs of equal plain similarity, on either side of the threshold by what their differing shingles weigh."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(4000)]
+    new = lambda n: " ".join(rng.choices(words, k=n))
+    lines, tails = [new(25) for _ in range(2)], [new(25) for _ in range(2)]
+    body, other = new(90), new(90)
+    texts = [f"{body} {lines[0]}", f"{body} {lines[1]}", f"{other} {tails[0]}", f"{other} {tails[1]}"]
+    texts += [f"{new(60)} {lines[k % 2]}" for k in range(300)] + [new(60) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = near_dedup.weights(near_dedup._texts(*keyed(docs)))
+
+    def weighted(a, b):
+        (_, x, n), (_, y, m) = shingles.shingles([a]), shingles.shingles([b])
+        return near_dedup.similarity(x, n, y, m, known)
+
+    assert plain_similarity(texts[0], texts[1]) < 0.8 and plain_similarity(texts[2], texts[3]) < 0.8
+    assert weighted(texts[0], texts[1]) >= 0.8 > weighted(texts[2], texts[3])
+    got = {r.doc_id: r.class_id for r in near_dedup.classify(docs).collect()}
+    assert got[1] == 0 and got[3] == 3
+
+
+def test_counts_are_not_capped(spark):
+    docs = spark.createDataFrame([(0, "a " * 40_000), (1, "a " * 60_000), (2, "a " * 60_001), (3, "b " * 50_000)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classify(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
+def test_long_unrelated_texts_share_no_samples():
+    rng = np.random.default_rng(3)
+    ids = [np.sort(rng.integers(0, 1 << 48, 400_000, dtype=np.uint64)) for _ in range(4)]
+    for weight in (np.ones(400_000), rng.integers(1, 4, 400_000) * 0.5):
+        s = [near_dedup.signatures(np.zeros(len(x), np.int64), x, weight, 1)[0] for x in ids]
+        assert all((s[i] == s[j]).sum() <= 1 for i in range(4) for j in range(i))
+
+
+def test_rows_that_share_an_id_keep_their_own_class(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join(rng.choices("abcdefghijklmnop", k=80)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (5, a + " end"), (5, b), (5, b), (None, c), (None, a), (7, c)], "doc_id long, text string")
+    kept = sorted(((r.doc_id or -1), r.text) for r in near_dedup.remove(docs).collect())
+    assert kept == sorted([(-1, c), (-1, a), (5, b)])
 
 
 def test_shingles_are_whole_texts():

@@ -29,7 +29,7 @@ OPERATORS = {
     "quality": lambda d, y: quality.judge(d),
     "sharding": lambda d, y: sharding.shard_documents(d),
     "pieces": lambda d, y: pieces.round_trip(pieces.encode(d, chunk=16_384)),
-    "near": lambda d, y: near_dedup.classes(d),
+    "near": lambda d, y: near_dedup.classify(d),
     "spans": lambda d, y: spans_index.removed_spans(d),
 }
 
@@ -41,8 +41,16 @@ def test_a_row_for_each_document(name, docs, labels):
     assert OPERATORS[name](docs.limit(0), labels.limit(0)).count() == 0
 
 
-def test_fingerprints_have_a_row_for_each_id(docs):
-    assert fingerprints.compare(docs).count() == docs.select("doc_id").distinct().count()
+def test_fingerprints_have_a_row_for_each_row(docs):
+    found = fingerprints.compare(docs).collect()
+    of = {}
+    for r in docs.collect():
+        of.setdefault(r.doc_id, []).append(len(r.text or ""))
+    assert len(found) == docs.count()
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, []).append(r.n_chars)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in of.items()}
     assert fingerprints.compare(docs.limit(0)).count() == 0
     one = fingerprints.compare(docs.filter("doc_id = 5")).first()
     assert one.near_next == 1.0
