@@ -5,6 +5,10 @@ the term that minimises ``ln c - r (t - beta + 1)`` where ``t = floor(ln w / r +
 Gamma(2, 1) and beta is uniform, all drawn from hashes of the term and j. Two texts share sample j
 with the probability of their generalised Jaccard similarity (sum of smaller weights by sum of larger
 ones), so the share of equal samples estimates it.
+
+The draws come as sums of exponentials: with a, e1 and e2 exponential, ``c = a + e1``, ``v = ln(c / a)``
+is exponential too, ``r = v + e2`` and ``beta = e2 / r``. Then the value to minimise is ``ln a - r t``,
+and ``t = 0`` for weight 1, so a term that occurs once needs one hash and no logarithm.
 """
 
 from __future__ import annotations
@@ -12,104 +16,111 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlake.session import materialise
+from objectlake.session import discard, materialise
+
+from .rows import LOWEST, keyed
 
 SAMPLES = 64
-#: A draw's place, between LOW and LOW + SPAN, takes the high bits of a sample; the term's hash the low 32.
-LOW, SPAN = -200.0, 256.0
-#: Rows that one range of doc_id is meant to hold while each document's successor is looked up.
+#: Just below 2 ** 63, so that every share of it is a long.
+WHOLE = 9.22337203685477e18
+#: Rows that one range of documents is meant to hold while each document's successor is looked up.
 RANGE_ROWS = 20_000
-LOWEST = -(1 << 63)
+ROW = ["doc", "sub"]
 
 
-def draws(term: Column, ln_w: Column) -> Column:
-    """For each sample a long that orders as the term's draw and names the term and t in its low bits.
+def draws() -> Column:
+    """A long for each sample of _term that occurs _n times; the smallest of a text's terms is its sample.
 
-    Two 64-bit hashes of the term and j give four uniforms of 32 bits, whose logarithms add up to r and c,
-    and the bits of both give beta.
+    The long names term and t: for t = 0 it is the term's hash as it stands, else
+    ``1 - exp(-a exp(-r t))`` on the same scale. Logarithms are only taken for _n > 1, whose own is _ln.
     """
 
-    def sample(j: int) -> Column:
-        g, h = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
-        uniform = lambda bits: (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / float(1 << 32)
-        high = lambda bits: F.shiftrightunsigned(bits, 32)
-        r, ln_c = -F.ln(uniform(g) * uniform(high(g))), F.ln(-F.ln(uniform(h) * uniform(high(h))))
-        beta = uniform(g.bitwiseXOR(high(h)))
-        t = F.floor(ln_w / r + beta)
-        at = F.least(F.greatest((ln_c - r * (t - beta + 1) - LOW) / SPAN, F.lit(0.0)), F.lit(1.0))
-        name = F.shiftrightunsigned(g.bitwiseXOR(h), 16).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.shiftleft((at * float((1 << 31) - 1)).cast("long"), 32).bitwiseOR(name)
+    def sample(j: int) -> str:
+        h, g = f"xxhash64(_term, {j})", f"xxhash64(_term, {SAMPLES + j})"
+        a = f"-ln(({(1 << 52) - 1} - shiftrightunsigned({h}, 12) + 0.5D) / {float(1 << 52):.1f}D)"
+        e1, e2 = (f"-ln(({bits} + 0.5D) / {float(1 << 32):.1f}D)" for bits in (f"({g} & 4294967295)", f"shiftrightunsigned({g}, 32)"))
+        v = f"ln(({e1}) / ({a}) + 1)"
+        r = f"({v} + ({e2}))"
+        moved = f"({a}) * exp(-{r} * (floor((_ln - {v}) / {r}) + 1))"
+        first = f"shiftrightunsigned({h}, 1)"
+        return f"CASE WHEN _n = 1 THEN {first} WHEN (_n - 1) * ({a}) < {e1} THEN {first} ELSE CAST(-expm1(-({moved})) * {WHOLE}D AS BIGINT) END"
 
-    return F.array(*[sample(j) for j in range(SAMPLES)])
+    return F.expr(f"array({', '.join(map(sample, range(SAMPLES)))})")
 
 
 def signatures(parts: DataFrame) -> DataFrame:
-    """doc_id with the samples of its own and of its edited text, null for a text without words.
+    """doc, sub and the samples (arrays of int) of the own and of the edited text, null for a text without words.
 
-    parts: doc_id and words, three arrays: what both texts share, what the own text alone has, and what
-    the edited one alone has. A term that weighs as much in both texts is drawn once. Rows are grouped
-    where they lie if parts is already partitioned by doc_id.
+    parts: doc, sub and words, three arrays: what both texts share, what the own text alone has, and
+    what the edited one alone has. A term that weighs as much in both texts is drawn once. Rows are
+    grouped where they lie if parts is already partitioned by doc and sub.
     """
-    words = parts.select("doc_id", F.posexplode("words").alias("_part", "_words")).select("doc_id", "_part", F.explode("_words").alias("_word"))
+    words = parts.select(*ROW, F.posexplode("words").alias("_part", "_words")).select(*ROW, "_part", F.explode("_words").alias("_word"))
     of = lambda k: F.count(F.when(F.col("_part") == k, 1))
     counted = (
-        words.filter("_word <> ''").groupBy("doc_id", F.xxhash64(F.lower("_word")).alias("_term"))
+        words.filter("_word <> ''").groupBy(*ROW, F.xxhash64(F.lower("_word")).alias("_term"))
         .agg(of(0).alias("_both"), of(1).alias("_own"), of(2).alias("_edited"))
-        .select("doc_id", "_term", (F.col("_both") + F.col("_own")).alias("_own"), (F.col("_both") + F.col("_edited")).alias("_edited"))
+        .select(*ROW, "_term", (F.col("_both") + F.col("_own")).alias("_own"), (F.col("_both") + F.col("_edited")).alias("_edited"))
     )
     one = lambda n, own, edited: F.struct(n.alias("n"), F.lit(own).alias("own"), F.lit(edited).alias("edited"))
-    weighed = counted.select("doc_id", "_term", F.explode(
+    weighed = counted.select(*ROW, "_term", F.explode(
         F.when(F.col("_own") == F.col("_edited"), F.array(one(F.col("_own"), True, True)))
         .otherwise(F.array(one(F.col("_own"), True, False), one(F.col("_edited"), False, True)))
-    ).alias("_w")).filter("_w.n > 0").select("doc_id", "_term", F.ln(F.col("_w.n").cast("double")).alias("_ln_w"), "_w.own", "_w.edited")
+    ).alias("_w")).filter("_w.n > 0").select(*ROW, "_term", F.col("_w.n").cast("double").alias("_n"), "_w.own", "_w.edited")
     # The lambda keeps this projection out of whole-stage code: its many draws in one method would be
     # too long for the JIT, while a plain projection splits them into short methods.
-    drawn = weighed.select(
-        "doc_id", F.transform(F.array("own"), lambda x: x)[0].alias("own"), "edited", draws(F.col("_term"), F.col("_ln_w")).alias("_draws")
+    drawn = weighed.withColumn("_ln", F.ln("_n")).select(
+        *ROW, F.transform(F.array("own"), lambda x: x)[0].alias("own"), "edited", draws().alias("_draws")
     )
-    least = drawn.groupBy("doc_id").agg(
-        *[F.min(F.when(F.col(side), F.col("_draws")[j])).alias(f"_{side}_{j}") for side in ("own", "edited") for j in range(SAMPLES)]
+    least = drawn.groupBy(*ROW).agg(
+        *[F.expr(f"min(CASE WHEN {side} THEN _draws[{j}] END) AS _{side}_{j}") for side in ("own", "edited") for j in range(SAMPLES)]
     )
-    low = lambda side, j: F.shiftright(F.shiftleft(f"_{side}_{j}", 32), 32).cast("int")
-    return least.select("doc_id", *[
-        F.when(F.col(f"_{side}_0").isNotNull(), F.array(*[low(side, j) for j in range(SAMPLES)])).alias(side) for side in ("own", "edited")
+    folded = lambda c: f"CAST(shiftright(shiftleft({c} ^ shiftright({c}, 32), 32), 32) AS INT)"
+    return least.select(*ROW, *[
+        F.expr(f"CASE WHEN _{side}_0 IS NOT NULL THEN array({', '.join(folded(f'_{side}_{j}') for j in range(SAMPLES))}) END AS {side}") for side in ("own", "edited")
     ])
 
 
 def successors(ids: DataFrame, n_rows: int) -> DataFrame:
-    """Rows of distinct doc_id and n_chars, with next_id: the next greater doc_id, the smallest after the greatest.
+    """Rows of doc, sub and n_chars, with next_doc and next_sub: the next row by doc and sub, the first after the last.
 
-    doc_ids are ranged, so that each task orders one range; only each range's smallest id is put in line.
+    Rows are ranged, so that each task orders one range; only each range's first row is put in line.
     """
     n = max(1, n_rows // RANGE_ROWS)
-    ranged = materialise(ids.repartitionByRange(n, "doc_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    ranged = materialise(ids.repartitionByRange(n, *ROW).withColumn("_range", F.spark_partition_id()), "ranges")
     line = Window.orderBy("_range")  # a row for each range
-    firsts = ranged.groupBy("_range").agg(F.min("doc_id").alias("_first"))
+    firsts = ranged.groupBy("_range").agg(F.min(F.struct(*ROW)).alias("_first"))
     after = firsts.select("_range", F.coalesce(F.lead("_first").over(line), F.min("_first").over(Window.partitionBy())).alias("_after"))
-    own = Window.partitionBy("_range").orderBy("doc_id")
-    return ranged.join(after, "_range").select("doc_id", "n_chars", F.coalesce(F.lead("doc_id").over(own), F.col("_after")).alias("next_id"))
+    own = Window.partitionBy("_range").orderBy(*ROW)
+    return ranged.join(after, "_range").withColumn("_next", F.coalesce(F.lead(F.struct(*ROW)).over(own), F.col("_after"))).select(
+        *ROW, "n_chars", F.col("_next.doc").alias("next_doc"), F.col("_next.sub").alias("next_sub")
+    )
 
 
 def edited_texts(texts: DataFrame, follow: DataFrame) -> DataFrame:
-    """doc_id, next_id, text, cut and _head: text up to cut and then _head is the edited text.
+    """doc, sub, next_doc, next_sub, text, cut and _head: text up to cut and then _head is the edited text.
 
-    doc_id is distinct. Both joins read the same exchange of the texts.
+    Both joins read the same exchange of the texts.
     """
-    asked = follow.select(F.col("doc_id").alias("_of"), F.col("next_id").alias("doc_id"), F.floor(F.col("n_chars") / 4).cast("int").alias("_q"))
-    heads = texts.join(asked, "doc_id").select(F.col("_of").alias("doc_id"), F.substring("text", F.lit(1), F.col("_q")).alias("_head"), F.col("doc_id").alias("next_id"))
+    asked = follow.select(
+        F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), F.col("next_doc").alias("doc"), F.col("next_sub").alias("sub"), F.floor(F.col("n_chars") / 4).cast("int").alias("_q")
+    )
+    heads = texts.join(asked, ROW).select(
+        F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.substring("text", F.lit(1), F.col("_q")).alias("_head"), F.col("doc").alias("next_doc"), F.col("sub").alias("next_sub")
+    )
     n = F.length("text")
-    return texts.join(heads, "doc_id").select("doc_id", "next_id", "text", (n - F.floor(n / 4)).cast("int").alias("cut"), "_head")
+    return texts.join(heads, ROW).select(*ROW, "next_doc", "next_sub", "text", (n - F.floor(n / 4)).cast("int").alias("cut"), "_head")
 
 
 def word_parts(cut: DataFrame) -> DataFrame:
-    """doc_id and words: those before the cut, those after it, those of the head put in instead.
+    """doc, sub and words: those before the cut, those after it, those of the head put in instead.
 
     A word that the cut goes through belongs to the last two, as far as it stands before the cut.
     """
     split = lambda text: F.split(text, "[ \\t-\\r]+")
-    kept = cut.select("doc_id", "text", "cut", "_head", split(F.substring("text", F.lit(1), F.col("cut"))).alias("_kept"))
+    kept = cut.select(*ROW, "text", "cut", "_head", split(F.substring("text", F.lit(1), F.col("cut"))).alias("_kept"))
     broken = F.element_at("_kept", -1)
-    return kept.select("doc_id", F.array(
+    return kept.select(*ROW, F.array(
         F.slice("_kept", F.lit(1), F.size("_kept") - 1),
         split(F.concat(broken, F.substr("text", F.col("cut") + 1))), split(F.concat(broken, F.col("_head"))),
     ).alias("words"))
@@ -127,34 +138,33 @@ def as_string(samples: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, n_chars, edited_sha256, own and edited samples of distinct doc_ids, written out once."""
-    texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    ids = materialise(texts.groupBy("doc_id").agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("rows")), "ids")
-    if ids.filter("rows > 1").limit(1).count():
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-        ids = materialise(texts.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("rows")), "ids")
-    follow = materialise(successors(ids.drop("rows"), ids.count()), "successors")
+    """doc, sub, next_doc, next_sub, n_chars, edited_sha256, own and edited samples of every row, written out once."""
+    rows, doc, sub = keyed(docs.select("doc_id", "text"))
+    texts = rows.select(F.col(doc).alias("doc"), F.col(sub).alias("sub"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ids = materialise(texts.select(*ROW, F.length("text").cast("long").alias("n_chars")), "ids")
+    follow = materialise(successors(ids, ids.count()), "successors")
     cut = edited_texts(texts, follow)
     digests = cut.select(
-        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"),
+        *ROW, "next_doc", "next_sub", F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.concat(F.substring("text", F.lit(1), F.col("cut")), F.col("_head")), 256).alias("edited_sha256"),
     )
-    return materialise(digests.join(signatures(word_parts(cut)), "doc_id", "left"), "fingerprints")
+    out = materialise(digests.join(signatures(word_parts(cut)), ROW, "left"), "fingerprints")
+    discard(ids, follow)
+    return out
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """The fingerprint of every document and of its edited text, and how alike they and the next one's are.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null text
-    is empty; a null doc_id comes first. Rows that share a doc_id are one document, which the smallest
-    of their texts stands for, and give one row. An empty table gives no rows; further columns are not read.
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row for
+    every row of docs. Null text is empty; a null doc_id comes first. Rows that share a doc_id follow
+    each other in the order of a hash of their texts. A very long text is split into words in one task and
+    grouped like any other. An empty table gives no rows; further columns are not read.
     """
     found = fingerprints(docs)
-    after = found.select(F.col("doc_id").alias("next_id"), F.col("own").alias("of_next"))
-    return found.join(after, "next_id").select(
-        F.when(F.col("doc_id") != LOWEST, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256",
+    after = found.select(F.col("doc").alias("next_doc"), F.col("sub").alias("next_sub"), F.col("own").alias("of_next"))
+    return found.join(after, ["next_doc", "next_sub"]).select(
+        F.when(F.col("doc") != LOWEST, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256",
         as_string(F.col("own")).alias("fingerprint"), as_string(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("of_next")).alias("near_next"),
     )
