@@ -1,18 +1,21 @@
-"""Exact removal of repeated byte strings by a logarithmic family of sparse suffix arrays.
-
-A byte is removed if it lies in a LENGTH-byte string that also starts earlier (in a document with a
-smaller doc_id, or earlier in the same document). Every LENGTH-byte window has an anchor: the
-GRAM-byte string in it whose hash is smallest, leftmost if several are. Equal windows have equal
-anchors at equal distances, so only suffixes that start at anchors are indexed, about one byte in 43.
-A run is the stretch of consecutive windows that share an anchor.
-
-The index is a family of levels. A level holds, sorted by anchor (key) and then by the bytes around it
-(context), the first occurrence of each context. A new batch of documents is turned into such a sorted
-array and merge-scanned with the existing levels: a run whose context occurs earlier is repeated as a
-whole, and runs that share a key but not the context are compared window by window. The batch then
-becomes a level, and levels of equal size merge, so a run is rewritten log2(batches) times at most.
-
-Keys, contexts and windows are compared by 64-bit hashes of mixed 16-byte strings.
+"""Removal of repeated byte strings by a logarithmic family of sparse suffix arrays.
+
+A byte is removed if it lies in a LENGTH-byte string that also starts earlier (in an earlier document,
+or earlier in the same document). Every LENGTH-byte window has an anchor: the GRAM-byte string in it
+whose hash is smallest, leftmost if several are. Equal windows have equal anchors at equal distances,
+so only suffixes that start at anchors are indexed, about one in 43 bytes. A run is the stretch of
+consecutive windows that share an anchor.
+
+A suffix array holds a batch's suffixes in the order of their first GRAM bytes, which are kept as they
+are (head_a, head_b: eight bytes each, in the order of the bytes), and among equal ones in the order of
+a hash of all bytes of the run (context). The index is a family of levels, each such an array of the
+first occurrence of every context. A new batch's array is merge-scanned with all levels: a run whose
+head and context occur earlier is repeated as a whole, and runs that share the head but not the context
+are compared window by window, on their bytes. The batch then becomes a level, and levels of equal size
+merge, so a run is rewritten log2(batches) times at most.
+
+Runs count as equal by GRAM bytes and a 64-bit hash of the rest; windows of different runs are held
+against each other byte by byte, but those of hot heads by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,22 +27,27 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlake.session import materialise
+from objectlake.session import discard, materialise
 
-from .expressions import unused
+from .expressions import thinned, unused
+from .rows import keyed
 
 LENGTH, GRAM = 100, 16
 GRAMS = LENGTH - GRAM + 1
 #: Bytes that are hashed at once; longer documents are read in overlapping stretches.
 STRETCH = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)
-#: Batches that a whole table is dealt into by doc_id.
-BATCHES = 2
-#: Runs of one key that a task compares by itself; beyond it, windows are dealt out by their own hash.
-HOT_RUNS = 20_000
+#: Batches that a whole table is dealt into, in the order of its rows.
+BATCHES = 4
+#: A head is hot if more than one of so many runs of the sampled documents has it.
+HOT_SHARE = 5_000
+#: Documents that hot heads are looked for in, about; hot heads that are told apart, at most. Both bear on the layout alone.
+HOT_DOCS, HOT_HEADS = 5_000, 1_000
+#: Runs whose windows are held against each other at once.
+BLOCK_RUNS = 20_000
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 BASE = 0xD6E8FEB86659FD93
@@ -85,14 +93,23 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return ((np.minimum(v[: len(v) - rest], v[rest:]) if rest else v) & PLACE).astype(np.int64)
 
 
-def runs(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
-    """key, context, doc, first and last window of every run of some documents (in bytes, inclusive)."""
+def heads(data: bytes) -> np.ndarray:
+    """The eight bytes at each place as a long that sorts as they do."""
+    word = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,)).astype(np.uint64)
+    return (word ^ np.uint64(1 << 63)).view(np.int64)
+
+
+RUN = 6  # columns of runs
+
+
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """head_a, head_b, context, document (place in texts), first and last window of every run (in bytes, inclusive)."""
     found: list[tuple[np.ndarray, ...]] = []
 
     def flush(some: list[tuple[int, int, bytes]]) -> None:
         data = b"".join(b for _, _, b in some)
         h = gram_hashes(data)
-        at, total = anchors(h), sums(h)
+        at, total, word = anchors(h), sums(h), heads(data)
         sizes = np.array([len(b) for _, _, b in some])
         starts = np.cumsum(sizes) - sizes
         window = np.concatenate([np.arange(s, s + n - LENGTH + 1) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
@@ -103,10 +120,10 @@ def runs(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
         context ^= ((p - s).astype(np.uint64) << np.uint64(8)) + (e - s).astype(np.uint64) * M3
         of = np.searchsorted(starts, s, "right") - 1
         shift = np.array([o for _, o, _ in some])[of] - starts[of]
-        found.append((h[p].view(np.int64), context.view(np.int64), np.array([d for d, _, _ in some], np.int64)[of], s + shift, e + shift))
+        found.append((word[p], word[p + 8], context.view(np.int64), np.array([d for d, _, _ in some], np.int64)[of], s + shift, e + shift))
 
     some, n = [], 0
-    for doc, data in texts:
+    for doc, data in enumerate(texts):
         for o in range(0, len(data) - LENGTH + 1, STRETCH):
             part = data[o : o + STRETCH + LENGTH - 1]
             if n + len(part) > STRETCH + LENGTH and some:
@@ -117,39 +134,60 @@ def runs(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
     if some:
         flush(some)
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(RUN))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-ROW = ["key", "context", "doc", "s", "e", "state"]
-#: state: of an older level, of this batch, or settled (repeated within what one task has read).
-OLD, NEW, SETTLED = 0, 1, 2
-ROWS = "key long, context long, doc long, s int, e int, state byte"
+#: doc and sub name a row of the table; e - s is below LENGTH, so that place is s and e in one long, in the order of s.
+ROW = ["head_a", "head_b", "context", "doc", "sub", "place", "state"]
+ROWS = "head_a long, head_b long, context long, doc long, sub long, place long, state byte"
+TYPES = [*[pa.int64()] * 6, pa.int8()]
+#: state: of an older level, of this batch, or settled (repeated within what one task has read); HOT is added for hot heads.
+OLD, NEW, SETTLED, HOT = 0, 1, 2, 4
+
+
+def place_of(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return (s << 8) | (e - s)
+
+
+def span_of(place: Column) -> tuple[Column, Column]:
+    """Start and end (exclusive, of the last window) of a run."""
+    start = F.shiftright(place, 8)
+    return start.cast("int"), (start + place.bitwiseAND(F.lit(255)) + LENGTH).cast("int")
 
 
 def _batch(columns: list[np.ndarray], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8()]
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where any of some sorted columns changes."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
-def suffix_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of documents. Of a context's runs in one Arrow batch only the first goes on under its key;
-    the others are settled, and dealt out by another number, so a hot key stays small."""
+def suffix_array(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of documents (doc, sub, text). Of a context's runs in one Arrow batch only the first is indexed;
+    the others are settled, and dealt out by other numbers, so that a hot head stays small."""
     for b in batches:
-        texts = [(d, t.encode()) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(t) * 4 >= LENGTH]
-        key, context, doc, s, e = runs(texts)
-        order = np.lexsort((s, doc, context, key))
-        key, context, doc, s, e = (c[order] for c in (key, context, doc, s, e))
-        if not len(key):
+        data = [t.encode() for t in b.column(2).to_pylist()]
+        long_ = [k for k, t in enumerate(data) if len(t) >= LENGTH]
+        head_a, head_b, context, of, s, e = runs([data[k] for k in long_])
+        if not len(s):
             continue
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])))
+        row = np.array(long_)[of]
+        doc, sub, place = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], place_of(s, e)
+        order = np.lexsort((place, sub, doc, context, head_b, head_a))
+        head_a, head_b, context, doc, sub, place = columns = [c[order] for c in (head_a, head_b, context, doc, sub, place)]
+        fresh = _fresh(head_a, head_b, context)
         lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        keep = fresh | (doc != doc[lead]) | (s != s[lead])
-        state = np.where(fresh, NEW, SETTLED)
-        key = np.where(fresh, key, (doc.view(np.uint64) * M1 + s.view(np.uint64) * M2).view(np.int64))
-        yield _batch([c[keep] for c in (key, context, doc, s, e, state)], ROW, TYPES)
+        keep = fresh | (doc != doc[lead]) | (sub != sub[lead]) | (place >> 8 != place[lead] >> 8)
+        state = np.where(fresh, NEW + HOT * np.isin(head_a ^ head_b, hot), SETTLED)
+        columns[0] = np.where(fresh, head_a, (doc.view(np.uint64) * M1 + place.view(np.uint64) * M2).view(np.int64))
+        yield _batch([c[keep] for c in (*columns, state)], ROW, TYPES)
 
 
 #: What a merge-scan gives: runs repeated as a whole, runs to be compared, and first occurrences.
@@ -157,95 +195,134 @@ WHOLE, COMPARE, FIRST = 0, 1, 2
 
 
 def merge_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by key, context, state, doc, s. Holds one batch; of the key it is in, one row."""
+    """Reads rows sorted as _sorted does. Holds one batch; of the head it is in, one row.
+
+    Runs of a hot head are spread over tasks by context, so each is compared, whatever others there are.
+    """
     carried: list[np.ndarray] | None = None
     compared = False  # whether the carried row went out for comparison
     for b in batches:
-        new = [b.column(k).to_numpy() for k in range(6)]
-        settled = new[5] == SETTLED
+        new = [b.column(k).to_numpy() for k in range(len(ROW))]
+        settled = new[-1] == SETTLED
         if settled.any():
-            yield _batch([c[settled] for c in new[:5]] + [np.full(settled.sum(), WHOLE)], ROW, TYPES)
+            yield _batch([c[settled] for c in new[:-1]] + [np.full(settled.sum(), WHOLE)], ROW, TYPES)
             new = [c[~settled] for c in new]
         old = 0 if carried is None else 1
-        key, context, doc, s, e, state = rows = new if carried is None else [np.concatenate(p) for p in zip(carried, new, strict=True)]
-        if not len(key):
+        rows = new if carried is None else [np.concatenate(p) for p in zip(carried, new, strict=True)]
+        head_a, head_b, context, doc, sub, place, state = rows
+        if not len(state):
             continue
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        first = new_key | np.concatenate(([True], context[1:] != context[:-1]))
+        hot, state = state & HOT > 0, state & ~HOT
+        new_head = _fresh(head_a, head_b)
+        first = new_head | _fresh(context)
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        group = np.cumsum(new_key) - 1
+        group = np.cumsum(new_head) - 1
         n_contexts = np.bincount(group, first)
         n_new = np.bincount(group, first & (state == NEW))
         if old and compared:
             n_contexts[0] += 1
         n_new[0] += old
-        n_new[-1] += 1  # the key may go on in the next batch
-        out = np.where(first & (n_contexts[group] > 1) & (n_new[group] > 0), COMPARE, -1)
-        out = np.where(~first & (state == NEW) & ((doc != doc[lead]) | (s != s[lead])), WHOLE, out)
+        n_new[-1] += 1  # the head may go on in the next batch
+        out = np.where(first & ((n_contexts[group] > 1) & (n_new[group] > 0) | hot), COMPARE, -1)
+        again = (doc != doc[lead]) | (sub != sub[lead]) | (place >> 8 != place[lead] >> 8)
+        out = np.where(~first & (state == NEW) & again, WHOLE, out)
         if old and compared:
             out[0] = -1
         going = out >= 0
-        yield _batch([c[going] for c in rows[:5]] + [out[going]], ROW, TYPES)
+        yield _batch([c[going] for c in rows[:-1]] + [out[going]], ROW, TYPES)
         fresh = first.copy()
         fresh[:old] = False
-        yield _batch([c[fresh] for c in rows[:5]] + [np.full(fresh.sum(), FIRST)], ROW, TYPES)
+        yield _batch([c[fresh] for c in rows[:-1]] + [FIRST + rows[-1][fresh] // HOT * HOT], ROW, TYPES)
         at = lead[-1]
         compared = bool(out[at] == COMPARE or (old and compared and at == 0))
         carried = [c[at : at + 1] for c in rows]
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "context", "state", "doc", "s")
+    """A suffix array's rows, dealt by head (hot ones by context too) and in the order of the suffixes."""
+    own = F.when(F.col("state") >= HOT, F.col("context")).otherwise(0)
+    return rows.repartition(F.xxhash64("head_a", "head_b", own)).sortWithinPartitions("head_a", "head_b", "context", "state", "doc", "sub", "place")
+
+
+def hot_heads(texts: DataFrame) -> np.ndarray:
+    """Heads (their two halves in one number) of more than one in HOT_SHARE runs of a sample of documents."""
+    n = texts.count()
+    sample = thinned(texts, F.xxhash64("doc", "sub"), n, HOT_DOCS)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = runs([t.encode() for t in b.column(0).to_pylist() if len(t) * 4 >= LENGTH])
+            some, n = np.unique(found[0] ^ found[1], return_counts=True)
+            yield _batch([some, n], ["head", "n"], [pa.int64(), pa.int64()])
+
+    counted = materialise(sample.select("text").mapInArrow(each, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")), "heads")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = counted.filter((F.col("n") * HOT_SHARE > total) & (F.col("n") >= 20)).orderBy(F.desc("n"), "head").limit(HOT_HEADS).collect()
+    discard(counted)
+    return np.array(sorted(r["head"] for r in top), np.int64)
 
 
 class SuffixFamily:
-    """Levels of sparse suffix arrays, largest first. Batches must come in ascending order of doc_id."""
+    """Levels of sparse suffix arrays, largest first. Batches must come in the order of their rows.
+
+    hot: heads whose runs are spread over tasks, chosen once for the family. merges counts the merged levels.
+    """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, hot: np.ndarray | None = None):
         self.spark = spark
+        self.hot = np.zeros(0, np.int64) if hot is None else hot
         self.levels: list[tuple[int, DataFrame]] = []
+        self.merges = 0
 
-    def add(self, texts: DataFrame, keep: bool = True) -> DataFrame:
-        """Scan a batch (doc_id, text) against all levels; rows with state WHOLE or COMPARE.
+    def add(self, texts: DataFrame) -> DataFrame:
+        """Scan a batch (doc, sub, text) against all levels; rows with state WHOLE or COMPARE.
 
-        With keep, the batch becomes a level of size 1, and levels of equal size are merged.
+        The batch becomes a level of size 1, and levels of equal size are merged.
         """
-        batch = texts.mapInArrow(suffix_array, ROWS)
+        hot = self.hot
+        batch = texts.mapInArrow(lambda b: suffix_array(b, hot), ROWS)
         for _, level in self.levels:
-            batch = batch.unionByName(level.withColumn("state", F.lit(OLD).cast("byte")))
-        scanned = _sorted(batch).mapInArrow(merge_scan, ROWS)
-        if not keep:
-            return materialise(scanned.filter(F.col("state") != FIRST), "scan")
-        scanned = materialise(scanned, "scan")
+            batch = batch.unionByName(level.withColumn("state", (F.col("state") - FIRST + OLD).cast("byte")))
+        scanned = materialise(_sorted(batch).mapInArrow(merge_scan, ROWS), "scan")
         # The scan has read all levels, so its first occurrences hold theirs too: a merge of the batch
         # with equal levels is what remains without the larger ones.
-        size = 1
+        size, gone = 1, []
         while self.levels and self.levels[-1][0] == size:
             size *= 2
-            self.levels.pop()
-        first = scanned.filter(F.col("state") == FIRST).drop("state")
+            self.merges += 1
+            gone.append(self.levels.pop()[1])
+        first = scanned.filter(F.col("state").isin(FIRST, FIRST + HOT))
         for _, level in self.levels:
-            first = first.join(level.select("key", "context"), ["key", "context"], "left_anti")
-        self.levels.append((size, first if not self.levels else materialise(first, "level")))
-        return scanned.filter(F.col("state") != FIRST)
+            first = first.join(level.select("head_a", "head_b", "context"), ["head_a", "head_b", "context"], "left_anti")
+        self.levels.append((size, materialise(first, "level")))
+        out = materialise(scanned.filter(F.col("state").isin(WHOLE, COMPARE)), "repeated")
+        discard(scanned, *gone)
+        return out
+
+    def close(self) -> None:
+        """Remove the levels' files."""
+        discard(*[level for _, level in self.levels])
+        self.levels = []
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From documents with their runs to compare: key, doc, s and the bytes of all windows of each run."""
+    """From documents (doc, sub, text) with their runs to compare: the bytes of all windows of each run."""
     for b in batches:
-        out: list[list] = [[], [], [], []]
-        for doc, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        out: list[list] = [[], [], [], [], [], [], []]
+        for doc, sub, text, own in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
             data = text.encode()
-            for key, s, e in zip(*(own.values.field(k).to_pylist() for k in range(3)), strict=True):
-                if e + LENGTH <= len(data):
-                    for c, v in zip(out, (key, doc, s, data[s : e + LENGTH]), strict=True):
-                        c.append(v)
-        yield _batch(out, ["key", "doc", "s", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+            for head_a, head_b, context, place in zip(*(own.values.field(k).to_pylist() for k in range(4)), strict=True):
+                s = place >> 8
+                for c, v in zip(out, (head_a, head_b, context, doc, sub, s, data[s : s + (place & 255) + LENGTH]), strict=True):
+                    c.append(v)
+        yield _batch(out, STRETCHES, [*[pa.int64()] * 6, pa.binary()])
+
 
+STRETCHES = ["head_a", "head_b", "context", "doc", "sub", "s", "bytes"]
 
-def windows(doc: np.ndarray, s: np.ndarray, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, doc and start of each window of some runs."""
-    parts: list[tuple[np.ndarray, ...]] = []
+
+def windows(stretches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]]:
+    """For blocks of stretches: a hash of each window, its place in data, data, the stretch, and its place there."""
     sizes = np.array([len(x) for x in stretches])
     for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // STRETCH)) + 1):
         data = b"".join([stretches[i] for i in rows])
@@ -254,107 +331,141 @@ def windows(doc: np.ndarray, s: np.ndarray, stretches: list[bytes]) -> tuple[np.
         of = np.repeat(np.arange(len(rows)), n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at, total = starts[of] + inside, sums(h)
-        parts.append(((total[at + GRAMS] - total[at]) * powers()[1][at], doc[rows][of], s[rows][of] + inside))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        yield (total[at + GRAMS] - total[at]) * powers()[1][at], at, data, rows[of], inside
+
+
+def repeated(h: np.ndarray, at: np.ndarray, data: bytes, order: np.ndarray) -> np.ndarray:
+    """Of windows in an order that puts equal hashes together, earliest first: whether an earlier one has the same bytes."""
+    h, at = h[order], at[order]
+    fresh = _fresh(h)
+    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    again = np.flatnonzero(~fresh)
+    word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    same = np.ones(len(again), bool)
+    for o in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        same &= word[at[again] + o] == word[at[lead[again]] + o]
+    out = np.zeros(len(h), bool)
+    out[again] = same
+    for k in again[~same]:  # another string of the same hash: looked up among all before
+        first = lead[k]
+        out[k] = any(data[at[k] : at[k] + LENGTH] == data[at[x] : at[x] + LENGTH] for x in range(first, k))
+    return out
 
 
-SPAN = "doc long, start int, end int, window long"
-SPAN_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+SPAN = "doc long, sub long, start int, end int, window long, other long"
+SPAN_NAMES = ["doc", "sub", "start", "end", "window", "other"]
+SPAN_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
-def compare(batches: Iterator[pa.RecordBatch], hot_runs: int = HOT_RUNS) -> Iterator[pa.RecordBatch]:
-    """Repeated stretches (doc, start, end) of runs sorted by key, doc, s.
+def compare(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Repeated stretches (doc, sub, start, end) of runs sorted by head.
 
-    Whole keys are compared in blocks. Windows of a key with more than hot_runs runs are handed on
-    with their hash instead of a verdict.
+    Heads are compared in blocks of whole ones. Of hot heads, each window's first occurrence in a block
+    is handed on under two hashes of its bytes instead of a verdict.
     """
-    names = ["doc", "start", "end", "window"]
 
-    def settle(block: pa.Table) -> pa.RecordBatch:
-        h, doc, start = windows(block.column("doc").to_numpy(), block.column("s").to_numpy().astype(np.int64), block.column("bytes").to_pylist())
-        order = np.lexsort((start, doc, h))
-        h, doc, start = h[order], doc[order], start[order]
-        fresh = np.concatenate(([True], h[1:] != h[:-1]))
-        lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        again = (doc != doc[lead]) | (start != start[lead])
-        doc, start = doc[again], start[again]
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
+    def spans_at(doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((start, sub, doc))
+        doc, sub, start = doc[order], sub[order], start[order]
         if not len(doc):
-            return _batch([doc, start, start, start], names, SPAN_TYPES)
-        cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))))
+            return _batch([doc, sub, start, start, start, start], SPAN_NAMES, SPAN_TYPES)
+        cut = np.flatnonzero(_fresh(doc, sub) | np.concatenate(([True], start[1:] > start[:-1] + 1)))
         last = np.concatenate((cut[1:], [len(doc)])) - 1
+        none = pa.nulls(len(cut), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[cut]), pa.array(start[cut], pa.int32()), pa.array(start[last] + LENGTH, pa.int32()), pa.nulls(len(cut), pa.int64())], names
+            [pa.array(doc[cut]), pa.array(sub[cut]), pa.array(start[cut], pa.int32()), pa.array(start[last] + LENGTH, pa.int32()), none, none], SPAN_NAMES
         )
 
-    def deal(block: pa.Table) -> pa.RecordBatch:
-        h, doc, start = windows(block.column("doc").to_numpy(), block.column("s").to_numpy().astype(np.int64), block.column("bytes").to_pylist())
-        return _batch([doc, start, start + LENGTH, h.view(np.int64)], names, SPAN_TYPES)
-
-    held, hot = None, None  # rows of the last key; the key whose windows are being dealt out
+    def settle(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, sub, s = (block.column(c).to_numpy() for c in ("doc", "sub", "s"))
+        stretches = block.column("bytes").to_pylist()
+        parts = list(windows(stretches))
+        shift = np.cumsum([0, *[len(p[2]) for p in parts]])
+        h, row, inside = (np.concatenate([p[k] for p in parts]) for k in (0, 3, 4))
+        at, data = np.concatenate([p[1] + o for p, o in zip(parts, shift, strict=False)]), b"".join([p[2] for p in parts])
+        d, u, start = doc[row], sub[row], s[row] + inside
+        order = np.lexsort((start, u, d, h))
+        again = repeated(h, at, data, order)
+        mine = order[again]
+        yield spans_at(d[mine], u[mine], start[mine])
+        warm = np.isin(block.column("head_a").to_numpy() ^ block.column("head_b").to_numpy(), hot)[row][order] & ~again
+        if warm.any():
+            w = order[warm]
+            word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+            other = np.zeros(len(w), np.uint64)
+            for o in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+                other = (other ^ word[at[w] + o]) * M1
+                other ^= other >> np.uint64(29)
+            yield _batch([d[w], u[w], start[w], start[w] + LENGTH, h[w].view(np.int64), other.view(np.int64)], SPAN_NAMES, SPAN_TYPES)
+
+    held = None
     for b in batches:
         table = pa.Table.from_batches([b])
         held = table if held is None else pa.concat_tables([held, table])
-        key = held.column("key").to_numpy()
-        n_hot = int(np.searchsorted(key, hot, "right")) if hot is not None and len(key) and key[0] == hot else 0
-        if n_hot:
-            yield deal(held.slice(0, n_hot))
-            held, key = held.slice(n_hot), key[n_hot:]
-        if not len(key):
-            continue
-        last = int(np.searchsorted(key, key[-1], "left"))
-        if last:
-            yield settle(held.slice(0, last))
-            held = held.slice(last)
-        if len(held) > hot_runs:
-            hot = int(key[-1])
-            yield deal(held)
-            held = held.slice(len(held))
+        while len(held) >= BLOCK_RUNS:
+            key = held.column("head_a").to_numpy(), held.column("head_b").to_numpy()
+            cuts = np.flatnonzero(_fresh(*key))
+            # Whole heads, as many as fit; a hot head may be cut anywhere, its windows meet again by their hashes.
+            fits = cuts[cuts <= BLOCK_RUNS]
+            n = int(fits[-1]) if fits[-1] else BLOCK_RUNS if (key[0][0] ^ key[1][0]) in hot else int(cuts[1]) if len(cuts) > 1 else 0
+            if not n:
+                break
+            yield from settle(held.slice(0, n).combine_chunks())
+            held = held.slice(n)
     if held is not None and len(held):
-        yield settle(held)
-
-
-def spans(docs: DataFrame, batches: int = BATCHES, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc, start, end of repeated stretches of a table of doc_id and text, none of them null."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    family, scans = SuffixFamily(docs.sparkSession), []
-    edges = [low + (high - low + 1) * k // batches for k in range(batches + 1)] if low is not None else []
-    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        if a < b:
-            scans.append(family.add(docs.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)), keep=k < batches - 1))
+        yield from settle(held.combine_chunks())
+
+
+def dealt(texts: DataFrame, batches: int) -> Iterator[DataFrame]:
+    """Batches of about equally many rows, in the order of the rows."""
+    low, high = texts.agg(F.min("doc"), F.max("doc")).first()
+    if low is None:
+        return
+    wanted = [k / batches for k in range(1, batches)]
+    edges = sorted({r["e"] for r in texts.select(F.explode(F.expr(f"approx_percentile(doc, array({', '.join(map(str, wanted))}))")).alias("e")).collect()} - {high}) if wanted else []
+    for k in range(len(edges) + 1):
+        batch = texts.filter(F.col("doc") > edges[k - 1]) if k else texts
+        yield batch.filter(F.col("doc") <= edges[k]) if k < len(edges) else batch
+
+
+def spans(texts: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = None) -> DataFrame:
+    """doc, sub, start, end of repeated stretches of a table of doc, sub and text, none of them null."""
+    hot = hot_heads(texts) if hot is None else hot
+    family = SuffixFamily(texts.sparkSession, hot)
+    scans = [family.add(batch) for batch in dealt(texts, batches)]
+    family.close()
     if not scans:
-        return docs.sparkSession.createDataFrame([], "doc long, start int, end int")
+        return texts.sparkSession.createDataFrame([], "doc long, sub long, start int, end int")
     scanned = scans[0]
     for s in scans[1:]:
         scanned = scanned.unionByName(s)
-    whole = scanned.filter(F.col("state") == WHOLE).select("doc", F.col("s").alias("start"), (F.col("e") + LENGTH).alias("end"))
+    start, end = span_of(F.col("place"))
+    whole = scanned.filter(F.col("state") == WHOLE).select("doc", "sub", start.alias("start"), end.alias("end"))
     to_compare = (
-        scanned.filter(F.col("state") == COMPARE).groupBy("doc").agg(F.collect_set(F.struct("key", "s", "e")).alias("runs"))
-    )
-    stretches = docs.join(to_compare, docs["doc_id"] == to_compare["doc"]).select("doc_id", "text", "runs").mapInArrow(
-        contexts, "key long, doc long, s int, bytes binary"
+        scanned.filter(F.col("state") == COMPARE).groupBy("doc", "sub").agg(F.collect_set(F.struct("head_a", "head_b", "context", "place")).alias("runs"))
     )
-    ordered = stretches.repartition("key").sortWithinPartitions("key", "doc", "s")
-    found = materialise(ordered.mapInArrow(lambda b: compare(b, hot_runs), SPAN), "compared")
-    dealt = found.filter(F.col("window").isNotNull())
-    firsts = dealt.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
-    again = dealt.join(firsts, "window").filter(F.struct("doc", "start") != F.col("first"))
-    return whole.unionByName(found.filter(F.col("window").isNull()).drop("window")).unionByName(again.select("doc", "start", "end"))
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    lowest = -(1 << 63)
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    stretches = texts.join(to_compare, ["doc", "sub"]).select("doc", "sub", "text", "runs").mapInArrow(
+        contexts, "head_a long, head_b long, context long, doc long, sub long, s long, bytes binary"
     )
+    is_hot = F.col("head_a").bitwiseXOR(F.col("head_b")).isin(hot.tolist()) if len(hot) else F.lit(False)
+    deal = F.xxhash64("head_a", "head_b", F.when(is_hot, F.col("context")).otherwise(0))
+    ordered = stretches.repartition(deal).sortWithinPartitions("head_a", "head_b", "context", "doc", "sub", "s")
+    found = materialise(ordered.mapInArrow(lambda b: compare(b, hot), SPAN), "compared")
+    warm = found.filter(F.col("window").isNotNull())
+    firsts = materialise(warm.groupBy("window", "other").agg(F.min(F.struct("doc", "sub", "start")).alias("first")), "windows")
+    again = warm.join(firsts, ["window", "other"]).filter(F.struct("doc", "sub", "start") != F.col("first"))
+    names = ["doc", "sub", "start", "end"]
+    return whole.unionByName(found.filter(F.col("window").isNull()).select(names)).unionByName(again.select(names))
+
+
+def with_spans(rows: DataFrame, doc: str, sub: str, found: DataFrame, name: str) -> DataFrame:
+    """rows with the repeated stretches of their text under a name, null if there are none."""
+    each = found.groupBy(F.col("doc").alias(doc), F.col("sub").alias(sub)).agg(F.collect_list(F.struct("start", "end")).alias(name))
+    return rows.join(each, [doc, sub], "left")
 
 
-def with_spans(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """docs with the repeated stretches of their text under a name, null if there are none."""
-    key = unused(docs, "key")
-    each = found.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(name))
-    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(each, key, "left").drop(key)
+def _texts(rows: DataFrame, doc: str, sub: str) -> DataFrame:
+    return rows.select(F.col(doc).alias("doc"), F.col(sub).alias("sub"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def merged(starts: list[int], ends: list[int], size: int) -> list[tuple[int, int]]:
@@ -393,15 +504,16 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removed_spans(docs: DataFrame, batches: int = BATCHES, hot_runs: int = HOT_RUNS) -> DataFrame:
+def removed_spans(docs: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
-    Null text is empty. doc_id names a document: rows that share it count as one document's text, and
-    a null doc_id comes before all others. An empty table gives no rows; further columns are not read.
+    Null text is empty. A null doc_id comes before all others; rows that share a doc_id are documents
+    of their own, in the order of a hash of their texts. A very long text is hashed in overlapping
+    stretches. An empty table gives no rows; further columns are not read.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = spans(_texts(docs), batches, hot_runs)
-    return with_spans(source, found, "spans").select("doc_id", "text", "spans").mapInArrow(
+    rows, doc, sub = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = spans(_texts(rows, doc, sub), batches, hot)
+    return with_spans(rows, doc, sub, found, "spans").select("doc_id", "text", "spans").mapInArrow(
         digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
@@ -411,7 +523,8 @@ def without_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     Other columns stay as they are, as do null texts; no row is dropped.
     """
-    found = spans(_texts(docs), batches)
+    rows, doc, sub = keyed(docs)
+    found = spans(_texts(rows, doc, sub), batches)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, own: pd.Series) -> pd.Series:
@@ -424,5 +537,5 @@ def without_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             out.append(remaining(data, merged([i["start"] for i in x], [i["end"] for i in x], len(data))).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    name = unused(docs, "spans")
-    return with_spans(docs, found, name).withColumn("text", cleaned(F.col("text"), F.col(name))).select(*docs.columns)
+    name = unused(rows, "spans")
+    return with_spans(rows, doc, sub, found, name).withColumn("text", cleaned(F.col("text"), F.col(name))).select(*docs.columns)

@@ -466,21 +466,53 @@ def plain_removed(rows):
     return out
 
 
-@pytest.mark.parametrize(("batches", "hot_runs"), [(1, 20_000), (3, 2)])
-def test_repeated_spans(spark, documents, rows, batches, hot_runs):
+@pytest.mark.parametrize(("batches", "hot"), [(1, False), (4, False), (5, True)])
+def test_repeated_spans(spark, documents, rows, batches, hot, monkeypatch):
     rng = random.Random(9)
     passages = ["".join(rng.choices("abcdé ", k=rng.randint(90, 260))) for _ in range(6)]
     more = [(10_000 + k, "".join(rng.choice(passages) if rng.random() < 0.7 else "".join(rng.choices("xyz ", k=40)) for _ in range(12))) for k in range(40)]
     more += [(20_000, "The " * 200), (20_001, "a" * 1000), (20_002, "The " * 100)]
+    heads = None
+    if hot:  # every head of these texts is hot, and blocks are small
+        found = spans_index.runs([t.encode() for _, t in more if len(t) >= 100])
+        heads = np.unique(found[0] ^ found[1])
+        monkeypatch.setattr(spans_index, "BLOCK_RUNS", 20)
     both = documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in spans_index.removed_spans(both, batches, hot_runs).collect()}
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in spans_index.removed_spans(both, batches, heads).collect()}
     assert found == plain_removed(rows + more)
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(10)
+    new = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    alone, passage = new(600), new(300)
+    rows = [(None, alone), (None, new(50) + passage + new(80)), (3, passage), (3, new(200)), (3, "x" + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in spans_index.without_spans(docs).collect()]
+    assert (None, alone) in left and rows[3] in left
+    assert sorted(t for d, t in left if d == 3 and t != rows[3][1]) == ["", "x"]
+    found = spans_index.removed_spans(docs).collect()
+    assert sorted(r.n_removed for r in found) == [0, 0, 0, 300, 300] and len(found) == 5
+
+
+def test_levels_merge_in_the_query(spark, documents, monkeypatch):
+    families = []
+    made = spans_index.SuffixFamily.__init__
+    monkeypatch.setattr(spans_index.SuffixFamily, "__init__", lambda self, *a: (made(self, *a), families.append(self))[0])
+    spans_index.removed_spans(documents)
+    assert [f.merges for f in families] == [3]  # four batches: 1 + 1, 1 + 1, 2 + 2
+
+
+def test_equal_hashes_of_other_bytes_are_told_apart():
+    data = b"".join(bytes([65 + k]) * 100 for k in (0, 1, 0, 1))
+    at = np.array([0, 100, 200, 300])
+    assert spans_index.repeated(np.zeros(4, np.uint64), at, data, np.arange(4)).tolist() == [False, False, True, True]
+
+
 def test_spans_of_documents_longer_than_a_stretch():
     rng = np.random.default_rng(4)
     text = rng.integers(97, 123, spans_index.STRETCH + 5000, dtype=np.uint8).tobytes()
-    key, context, doc, s, e = spans_index.runs([(1, text)])
+    *_, doc, s, e = spans_index.runs([text])
     covered = np.zeros(len(text) - 99, bool)
     for a, b in zip(s, e, strict=True):
         covered[a : b + 1] = True
