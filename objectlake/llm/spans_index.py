@@ -142,8 +142,9 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 ROW = ["head_a", "head_b", "context", "doc", "sub", "place", "state"]
 ROWS = "head_a long, head_b long, context long, doc long, sub long, place long, state byte"
 TYPES = [*[pa.int64()] * 6, pa.int8()]
-#: state: of an older level, of this batch, or settled (repeated within what one task has read); HOT is added for hot heads.
-OLD, NEW, SETTLED, HOT = 0, 1, 2, 4
+#: state: of this batch, or settled (repeated within what one task has read), or -LEVEL * (k + 1) for level k.
+#: HOT is added for hot heads.
+NEW, SETTLED, HOT, LEVEL = 1, 2, 4, 8
 
 
 def place_of(s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -194,11 +195,14 @@ def suffix_array(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator
 WHOLE, COMPARE, FIRST = 0, 1, 2
 
 
-def merge_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merge_scan(batches: Iterator[pa.RecordBatch], merged_levels: list[int] | None) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted as _sorted does. Holds one batch; of the head it is in, one row.
 
-    Runs of a hot head are spread over tasks by context, so each is compared, whatever others there are.
+    First occurrences are given for the batch and the levels that are merged with it, for none if
+    merged_levels is None. Runs of a hot head are spread over tasks by context, so each is compared,
+    whatever others there are.
     """
+    kept = [] if merged_levels is None else [NEW, *[-LEVEL * (k + 1) for k in merged_levels]]
     carried: list[np.ndarray] | None = None
     compared = False  # whether the carried row went out for comparison
     for b in batches:
@@ -212,7 +216,7 @@ def merge_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_a, head_b, context, doc, sub, place, state = rows
         if not len(state):
             continue
-        hot, state = state & HOT > 0, state & ~HOT
+        hot, state = state & HOT > 0, state & ~np.int8(HOT)
         new_head = _fresh(head_a, head_b)
         first = new_head | _fresh(context)
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -230,9 +234,9 @@ def merge_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0] = -1
         going = out >= 0
         yield _batch([c[going] for c in rows[:-1]] + [out[going]], ROW, TYPES)
-        fresh = first.copy()
+        fresh = first & np.isin(state, kept)
         fresh[:old] = False
-        yield _batch([c[fresh] for c in rows[:-1]] + [FIRST + rows[-1][fresh] // HOT * HOT], ROW, TYPES)
+        yield _batch([c[fresh] for c in rows[:-1]] + [FIRST + HOT * hot[fresh]], ROW, TYPES)
         at = lead[-1]
         compared = bool(out[at] == COMPARE or (old and compared and at == 0))
         carried = [c[at : at + 1] for c in rows]
@@ -274,29 +278,30 @@ class SuffixFamily:
         self.levels: list[tuple[int, DataFrame]] = []
         self.merges = 0
 
-    def add(self, texts: DataFrame) -> DataFrame:
+    def add(self, texts: DataFrame, keep: bool = True) -> DataFrame:
         """Scan a batch (doc, sub, text) against all levels; rows with state WHOLE or COMPARE.
 
-        The batch becomes a level of size 1, and levels of equal size are merged.
+        With keep, the batch becomes a level of size 1, and levels of equal size are merged: the scan
+        has read them in order, so it writes their first occurrences and the batch's as one array.
         """
         hot = self.hot
         batch = texts.mapInArrow(lambda b: suffix_array(b, hot), ROWS)
-        for _, level in self.levels:
-            batch = batch.unionByName(level.withColumn("state", (F.col("state") - FIRST + OLD).cast("byte")))
-        scanned = materialise(_sorted(batch).mapInArrow(merge_scan, ROWS), "scan")
-        # The scan has read all levels, so its first occurrences hold theirs too: a merge of the batch
-        # with equal levels is what remains without the larger ones.
+        for k, (_, level) in enumerate(self.levels):
+            batch = batch.unionByName(level.withColumn("state", (F.lit(-LEVEL * (k + 1)) + F.col("state").bitwiseAND(F.lit(HOT))).cast("byte")))
         size, gone = 1, []
-        while self.levels and self.levels[-1][0] == size:
+        while keep and self.levels and self.levels[-1][0] == size:
             size *= 2
             self.merges += 1
             gone.append(self.levels.pop()[1])
-        first = scanned.filter(F.col("state").isin(FIRST, FIRST + HOT))
-        for _, level in self.levels:
-            first = first.join(level.select("head_a", "head_b", "context"), ["head_a", "head_b", "context"], "left_anti")
-        self.levels.append((size, materialise(first, "level")))
+        merged_levels = list(range(len(self.levels), len(self.levels) + len(gone))) if keep else None
+        scanned = materialise(_sorted(batch).mapInArrow(lambda b: merge_scan(b, merged_levels), ROWS), "scan")
+        if not keep:
+            return scanned
         out = materialise(scanned.filter(F.col("state").isin(WHOLE, COMPARE)), "repeated")
-        discard(scanned, *gone)
+        level = scanned.filter(F.col("state").isin(FIRST, FIRST + HOT))
+        level._scratch = scanned._scratch
+        self.levels.append((size, level))
+        discard(*gone)
         return out
 
     def close(self) -> None:
@@ -432,7 +437,8 @@ def spans(texts: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = Non
     """doc, sub, start, end of repeated stretches of a table of doc, sub and text, none of them null."""
     hot = hot_heads(texts) if hot is None else hot
     family = SuffixFamily(texts.sparkSession, hot)
-    scans = [family.add(batch) for batch in dealt(texts, batches)]
+    dealt_out = list(dealt(texts, batches))
+    scans = [family.add(batch, keep=k + 1 < len(dealt_out)) for k, batch in enumerate(dealt_out)]  # no batch follows the last
     family.close()
     if not scans:
         return texts.sparkSession.createDataFrame([], "doc long, sub long, start int, end int")

@@ -101,6 +101,32 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit > 0.85 and false < 0.01
 
 
+def test_training_rows_are_bounded_by_labels(spark, monkeypatch):
+    seen = []
+    fit = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda x, *a: (seen.append(len(x)), fit(x, *a))[1])
+    docs = spark.createDataFrame([(k % 2, f"text {k} of {k % 2}") for k in range(2_000)], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
+    assert seen == [2]
+
+
+def test_chain_feeds_out_of_fold_predictions():
+    """Against a plain chain: each link is fitted on the words and what models of the other folds say of the links before."""
+    rng = np.random.default_rng(6)
+    x = rng.random((200, 4)).astype("f4")
+    y = np.stack([x[:, 0] > 0.5, x[:, 1] > 0.6, x[:, 0] + x[:, 1] > 1], axis=1).astype("f4")
+    folds = np.arange(200) % toxicity.FOLDS
+    chain, own = toxicity.fit_chain(x, y, folds, ("a", "b")), x
+    for link in range(3):
+        want = toxicity.fit_linear(own, y[:, link])
+        assert np.allclose(chain.weights[link], want, atol=1e-4)
+        fed = np.zeros(200, "f4")
+        for k in range(toxicity.FOLDS):
+            w = toxicity.fit_linear(own[folds != k], y[folds != k, link])
+            fed[folds == k] = toxicity.sigmoid(w[0] + own[folds == k] @ w[1:])
+        own = np.hstack([own, fed[:, None]])
+
+
 # Quality rules
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -500,7 +526,22 @@ def test_levels_merge_in_the_query(spark, documents, monkeypatch):
     made = spans_index.SuffixFamily.__init__
     monkeypatch.setattr(spans_index.SuffixFamily, "__init__", lambda self, *a: (made(self, *a), families.append(self))[0])
     spans_index.removed_spans(documents)
-    assert [f.merges for f in families] == [3]  # four batches: 1 + 1, 1 + 1, 2 + 2
+    assert [f.merges for f in families] == [1]  # of four batches the second merges with the first, none follows the last
+
+
+def test_levels_merge_geometrically(spark, documents, rows):
+    texts = spans_index._texts(*keyed(documents))
+    family, sizes, firsts = spans_index.SuffixFamily(spark), [], []
+    for batch in spans_index.dealt(texts, 7):
+        family.add(batch)
+        sizes.append([n for n, _ in family.levels])
+        firsts.append(sum(level.count() for _, level in family.levels))
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+    key = ["head_a", "head_b", "context"]
+    every = spans_index.runs([t.encode() for _, t in rows if len(t.encode()) >= 100])
+    assert firsts[-1] == len(set(zip(*(c.tolist() for c in every[:3]), strict=True)))  # each context once, in one level
+    top = family.levels[0][1].select(*key).collect()
+    assert len(top) == len(set(top))
 
 
 def test_equal_hashes_of_other_bytes_are_told_apart():
