@@ -28,6 +28,8 @@ from .tokens import checksum, id_lists, tokenizer_path
 
 BLANK = "▁"
 CHUNK = 32_768
+#: Looked up by name on each executor; a path that all of them have will do too.
+MODEL = "piece_bpe_32k.model"
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
@@ -159,7 +161,7 @@ class PieceCodec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return PieceCodec(tokenizer_path(path))
 
 
 def combine(chunks: list[tuple[list, list, np.ndarray]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
@@ -204,7 +206,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     Null text counts as empty and has no ids. Repeated rows are encoded each. An empty table gives no
     rows; other columns are not read.
     """
-    model = model or tokenizer_path("piece_bpe_32k.model")
+    model = model or MODEL
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +277,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids count as none."""
-    model = model or tokenizer_path("piece_bpe_32k.model")
+    model = model or MODEL
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -295,7 +297,7 @@ def _id_arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
 
 def round_trip(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """Digest of encoded rows and of the text that decoding gives back: doc_id, n_ids, ids_crc32, n_chunks, n_chars, decoded_sha256."""
-    model = model or tokenizer_path("piece_bpe_32k.model")
+    model = model or MODEL
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)

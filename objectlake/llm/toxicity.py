@@ -124,7 +124,7 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, folds: np.ndarray, words: tupl
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    """A chain from documents with labels (doc_id, toxic). Null labels are left out; of several for a document, toxic counts."""
+    """A chain from documents with labels (doc_id, toxic). Null labels are left out; of several for a document, toxic counts; of rows that share a doc_id the smallest text."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     order = F.xxhash64("doc_id")
     sample = (
@@ -132,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
         .orderBy(F.shiftrightunsigned(order, 12), "doc_id").limit(TRAINING_DOCS)
     )
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    labelled = materialise(texts.join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxic")
+    # One text for a label, so that rows that share a doc_id do not add to what reaches the driver.
+    own = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    labelled = materialise(own.select("text", F.col("toxic").cast("int").alias("toxic")), "toxic")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
