@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import data, identity, log, monitor, sets
+from .plans import data, edited, identity, log, monitor, sets
 from .plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _part in (sets, data, identity, log, monitor):
+for _part in (sets, data, identity, log, monitor, edited):
     QUERIES |= _part.R.queries
     ORACLES |= _part.R.sql

@@ -6,9 +6,15 @@ status (pending, applied, abandoned), user_id, created_at, batch_id. Later means
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import Ontology
+from .secure import Load
+
 AT = "struct(created_at, id)"
 OBJECT = ["object_type", "object_id"]
 
@@ -84,6 +90,52 @@ def overlay(rows: DataFrame, key: str, type_name: str, log: DataFrame, instant:
     return seen.select("object_id", *[read(f) for f in fields])
 
 
+def edited_load(ontology: Ontology, load: Load, log: DataFrame, instant: Column) -> Load:
+    """A load whose object types read as they now are, so that the filters, links, aggregates and security of object sets see edits.
+
+    Tables that are no object type, such as join tables, stay as they are.
+    """
+
+    def read(name: str) -> DataFrame:
+        rows, t = load(name), ontology.types.get(name)
+        if t is None:
+            return rows
+        others = [c for c in rows.columns if c != t.id_field]
+        now = overlay(rows, t.id_field, name, log, instant, others)
+        return now.select(F.col("object_id").try_cast(rows.schema[t.id_field].dataType).alias(t.id_field), *others)
+
+    return read
+
+
+@dataclass(frozen=True)
+class Constraint:
+    """What a field's new value must fulfil: required, number, min, max, max_length or one_of, with its limit."""
+
+    field: str
+    rule: str
+    limit: Any = None
+
+    def broken(self, value: Column) -> Column:
+        number = value.try_cast("double")
+        checks = {
+            "required": lambda: value.isNull() | (F.trim(value) == ""), "number": lambda: value.isNotNull() & number.isNull(),
+            "min": lambda: number < self.limit, "max": lambda: number > self.limit,
+            "max_length": lambda: F.length(value) > self.limit, "one_of": lambda: ~value.isin(*self.limit),
+        }
+        return F.coalesce(checks[self.rule](), F.lit(False))
+
+
+def violations(log: DataFrame, type_name: str, constraints: list[Constraint]) -> DataFrame:
+    """id, object_id, field, value, rule: each constraint that a proposed change of a type would break.
+
+    Changes are exploded once; a field has one row for each of its constraints that is broken. Abandoned
+    entries and deletes propose nothing.
+    """
+    proposed = exploded(log.filter((F.col("object_type") == type_name) & (F.col("status") != "abandoned") & (F.col("operation") != "delete")))
+    rules = F.array(*[F.when((F.col("field") == c.field) & c.broken(F.col("value")), F.lit(c.rule)) for c in constraints])
+    return proposed.select("id", "object_id", "field", "value", F.explode(F.array_compact(rules)).alias("rule"))
+
+
 def edit_history(log: DataFrame, readable: list[str]) -> DataFrame:
     """Every entry with the changes that may be read, its place (newest first) and the object's total."""
     w = Window.partitionBy(*OBJECT)

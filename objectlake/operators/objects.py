@@ -185,3 +185,16 @@ def uneven_coverage(gathered: DataFrame, group: str, item: str, field: str) -> D
     """Groups whose items were gathered with differing sets of fields: group, shapes."""
     shapes = gathered.groupBy(group, item).agg(F.sort_array(F.collect_set(field)).alias("fields"))
     return shapes.groupBy(group).agg(F.countDistinct("fields").alias("shapes")).filter("shapes > 1")
+
+
+def join_table(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """A many-to-many link's pairs as they are published: key pairs alone, each once, none null or dangling.
+
+    pairs: source and target keys in its first two columns; source and target: ids in their first column.
+    """
+    left, right = pairs.columns[:2]
+    found = pairs.select(left, right).filter(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct()
+    return (
+        found.join(source.select(F.col(source.columns[0]).alias(left)), left, "left_semi")
+        .join(target.select(F.col(target.columns[0]).alias(right)), right, "left_semi").select(left, right)
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import coerce, drift
 from ..functions.text import standardise
 from ..model import ObjectType
-from ..operators import changes, clean
+from ..operators import changes, clean, objects
 from ..sources import tables
 from ..sources.tables import Lake
 
@@ -81,3 +81,16 @@ def build_gold(lake: Lake, types: list[ObjectType], threads: int = 4) -> dict[st
             except KeyError:  # its table has not been synced
                 continue
     return out
+
+
+def publish_join_tables(lake: Lake, links: dict[str, tuple[str, str, str, str, str]]) -> dict[str, int]:
+    """The version of each join table published beside the gold tables.
+
+    links: by table, its two key columns, the two object types they name and the silver table to read.
+    Ids of gold tables are strings, so keys are too.
+    """
+    out = {}
+    for name, (left, right, source, target, silver) in links.items():
+        pairs = lake.read(f"silver_{silver}").select(F.col(left).cast("string").alias(left), F.col(right).cast("string").alias(right))
+        out[name] = lake.publish(f"gold_link_{name}", objects.join_table(pairs, lake.read(f"gold_{source}"), lake.read(f"gold_{target}")))
+    return out
