@@ -259,6 +259,23 @@ def test_sync_to_gold(spark, tmp_path):
     assert medallion.targets([bindings.ONTOLOGY.types["Region"]]) == {"region": ["r_regionkey", "r_name"]}
 
 
+def test_join_tables_are_published_without_dangling_pairs(spark, tmp_path):
+    lake = tables.Lake(spark, f"file://{tmp_path}/links")
+    lake.publish("gold_A", spark.createDataFrame([("1",), ("2",)], "id string"))
+    lake.publish("gold_B", spark.createDataFrame([("7",), ("8",)], "id string"))
+    lake.publish("silver_ab", spark.createDataFrame([(1, 7), (1, 7), (2, 8), (3, 7), (1, 9), (None, 7), (2, None)], "a int, b int"))
+    assert medallion.publish_join_tables(lake, {"ab": ("a", "b", "A", "B", "ab")}) == {"ab": 1}
+    assert sorted(map(tuple, lake.read("gold_link_ab").select("a", "b").collect())) == [("1", "7"), ("2", "8")]
+
+
+def test_constraints_of_proposed_changes(spark):
+    rows = [(1, "create", '{"x": "5", "y": ""}', "pending"), (2, "update", '{"x": "no"}', "applied"), (3, "delete", '{"x": "0"}', "pending"), (4, "update", '{"x": "0"}', "abandoned"), (5, "update", '{"y": null}', "pending")]
+    log = spark.createDataFrame([(i, "T", "o", op, c, st) for i, op, c, st in rows], "id long, object_type string, object_id string, operation string, changes string, status string")
+    rules = [edits.Constraint("x", "min", 6), edits.Constraint("x", "number"), edits.Constraint("y", "required")]
+    found = edits.violations(log, "T", rules).collect()
+    assert sorted((r.id, r.field, r.rule) for r in found) == [(1, "x", "min"), (1, "y", "required"), (2, "x", "number"), (5, "y", "required")]
+
+
 def test_audit_lines_skip_torn_ones(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"user_id": 1, "at": 2}\n{"user_id": 3, "a\n')
     assert [r.user_id for r in tables.audit_entries(spark, f"file://{tmp_path}", "user_id int, at int").collect()] == [1]
