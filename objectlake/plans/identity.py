@@ -13,18 +13,19 @@ R = Registry()
 FIELDS = ["c_name", "c_nationkey", "c_acctbal"]
 
 
-@R.add("conform", "SELECT doc_id, text AS body, lang, CAST(NULL AS VARCHAR) AS title, 'documents' AS _source_table FROM documents WHERE n_chars < 500")
+@R.add("conform", "SELECT doc_id, text AS body, lang, CAST(NULL AS VARCHAR) AS title, 'documents' AS _source_table FROM documents")
 def conform(spark, sf_dir) -> DataFrame:
-    rows = ONTOLOGY.types["Document"].conform(table(spark, sf_dir, "documents")).filter("n_chars < 500")
+    rows = ONTOLOGY.types["Document"].conform(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("text").alias("body"), "lang", F.lit(None).cast("string").alias("title"), F.lit("documents").alias("_source_table"))
 
 
 @R.add("fuse_storages", """SELECT COALESCE(CAST(d.doc_id AS VARCHAR), CAST(l.doc_id AS VARCHAR)) AS object_id, lang, quality, toxic,
 CASE WHEN d.doc_id IS NULL THEN 'labels' WHEN l.doc_id IS NULL THEN 'documents' ELSE 'documents,labels' END AS _fused_from
-FROM (SELECT * FROM documents WHERE doc_id % 10 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id + 1000000000000 ELSE doc_id END AS doc_id, lang FROM documents) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def fuse_storages(spark, sf_dir) -> DataFrame:
-    """documents are cut to nine in ten, so that either storage has objects of its own."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 <> 0").select("doc_id", "lang")
+    """Every tenth document has an id that labels do not know, so that either storage has objects of its own."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.when(k % 10 == 0, k + 1_000_000_000_000).otherwise(k).alias("doc_id"), "lang")
     return fuse.fuse({"documents": (docs, "doc_id"), "labels": (table(spark, sf_dir, "labels"), "doc_id")})
 
 
@@ -81,13 +82,14 @@ def security_conflicts(spark, sf_dir) -> DataFrame:
     return _resolved(spark, sf_dir, "c_nationkey").filter("refused").groupBy("c_name").agg(F.count(F.lit(1)).alias("members"))
 
 
-@R.add("merge_components", """WITH RECURSIVE pairs AS (SELECT o_orderkey % 400 AS a, (o_orderkey % 400) // 3 * 3 AS b FROM orders UNION SELECT o_orderkey % 400, (o_orderkey % 400) + 40 FROM orders WHERE o_orderkey % 400 < 160),
+@R.add("merge_components", """WITH RECURSIVE pairs AS (SELECT o_orderkey AS a, o_orderkey // 3 * 3 AS b FROM orders UNION SELECT o_orderkey, o_orderkey + 40 FROM orders WHERE o_orderkey % 400 < 160),
 e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS id, a AS m FROM e UNION SELECT e.b, r.m FROM reach r JOIN e ON e.a = r.id)
 SELECT id, MIN(m) AS component FROM reach GROUP BY 1""")
 def merge_components(spark, sf_dir) -> DataFrame:
-    k = F.col("o_orderkey") % 400
+    """Every order is linked to one of its three, and some in chains of steps of 40."""
+    k = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders")
-    pairs = orders.select(k.alias("a"), (F.floor(k / 3) * 3).alias("b")).union(orders.filter(k < 160).select(k, k + 40)).distinct()
+    pairs = orders.select(k.alias("a"), (F.floor(k / 3) * 3).alias("b")).union(orders.filter(k % 400 < 160).select(k, k + 40)).distinct()
     return fuse.merge_approved(pairs)
 
 
@@ -125,19 +127,17 @@ def new_proposals(spark, sf_dir) -> DataFrame:
     return fuse.propose(pair(c).union(pair(c)), pair(c.filter("c_custkey % 2 = 1")))
 
 
-DECISIONS_SQL = """d AS (SELECT user_id % 100 AS proposal_id, CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS decision, ts AS decided_at, event_id AS decision_id FROM events)"""
-
-
 def _standing(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    decisions = e.select(
-        (F.col("user_id") % 100).alias("proposal_id"), F.when(F.col("event_id") % 3 == 0, "approved").when(F.col("event_id") % 3 == 1, "rejected").otherwise("pending").alias("decision"),
+    """A proposal for every customer; an event decides its user's."""
+    decisions = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("proposal_id"), F.when(F.col("event_id") % 3 == 0, "approved").when(F.col("event_id") % 3 == 1, "rejected").otherwise("pending").alias("decision"),
         F.col("ts").alias("decided_at"), F.col("event_id").alias("decision_id"),
     )
-    return fuse.standing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("proposal_id")).filter("proposal_id < 120"), decisions)
+    return fuse.standing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("proposal_id")), decisions)
 
 
-STANDING_SQL = f"WITH {DECISIONS_SQL}, n AS (SELECT proposal_id, arg_max(decision, (decided_at, decision_id)) AS decision FROM d GROUP BY 1) SELECT c_custkey AS proposal_id, COALESCE(decision, 'pending') AS decision FROM customer LEFT JOIN n ON c_custkey = proposal_id WHERE c_custkey < 120"
+STANDING_SQL = """WITH n AS (SELECT user_id AS proposal_id, arg_max(CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END, (ts, event_id)) AS decision FROM events GROUP BY 1)
+SELECT c_custkey AS proposal_id, COALESCE(decision, 'pending') AS decision FROM customer LEFT JOIN n ON c_custkey = proposal_id"""
 
 
 @R.add("standing_decisions", STANDING_SQL)
@@ -148,26 +148,3 @@ def standing_decisions(spark, sf_dir) -> DataFrame:
 @R.add("approved_pairs", f"SELECT proposal_id FROM ({STANDING_SQL}) s WHERE decision = 'approved'")
 def approved_pairs(spark, sf_dir) -> DataFrame:
     return _standing(spark, sf_dir).filter("decision = 'approved'").select("proposal_id")
-
-
-def _standing_all(spark, sf_dir) -> DataFrame:
-    """A proposal for every customer; an event decides its user's."""
-    decisions = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("proposal_id"), F.when(F.col("event_id") % 3 == 0, "approved").when(F.col("event_id") % 3 == 1, "rejected").otherwise("pending").alias("decision"),
-        F.col("ts").alias("decided_at"), F.col("event_id").alias("decision_id"),
-    )
-    return fuse.standing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("proposal_id")), decisions)
-
-
-STANDING_ALL_SQL = """WITH n AS (SELECT user_id AS proposal_id, arg_max(CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END, (ts, event_id)) AS decision FROM events GROUP BY 1)
-SELECT c_custkey AS proposal_id, COALESCE(decision, 'pending') AS decision FROM customer LEFT JOIN n ON c_custkey = proposal_id"""
-
-
-@R.add("standing_decisions_all", STANDING_ALL_SQL)
-def standing_decisions_all(spark, sf_dir) -> DataFrame:
-    return _standing_all(spark, sf_dir)
-
-
-@R.add("approved_pairs_all", f"SELECT proposal_id FROM ({STANDING_ALL_SQL}) s WHERE decision = 'approved'")
-def approved_pairs_all(spark, sf_dir) -> DataFrame:
-    return _standing_all(spark, sf_dir).filter("decision = 'approved'").select("proposal_id")

@@ -29,12 +29,12 @@ def applied_since(spark, sf_dir) -> DataFrame:
     return _fields(edits.applied_since(write_log(spark, sf_dir), F.expr(SINCE)))
 
 
-@R.add("all_pending", f"WITH {LOG_SQL}, own AS (SELECT object_id FROM log WHERE status = 'pending' AND id % 20 = 0), flat AS (SELECT DISTINCT CAST(event_id % 300 AS VARCHAR) AS object_id, event_id FROM events WHERE event_id % 500 = 10) SELECT object_id, false AS batched, CAST(COUNT(*) AS BIGINT) AS n FROM own GROUP BY 1 UNION ALL SELECT object_id, true, COUNT(*) FROM flat WHERE object_id NOT IN (SELECT object_id FROM own) GROUP BY 1")
+@R.add("all_pending", f"WITH {LOG_SQL}, own AS (SELECT object_id FROM log WHERE status = 'pending' AND id % 20 = 0), flat AS (SELECT CAST(user_id AS VARCHAR) AS object_id FROM events e WHERE event_id // 3 IN (SELECT id FROM log WHERE status = 'pending' AND id % 20 = 10)) SELECT object_id, false AS batched, CAST(COUNT(*) AS BIGINT) AS n FROM own GROUP BY 1 UNION ALL SELECT object_id, true, COUNT(*) FROM flat WHERE object_id NOT IN (SELECT object_id FROM own) GROUP BY 1")
 def all_pending(spark, sf_dir) -> DataFrame:
-    """Every second pending entry stands for a batch; every 500th event is a sub-write of one of them."""
+    """Every second pending entry stands for a batch; each event is a sub-write of the batch of a third of its id."""
     log = write_log(spark, sf_dir).withColumn("batch_id", F.when(F.col("id") % 20 == 10, F.concat(F.lit("b"), "id")))
-    sub = table(spark, sf_dir, "events").filter("event_id % 500 = 10").select(
-        F.concat(F.lit("b"), "event_id").alias("batch_id"), F.lit("Customer").alias("object_type"), (F.col("event_id") % 300).cast("string").alias("object_id"), F.lit("{}").alias("changes"),
+    sub = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("b"), F.floor(F.col("event_id") / 3)).alias("batch_id"), F.lit("Customer").alias("object_type"), F.col("user_id").cast("string").alias("object_id"), F.lit("{}").alias("changes"),
     )
     return edits.all_pending(log, sub).groupBy("object_id", "batched").agg(F.count(F.lit(1)).alias("n"))
 
@@ -67,9 +67,9 @@ def overlay_search(spark, sf_dir) -> DataFrame:
     return overlay(spark, sf_dir).filter("c_acctbal < 20").select("object_id")
 
 
-@R.add("edit_history", f"WITH {LOG_SQL} SELECT object_id, id, ROW_NUMBER() OVER (PARTITION BY object_id ORDER BY created_at DESC, id DESC) AS place, CAST(COUNT(*) OVER (PARTITION BY object_id) AS BIGINT) AS total, CASE WHEN field = 'c_acctbal' THEN 1 ELSE 0 END AS readable FROM log QUALIFY place <= 10")
+@R.add("edit_history", f"WITH {LOG_SQL} SELECT object_id, id, ROW_NUMBER() OVER (PARTITION BY object_id ORDER BY created_at DESC, id DESC) AS place, CAST(COUNT(*) OVER (PARTITION BY object_id) AS BIGINT) AS total, CASE WHEN field = 'c_acctbal' THEN 1 ELSE 0 END AS readable FROM log")
 def edit_history(spark, sf_dir) -> DataFrame:
-    found = edits.edit_history(write_log(spark, sf_dir), ["c_acctbal"]).filter("place <= 10")
+    found = edits.edit_history(write_log(spark, sf_dir), ["c_acctbal"])
     return found.select("object_id", "id", F.col("place").cast("long").alias("place"), "total", F.size("changes").alias("readable"))
 
 
@@ -131,19 +131,6 @@ def criteria(spark, sf_dir) -> DataFrame:
     return edits.criteria(table(spark, sf_dir, "orders"), rules).select("o_orderkey", "failure")
 
 
-@R.add("approvals", """WITH t AS (SELECT o_orderkey AS write_id, k AS task FROM orders, (VALUES (0), (1)) v(k) WHERE o_orderkey < 3000),
-d AS (SELECT event_id % 2500 AS write_id, event_id % 2 AS task, arg_max(CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'approved' END, (ts, event_id)) AS decision FROM events GROUP BY 1, 2)
-SELECT write_id, CASE WHEN bool_and(COALESCE(decision = 'approved', false)) THEN 'approved' WHEN bool_or(COALESCE(decision = 'rejected', false)) THEN 'rejected' ELSE 'undecided' END AS state FROM t LEFT JOIN d USING (write_id, task) GROUP BY 1""")
-def approvals(spark, sf_dir) -> DataFrame:
-    tasks = table(spark, sf_dir, "orders").filter("o_orderkey < 3000").select(F.col("o_orderkey").alias("write_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("task"))
-    e = table(spark, sf_dir, "events")
-    decisions = e.select(
-        (F.col("event_id") % 2500).alias("write_id"), (F.col("event_id") % 2).cast("int").alias("task"), F.when(F.col("event_type") == "error", "rejected").otherwise("approved").alias("decision"),
-        F.col("ts").alias("decided_at"), F.col("event_id").alias("decision_id"),
-    )
-    return edits.approvals(tasks, decisions)
-
-
 @R.add("eligible_tasks", """SELECT 'user_' || r_regionkey AS user_id, o_orderkey AS write_id, 0 AS task FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> o_orderkey % 5""")
 def eligible_tasks(spark, sf_dir) -> DataFrame:
     orders = secure.with_boundary(ONTOLOGY, "Order", loader(spark, sf_dir))
@@ -166,39 +153,13 @@ def current_status(spark, sf_dir) -> DataFrame:
     return edits.current_status(table(spark, sf_dir, "events").select(F.col("user_id").alias("write_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
 
 
-WRITES_SQL = """s AS (SELECT o_orderkey AS object_id, o_orderstatus AS value FROM orders WHERE o_orderkey < 6000),
-w AS (SELECT o_orderkey // 4 AS batch_id, CASE WHEN o_orderkey >= 6000 THEN 'create' WHEN o_orderkey % 8 = 5 THEN 'delete' ELSE 'update' END AS operation, o_orderkey AS object_id,
-  CASE WHEN o_orderkey % 50 = 7 THEN 'stale' ELSE o_orderstatus END AS expected, 'N' AS value FROM orders WHERE o_orderkey BETWEEN 1000 AND 6999),
-ok AS (SELECT batch_id, bool_and(CASE WHEN operation = 'create' THEN s.object_id IS NULL ELSE s.object_id IS NOT NULL AND s.value IS NOT DISTINCT FROM expected END) AS ok FROM w LEFT JOIN s USING (object_id) GROUP BY 1)"""
-
-
-def _apply(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    state = o.filter(k < 6000).select(k.alias("object_id"), F.col("o_orderstatus").alias("value"))
-    writes = o.filter(k.between(1000, 6999)).select(
-        F.floor(k / 4).alias("batch_id"), F.when(k >= 6000, "create").when(k % 8 == 5, "delete").otherwise("update").alias("operation"), k.alias("object_id"),
-        F.when(k % 50 == 7, "stale").otherwise(F.col("o_orderstatus")).alias("expected"), F.lit("N").alias("value"),
-    )
-    return edits.apply_batch(state, writes)
-
-
-@R.add("apply_batch_state", f"WITH {WRITES_SQL}, d AS (SELECT object_id, w.value, operation FROM w JOIN ok USING (batch_id) WHERE ok) SELECT COALESCE(s.object_id, d.object_id) AS object_id, COALESCE(d.value, s.value) AS value FROM s FULL JOIN d ON s.object_id = d.object_id WHERE d.operation IS NULL OR d.operation <> 'delete'")
-def apply_batch_state(spark, sf_dir) -> DataFrame:
-    return _apply(spark, sf_dir)[0]
-
-
-@R.add("apply_batch_status", f"WITH {WRITES_SQL} SELECT batch_id, CASE WHEN ok THEN 'applied' ELSE 'abandoned' END AS status FROM ok")
-def apply_batch_status(spark, sf_dir) -> DataFrame:
-    return _apply(spark, sf_dir)[1]
-
-
-ALL_WRITES_SQL = """s AS (SELECT o_orderkey AS object_id, o_orderstatus AS value FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 5 = 0),
+WRITES_SQL = """s AS (SELECT o_orderkey AS object_id, o_orderstatus AS value FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 5 = 0),
 w AS (SELECT o_orderkey // 4 AS batch_id, CASE WHEN o_orderkey % 7 = 0 THEN 'create' WHEN o_orderkey % 8 = 5 THEN 'delete' ELSE 'update' END AS operation, o_orderkey AS object_id,
   CASE WHEN o_orderkey % 50 = 11 THEN 'stale' ELSE o_orderstatus END AS expected, 'N' AS value FROM orders),
 ok AS (SELECT batch_id, bool_and(CASE WHEN operation = 'create' THEN s.object_id IS NULL ELSE s.object_id IS NOT NULL AND s.value IS NOT DISTINCT FROM expected END) AS ok FROM w LEFT JOIN s USING (object_id) GROUP BY 1)"""
 
 
-def _apply_all(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _apply(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Every order is written; every seventh is created, and of those each fifth is there already."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     state = o.filter((k % 7 != 0) | (k % 5 == 0)).select(k.alias("object_id"), F.col("o_orderstatus").alias("value"))
@@ -209,21 +170,21 @@ def _apply_all(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return edits.apply_batch(state, writes)
 
 
-@R.add("apply_all_state", f"WITH {ALL_WRITES_SQL}, d AS (SELECT object_id, w.value, operation FROM w JOIN ok USING (batch_id) WHERE ok) SELECT COALESCE(s.object_id, d.object_id) AS object_id, COALESCE(d.value, s.value) AS value FROM s FULL JOIN d ON s.object_id = d.object_id WHERE d.operation IS NULL OR d.operation <> 'delete'")
-def apply_all_state(spark, sf_dir) -> DataFrame:
-    return _apply_all(spark, sf_dir)[0]
+@R.add("apply_batch_state", f"WITH {WRITES_SQL}, d AS (SELECT object_id, w.value, operation FROM w JOIN ok USING (batch_id) WHERE ok) SELECT COALESCE(s.object_id, d.object_id) AS object_id, COALESCE(d.value, s.value) AS value FROM s FULL JOIN d ON s.object_id = d.object_id WHERE d.operation IS NULL OR d.operation <> 'delete'")
+def apply_batch_state(spark, sf_dir) -> DataFrame:
+    return _apply(spark, sf_dir)[0]
 
 
-@R.add("apply_all_status", f"WITH {ALL_WRITES_SQL} SELECT batch_id, CASE WHEN ok THEN 'applied' ELSE 'abandoned' END AS status FROM ok")
-def apply_all_status(spark, sf_dir) -> DataFrame:
-    return _apply_all(spark, sf_dir)[1]
+@R.add("apply_batch_status", f"WITH {WRITES_SQL} SELECT batch_id, CASE WHEN ok THEN 'applied' ELSE 'abandoned' END AS status FROM ok")
+def apply_batch_status(spark, sf_dir) -> DataFrame:
+    return _apply(spark, sf_dir)[1]
 
 
-@R.add("approvals_all", """WITH t AS (SELECT o_orderkey AS write_id, k AS task FROM orders, (VALUES (0), (1)) v(k)),
+@R.add("approvals", """WITH t AS (SELECT o_orderkey AS write_id, k AS task FROM orders, (VALUES (0), (1)) v(k)),
 e AS (SELECT event_id // 2 AS write_id, * FROM events UNION ALL SELECT user_id AS write_id, * FROM events),
 d AS (SELECT write_id, event_id % 2 AS task, arg_max(CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'approved' END, (ts, event_id)) AS decision FROM e GROUP BY 1, 2)
 SELECT write_id, CASE WHEN bool_and(COALESCE(decision = 'approved', false)) THEN 'approved' WHEN bool_or(COALESCE(decision = 'rejected', false)) THEN 'rejected' ELSE 'undecided' END AS state FROM t LEFT JOIN d USING (write_id, task) GROUP BY 1""")
-def approvals_all(spark, sf_dir) -> DataFrame:
+def approvals(spark, sf_dir) -> DataFrame:
     """Two tasks for each order; an event decides one of a write of its own and one of its user's."""
     tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("write_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("task"))
     decisions = table(spark, sf_dir, "events").select(

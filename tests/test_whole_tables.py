@@ -11,15 +11,15 @@ def test_writes_and_decisions_cover_whole_tables(spark):
     run = lambda name: catalogue.QUERIES[name](spark, SF).collect()
     orders = {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}
     customers = {r.c_custkey for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
-    assert {r.write_id for r in run("approvals_all")} == orders
-    assert {r.batch_id for r in run("apply_all_status")} == {k // 4 for k in orders}
-    applied = {r.batch_id for r in run("apply_all_status") if r.status == "applied"}
+    assert {r.write_id for r in run("approvals")} == orders
+    assert {r.batch_id for r in run("apply_batch_status")} == {k // 4 for k in orders}
+    applied = {r.batch_id for r in run("apply_batch_status") if r.status == "applied"}
     state = {k for k in orders if k % 7 or k % 5 == 0}
     want = {k for k in orders if (k in state or k // 4 in applied) and not (k % 7 and k % 8 == 5 and k // 4 in applied)}
-    assert {r.object_id for r in run("apply_all_state")} == want
-    decided = run("standing_decisions_all")
+    assert {r.object_id for r in run("apply_batch_state")} == want
+    decided = run("standing_decisions")
     assert {r.proposal_id for r in decided} == customers
-    assert {r.proposal_id for r in run("approved_pairs_all")} == {r.proposal_id for r in decided if r.decision == "approved"}
+    assert {r.proposal_id for r in run("approved_pairs")} == {r.proposal_id for r in decided if r.decision == "approved"}
 
 
 def components(rows):
