@@ -29,12 +29,12 @@ def applied_since(spark, sf_dir) -> DataFrame:
     return _fields(edits.applied_since(write_log(spark, sf_dir), F.expr(SINCE)))
 
 
-@R.add("all_pending", f"WITH {LOG_SQL}, own AS (SELECT object_id FROM log WHERE status = 'pending' AND id % 20 = 0), flat AS (SELECT CAST(user_id AS VARCHAR) AS object_id FROM events e WHERE event_id // 3 IN (SELECT id FROM log WHERE status = 'pending' AND id % 20 = 10)) SELECT object_id, false AS batched, CAST(COUNT(*) AS BIGINT) AS n FROM own GROUP BY 1 UNION ALL SELECT object_id, true, COUNT(*) FROM flat WHERE object_id NOT IN (SELECT object_id FROM own) GROUP BY 1")
+@R.add("all_pending", f"WITH {LOG_SQL}, own AS (SELECT object_id FROM log WHERE status = 'pending' AND id % 20 = 0), flat AS (SELECT CAST(event_id AS VARCHAR) AS object_id FROM events WHERE event_id // 3 IN (SELECT id FROM log WHERE status = 'pending' AND id % 20 = 10)) SELECT object_id, false AS batched, CAST(COUNT(*) AS BIGINT) AS n FROM own GROUP BY 1 UNION ALL SELECT object_id, true, COUNT(*) FROM flat WHERE object_id NOT IN (SELECT object_id FROM own) GROUP BY 1")
 def all_pending(spark, sf_dir) -> DataFrame:
     """Every second pending entry stands for a batch; each event is a sub-write of the batch of a third of its id."""
     log = write_log(spark, sf_dir).withColumn("batch_id", F.when(F.col("id") % 20 == 10, F.concat(F.lit("b"), "id")))
     sub = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("b"), F.floor(F.col("event_id") / 3)).alias("batch_id"), F.lit("Customer").alias("object_type"), F.col("user_id").cast("string").alias("object_id"), F.lit("{}").alias("changes"),
+        F.concat(F.lit("b"), F.floor(F.col("event_id") / 3)).alias("batch_id"), F.lit("Customer").alias("object_type"), F.col("event_id").cast("string").alias("object_id"), F.lit("{}").alias("changes"),
     )
     return edits.all_pending(log, sub).groupBy("object_id", "batched").agg(F.count(F.lit(1)).alias("n"))
 
