@@ -4,8 +4,8 @@ A BPE encoding is the only path of pieces through a text on which every piece an
 neighbours encodes to itself. Taken as weights 0 (allowed) and -inf (not), encoding is a max-plus
 problem over boundary states, a state being the piece that crosses or ends at a chunk's boundary.
 Each chunk of a giant document gives a transfer matrix from its entry to its exit states; matrices
-combine by the max-plus product, which is associative; the states on the one finite path are then
-handed back and every chunk is backtraced on its own. Documents of one chunk need no matrix.
+combine pairwise by the max-plus product, which is associative, in a tree; the states on the one finite
+path are then handed down the tree and every chunk is backtraced on its own. Documents of one chunk need no matrix.
 
 No piece of such a model runs from a non-blank into a blank, so a word that begins in a chunk resets
 the state, and the words between the first and the last such place go to the library as they are.
@@ -24,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from objectlake.session import materialise
+
 from .tokens import checksum, id_lists, tokenizer_path
 
 BLANK = "▁"
 CHUNK = 32_768
+#: Matrices of one document that a task multiplies at once.
+FAN = 16
 #: Looked up by name on each executor; a path that all of them have will do too.
 MODEL = "piece_bpe_32k.model"
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -164,28 +168,59 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(tokenizer_path(path))
 
 
-def combine(chunks: list[tuple[list, list, np.ndarray]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """The entry and exit state of each chunk on the one path whose weight is finite."""
-    forward = [np.zeros(1)]
-    for k, (ins, outs, weight) in enumerate(chunks):
-        v = forward[-1]
-        if k:
-            place = {s: i for i, s in enumerate(chunks[k - 1][1])}
-            v = np.array([v[place[s]] if s in place else -np.inf for s in ins])
-        forward.append((v[:, None] + weight).max(axis=0) if len(ins) else np.full(len(outs), -np.inf))
-    end, chosen = len(chunks[-1][1]) - 1, []
-    state = max((s for s, x in zip(chunks[-1][1], forward[-1], strict=True) if x == 0), key=lambda s: s[0]) if end >= 0 else (0, 0)
-    for k in range(len(chunks) - 1, -1, -1):
-        ins, outs, weight = chunks[k]
-        column = weight[:, outs.index(state)]
-        if k:
-            alive = {s for s, x in zip(chunks[k - 1][1], forward[k], strict=True) if x == 0}
-            entry = next(s for s, w in zip(ins, column, strict=True) if w == 0 and s in alive)
-        else:
-            entry = ins[0]
-        chosen.append((entry, state))
-        state = entry
-    return chosen[::-1]
+Matrix = tuple[list, list, np.ndarray]
+
+
+def product(left: Matrix, right: Matrix) -> Matrix:
+    """The max-plus product of two neighbours: from the left one's entry to the right one's exit states."""
+    ins, mid, w = left
+    outs, place = right[1], {s: i for i, s in enumerate(right[0])}
+    best = np.full((len(ins), len(outs)), -np.inf)
+    for i, s in enumerate(mid):
+        if s in place:
+            np.maximum(best, w[:, i, None] + right[2][None, place[s], :], out=best)
+    return ins, outs, best
+
+
+def products(chunks: list[Matrix]) -> list[list[Matrix]]:
+    """Neighbours multiplied pairwise until one matrix is left: each round's matrices, the chunks first."""
+    rounds = [chunks]
+    while len(own := rounds[-1]) > 1:
+        rounds.append([product(*own[i : i + 2]) if i + 1 < len(own) else own[i] for i in range(0, len(own), 2)])
+    return rounds
+
+
+State = tuple[int, int]
+
+
+def hand_down(rounds: list[list[Matrix]], entry: State, exit_: State) -> list[tuple[State, State]]:
+    """The entry and exit state of each chunk, from those of the whole: each product's halves meet in one state."""
+    states = [(entry, exit_)]
+    for own in rounds[-2::-1]:
+        below = []
+        for i, (first, last) in zip(range(0, len(own), 2), states, strict=True):
+            if i + 1 == len(own):
+                below.append((first, last))
+                continue
+            (ins, mid, w), (mid_in, outs, v) = own[i], own[i + 1]
+            before, after = w[ins.index(first)], v[:, outs.index(last)]
+            place = {s: k for k, s in enumerate(mid_in)}
+            met = max((s for k, s in enumerate(mid) if s in place), key=lambda s: before[mid.index(s)] + after[place[s]])
+            below += [(first, met), (met, last)]
+        states = below
+    return states
+
+
+def whole_path(whole: Matrix) -> tuple[State, State]:
+    """Where the best path of a whole document begins and ends."""
+    ins, outs, weight = whole
+    return ins[0], max((s for s, x in zip(outs, weight[0], strict=True) if x > -np.inf), key=lambda s: s[0])
+
+
+def combine(chunks: list[Matrix]) -> list[tuple[State, State]]:
+    """The entry and exit state of each chunk on the best path."""
+    rounds = products(chunks)
+    return hand_down(rounds, *whole_path(rounds[-1][0]))
 
 
 STATES = "entries array<int>, exits array<int>, weight array<boolean>"
@@ -200,11 +235,59 @@ def _pairs(flat) -> list[tuple[int, int]]:
     return list(zip(flat[::2], flat[1::2], strict=True))
 
 
-def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def _matrix(entries, exits, weight) -> Matrix:
+    i, o = _pairs(entries), _pairs(exits)
+    return i, o, np.where(np.array(weight, bool), 0.0, -np.inf).reshape(len(i), len(o))
+
+
+def _matrices(f: pd.DataFrame) -> list[Matrix]:
+    return [_matrix(*x) for x in zip(f["entries"], f["exits"], f["weight"], strict=True)]
+
+
+def boundary_states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """key, chunk, entry and exit of every chunk of every document, from the chunks' transfer matrices.
+
+    A tree of products: fan neighbours are multiplied in one task, then fan of those products, until a
+    document has fan matrices or fewer; then the states go back down the same tree. So no task holds
+    more than fan matrices of a document at once, however long it is.
+    """
+    top = matrices.agg(F.max("chunk")).first()[0] or 0  # the longest document's number of chunks
+    levels = [matrices]
+    parent = F.floor(F.col("chunk") / fan).cast("int")
+
+    def multiplied(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("chunk")
+        ins, outs, weight = products(_matrices(f))[-1][0]
+        return pd.DataFrame({
+            "key": f["key"].iloc[:1].tolist(), "chunk": [int(f["chunk"].iloc[0]) // fan],
+            "entries": [_flat(ins, 0)], "exits": [_flat(outs, 0)], "weight": [(weight.ravel() == 0).tolist()],
+        })
+
+    while top >= fan:
+        above = levels[-1].withColumn("parent", parent).groupBy("key", "parent").applyInPandas(multiplied, f"key string, chunk int, {STATES}")
+        levels.append(materialise(above, "products"))
+        top //= fan
+
+    def placed(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("chunk")
+        rounds = products(_matrices(f))
+        ends = (_pairs(f["entry"].iloc[0])[0], _pairs(f["exit"].iloc[0])[0]) if "entry" in f else whole_path(rounds[-1][0])
+        states = hand_down(rounds, *ends)
+        return f[["key", "chunk"]].assign(entry=[_flat([a], 0) for a, _ in states], exit=[_flat([b], 0) for _, b in states])
+
+    schema = "key string, chunk int, entry array<int>, exit array<int>"
+    states = levels[-1].groupBy("key").applyInPandas(placed, schema)
+    for level in levels[-2::-1]:
+        above = states.withColumnRenamed("chunk", "parent")
+        states = level.withColumn("parent", parent).join(above, ["key", "parent"]).groupBy("key", "parent").applyInPandas(placed, schema)
+    return states
+
+
+def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, ids (array<int>), n_chunks for every document.
 
-    Null text counts as empty and has no ids. Repeated rows are encoded each. An empty table gives no
-    rows; other columns are not read.
+    Null text counts as empty and has no ids; a null doc_id is kept. Repeated rows are encoded each.
+    An empty table gives no rows; other columns are not read.
     """
     model = model or MODEL
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -218,10 +301,11 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     small = texts.filter(F.length("text") < chunk).mapInArrow(whole, "doc_id long, ids array<int>, n_chunks int")
 
     margin = codec(model).longest
-    key = ["doc_id", "key"]
+    key = ["doc_id", "key"]  # key names the row's id and text, and is never null
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.sha2("text", 256))
     giant = (
         texts.filter(F.length("text") >= chunk)
-        .groupBy("doc_id", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+        .groupBy("doc_id", named.alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
         .withColumn("text", F.concat(F.lit(BLANK), F.translate("text", " ", BLANK)))
     )
     n_chunks = F.ceil(F.length("text") / chunk).cast("int")
@@ -233,30 +317,21 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
             F.least(F.length("text"), (F.col("chunk") + 1) * chunk).alias("to"),
             F.substring("text", F.greatest(F.lit(0), F.col("chunk") * chunk - margin) + 1, F.lit(chunk + 2 * margin)).alias("slice"),
         )
-        .repartition(F.col("doc_id"), F.col("chunk"))
+        .repartition(F.col("key"), F.col("chunk"))
     )
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)
         for f in frames:
             found = [own.transfer(z, c * chunk - a, to - a) for c, a, to, z in zip(f["chunk"], f["from"], f["to"], f["slice"], strict=True)]
-            yield f[[*key, "chunk"]].assign(
+            yield f[["key", "chunk"]].assign(
                 entries=[_flat(i, a) for (i, _, _), a in zip(found, f["from"], strict=True)],
                 exits=[_flat(o, a) for (_, o, _), a in zip(found, f["from"], strict=True)],
                 weight=[(w.ravel() == 0).tolist() for _, _, w in found],
             )
 
-    def joined(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("chunk")
-        rows = []
-        for i, o, w in zip(f["entries"], f["exits"], f["weight"], strict=True):
-            i, o = _pairs(i), _pairs(o)
-            rows.append((i, o, np.where(np.array(w, bool), 0.0, -np.inf).reshape(len(i), len(o))))
-        states = combine(rows)
-        return f[[*key, "chunk"]].assign(entry=[_flat([a], 0) for a, _ in states], exit=[_flat([b], 0) for _, b in states])
-
-    found = chunks.select(*key, "chunk", "from", "to", "slice").mapInPandas(matrices, f"doc_id long, key string, chunk int, {STATES}")
-    states = found.groupBy(*key).applyInPandas(joined, "doc_id long, key string, chunk int, entry array<int>, exit array<int>")
+    found = chunks.select("key", "chunk", "from", "to", "slice").mapInPandas(matrices, f"key string, chunk int, {STATES}")
+    states = boundary_states(materialise(found, "matrices"), fan)
 
     def traced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)
@@ -266,7 +341,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
                 ids.append(np.frombuffer(own.backtrace(z, c * chunk - a, to - a, (q - a, m), (x - a, n)), "<u4").astype("i4"))
             yield f[[*key, "times", "n_chunks", "chunk"]].assign(ids=ids)
 
-    parts = chunks.join(states, [*key, "chunk"]).mapInPandas(traced, "doc_id long, key string, times long, n_chunks int, chunk int, ids array<int>")
+    parts = chunks.join(states, ["key", "chunk"]).mapInPandas(traced, "doc_id long, key string, times long, n_chunks int, chunk int, ids array<int>")
     large = (
         parts.groupBy(*key, "times", "n_chunks")
         .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))

@@ -246,13 +246,30 @@ def test_chunks_encode_as_the_library_does(codec, text, chunk):
 def test_giant_documents_round_trip(spark, codec):
     texts = ["word " * 3000, "ab" * 5000, "x" * 9000, "日本語" * 4000, "a  b " * 2500, " " * 9000 + "end"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
-    encoded = pieces.encode(docs, chunk=4096).cache()
+    encoded = pieces.encode(docs, chunk=1024, fan=2).cache()  # up to 15 chunks: three levels of products
     for r in encoded.collect():
-        assert r.ids == codec.model.encode(texts[r.doc_id]) and r.n_chunks > 1
+        assert r.ids == codec.model.encode(texts[r.doc_id]) and r.n_chunks > 4
     assert encoded.count() == 7
     assert {r.doc_id: r.text for r in pieces.decode(encoded).collect()} == dict(enumerate(texts))
 
 
+def test_products_are_associative(codec):
+    z, size = pieces.BLANK + "xyzzy" * 40, 24
+    cuts = [(k, min(len(z), k + size)) for k in range(0, len(z), size)]
+    chunks = [codec.transfer(z, *c) for c in cuts]
+    left = chunks[0]
+    for c in chunks[1:]:
+        left = pieces.product(left, c)
+    tree = pieces.products(chunks)[-1][0]
+    assert left[:2] == tree[:2] and np.array_equal(left[2], tree[2]) and (tree[2] == 0).any()
+
+
+def test_giant_documents_without_an_id(spark, codec):
+    texts = ["ab " * 3000, "x" * 5000]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert sorted(r.ids for r in pieces.encode(docs, chunk=2048).collect()) == sorted(map(codec.model.encode, texts))
+
+
 # Packing
 
 
