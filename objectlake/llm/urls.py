@@ -11,16 +11,20 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from objectlake.session import materialise
+
 from .expressions import count_of, let, thinned
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Labelled urls that the trees are fitted on, at most; chosen by hash of the url, so by no order of the table.
 TRAINING_ROWS = 50_000
-#: Suffixes with statistics of their own, the most frequent ones; others share the prior.
-SUFFIXES = 1_000
+#: Parts of the labelled urls; a labelled url's suffix statistics come from the other parts.
+FOLDS = 5
+#: Labelled urls that the prior counts for in a suffix's share of blocked ones.
+PRIOR_WEIGHT = 10
 
 
 @dataclass(frozen=True)
@@ -101,27 +105,38 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
+def suffix_features(stats: DataFrame, n: int, prior: float) -> DataFrame:
+    """suffix, fold, its share of all n rows, and the share of blocked ones among the labels of other folds.
+
+    stats: a row (n, labelled, blocked) for each suffix and fold; fold -1 holds the rows without a label.
+    """
+    whole = Window.partitionBy("suffix")  # FOLDS + 1 rows at most
+    others = lambda c: F.sum(c).over(whole) - F.col(c)  # noqa: E731  # fold -1 has no labels to leave out
+    return stats.select(
+        "suffix", "fold", (F.sum("n").over(whole) / max(n, 1)).alias("suffix_share"),
+        ((others("blocked") + PRIOR_WEIGHT * prior) / (others("labelled") + PRIOR_WEIGHT)).alias("suffix_blocked"),
+    )
+
+
 def filter_urls(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict (and p_block) of every page.
 
     A rule's verdict stands; otherwise the trees decide. If the labelled urls hold one verdict only,
-    that verdict is taken, and allow if there are none. Repeated rows are judged alike.
+    that verdict is taken, and allow if there are none. Repeated rows are judged alike. Suffix
+    statistics cover all rows and every suffix; a labelled url's are out of fold, so that its own label
+    does not reach its features.
     """
-    seen = lexical(pages.select("page_id", "url"))
+    fold = F.when(F.col("ruled").isNull(), -1).otherwise(F.pmod(F.xxhash64("url"), F.lit(FOLDS))).cast("int")
+    seen = lexical(pages.select("page_id", "url")).withColumn("fold", fold)
     blocked = (F.col("ruled") == "block").cast("double")
-    stats = (
-        seen.groupBy("suffix")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.coalesce(F.sum(blocked), F.lit(0.0)).alias("blocked"))
-        .orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
+    stats = materialise(
+        seen.groupBy("suffix", "fold").agg(
+            F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.coalesce(F.sum(blocked), F.lit(0.0)).alias("blocked")
+        ), "suffixes",
     )
-    top = stats.collect()  # SUFFIXES rows at most
-    n, known, bad = (sum(r[c] for r in top) for c in ("n", "labelled", "blocked"))
+    n, known, bad = (x or 0 for x in stats.agg(F.sum("n"), F.sum("labelled"), F.sum("blocked")).first())
     prior = (bad + 1) / (known + 2)
-    table = seen.sparkSession.createDataFrame(
-        [(r["suffix"], r["n"] / max(n, 1), (r["blocked"] + 10 * prior) / (r["labelled"] + 10)) for r in top],
-        "suffix string, suffix_share double, suffix_blocked double",
-    )
-    full = seen.join(F.broadcast(table), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": prior})
+    full = seen.join(suffix_features(stats, n, prior), ["suffix", "fold"])
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
     plain = vectors.select("page_id", "host", "path", "rule", "ruled")
     if not 0 < bad < known:

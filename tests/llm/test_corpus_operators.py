@@ -186,6 +186,26 @@ def test_urls(spark):
         assert got.verdict == (max(fits)[2] if fits else ("block" if got.p_block >= 0.5 else "allow"))
 
 
+def test_suffix_statistics_are_out_of_fold_and_cover_every_suffix(spark):
+    rows = [(f"s{k}", f, k % 5 + 1, 0 if f < 0 else k % 5 + 1, 0.0 if f < 0 else float((k + f) % 2)) for k in range(3000) for f in (-1, 0, 1)]
+    stats = spark.createDataFrame(rows, "suffix string, fold int, n long, labelled long, blocked double")
+    n, own = sum(r[2] for r in rows), {}
+    for r in rows:
+        own.setdefault(r[0], []).append(r)
+    found = {(r.suffix, r.fold): r for r in urls.suffix_features(stats, n, 0.25).collect()}
+    assert len(found) == 9000
+    for suffix, fold, *_ in rows:
+        rest = [r for r in own[suffix] if r[1] != fold]
+        got = found[suffix, fold]
+        assert got.suffix_share == pytest.approx(sum(r[2] for r in own[suffix]) / n)
+        assert got.suffix_blocked == pytest.approx((sum(r[4] for r in rest) + 2.5) / (sum(r[3] for r in rest) + 10))
+
+
+def test_urls_of_many_suffixes_are_all_judged(spark):
+    pages = spark.range(6000).selectExpr("id page_id", "case when id % 2 = 0 then concat('http://h', id, '.com/', if(id % 4 = 0, 'en/', 'xx/')) else concat('http://a.net', id, '/de/') end url")
+    assert urls.filter_urls(pages).filter("verdict in ('allow', 'block')").count() == 6000
+
+
 # Sharding
 
 
@@ -211,6 +231,16 @@ def test_weight_changes_stay_in_their_subtree(spark):
     assert abs(counts[0] / 20_000 - 2 / 25) < 0.01
 
 
+def test_slots_of_a_row_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 500)
+    docs = spark.range(6000).selectExpr("if(id < 4000, 7, id) doc_id", "if(id < 4000, 'same', concat('t', id)) text")
+    slots = {}
+    for r in sharding.shard_documents(docs).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sum(map(len, slots.values())) == 6000
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+
+
 # SentencePiece
 
 
