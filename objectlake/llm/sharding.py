@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from objectlake.session import materialise
+
 from .expressions import text_or_empty
 
 #: Rows that one bucket of a shard is meant to hold while slots are numbered.
@@ -103,15 +105,18 @@ def assign(docs: DataFrame, tree: tuple[Node, ...] | None = None) -> DataFrame:
     )
 
 
-def number_slots(assigned: DataFrame, n_rows: int) -> DataFrame:
+def number_slots(assigned: DataFrame) -> DataFrame:
     """assigned with slot: 0, 1, ... within each shard, without gathering a shard in one task.
 
-    Rows of a shard are dealt into buckets by the hash of their key; a bucket's first slot is the
+    Rows of a shard are dealt into buckets by the hash of that number; a bucket's first slot is the
     number of rows in the shard's buckets before it. Only one short row per bucket is summed up.
+    The rows are written down with a number of their own first and are dealt by it, so that a row
+    repeated very often doesn't gather in one task.
     Rows that are alike in every column may swap slots.
     """
-    n_buckets = max(1, n_rows // SLOT_ROWS)
-    dealt = assigned.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_buckets)))
+    numbered = materialise(assigned.withColumn("_row", F.monotonically_increasing_id()), "assigned")
+    n_buckets = max(1, numbered.count() // SLOT_ROWS)
+    dealt = numbered.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(n_buckets)))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = (
         dealt.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -122,7 +127,7 @@ def number_slots(assigned: DataFrame, n_rows: int) -> DataFrame:
         dealt.withColumn("_own", F.row_number().over(own) - 1)
         .join(first, ["shard", "_bucket"])
         .withColumn("slot", (F.col("_first") + F.col("_own")).cast("long"))
-        .drop("_bucket", "_own", "_first")
+        .drop("_bucket", "_own", "_first", "_row")
     )
 
 
@@ -131,7 +136,7 @@ def shard_documents(docs: DataFrame, tree: tuple[Node, ...] | None = None) -> Da
 
     An empty table gives no rows; further columns of docs, whatever their names, are not read.
     """
-    return number_slots(assign(docs.select("doc_id", "text"), tree), docs.count()).select(
+    return number_slots(assign(docs.select("doc_id", "text"), tree)).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
 
