@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import coerce
@@ -72,19 +73,24 @@ def split_duplicates(rows: DataFrame, key: list[str], keep_last_by: str | None =
 
     With keep_last_by, the row with the greatest value of it is kept, provided that the group's values
     are all there and all different; a group of which that is not so goes to the others as a whole.
+
+    Keys are counted before they are joined back, so that no group, NULL's neither, gathers in one task.
     """
-    w = Window.partitionBy(*key)
-    n = F.count(F.lit(1)).over(w)
+    names = {c: f"_key_{i}" for i, c in enumerate(key)}
+    renamed = [F.col(c).alias(name) for c, name in names.items()]
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(name)) for c, name in names.items()])
     if keep_last_by is None:
-        counted = rows.withColumn("_n", n)
+        counts = rows.groupBy(*renamed).agg(F.count(F.lit(1)).alias("_n"))
+        counted = rows.join(counts, same).drop(*names.values())
         return counted.filter("_n = 1").drop("_n"), counted.filter("_n > 1").drop("_n")
     c = F.col(keep_last_by)
-    # Sums over the group instead of a set of its values: equal neighbours in order are repeats.
-    ranked = rows.withColumn("_n", n).withColumn("_rank", F.row_number().over(w.orderBy(c.desc_nulls_first())))
-    ranked = ranked.withColumn("_same", F.coalesce((c == F.lag(c).over(w.orderBy(c.desc_nulls_first()))).cast("int"), F.lit(0)))
-    ranked = ranked.withColumn("_clear", (F.count(c).over(w) == F.col("_n")) & (F.sum("_same").over(w) == 0))
-    kept = (F.col("_n") == 1) | (F.col("_clear") & (F.col("_rank") == 1))
-    marks = ["_n", "_rank", "_same", "_clear"]
+    values = rows.groupBy(*renamed, c.alias("_value")).agg(F.count(F.lit(1)).alias("_times"))
+    groups = values.groupBy(*names.values()).agg(
+        F.sum("_times").alias("_n"), F.max("_value").alias("_last"), ((F.max("_times") == 1) & (F.count("_value") == F.count(F.lit(1)))).alias("_clear")
+    )
+    kept = (F.col("_n") == 1) | (F.col("_clear") & F.coalesce(c == F.col("_last"), F.lit(False)))
+    marks = [*names.values(), "_n", "_last", "_clear"]
+    ranked = rows.join(groups, same)
     return ranked.filter(kept).drop(*marks), ranked.filter(~kept).drop(*marks)
 
 

@@ -12,7 +12,7 @@ from .components import connected_components
 
 #: Fellegi-Sunter: agreement given a match and given none, and the share of pairs that match.
 M, U, PRIOR = 0.9, 0.01, 0.001
-REVIEW, PROPOSE = 0.5, 0.95
+REVIEW, PROPOSE = 0.8, 0.95
 
 
 def fuse(storages: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -138,7 +138,7 @@ class ObjectSet:
     def page(self, order: str | None = None, start: int = 0, size: int = PAGE) -> DataFrame:
         """A page of readable fields. The size is held between 1 and MAX_PAGE; a start outside the set is 0."""
         size = min(MAX_PAGE, max(1, size))
-        start = start if 0 <= start < self.rows.count() else 0
+        start = start if start > 0 and self.rows.select(self.id).limit(start + 1).count() > start else 0
         rows = self.rows.orderBy(*self.ordered(order)).offset(start).limit(size) if start else self.rows.orderBy(*self.ordered(order)).limit(size)
         return secure.readable(self.ontology, self.type_name, self.user, rows)
 

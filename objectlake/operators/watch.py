@@ -10,9 +10,11 @@ def count_watch(before: DataFrame, now: DataFrame, threshold: int | None = None)
     """condition, user_id, verdict of changed counts; both: condition, user_id, n.
 
     Without an earlier count nothing is said. With a threshold: above when it is passed, still above
-    when the count then changes; else gained or fell.
+    when the count then changes; else gained or fell. Where both have a definition of the condition, a
+    count taken under another definition is no earlier count, so that a changed condition says nothing.
     """
-    both = now.join(before.withColumnRenamed("n", "was"), ["condition", "user_id"], "left").filter("was is not null and n <> was")
+    keys = ["condition", "user_id", *(c for c in ("definition",) if c in before.columns and c in now.columns)]
+    both = now.join(before.withColumnRenamed("n", "was"), keys, "left").filter("was is not null and n <> was")
     verdict = F.when(F.col("n") > F.col("was"), F.concat(F.lit("gained "), F.col("n") - F.col("was"))).otherwise(F.concat(F.lit("fell "), F.col("was") - F.col("n")))
     if threshold is not None:
         above = F.col("n") > threshold
@@ -20,6 +22,16 @@ def count_watch(before: DataFrame, now: DataFrame, threshold: int | None = None)
     return both.withColumn("verdict", verdict).filter("verdict is not null").select("condition", "user_id", "n", "verdict")
 
 
+def baseline(before: DataFrame, now: DataFrame) -> DataFrame:
+    """The counts that the next run compares with: this run's, and earlier ones of conditions not counted in it.
+
+    Both: condition, user_id, definition, n. A condition counted under a new definition starts anew.
+    """
+    counted = now.select("condition").distinct()
+    columns = ["condition", "user_id", "definition", "n"]
+    return now.select(columns).unionByName(before.select(columns).join(counted, "condition", "left_anti"))
+
+
 def unrepeated(fired: DataFrame, notified: DataFrame) -> DataFrame:
     """Those whose (condition, user_id, verdict) has not been sent."""
     return fired.join(notified, ["condition", "user_id", "verdict"], "left_anti")

@@ -141,12 +141,20 @@ def history_of_object(spark, sf_dir) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).select("object_id", "change", "publication")
 
 
-@R.add("source_type_drift", """WITH b(col, ty) AS (VALUES ('o_orderkey', 'int'), ('o_custkey', 'bigint'), ('o_orderstatus', 'int')), n AS (SELECT COUNT(*) AS n FROM orders)
-SELECT 'o_orderkey' AS "column", 'int' AS was, 'bigint' AS now, 'widened' AS verdict FROM n UNION ALL SELECT 'o_orderstatus', 'int', 'string', 'CHANGED' FROM n""")
+@R.add("source_type_drift", """SELECT 'o_orderkey' AS "column", 'int' AS was, 'bigint' AS now, 'widened' AS verdict, CAST(COUNT(o_orderkey) AS BIGINT) AS filled, CAST(COUNT(DISTINCT o_orderkey) AS BIGINT) AS "values" FROM orders
+UNION ALL SELECT 'o_orderstatus', 'int', 'string', 'CHANGED', COUNT(o_orderstatus), COUNT(DISTINCT o_orderstatus) FROM orders""")
 def source_type_drift(spark, sf_dir) -> DataFrame:
+    """Columns whose type changed, with what they hold: the values that readers of the old type would meet."""
     before = spark.createDataFrame([("o_orderkey", "int"), ("o_custkey", "bigint"), ("o_orderstatus", "int")], "column string, type string")
     now = spark.createDataFrame(list(tables.source_types(orders_v1(spark, sf_dir)).items()), "column string, type string")
-    return changes.type_drift(before, now)
+    return changes.type_drift(before, now).join(_held_values(table(spark, sf_dir, "orders")), "column")
+
+
+def _held_values(rows: DataFrame) -> DataFrame:
+    """column, filled, values: how many rows have a value in each column, and how many different ones there are."""
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in rows.columns])).alias("_"))
+    counted = each.select("_.*").filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("column").agg(F.sum("n").alias("filled"), F.count(F.lit(1)).alias("values"))
 
 
 def _held(spark, sf_dir) -> DataFrame:
@@ -189,10 +197,15 @@ def unchanged_fingerprint(spark, sf_dir) -> DataFrame:
     return tables.fingerprint(v1).select(F.col("n").alias("rows"), F.lit(same).alias("same_reordered"), F.lit(edited).alias("same_edited"))
 
 
-@R.add("columns_changed", "SELECT CAST(COUNT(*) AS BIGINT) AS rows, true AS rebuilt FROM orders")
+ORDERS = {"o_orderkey": False, "o_custkey": False, "o_orderstatus": False, "o_totalprice": True, "o_orderdate": True, "o_orderpriority": True}
+
+
+@R.add("columns_changed", " UNION ALL ".join(f'SELECT \'{c}\' AS "column", CAST(COUNT({c}) AS BIGINT) AS filled, CAST(COUNT(DISTINCT {c}) AS BIGINT) AS "values", {added} AS added, true AS rebuilt FROM orders' for c, added in ORDERS.items()))
 def columns_changed(spark, sf_dir) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return orders.agg(F.count(F.lit(1)).alias("rows")).withColumn("rebuilt", F.lit(changes.columns_changed(orders_v1(spark, sf_dir), orders)))
+    """What each column holds, whether it is new since the first version, and whether the table is built anew for it."""
+    orders, before = table(spark, sf_dir, "orders"), orders_v1(spark, sf_dir)
+    found = _held_values(orders).withColumn("added", ~F.col("column").isin(before.columns))
+    return found.withColumn("rebuilt", F.lit(changes.columns_changed(before, orders)))
 
 
 def _lake(spark) -> Lake:
@@ -257,7 +270,7 @@ def lake_overview(spark, sf_dir) -> DataFrame:
     return tables.recent_snapshots(lake.log()).filter("current").join(held.withColumn("table", F.concat(F.lit("silver_"), "table")), "table", "left").select("table", "version", "rows", F.coalesce("held", F.lit(0)).alias("held"))
 
 
-@R.add("bulk_rows", "SELECT i AS id, CASE WHEN i % 2 = 0 THEN 'owner-a' ELSE 'owner-b' END AS owner, i + 10 AS amount, 'bulk-' || (i % 5) AS category FROM range((SELECT COUNT(*) FROM orders)) t(i)")
+@R.add("bulk_rows", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'owner-a' ELSE 'owner-b' END AS owner, o_orderkey + 10 AS amount, 'bulk-' || (o_orderkey % 5) AS category FROM orders")
 def bulk_rows(spark, sf_dir) -> DataFrame:
-    """As many synthetic rows as there are orders."""
-    return tables.bulk_rows(spark, table(spark, sf_dir, "orders").count())
+    """A transaction for each order."""
+    return tables.bulk_rows(table(spark, sf_dir, "orders"), "o_orderkey")

@@ -40,6 +40,28 @@ def count_watch_changes(spark, sf_dir) -> DataFrame:
     return watch.unrepeated(fired, fired.filter("condition = 'click' and verdict like 'gained%'").select("condition", "user_id", "verdict"))
 
 
+REDEFINED_SQL = """b AS (SELECT event_type AS condition, CAST(user_id AS VARCHAR) AS user_id, 'v1' AS definition, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2),
+a AS (SELECT event_type AS condition, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_type = 'error' THEN 'v2' ELSE 'v1' END AS definition, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE event_type <> 'click' GROUP BY 1, 2)"""
+
+
+def _redefined(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Counts up to a day and up to now; by then errors are counted under a new definition and clicks no longer."""
+    e = table(spark, sf_dir, "events").withColumn("condition", F.col("event_type")).withColumn("user_id", F.col("user_id").cast("string"))
+    count = lambda rows: rows.groupBy("condition", "user_id", "definition").agg(F.count(F.lit(1)).alias("n"))
+    before = count(e.filter("ts < timestamp '2024-01-20 00:00:00'").withColumn("definition", F.lit("v1")))
+    return before, count(e.filter("event_type <> 'click'").withColumn("definition", F.when(F.col("condition") == "error", "v2").otherwise("v1")))
+
+
+@R.add("watch_redefined", f"WITH {REDEFINED_SQL} SELECT condition, user_id, a.n, CASE WHEN a.n > b.n THEN 'gained ' || (a.n - b.n) ELSE 'fell ' || (b.n - a.n) END AS verdict FROM a JOIN b USING (condition, user_id) WHERE a.n <> b.n AND a.definition = b.definition")
+def watch_redefined(spark, sf_dir) -> DataFrame:
+    return watch.count_watch(*_redefined(spark, sf_dir))
+
+
+@R.add("watch_baseline", f"WITH {REDEFINED_SQL} SELECT condition, user_id, definition, n FROM a UNION ALL SELECT condition, user_id, definition, n FROM b WHERE condition NOT IN (SELECT condition FROM a)")
+def watch_baseline(spark, sf_dir) -> DataFrame:
+    return watch.baseline(*_redefined(spark, sf_dir))
+
+
 @R.add("trigger_proposals", "WITH n AS (SELECT user_id, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS request_id, event_id AS object_id FROM events JOIN n USING (user_id) WHERE event_type = 'error' AND n > 12")
 def trigger_proposals(spark, sf_dir) -> DataFrame:
     """Users with more than twelve errors fire; each error becomes a sub-write of a proposed action."""

@@ -101,6 +101,24 @@ def test_duplicates(spark):
     assert sorted((r.k or 0, r.v) for r in kept.collect()) == [(0, 2), (1, 2), (4, 0)]
 
 
+def test_duplicates_of_two_key_columns_and_a_hot_null_key(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2000, null, id div 2) a", "if(id < 2000, null, 'x') b", "id v")
+    alone, others = clean.split_duplicates(rows, ["a", "b"])
+    assert alone.count() == 0 and others.count() == 3000
+    kept, _ = clean.split_duplicates(rows, ["a", "b"], "v")
+    assert {r.v for r in kept.collect()} == {1999} | set(range(2001, 3000, 2)) and kept.columns == rows.columns
+
+
+def test_a_changed_condition_starts_a_new_baseline(spark):
+    counts = lambda *rows: spark.createDataFrame(rows, "condition string, user_id string, definition string, n long")
+    before = counts(("c", "u", "v1", 5), ("d", "u", "v1", 5), ("gone", "u", "v1", 7))
+    now = counts(("c", "u", "v2", 9), ("d", "u", "v1", 6))
+    assert [(r.condition, r.verdict) for r in watch.count_watch(before, now).collect()] == [("d", "gained 1")]
+    kept = watch.baseline(before, now)
+    assert sorted(map(tuple, kept.collect())) == [("c", "u", "v2", 9), ("d", "u", "v1", 6), ("gone", "u", "v1", 7)]
+    assert watch.count_watch(kept, counts(("c", "u", "v2", 8))).first().verdict == "fell 1"
+
+
 SNAPSHOT = st.dictionaries(st.integers(0, 20), st.one_of(st.none(), st.sampled_from("abc")), max_size=12)
 
 
