@@ -40,8 +40,13 @@ class Constraint:
         return F.coalesce(bad, F.lit(False))
 
 
+BROKEN = "array<struct<field string, reason string, policy string>>"
+
+
 def violations(constraints: list[Constraint]) -> Column:
-    """An array of struct(field, reason, policy), one for each constraint that a row breaks."""
+    """An array of struct(field, reason, policy), one for each constraint that a row breaks; empty without constraints."""
+    if not constraints:
+        return F.from_json(F.lit("[]"), BROKEN)
     return F.array_compact(F.array(*[
         F.when(k.broken(), F.struct(F.lit(k.field).alias("field"), F.lit(k.kind).alias("reason"), F.lit(k.policy).alias("policy"))) for k in constraints
     ]))

@@ -1,4 +1,4 @@
-"""Connected components of a graph given as pairs of long ids."""
+"""Connected components of a graph given as pairs of ids."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from objectlake.session import discard, materialise
 
 
-def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """(id, component) for every id in links; component is the smallest id that it is connected to.
+def connected_components(links: DataFrame, left: str = "a", right: str = "b", kind: str = "long") -> DataFrame:
+    """(id, component) for every id in links; component is the smallest id that it is connected to. Ids are of type kind.
 
     Large-star and small-star steps: each id hands its smallest neighbour to its other neighbours, so
     long chains shrink to stars in a logarithmic number of rounds. Only edges move; each round is
     written out, which cuts lineage, and the rounds end when no edge changes.
     """
-    both = links.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).filter("a is not null and b is not null")
+    both = links.select(F.col(left).cast(kind).alias("a"), F.col(right).cast(kind).alias("b")).filter("a is not null and b is not null")
     ids = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
     edges = materialise(both.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:

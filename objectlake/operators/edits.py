@@ -245,6 +245,21 @@ def current_status(events: DataFrame) -> DataFrame:
     return events.groupBy("write_id").agg(F.max_by("status", "seq").alias("status"))
 
 
+def settled(events: DataFrame) -> DataFrame:
+    """write_id, status, refused: a pending write becomes applied or abandoned once, and stays so.
+
+    events: as for current_status. What comes before the write is pending, or after it is settled, is
+    refused and counted; a write that was never pending has no row.
+    """
+    opened = events.filter("status = 'pending'").groupBy("write_id").agg(F.min("seq").alias("_opened"))
+    later = (F.col("status") != "pending") & (F.col("seq") > F.col("_opened"))
+    each = events.join(opened, "write_id").groupBy("write_id").agg(
+        F.min_by(F.when(later, F.col("status")), F.when(later, F.col("seq"))).alias("_end"), F.count_if(F.col("status") != "pending").alias("_asked"),
+    )
+    ended = F.col("_end").isNotNull()
+    return each.select("write_id", F.coalesce("_end", F.lit("pending")).alias("status"), (F.col("_asked") - ended.cast("long")).alias("refused"))
+
+
 def apply_batch(state: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The new state, and (batch_id, status): a batch is applied as a whole or abandoned.
 

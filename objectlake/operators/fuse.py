@@ -40,10 +40,10 @@ def sourced(sources: dict[str, tuple[DataFrame, str]], columns: list[str]) -> Da
 
 
 def _key(columns: list[str]) -> Column:
-    """The match key, NULL if a part is NULL or blank."""
+    """A digest of the match key, NULL if a part is NULL or blank; keys may be long texts, which are not shuffled."""
     parts = [F.trim(F.col(c).cast("string")) for c in columns]
     whole = reduce(Column.__and__, [p.isNotNull() & (p != "") for p in parts])
-    return F.when(whole, F.to_json(F.struct(*[p.alias(c) for p, c in zip(parts, columns, strict=True)])))
+    return F.when(whole, F.sha2(F.to_json(F.struct(*[p.alias(c) for p, c in zip(parts, columns, strict=True)])), 256))
 
 
 def entity_id(source: str = "source", rank: str = "rank", source_id: str = "source_id") -> Column:
@@ -51,23 +51,37 @@ def entity_id(source: str = "source", rank: str = "rank", source_id: str = "sour
     return F.when(F.col(rank) == 0, F.col(source_id)).otherwise(F.concat_ws(":", source, source_id))
 
 
-def resolve(rows: DataFrame, match_on: list[str], security: str | None = None) -> DataFrame:
+def join_groups(rows: DataFrame, approved: DataFrame) -> DataFrame:
+    """rows with the groups (_group) that approved pairs connect made one, transitively.
+
+    approved: left, right, each <source>:<source_id>; a pair that names an unknown row counts for nothing.
+    """
+    named = rows.select(F.concat_ws(":", "source", "source_id").alias("_name"), "_group").distinct()
+    end = lambda side, to: named.select(F.col("_name").alias(side), F.col("_group").alias(to))
+    pairs = approved.select("left", "right").distinct().join(end("left", "a"), "left").join(end("right", "b"), "right").select("a", "b")
+    joined = connected_components(pairs, kind="string").select(F.col("id").alias("_group"), "component")
+    return rows.join(joined, "_group", "left").withColumn("_group", F.coalesce("component", "_group")).drop("component")
+
+
+def resolve(rows: DataFrame, match_on: list[str], security: str | None = None, approved: DataFrame | None = None) -> DataFrame:
     """rows (of sourced) with entity_id and refused.
 
     Rows that agree on the key are one entity, named by the member of the first source, smallest id
-    first. A row without a whole key stands alone. With security, a group whose members differ in it is
+    first. A row without a whole key stands alone. Approved pairs (see join_groups) join groups that the
+    key left apart. With security, a group whose members differ in it is
     refused: its rows stand alone. Groups are aggregated and joined back, so a hot key is not gathered.
     """
-    own = rows.withColumn("_key", _key(match_on)).withColumn("_own", entity_id())
+    alone = F.concat_ws(":", F.lit("row"), "source", "source_id")
+    own = rows.withColumn("_group", F.coalesce(_key(match_on), alone)).withColumn("_own", entity_id())
+    if approved is not None:
+        own = join_groups(own, approved)
     disagree = (F.min(security) != F.max(security)) if security else F.lit(False)
-    groups = own.filter("_key is not null").groupBy("_key").agg(
+    groups = own.groupBy("_group").agg(
         F.min_by("_own", F.struct("rank", "source_id")).alias("_entity"), F.coalesce(disagree, F.lit(False)).alias("_refused"),
     )
-    joined = own.join(groups, "_key", "left")
-    refused = F.coalesce("_refused", F.lit(False))
-    return joined.withColumn("entity_id", F.when(refused, F.col("_own")).otherwise(F.coalesce("_entity", "_own"))).withColumn(
-        "refused", refused
-    ).drop("_key", "_own", "_entity", "_refused")
+    return own.join(groups, "_group").withColumn("entity_id", F.when(F.col("_refused"), F.col("_own")).otherwise(F.col("_entity"))).withColumn(
+        "refused", F.col("_refused")
+    ).drop("_group", "_own", "_entity", "_refused")
 
 
 def merge_approved(pairs: DataFrame) -> DataFrame:
@@ -81,14 +95,14 @@ def merged_count(resolved: DataFrame) -> DataFrame:
 
 
 def survivors(resolved: DataFrame, fields: list[str], order: dict[str, list[str]] | None = None) -> DataFrame:
-    """entity_id and each field's first non-NULL value in the declared order of sources, else by rank."""
+    """entity_id, each field's first non-NULL value in the declared order of sources, else by rank, its source, _fused_from."""
     place = {}
     for f in fields:
         declared = (order or {}).get(f)
         rank = F.col("rank") if not declared else F.coalesce(*[F.when(F.col("source") == s, F.lit(k)) for k, s in enumerate(declared)], F.lit(len(declared)) + F.col("rank"))
         place[f] = F.min(F.when(F.col(f).isNotNull(), F.struct(rank.alias("k"), F.col("source_id").alias("i"), F.col(f).alias("v"), F.col("source").alias("s")))).alias(f"_{f}")
-    chosen = resolved.groupBy("entity_id").agg(*place.values())
-    return chosen.select("entity_id", *[F.col(f"_{f}.v").alias(f) for f in fields], *[F.col(f"_{f}.s").alias(f"{f}_source") for f in fields])
+    chosen = resolved.groupBy("entity_id").agg(*place.values(), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("_fused_from"))
+    return chosen.select("entity_id", *[F.col(f"_{f}.v").alias(f) for f in fields], *[F.col(f"_{f}.s").alias(f"{f}_source") for f in fields], "_fused_from")
 
 
 def conflicts(resolved: DataFrame, chosen: DataFrame, fields: list[str]) -> DataFrame:

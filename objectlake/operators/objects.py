@@ -106,11 +106,10 @@ class ObjectSet:
         return there.among(pairs.select("target_id"))
 
     def reverse_links(self, name: str) -> DataFrame:
-        """source_id with its visible targets, sorted; a source without any has no row."""
+        """(source_id, target_id), one row for each visible target; a source without any has no row."""
         pairs, link = self.link_pairs(name)
         there = ObjectSet.of(self.ontology, link.target, self.load, self.user)
-        seen = pairs.join(there.rows.select(F.col(there.id).alias("target_id")), "target_id", "left_semi")
-        return seen.groupBy("source_id").agg(F.sort_array(F.collect_set("target_id")).alias("target_ids"))
+        return pairs.join(there.rows.select(F.col(there.id).alias("target_id")), "target_id", "left_semi").select("source_id", "target_id").distinct()
 
     def link_counts(self, *names: str) -> DataFrame:
         """source_id, link, n: distinct visible targets of each link of each object, 0 among them."""
@@ -171,6 +170,29 @@ class ObjectSet:
         return each.groupBy("x.facet", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Undeclared(ValueError):
+    """A function reaches for a type that it does not declare; an authoring fault, so it is not answered with nothing."""
+
+
+@dataclass(frozen=True)
+class Declared:
+    """The object sets that a user's function may read: of the types it declares, linked among them, as its caller sees them."""
+
+    ontology: Ontology
+    load: Load
+    user: User
+    types: frozenset[str]
+
+    def __call__(self, type_name: str) -> ObjectSet:
+        if type_name not in self.types:
+            raise Undeclared(f"{type_name} is not among the declared {sorted(self.types)}")
+        return replace(ObjectSet.of(self.ontology, type_name, self.load, self.user), ontology=self._linked())
+
+    def _linked(self) -> Ontology:
+        """All types, as boundaries may run through them, but only links that end at declared ones."""
+        return Ontology(self.ontology.types, {n: x for n, x in self.ontology.links.items() if {x.source, x.target} <= self.types})
+
+
 def regression(rows: DataFrame, y: str, x: str, by: str) -> DataFrame:
     """Least-squares slope, intercept and R² of y on x for each group of two rows or more and more than one x."""
     some = rows.filter(F.col(y).isNotNull() & F.col(x).isNotNull())

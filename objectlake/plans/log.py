@@ -153,6 +153,19 @@ def current_status(spark, sf_dir) -> DataFrame:
     return edits.current_status(table(spark, sf_dir, "events").select(F.col("user_id").alias("write_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
 
 
+STATUS_OF = {"view": "pending", "purchase": "applied", "signup": "applied"}
+
+
+@R.add("settled_status", """WITH e AS (SELECT user_id AS write_id, event_id AS seq, CASE WHEN event_type = 'view' THEN 'pending' WHEN event_type IN ('purchase', 'signup') THEN 'applied' ELSE 'abandoned' END AS status FROM events),
+o AS (SELECT write_id, MIN(seq) AS opened FROM e WHERE status = 'pending' GROUP BY 1)
+SELECT write_id, COALESCE(arg_min(status, seq) FILTER (status <> 'pending' AND seq > opened), 'pending') AS status,
+  CAST(COUNT(*) FILTER (status <> 'pending') - CASE WHEN COUNT(*) FILTER (status <> 'pending' AND seq > opened) > 0 THEN 1 ELSE 0 END AS BIGINT) AS refused FROM e JOIN o USING (write_id) GROUP BY 1""")
+def settled_status(spark, sf_dir) -> DataFrame:
+    """The events as a log of statuses that users' writes ask for: the first after pending settles a write."""
+    status = F.coalesce(*[F.when(F.col("event_type") == event, F.lit(s)) for event, s in STATUS_OF.items()], F.lit("abandoned"))
+    return edits.settled(table(spark, sf_dir, "events").select(F.col("user_id").alias("write_id"), status.alias("status"), F.col("event_id").alias("seq")))
+
+
 WRITES_SQL = """s AS (SELECT o_orderkey AS object_id, o_orderstatus AS value FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 5 = 0),
 w AS (SELECT o_orderkey // 4 AS batch_id, CASE WHEN o_orderkey % 7 = 0 THEN 'create' WHEN o_orderkey % 8 = 5 THEN 'delete' ELSE 'update' END AS operation, o_orderkey AS object_id,
   CASE WHEN o_orderkey % 50 = 11 THEN 'stale' ELSE o_orderstatus END AS expected, 'N' AS value FROM orders),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.coerce import coerce, drift
 from ..functions.text import standardise
 from ..model import ObjectType
-from ..operators import changes, clean, objects
+from ..operators import changes, clean, fuse, objects
+from ..session import materialise
 from ..sources import tables
 from ..sources.tables import Lake
 
@@ -19,6 +21,21 @@ class Drift(ValueError):
     """A column no longer fits its declared type."""
 
 
+@dataclass(frozen=True)
+class Identity:
+    """How rows of several synced tables become one object.
+
+    sources: name to (synced table, its key), the naming source first; their columns are the type's.
+    match_on: the fields on which rows of one object agree; order: by field, the sources to prefer;
+    security: the field in which the rows of one object must not differ.
+    """
+
+    sources: dict[str, tuple[str, str]]
+    match_on: list[str]
+    order: dict[str, list[str]] | None = None
+    security: str | None = None
+
+
 def targets(types: list[ObjectType], link_tables: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
     """table to the columns that some type or link needs."""
     wanted: dict[str, list[str]] = {}
@@ -57,29 +74,75 @@ def sync(lake: Lake, name: str, source: DataFrame, key: str, declared: dict[str,
     return lake.publish(f"silver_{name}", clean.with_lineage(kept, "source", name))
 
 
-def build_gold(lake: Lake, types: list[ObjectType], threads: int = 4) -> dict[str, int]:
-    """One gold table for each type, audited before it is published, with its history appended.
+def resolved_gold(lake: Lake, t: ObjectType, rule: Identity, approved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One row for each object of all sources, with _fused_from, and the conflicts: losing values and refused merges."""
+    columns = {f.source: f.name for f in t.fields if f.name != t.id_field}
+    fields = list(columns.values())
+    sources = {name: (lake.read(f"silver_{table}").withColumnsRenamed(columns), key) for name, (table, key) in rule.sources.items()}
+    found = materialise(fuse.resolve(fuse.sourced(sources, fields), rule.match_on, rule.security, approved), "resolved")
+    chosen = fuse.survivors(found, fields, rule.order)
+    losing = fuse.conflicts(found, chosen, fields).withColumn("kind", F.lit("property"))
+    if rule.security:
+        refused = found.filter("refused").select("entity_id", F.lit(rule.security).alias("field"), F.col(rule.security).cast("string").alias("losing"), F.col("source").alias("losing_source"), F.lit("security").alias("kind"))
+        losing = losing.unionByName(refused, allowMissingColumns=True)
+    return chosen.select(F.col("entity_id").alias(t.id_field), *fields, "_fused_from"), losing
+
+
+def waves(types: list[ObjectType]) -> list[list[ObjectType]]:
+    """The types in order of their links: targets before the types that link to them, cycles together."""
+    out, left = [], list(types)
+    while left:
+        names = {t.name for t in left}
+        ready = [t for t in left if not ({f.links_to for f in t.fields if f.links_to} & names - {t.name})] or left
+        out.append(ready)
+        left = [t for t in left if t not in ready]
+    return out
+
+
+def build_gold(
+    lake: Lake, types: list[ObjectType], threads: int = 4, identities: dict[str, Identity] | None = None, approved: dict[str, DataFrame] | None = None,
+    refused: dict[str, str] | None = None,
+) -> dict[str, int]:
+    """One gold table for each type, audited before it is published, with its history and conflicts appended.
 
-    Tables are submitted side by side; a type whose table fails leaves the others alone.
+    A type with an Identity is resolved from its sources, approved pairs included; others are conformed
+    from one table. The audit counts links to objects that are in no published table of their type.
+    Tables are submitted side by side, targets of links first; a type whose table is not synced, or
+    whose audit fails (its problems go to refused), leaves the others alone and what it has published
+    as it was.
     """
+    ids = {t.name: t.id_field for t in types}
 
     def one(t: ObjectType) -> int:
-        rows = t.conform(lake.read(f"silver_{t.table}"))
+        rule, losing = (identities or {}).get(t.name), None
+        if rule:
+            rows, losing = resolved_gold(lake, t, rule, (approved or {}).get(t.name))
+        else:
+            rows = t.conform(lake.read(f"silver_{t.table}"))
         rows = rows.withColumns({t.id_field: F.col(t.id_field).cast("string"), **{f.name: F.col(f.name).cast("string") for f in t.fields if f.links_to}})
-        audit = lambda new, old: tables.audit(new, t.id_field, [f.name for f in t.fields if f.required], {}, old.count() if old is not None else None)
+        there = {f.name: (lake.read(f"gold_{f.links_to}"), ids[f.links_to]) for f in t.fields if f.links_to in ids and f.links_to != t.name and lake.latest(f"gold_{f.links_to}")}
+        audit = lambda new, old: tables.audit(new, t.id_field, [f.name for f in t.fields if f.required], there, old.count() if old is not None else None)
         last = lake.latest(f"gold_{t.name}")
         version = lake.publish(f"gold_{t.name}", rows, audit)
-        if last and version != last:
-            lake.append(f"gold_history_{t.name}", changes.as_history(changes.diff(lake.read(f"gold_{t.name}", last), rows, t.id_field), version))
+        if version != last:
+            if last:
+                lake.append(f"gold_history_{t.name}", changes.as_history(changes.diff(lake.read(f"gold_{t.name}", last), rows, t.id_field), version))
+            if losing is not None:
+                lake.append(f"gold_conflicts_{t.name}", losing.select("entity_id", "kind", "field", "chosen", "chosen_source", "losing", "losing_source", F.lit(version).alias("version")))
         return version
 
     out: dict[str, int] = {}
     with ThreadPoolExecutor(threads) as pool:
-        for t, done in [(t, pool.submit(one, t)) for t in types]:
-            try:
-                out[t.name] = done.result()
-            except KeyError:  # its table has not been synced
-                continue
+        for wave in waves(types):
+            for t, done in [(t, pool.submit(one, t)) for t in wave]:
+                try:
+                    out[t.name] = done.result()
+                except KeyError:  # its table has not been synced
+                    continue
+                except tables.AuditFailed as e:
+                    if refused is None:
+                        raise
+                    refused[t.name] = str(e)
     return out
 
 

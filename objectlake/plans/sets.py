@@ -118,11 +118,10 @@ def link_counts(spark, sf_dir) -> DataFrame:
     return _set(spark, sf_dir, "Customer").link_counts("orders", "nation").withColumn("n", F.col("n").cast("long"))
 
 
-@R.add("reverse_links", """SELECT n_nationkey AS source_id, CAST(COUNT(DISTINCT c_custkey) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT c_custkey)), ',') AS ids
-FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_name = 'ASIA' GROUP BY 1""")
+@R.add("reverse_links", """SELECT DISTINCT n_nationkey AS source_id, c_custkey AS target_id
+FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_name = 'ASIA'""")
 def reverse_links(spark, sf_dir) -> DataFrame:
-    found = _set(spark, sf_dir, "Nation").reverse_links("customers")
-    return found.select("source_id", F.size("target_ids").cast("long").alias("n"), F.array_join("target_ids", ",").alias("ids"))
+    return _set(spark, sf_dir, "Nation").reverse_links("customers")
 
 
 def _aggregate(how: str, sql: str) -> None:
@@ -197,8 +196,9 @@ def regression_by_segment(spark, sf_dir) -> DataFrame:
 @R.add("function_over_sets", """SELECT c_mktsegment, CAST(COUNT(DISTINCT o_orderkey) AS BIGINT) AS orders, CAST(COUNT(DISTINCT c_custkey) AS BIGINT) AS customers
 FROM """ + ASIA_ORDERS + " GROUP BY 1")
 def function_over_sets(spark, sf_dir) -> DataFrame:
-    """A user function over two governed sets."""
-    orders, customers = _set(spark, sf_dir, "Order").rows, _set(spark, sf_dir, "Customer").rows
+    """A user function over the two governed sets that it declares."""
+    read = objects.Declared(ONTOLOGY, loader(spark, sf_dir), ASIA, frozenset({"Order", "Customer"}))
+    orders, customers = read("Order").rows, read("Customer").rows
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("c_mktsegment").agg(F.countDistinct("o_orderkey").alias("orders"), F.countDistinct("c_custkey").alias("customers"))
 
