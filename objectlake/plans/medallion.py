@@ -12,7 +12,7 @@ from ..functions.coerce import coerce, drift
 from ..functions.text import standardise
 from ..model import ObjectType
 from ..operators import changes, clean, fuse, objects
-from ..session import materialise
+from ..session import discard, materialise
 from ..sources import tables
 from ..sources.tables import Lake
 
@@ -74,8 +74,8 @@ def sync(lake: Lake, name: str, source: DataFrame, key: str, declared: dict[str,
     return lake.publish(f"silver_{name}", clean.with_lineage(kept, "source", name))
 
 
-def resolved_gold(lake: Lake, t: ObjectType, rule: Identity, approved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """One row for each object of all sources, with _fused_from, and the conflicts: losing values and refused merges."""
+def resolved_gold(lake: Lake, t: ObjectType, rule: Identity, approved: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One row for each object of all sources, with _fused_from; the conflicts: losing values and refused merges; and the written table behind both."""
     columns = {f.source: f.name for f in t.fields if f.name != t.id_field}
     fields = list(columns.values())
     sources = {name: (lake.read(f"silver_{table}").withColumnsRenamed(columns), key) for name, (table, key) in rule.sources.items()}
@@ -85,7 +85,7 @@ def resolved_gold(lake: Lake, t: ObjectType, rule: Identity, approved: DataFrame
     if rule.security:
         refused = found.filter("refused").select("entity_id", F.lit(rule.security).alias("field"), F.col(rule.security).cast("string").alias("losing"), F.col("source").alias("losing_source"), F.lit("security").alias("kind"))
         losing = losing.unionByName(refused, allowMissingColumns=True)
-    return chosen.select(F.col("entity_id").alias(t.id_field), *fields, "_fused_from"), losing
+    return chosen.select(F.col("entity_id").alias(t.id_field), *fields, "_fused_from"), losing, found
 
 
 def waves(types: list[ObjectType]) -> list[list[ObjectType]]:
@@ -114,9 +114,9 @@ def build_gold(
     ids = {t.name: t.id_field for t in types}
 
     def one(t: ObjectType) -> int:
-        rule, losing = (identities or {}).get(t.name), None
+        rule, losing, written = (identities or {}).get(t.name), None, []
         if rule:
-            rows, losing = resolved_gold(lake, t, rule, (approved or {}).get(t.name))
+            rows, losing, *written = resolved_gold(lake, t, rule, (approved or {}).get(t.name))
         else:
             rows = t.conform(lake.read(f"silver_{t.table}"))
         rows = rows.withColumns({t.id_field: F.col(t.id_field).cast("string"), **{f.name: F.col(f.name).cast("string") for f in t.fields if f.links_to}})
@@ -126,9 +126,10 @@ def build_gold(
         version = lake.publish(f"gold_{t.name}", rows, audit)
         if version != last:
             if last:
-                lake.append(f"gold_history_{t.name}", changes.as_history(changes.diff(lake.read(f"gold_{t.name}", last), rows, t.id_field), version))
+                lake.append(f"gold_history_{t.name}", changes.as_history(changes.diff(lake.read(f"gold_{t.name}", last), lake.read(f"gold_{t.name}", version), t.id_field), version))
             if losing is not None:
                 lake.append(f"gold_conflicts_{t.name}", losing.select("entity_id", "kind", "field", "chosen", "chosen_source", "losing", "losing_source", F.lit(version).alias("version")))
+        discard(*written)
         return version
 
     out: dict[str, int] = {}
