@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_dedup, negatives, packing, pieces, pii, quality, sharding, spans_index, toxicity, urls
+from . import alignment, fingerprints, licenses, near_dedup, negatives, packing, pieces, pii, quality, sharding, spans_index, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_negatives": op11_negatives,
+    "op12_licenses": op12_licenses,
+    "op13_alignment": op13_alignment,
 }
 
-ORACLES: dict[str, str] = {"op11_negatives": negatives.SQL}
+ORACLES: dict[str, str] = {
+    "op11_negatives": negatives.SQL,
+    "op12_licenses": licenses.duckdb_sql(),
+}
