@@ -15,7 +15,8 @@ are compared window by window, on their bytes. The batch then becomes a level, a
 merge, so a run is rewritten log2(batches) times at most.
 
 Runs count as equal by GRAM bytes and a 64-bit hash of the rest; windows of different runs are held
-against each other byte by byte, but those of hot heads by two 64-bit hashes.
+against each other byte by byte, in blocks of whole heads. The runs to be compared are counted for every
+head: one with more than a block holds is spread over tasks, and its windows meet by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ STRETCH = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)
 #: Batches that a whole table is dealt into, in the order of its rows.
 BATCHES = 4
-#: A head is hot if more than one of so many runs of the sampled documents has it.
+#: In a scan, which holds one row of a head, heads are spread over tasks if more than one of so many runs of the sampled
+#: documents has them; so many documents, about, and heads at most. These bear on how evenly tasks are filled, on nothing else.
 HOT_SHARE = 5_000
-#: Documents that hot heads are looked for in, about; hot heads that are told apart, at most. Both bear on the layout alone.
 HOT_DOCS, HOT_HEADS = 5_000, 1_000
-#: Runs whose windows are held against each other at once.
+#: Runs whose windows are held against each other at once. Heads with more runs to compare are spread over tasks, however many such heads there are.
 BLOCK_RUNS = 20_000
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -244,7 +245,7 @@ def merge_scan(batches: Iterator[pa.RecordBatch], merged_levels: list[int] | Non
 
 def _sorted(rows: DataFrame) -> DataFrame:
     """A suffix array's rows, dealt by head (hot ones by context too) and in the order of the suffixes."""
-    own = F.when(F.col("state") >= HOT, F.col("context")).otherwise(0)
+    own = F.when(F.col("state").bitwiseAND(F.lit(HOT)) != 0, F.col("context")).otherwise(0)  # states of levels are negative
     return rows.repartition(F.xxhash64("head_a", "head_b", own)).sortWithinPartitions("head_a", "head_b", "context", "state", "doc", "sub", "place")
 
 
@@ -313,17 +314,17 @@ class SuffixFamily:
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From documents (doc, sub, text) with their runs to compare: the bytes of all windows of each run."""
     for b in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], [], []]
         for doc, sub, text, own in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
             data = text.encode()
-            for head_a, head_b, context, place in zip(*(own.values.field(k).to_pylist() for k in range(4)), strict=True):
+            for head_a, head_b, context, place, hot in zip(*(own.values.field(k).to_pylist() for k in range(5)), strict=True):
                 s = place >> 8
-                for c, v in zip(out, (head_a, head_b, context, doc, sub, s, data[s : s + (place & 255) + LENGTH]), strict=True):
+                for c, v in zip(out, (head_a, head_b, context, doc, sub, s, data[s : s + (place & 255) + LENGTH], hot), strict=True):
                     c.append(v)
-        yield _batch(out, STRETCHES, [*[pa.int64()] * 6, pa.binary()])
+        yield _batch(out, STRETCHES, [*[pa.int64()] * 6, pa.binary(), pa.bool_()])
 
 
-STRETCHES = ["head_a", "head_b", "context", "doc", "sub", "s", "bytes"]
+STRETCHES = ["head_a", "head_b", "context", "doc", "sub", "s", "bytes", "hot"]
 
 
 def windows(stretches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]]:
@@ -362,11 +363,12 @@ SPAN_NAMES = ["doc", "sub", "start", "end", "window", "other"]
 SPAN_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
-def compare(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def compare(batches: Iterator[pa.RecordBatch], block_runs: int = BLOCK_RUNS) -> Iterator[pa.RecordBatch]:
     """Repeated stretches (doc, sub, start, end) of runs sorted by head.
 
-    Heads are compared in blocks of whole ones. Of hot heads, each window's first occurrence in a block
-    is handed on under two hashes of its bytes instead of a verdict.
+    Heads are compared in blocks of whole ones, none of which has more than block_runs runs unless it is
+    hot. Of hot heads, each window's first occurrence in a block is handed on under two hashes of its
+    bytes instead of a verdict.
     """
 
     def spans_at(doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -393,7 +395,7 @@ def compare(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.R
         again = repeated(h, at, data, order)
         mine = order[again]
         yield spans_at(d[mine], u[mine], start[mine])
-        warm = np.isin(block.column("head_a").to_numpy() ^ block.column("head_b").to_numpy(), hot)[row][order] & ~again
+        warm = block.column("hot").to_numpy(zero_copy_only=False)[row][order] & ~again
         if warm.any():
             w = order[warm]
             word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
@@ -407,14 +409,10 @@ def compare(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.R
     for b in batches:
         table = pa.Table.from_batches([b])
         held = table if held is None else pa.concat_tables([held, table])
-        while len(held) >= BLOCK_RUNS:
-            key = held.column("head_a").to_numpy(), held.column("head_b").to_numpy()
-            cuts = np.flatnonzero(_fresh(*key))
-            # Whole heads, as many as fit; a hot head may be cut anywhere, its windows meet again by their hashes.
-            fits = cuts[cuts <= BLOCK_RUNS]
-            n = int(fits[-1]) if fits[-1] else BLOCK_RUNS if (key[0][0] ^ key[1][0]) in hot else int(cuts[1]) if len(cuts) > 1 else 0
-            if not n:
-                break
+        while len(held) > block_runs:
+            cuts = np.flatnonzero(_fresh(held.column("head_a").to_numpy(), held.column("head_b").to_numpy()))
+            # Whole heads, as many as fit; only a hot head exceeds a block. It may be cut anywhere, its windows meet again by their hashes.
+            n = int(cuts[cuts <= block_runs][-1]) or block_runs
             yield from settle(held.slice(0, n).combine_chunks())
             held = held.slice(n)
     if held is not None and len(held):
@@ -433,7 +431,16 @@ def dealt(texts: DataFrame, batches: int) -> Iterator[DataFrame]:
         yield batch.filter(F.col("doc") <= edges[k]) if k < len(edges) else batch
 
 
-def spans(texts: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = None) -> DataFrame:
+def with_hot(runs: DataFrame, block_runs: int) -> DataFrame:
+    """Runs to be compared and whether their head is hot: it has more than block_runs of them."""
+    heads = runs.groupBy("head_a", "head_b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_runs)
+    large = materialise(heads.select("head_a", "head_b", F.lit(True).alias("hot")), "hot")
+    if large.isEmpty():
+        return runs.withColumn("hot", F.lit(False))
+    return runs.join(large, ["head_a", "head_b"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def spans(texts: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = None, block_runs: int = BLOCK_RUNS) -> DataFrame:
     """doc, sub, start, end of repeated stretches of a table of doc, sub and text, none of them null."""
     hot = hot_heads(texts) if hot is None else hot
     family = SuffixFamily(texts.sparkSession, hot)
@@ -447,16 +454,14 @@ def spans(texts: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = Non
         scanned = scanned.unionByName(s)
     start, end = span_of(F.col("place"))
     whole = scanned.filter(F.col("state") == WHOLE).select("doc", "sub", start.alias("start"), end.alias("end"))
-    to_compare = (
-        scanned.filter(F.col("state") == COMPARE).groupBy("doc", "sub").agg(F.collect_set(F.struct("head_a", "head_b", "context", "place")).alias("runs"))
-    )
+    to_compare = with_hot(scanned.filter(F.col("state") == COMPARE).select("doc", "sub", "head_a", "head_b", "context", "place"), block_runs)
+    to_compare = to_compare.groupBy("doc", "sub").agg(F.collect_set(F.struct("head_a", "head_b", "context", "place", "hot")).alias("runs"))
     stretches = texts.join(to_compare, ["doc", "sub"]).select("doc", "sub", "text", "runs").mapInArrow(
-        contexts, "head_a long, head_b long, context long, doc long, sub long, s long, bytes binary"
+        contexts, "head_a long, head_b long, context long, doc long, sub long, s long, bytes binary, hot boolean"
     )
-    is_hot = F.col("head_a").bitwiseXOR(F.col("head_b")).isin(hot.tolist()) if len(hot) else F.lit(False)
-    deal = F.xxhash64("head_a", "head_b", F.when(is_hot, F.col("context")).otherwise(0))
+    deal = F.xxhash64("head_a", "head_b", F.when(F.col("hot"), F.col("context")).otherwise(0))
     ordered = stretches.repartition(deal).sortWithinPartitions("head_a", "head_b", "context", "doc", "sub", "s")
-    found = materialise(ordered.mapInArrow(lambda b: compare(b, hot), SPAN), "compared")
+    found = materialise(ordered.mapInArrow(lambda b: compare(b, block_runs), SPAN), "compared")
     warm = found.filter(F.col("window").isNotNull())
     firsts = materialise(warm.groupBy("window", "other").agg(F.min(F.struct("doc", "sub", "start")).alias("first")), "windows")
     again = warm.join(firsts, ["window", "other"]).filter(F.struct("doc", "sub", "start") != F.col("first"))
@@ -510,7 +515,7 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removed_spans(docs: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = None) -> DataFrame:
+def removed_spans(docs: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = None, block_runs: int = BLOCK_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     Null text is empty. A null doc_id comes before all others; rows that share a doc_id are documents
@@ -518,7 +523,7 @@ def removed_spans(docs: DataFrame, batches: int = BATCHES, hot: np.ndarray | Non
     stretches. An empty table gives no rows; further columns are not read.
     """
     rows, doc, sub = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = spans(_texts(rows, doc, sub), batches, hot)
+    found = spans(_texts(rows, doc, sub), batches, hot, block_runs)
     return with_spans(rows, doc, sub, found, "spans").select("doc_id", "text", "spans").mapInArrow(
         digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )

@@ -8,9 +8,11 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from objectlake.llm import fingerprints, near_dedup, packing, pieces, pii, quality, sharding, shingles, spans_index, toxicity, urls, weak
 from objectlake.llm.rows import keyed
@@ -540,21 +542,70 @@ def plain_removed(rows):
 
 
 @pytest.mark.parametrize(("batches", "hot"), [(1, False), (4, False), (5, True)])
-def test_repeated_spans(spark, documents, rows, batches, hot, monkeypatch):
+def test_repeated_spans(spark, documents, rows, batches, hot):
     rng = random.Random(9)
     passages = ["".join(rng.choices("abcdé ", k=rng.randint(90, 260))) for _ in range(6)]
     more = [(10_000 + k, "".join(rng.choice(passages) if rng.random() < 0.7 else "".join(rng.choices("xyz ", k=40)) for _ in range(12))) for k in range(40)]
     more += [(20_000, "The " * 200), (20_001, "a" * 1000), (20_002, "The " * 100)]
-    heads = None
-    if hot:  # every head of these texts is hot, and blocks are small
+    heads, block_runs = None, spans_index.BLOCK_RUNS
+    if hot:  # every head of these texts is spread in scans, and blocks are so small that many heads exceed them
         found = spans_index.runs([t.encode() for _, t in more if len(t) >= 100])
-        heads = np.unique(found[0] ^ found[1])
-        monkeypatch.setattr(spans_index, "BLOCK_RUNS", 20)
+        heads, block_runs = np.unique(found[0] ^ found[1]), 5
     both = documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in spans_index.removed_spans(both, batches, heads).collect()}
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in spans_index.removed_spans(both, batches, heads, block_runs).collect()}
     assert found == plain_removed(rows + more)
 
 
+def one_head(n):
+    """Texts that share 16 bytes, which are their anchor, among bytes of their own."""
+    rng = np.random.default_rng(6)
+    new = lambda k: rng.integers(97, 123, k, dtype=np.uint8).tobytes()
+    hashes = {x: int(spans_index.gram_hashes(x)[0]) for x in (new(16) for _ in range(200_000))}
+    head = min(hashes, key=hashes.get)
+    return [(new(110) + head + new(110)).decode() for _ in range(n)]
+
+
+def test_hot_heads_are_cut_into_blocks(spark, monkeypatch):
+    texts = one_head(600)
+    texts += [t[:150] + "0" * 60 + t[20:] for t in texts[:100]]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in spans_index.removed_spans(docs, block_runs=60).collect()}
+    assert found == plain_removed(rows)
+    runs = spans_index.runs([t.encode() for t in texts])
+    some = np.unique(np.stack(runs[:2]), axis=1, return_counts=True)[1]
+    assert some.max() >= 600  # ten times the block
+    order = np.lexsort((runs[3], runs[2], runs[1], runs[0]))
+    a, b, context, doc, s, e = (c[order] for c in runs)
+    counts = {h: n for h, n in zip(*np.unique(a, return_counts=True), strict=True)}
+    stretches = [texts[d].encode()[i : j + 100] for d, i, j in zip(doc, s, e, strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, context, doc, np.zeros(len(a), np.int64), s)] + [pa.array(stretches), pa.array([counts[h] > 60 for h in a])], spans_index.STRETCHES)
+    held, made = [], spans_index.windows
+    monkeypatch.setattr(spans_index, "windows", lambda own: (held.append(len(own)), made(own))[1])
+    assert list(spans_index.compare(iter([batch.slice(k, 50) for k in range(0, len(a), 50)]), 60))
+    assert max(held) <= 60 and sum(held) == len(a)
+
+
+def test_levels_hold_each_context_once_where_heads_are_spread(spark):
+    texts = one_head(120)
+    texts += texts[::-1] + [texts[k] + texts[k + 1] for k in range(100)]
+    found = spans_index.runs([t.encode() for t in texts])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        family = spans_index.SuffixFamily(spark, np.unique(found[0] ^ found[1]))
+        rows = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc long, sub long, text string")
+        for batch in spans_index.dealt(rows, 4):
+            family.add(batch)
+        assert [n for n, _ in family.levels] == [4]
+        level = family.levels[0][1].select("head_a", "head_b", "context", F.input_file_name().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(level) == len({(r.head_a, r.head_b, r.context) for r in level}) == len(set(zip(*(c.tolist() for c in found[:3]), strict=True)))
+    assert len({r.p for r in level}) > 8
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     rng = random.Random(10)
     new = lambda n: "".join(rng.choices("abcdefgh ", k=n))
