@@ -7,12 +7,14 @@ status (pending, applied, abandoned), user_id, created_at, batch_id. Later means
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Ontology
+from ..session import discard, materialise
 from .secure import Load
 
 AT = "struct(created_at, id)"
@@ -260,25 +262,108 @@ def settled(events: DataFrame) -> DataFrame:
     return each.select("write_id", F.coalesce("_end", F.lit("pending")).alias("status"), (F.col("_asked") - ended.cast("long")).alias("refused"))
 
 
-def apply_batch(state: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The new state, and (batch_id, status): a batch is applied as a whole or abandoned.
+#: Batches of one object that a round decides one after the other, where they touch nothing else.
+RUN = 256
+
+_NOW = "struct<here:boolean,fields:map<string,string>>"
+
+
+def _after(now: Column, write: Column) -> Column:
+    """(fits, here, fields) once a sub-write has been tried on an object's state (here, fields)."""
+    here, old, new = now["here"], now["fields"], write["changes"]
+    as_expected = here & F.forall(F.map_keys(write["expected"]), lambda k: old[k].eqNullSafe(write["expected"][k]))
+    fits = F.when(write["operation"] == "create", ~here).otherwise(as_expected)
+    merged = F.map_zip_with(old, new, lambda k, a, b: F.when(F.map_contains_key(new, k), b).otherwise(a))
+    kept = F.when(write["operation"] == "create", new).when(write["operation"] == "delete", F.map_filter(new, lambda k, v: F.lit(False))).otherwise(merged)
+    return F.struct(fits.alias("fits"), (write["operation"] != "delete").alias("here"), kept.alias("fields"))
+
+
+def _tried(now: Column, writes: Column) -> Column:
+    """(ok, here, fields): a batch's sub-writes on one object in their order; ok if each fits what the ones before left."""
+    start = F.struct(F.lit(True).alias("ok"), now["here"].alias("here"), now["fields"].alias("fields"))
+
+    def step(acc: Column, write: Column) -> Column:
+        after = _after(acc, write)
+        return F.struct((acc["ok"] & after["fits"]).alias("ok"), after["here"].alias("here"), after["fields"].alias("fields"))
+
+    return F.aggregate(writes, start, step)
 
-    state: object_id, value; writes: batch_id, object_id, operation, expected, value. An update or a
-    delete needs the expected value, NULL equal to NULL; a create needs that there is no such object.
-    Of batches that touch one object all but the one with the smallest batch_id are abandoned.
+
+def apply_in_order(state: DataFrame, writes: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
+    """The new state, and (batch_id, status) of every batch: applied as a whole or abandoned, in the order of batch_id.
+
+    state: object_id, fields (map<string,string>). writes: batch_id, seq, object_id, operation (create,
+    update, delete), expected and changes (maps of the same kind). A batch's sub-writes come in the order of
+    seq, and each sees what the ones before it left: an update or a delete needs the object and, for every
+    expected field, its value (NULL equal to NULL), a create needs that there is no such object. One that
+    doesn't fit abandons its batch, which then changes nothing; the next batch is judged by what is there.
+
+    A fixpoint over the graph of batches and objects: in each round the batches that are the first
+    undecided one on all their objects are decided, together with up to run batches of each object that
+    touch it alone and come before the next that touches others. Rounds are as many as the longest chain of
+    batches that wait for each other, at most; each one's state is written out, and only objects that are
+    written to take part. Null maps are empty ones. Writes without a batch_id or an object_id are left out.
     """
-    here = state.select("object_id", F.col("value").alias("_now"), F.lit(True).alias("_here"))
-    joined = writes.join(here, "object_id", "left")
-    exists = F.coalesce("_here", F.lit(False))
-    fits = F.when(F.col("operation") == "create", ~exists).otherwise(exists & F.col("_now").eqNullSafe(F.col("expected")))
-    first = writes.groupBy("object_id").agg(F.min("batch_id").alias("_first"))
-    alone = F.col("batch_id") == F.col("_first")
-    verdict = joined.join(first, "object_id").groupBy("batch_id").agg(F.bool_and(fits & alone).alias("_ok"))
-    status = verdict.select("batch_id", F.when(F.col("_ok"), "applied").otherwise("abandoned").alias("status"))
-    done = writes.join(verdict.filter("_ok").select("batch_id"), "batch_id", "left_semi").select(
-        "object_id", F.col("value").alias("_new"), F.col("operation").alias("_op")
+    none = F.create_map().cast("map<string,string>")
+    held = lambda c: F.coalesce(c, none)
+    steps = writes.filter("batch_id is not null and object_id is not null").groupBy("batch_id", "object_id").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "operation", F.to_json(held("expected")).alias("expected"), F.to_json(held("changes")).alias("changes")))).alias("steps")
     )
-    new = state.join(done, "object_id", "full").filter("_op is null or _op <> 'delete'").select(
-        "object_id", F.when(F.col("_op").isNotNull(), F.col("_new")).otherwise(F.col("value")).alias("value")
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    steps = steps.withColumn("steps", F.transform("steps", lambda w: F.struct(w["operation"].alias("operation"), as_map(w["expected"]).alias("expected"), as_map(w["changes"]).alias("changes"))))
+    width = steps.groupBy("batch_id").agg(F.count(F.lit(1)).alias("width"))
+    left = materialise(steps.join(width, "batch_id"), "undecided")
+    here = state.select("object_id", F.struct(F.lit(True).alias("here"), held("fields").alias("fields")).cast(_NOW).alias("now"))
+    absent = F.struct(F.lit(False).alias("here"), none.alias("fields")).cast(_NOW)
+    touched = left.select("object_id").distinct()
+    now = materialise(touched.join(here, "object_id", "left").select("object_id", F.coalesce("now", absent).alias("now")), "objects")
+    decided: list[DataFrame] = []
+    while not left.isEmpty():
+        place = F.row_number().over(Window.partitionBy("object_id").orderBy("batch_id"))
+        front = materialise(left.withColumn("place", place).filter(F.col("place") <= run), "front")
+        several = front.filter("width > 1")
+        ready = several.filter("place = 1").groupBy("batch_id", "width").agg(F.count(F.lit(1)).alias("n")).filter("n = width").select("batch_id")
+        wide = several.join(ready, "batch_id", "left_semi").join(now, "object_id").select("batch_id", "object_id", _tried(F.col("now"), F.col("steps")).alias("t"))
+        wide = materialise(wide, "tried")
+        verdict = wide.groupBy("batch_id").agg(F.bool_and("t.ok").alias("ok"))
+
+        until = several.groupBy("object_id").agg(F.min("batch_id").alias("until"))
+        alone = front.filter("width = 1").join(until, "object_id", "left").filter("until is null or batch_id < until")
+        runs = alone.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("place", "batch_id"))).alias("order"), F.map_from_entries(F.collect_list(F.struct("place", "steps"))).alias("steps"))
+
+        def one(acc: Column, batch: Column) -> Column:
+            t = _tried(acc, F.col("steps")[batch["place"]])
+            return F.struct(
+                F.when(t["ok"], t["here"]).otherwise(acc["here"]).alias("here"), F.when(t["ok"], t["fields"]).otherwise(acc["fields"]).alias("fields"),
+                F.concat(acc["verdicts"], F.array(F.struct(batch["batch_id"].alias("batch_id"), t["ok"].alias("ok")))).alias("verdicts"),
+            )
+
+        kind = f"array<struct<batch_id:{dict(left.dtypes)['batch_id']},ok:boolean>>"
+        start = F.struct(F.col("now.here").alias("here"), F.col("now.fields").alias("fields"), F.array().cast(kind).alias("verdicts"))
+        folded = materialise(runs.join(now, "object_id").select("object_id", F.aggregate("order", start, one).alias("t")), "folded")
+
+        verdicts = materialise(verdict.unionByName(folded.select(F.explode("t.verdicts").alias("v")).select("v.batch_id", "v.ok")), "verdicts")
+        changed = wide.join(verdict.filter("ok"), "batch_id", "left_semi").select("object_id", "t").unionByName(folded.select("object_id", F.struct(F.lit(True).alias("ok"), "t.here", "t.fields").alias("t")))
+        new = now.join(changed, "object_id", "left").select("object_id", F.when(F.col("t").isNotNull(), F.struct("t.here", "t.fields").cast(_NOW)).otherwise(F.col("now")).alias("now"))
+        new, rest = materialise(new, "objects"), materialise(left.join(verdicts, "batch_id", "left_anti"), "undecided")
+        discard(front, wide, folded, now, left)
+        now, left = new, rest
+        decided.append(verdicts)
+    found = reduce(DataFrame.unionByName, decided) if decided else left.select("batch_id", F.lit(True).alias("ok"))
+    status = found.select("batch_id", F.when(F.col("ok"), "applied").otherwise("abandoned").alias("status"))
+    untouched = state.select("object_id", held("fields").alias("fields")).join(now.select("object_id"), "object_id", "left_anti")
+    return untouched.unionByName(now.filter("now.here").select("object_id", F.col("now.fields").alias("fields"))), status
+
+
+def apply_batch(state: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """apply_in_order for objects of one value. state: object_id, value; writes: batch_id, object_id, operation, expected, value.
+
+    A batch's sub-writes on one object come in the order of seq, where writes have that column, else as equals.
+    """
+    one = lambda c: F.create_map(F.lit("value"), F.col(c).cast("string"))
+    seq = F.col("seq") if "seq" in writes.columns else F.lit(0)
+    steps = writes.select(
+        "batch_id", seq.alias("seq"), "object_id", "operation", one("expected").alias("expected"), F.when(F.col("operation") != "delete", one("value")).alias("changes"),
     )
-    return new, status
+    new, status = apply_in_order(state.select("object_id", one("value").alias("fields")), steps)
+    return new.select("object_id", F.col("fields")["value"].cast(state.schema["value"].dataType).alias("value")), status

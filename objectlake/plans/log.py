@@ -193,6 +193,48 @@ def apply_batch_status(spark, sf_dir) -> DataFrame:
     return _apply(spark, sf_dir)[1]
 
 
+#: Three waves of batches over all orders, of 4, 6 and 10 orders each, so that batches of one wave wait for several of the wave before.
+WAVES_SQL = """k AS (SELECT o_orderkey AS k, o_orderstatus AS own FROM orders),
+s0 AS (SELECT k, own AS v FROM k WHERE k % 7 <> 0 OR k % 5 = 0),
+b1 AS (SELECT k // 4 AS b, bool_and(CASE WHEN k.k % 7 = 0 THEN s0.k IS NULL ELSE s0.k IS NOT NULL AND k.k % 50 <> 11 END) AS ok FROM k LEFT JOIN s0 USING (k) GROUP BY 1),
+s1 AS (SELECT k, CASE WHEN ok THEN 'N' ELSE v END AS v FROM k JOIN b1 ON b = k // 4 LEFT JOIN s0 USING (k) WHERE ok OR s0.k IS NOT NULL),
+b2 AS (SELECT k // 6 AS b, bool_and(COALESCE(s1.v = CASE WHEN k // 6 % 3 = 0 THEN own ELSE 'N' END, false)) AS ok FROM k LEFT JOIN s1 USING (k) GROUP BY 1),
+s2 AS (SELECT k, CASE WHEN ok THEN 'W' ELSE v END AS v FROM s1 JOIN b2 ON b = k // 6),
+b3 AS (SELECT k // 10 AS b, bool_and(COALESCE(s2.v = 'W', false)) AS ok FROM k LEFT JOIN s2 USING (k) GROUP BY 1),
+s3 AS (SELECT k, CASE WHEN ok THEN 'X' ELSE v END AS v FROM s2 JOIN b3 ON b = k // 10 WHERE NOT (ok AND k % 10 = 3))"""
+WAVE = 1_000_000_000_000
+
+
+def _waves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Batches that overlap: the first wave creates and then updates, or updates, and in part expects stale values; the second
+    builds on its values or on what stands where it was abandoned; the third builds on the second, and deletes."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    state = o.filter((k % 7 != 0) | (k % 5 == 0)).select(k.alias("object_id"), F.create_map(F.lit("value"), "o_orderstatus").alias("fields"))
+    value = lambda v: F.create_map(F.lit("value"), v)
+    none = F.lit(None).cast("map<string,string>")
+
+    def wave(n, size, seq, operation, expected, changes, where=None):
+        return (o.filter(where) if where is not None else o).select((F.floor(k / size) + n * WAVE).alias("batch_id"), F.lit(seq).alias("seq"), k.alias("object_id"), operation.alias("operation"), expected.alias("expected"), changes.alias("changes"))
+
+    made, own = k % 7 == 0, F.col("o_orderstatus")
+    second = F.when(F.floor(k / 6) % 3 == 0, own).otherwise("N")
+    writes = wave(0, 4, 0, F.lit("create"), none, value(F.lit("C")), made)
+    writes = writes.unionByName(wave(0, 4, 1, F.lit("update"), value(F.when(made, "C").when(k % 50 == 11, "stale").otherwise(own)), value(F.lit("N"))))
+    writes = writes.unionByName(wave(1, 6, 0, F.lit("update"), value(second), value(F.lit("W"))))
+    writes = writes.unionByName(wave(2, 10, 0, F.when(k % 10 == 3, "delete").otherwise("update"), value(F.lit("W")), value(F.lit("X"))))
+    return edits.apply_in_order(state, writes)
+
+
+@R.add("ordered_batches_state", f"WITH {WAVES_SQL} SELECT k AS object_id, v AS value FROM s3")
+def ordered_batches_state(spark, sf_dir) -> DataFrame:
+    return _waves(spark, sf_dir)[0].select("object_id", F.col("fields")["value"].alias("value"))
+
+
+@R.add("ordered_batches_status", f"WITH {WAVES_SQL}, b AS (SELECT b AS batch_id, ok FROM b1 UNION ALL SELECT b + {WAVE}, ok FROM b2 UNION ALL SELECT b + {2 * WAVE}, ok FROM b3) SELECT batch_id, CASE WHEN ok THEN 'applied' ELSE 'abandoned' END AS status FROM b")
+def ordered_batches_status(spark, sf_dir) -> DataFrame:
+    return _waves(spark, sf_dir)[1]
+
+
 @R.add("approvals", """WITH t AS (SELECT o_orderkey AS write_id, k AS task FROM orders, (VALUES (0), (1)) v(k)),
 e AS (SELECT event_id // 2 AS write_id, * FROM events UNION ALL SELECT user_id AS write_id, * FROM events),
 d AS (SELECT write_id, event_id % 2 AS task, arg_max(CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'approved' END, (ts, event_id)) AS decision FROM e GROUP BY 1, 2)
