@@ -5,9 +5,10 @@ cover the same bytes, so a place where tokens of both end cuts the text into gro
 side's tokens go into a dictionary from end to index, the common keys, sorted, slice both id lists, and
 links are expanded within each slice, from every A token to every B token whose bytes overlap.
 
-Neither tokenizer joins a printable character with a blank after it, so a text falls into units there
-whose ends are common ends, and a text's groups are its units' groups in a row. Units are aligned once for
-as long as a worker remembers them; long ones are not remembered.
+Neither tokenizer joins a printable character with a blank after it, or with a line feed between it and
+another one, so a text falls into units there whose ends are common ends, and a text's groups are its
+units' groups in a row. New units are aligned together, as one text; what a worker has met lately, unless
+it is long, it remembers.
 
 How many documents hold a pair linked is counted over all documents. Documents are taken in groups of
 bounded size; each pair that a group's documents hold is one row with the documents and how often they
@@ -25,10 +26,11 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,86 +40,108 @@ from pyspark.sql import functions as F
 
 from objectlake.session import materialise
 
-from .tokens import Generations, tokenizer_path
+from .tokens import tokenizer_path
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters and documents of a group; a longer document is a group of its own.
 GROUP_CHARS, GROUP_DOCS = 1 << 20, 512
-#: Characters that are cut into units at once, units that are remembered (twice, see Generations), and the longest of them.
-SLICE, REMEMBERED, LONGEST = 1 << 20, 200_000, 40
-#: Characters after which a blank begins a unit: printable, no white space in any of its definitions.
+#: Characters that are cut into units at once, units that are remembered (twice, the older half is dropped), and the longest of them.
+SLICE, REMEMBERED, LONGEST = 1 << 20, 150_000, 40
+#: Characters of units that are encoded together.
+TOGETHER = 1 << 16
+#: Printable characters, no white space in any of its definitions.
 PRINTABLE = "!-~¡-¬®-ɏͰ-ͷΆ-ϿЀ-ҁ一-鿿"
-#: A blank at the very end stays with its unit, as the piece model adds none to an empty text.
-UNIT = re.compile(f"(?<=[{PRINTABLE}])(?= .)", re.DOTALL)
-ODD = re.compile(f"[^{PRINTABLE}] | \\Z")
+#: Where units begin. A blank at the very end stays with its unit.
+UNIT = re.compile(f"(?<=[{PRINTABLE}])(?= .|\n[{PRINTABLE}])", re.DOTALL)
+#: Blanks and line feeds that begin no unit, in a text after its first character.
+ODD = re.compile(f"[^{PRINTABLE}][ \n]|\n[^{PRINTABLE}]|[ \n]\\Z|\x1e")
 
+#: One unit: its groups as text, how many tokens, groups and links it has, and its links as pairs (a << 32 | b), repeated as often as they stand.
+Aligned = tuple[str, int, int, int, list[int]]
 
-@dataclass(frozen=True)
-class Aligned:
-    """One unit's groups as text, how many tokens, groups and links it has, and its links as pairs (a << 32 | b), repeated as often as they stand."""
 
-    groups: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: np.ndarray
-
-
-def sliced_links(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Aligned:
-    """Groups between common ends, and the overlapping pairs within each."""
-    a_at, b_at = ({end: k + 1 for k, end in enumerate(ends)} for ends in (a_ends, b_ends))
-    groups, pairs, i, j = [], [], 0, 0
+def sliced_links(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """The slices of both id lists between common ends: the end, and where the slice starts and stops in either list."""
+    a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True)), dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
+    i = j = 0
     for end in sorted(a_at.keys() & b_at.keys()):
         i2, j2 = a_at[end], b_at[end]
-        groups.append(",".join(map(str, a_ids[i:i2])) + "|" + ",".join(map(str, b_ids[j:j2])))
-        if i2 - i == 1 or j2 - j == 1:  # one token spans the slice and overlaps all of the other side
-            pairs += [a << 32 | b for a in a_ids[i:i2] for b in b_ids[j:j2]]
-        else:
-            low = j
-            for k in range(i, i2):
-                start = a_ends[k - 1] if k else 0
-                while b_ends[low] <= start:
-                    low += 1
-                m = low
-                while m < j2 and (b_ends[m - 1] if m else 0) < a_ends[k]:
-                    pairs.append(a_ids[k] << 32 | b_ids[m])
-                    m += 1
+        yield end, i, i2, j, j2
         i, j = i2, j2
-    return Aligned(";".join(groups), len(a_ids), len(b_ids), len(groups), np.array(pairs, np.int64))
+
+
+def overlapping(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int], i: int, i2: int, j: int, j2: int) -> list[int]:
+    """Pairs of a slice whose bytes overlap."""
+    if i2 - i == 1 or j2 - j == 1:  # one token spans the slice and overlaps all of the other side
+        return [a << 32 | b for a in a_ids[i:i2] for b in b_ids[j:j2]]
+    pairs, low = [], j
+    for k in range(i, i2):
+        start, m = a_ends[k - 1] if k else 0, low
+        while b_ends[m] <= start:
+            m += 1
+        low = m
+        while m < j2 and (b_ends[m - 1] if m else 0) < a_ends[k]:
+            pairs.append(a_ids[k] << 32 | b_ids[m])
+            m += 1
+    return pairs
 
 
 class Aligner:
-    """Two tokenizers in one Python worker, and the units it has met lately."""
+    """Two tokenizers in one Python worker, and the units it has met lately.
+
+    The byte-level vocabulary is read from its file; tiktoken, which takes a vocabulary in the order of its
+    merges, applies it several times as fast as the library of that file, with the same ids.
+    """
+
+    #: Encoded before other units, so that the piece model's blank is this one's.
+    FIRST = " a"
 
     def __init__(self, byte_path: str, piece_path: str):
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         with open(byte_path, encoding="utf-8") as f:
-            entries = json.load(f)["model"]["vocab"]
-        self.a_bytes = {i: bytes(_byte_of()[c] for c in entry) for entry, i in entries.items()}
-        m = self.b
+            model = json.load(f)["model"]
+        as_bytes = {i: bytes(_byte_of()[c] for c in entry) for entry, i in model["vocab"].items() if all(c in _byte_of() for c in entry)}
+        merged = [model["vocab"][a + b] for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        if merged != sorted(merged):
+            raise ValueError("ids are not in the order of merges")
+        used = {*merged, *(i for i, x in as_bytes.items() if len(x) == 1)}  # special tokens are no bytes
+        self.a = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks={as_bytes[i]: i for i in used}, special_tokens={})
+        self.a_bytes = [as_bytes.get(i, b"") for i in range(max(as_bytes) + 1)]
+        self.b = m = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.b_bytes = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.vocab_size())]
-        self.known = Generations(REMEMBERED)
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.new: dict[str, Aligned | None] = {}
+        self.old: dict[str, Aligned | None] = {}
 
     def align(self, units: list[str]) -> list[Aligned | None]:
-        """Each begins with a blank. None where a side's bytes are not the unit's."""
-        found = []
-        for at in range(0, len(units), 2_000):
-            some = units[at : at + 2_000]
-            a_lists = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            b_lists = self.b.encode([u[1:] for u in some], num_threads=1)
-            found += [self._one(u.encode(), a, b) for u, a, b in zip(some, a_lists, b_lists, strict=True)]
-        return found
-
-    def _one(self, data: bytes, a_ids: list[int], b_ids: list[int]) -> Aligned | None:
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
-            return None
-        return sliced_links(a_ids, np.cumsum([len(x) for x in a_parts]).tolist(), b_ids, np.cumsum([len(x) for x in b_parts]).tolist())
+        """Of units as they stand in a row in some text. None where a side's bytes are not the unit's."""
+        data = [u.encode() for u in (self.FIRST, *units)]
+        text, whole = self.FIRST + "".join(units), b"".join(data)
+        a_ids, b_ids = self.a.encode_ordinary(text), self.b.encode(text[1:])
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
+            if len(units) == 1:
+                return [None]
+            half = len(units) // 2
+            return self.align(units[:half]) + self.align(units[half:])
+        a_ends, b_ends = list(accumulate(map(self.a_size.__getitem__, a_ids))), list(accumulate(map(self.b_size.__getitem__, b_ids)))
+        found, groups, pairs = [], [], []
+        ends = accumulate(map(len, data))
+        edge, a0, b0 = next(ends), 0, 0
+        for end, i, i2, j, j2 in sliced_links(a_ids, a_ends, b_ids, b_ends):
+            if i2 - i == 1 and j2 - j == 1:
+                a, b = a_ids[i], b_ids[j]
+                groups.append(f"{a}|{b}")
+                pairs.append(a << 32 | b)
+            else:
+                groups.append(",".join(map(str, a_ids[i:i2])) + "|" + ",".join(map(str, b_ids[j:j2])))
+                pairs += overlapping(a_ids, a_ends, b_ids, b_ends, i, i2, j, j2)
+            if end == edge:
+                found.append((";".join(groups), i2 - a0, j2 - b0, len(groups), pairs))
+                groups, pairs, edge, a0, b0 = [], [], next(ends, None), i2, j2
+        return found[1:]
 
     def units_of(self, text: str) -> Iterator[list[str]]:
         """The units of blank + text, in slices."""
@@ -126,16 +150,37 @@ class Aligner:
             edge = UNIT.search(full, at + SLICE) if len(full) - at > SLICE else None
             end = edge.start() if edge else len(full)
             part = full[at:end]
-            yield UNIT.split(part) if ODD.search(part, 1) or part.startswith("  ") else [" " + w for w in part[1:].split(" ")]
+            simple = part[1:2] not in ("", " ", "\n") and not ODD.search(part, 1)
+            yield (part[0] + part[1:].replace(" ", "\x1e ").replace("\n", "\x1e\n")).split("\x1e") if simple else UNIT.split(part)
             at = end
 
-    def remembered(self, units: set[str]) -> dict[str, Aligned | None]:
-        """The alignment of each unit."""
-        short = {u for u in units if len(u) <= LONGEST}
-        new, other = sorted(self.known.missing(short)), sorted(units - short)
-        known = self.known.new
-        known.update(zip(new, self.align(new), strict=True))
-        return {u: known[u] for u in short} | dict(zip(other, self.align(other), strict=True))
+    def known(self, units: Collection[str]) -> list[Aligned | None]:
+        """The alignment of each unit, in their order."""
+        if len(self.new) > REMEMBERED:
+            self.new, self.old = {}, self.new
+        new, old, fresh, chars, long = self.new, self.old, [], 0, {}
+        for u in units:
+            if u not in new:
+                if u in old:
+                    new[u] = old[u]
+                else:
+                    fresh.append(u)
+                    chars += len(u)
+                    if chars >= TOGETHER:
+                        self._learn(fresh, long)
+                        fresh, chars = [], 0
+        if fresh:
+            self._learn(fresh, long)
+        return [long[u] if u in long else new[u] for u in units] if long else [new[u] for u in units]
+
+    def _learn(self, units: list[str], long: dict[str, Aligned | None]) -> None:
+        units = sorted(units, key=lambda u: u[-1:].isspace())  # one that ends in white space comes last, as it does in its text
+        ended = sum(u[-1:].isspace() for u in units)
+        found = self.align(units[: len(units) - ended]) if ended < len(units) else []
+        for u in units[len(units) - ended :]:
+            found += self.align([u])
+        for u, x in zip(units, found, strict=True):
+            (self.new if len(u) <= LONGEST else long)[u] = x
 
 
 @lru_cache(maxsize=1)
@@ -158,37 +203,32 @@ class Group:
 
     docs: list[dict] = field(default_factory=list)
     chars: int = 0
-    doc: list[np.ndarray] = field(default_factory=list)
-    pair: list[np.ndarray] = field(default_factory=list)
-    times: list[np.ndarray] = field(default_factory=list)
+    place: dict[str, int] = field(default_factory=dict)  # of each unit among those met
+    aligned: list[Aligned] = field(default_factory=list)
+    doc: list[int] = field(default_factory=list)  # of each entry of a document and one of its units: the document, the unit, how often
+    unit: list[int] = field(default_factory=list)
+    times: list[int] = field(default_factory=list)
 
     def add(self, own: Aligner, doc_id: int | None, text: str) -> None:
-        place, digest = len(self.docs), sha256()
-        pairs: list[np.ndarray] = []
-        times: list[np.ndarray] = []
-        n_a = n_b = n_groups = n_links = 0
+        place, digest, total = len(self.docs), sha256(), Counter()
         for units in own.units_of(text) if text else ():
             counted = Counter(units)
-            found = own.remembered(set(counted))
+            found = dict(zip(counted, own.known(counted), strict=True))
             if None in found.values():
-                n_a = 0
+                total = Counter()
                 break
-            digest.update(((";" if n_groups else "") + ";".join([found[u].groups for u in units])).encode())
-            for u, n in counted.items():
-                x = found[u]
-                n_a, n_b, n_groups, n_links = n_a + n * x.n_a, n_b + n * x.n_b, n_groups + n * x.n_groups, n_links + n * len(x.pairs)
-            pairs.append(np.concatenate([found[u].pairs for u in counted]))
-            times.append(np.repeat(np.array(list(counted.values()), np.int64), [len(found[u].pairs) for u in counted]))
-        if not n_a:
-            n_b = n_groups = n_links = 0
-        else:
-            pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
-            total = np.zeros(len(pair), np.int64)
-            np.add.at(total, of, np.concatenate(times))
-            self.doc.append(np.full(len(pair), place, np.int32))
-            self.pair.append(pair)
-            self.times.append(total)
-        self.docs.append({"doc": place, "doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest.hexdigest() if n_a else ""})
+            groups = {u: x[0] for u, x in found.items()}
+            digest.update(((";" if total else "") + ";".join(map(groups.__getitem__, units))).encode())
+            for u in found:
+                if u in self.place:
+                    continue
+                self.place[u] = len(self.aligned)
+                self.aligned.append(found[u])
+            total = total + counted if total else counted
+        self.doc += [place] * len(total)
+        self.unit += map(self.place.__getitem__, total)
+        self.times += total.values()
+        self.docs.append({"doc": place, "doc_id": doc_id, "groups_sha256": digest.hexdigest() if total else ""})
         self.chars += len(text)
 
     def full(self) -> bool:
@@ -196,12 +236,25 @@ class Group:
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
         """A row for each document, and one for each pair with its documents and how often they hold it."""
-        yield _batch([{"group": number} | d for d in self.docs])
-        if not self.pair:
+        doc, unit, times = (np.array(x, np.int64) for x in (self.doc, self.unit, self.times))
+        sizes = np.array([x[1:4] for x in self.aligned], np.int64).reshape(-1, 3)
+        n_links = np.array([len(x[4]) for x in self.aligned], np.int64)
+        sums = np.zeros((4, len(self.docs)), np.int64)
+        for k, column in enumerate((*sizes.T, n_links)):
+            np.add.at(sums[k], doc, times * column[unit])
+        names = ("n_a", "n_b", "n_groups", "n_links")
+        yield _batch([{"group": number} | d | dict(zip(names, s, strict=True)) for d, s in zip(self.docs, sums.T.tolist(), strict=True)])
+        if not len(doc):
             return
-        pair, doc, times = np.concatenate(self.pair), np.concatenate(self.doc), np.concatenate(self.times)
-        order = np.argsort(pair, kind="stable")
-        pair, doc, times = pair[order], doc[order], times[order]
+        names_of, local = np.unique(np.array([p for x in self.aligned for p in x[4]], np.int64), return_inverse=True)
+        starts, n = np.cumsum(n_links) - n_links, n_links[unit]
+        at = np.repeat(starts[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        packed = local[at].astype(np.int64) * len(self.docs) + np.repeat(doc, n)  # pair first, document second
+        order = np.argsort(packed, kind="stable")
+        packed, each = packed[order], np.repeat(times, n)[order]
+        first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+        times, packed = np.add.reduceat(each, first), packed[first]
+        pair, doc = names_of[packed // len(self.docs)], (packed % len(self.docs)).astype(np.int32)
         edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         for at in range(0, len(edges), 50_000):
             some = edges[at : at + 50_000]

@@ -3,6 +3,7 @@
 import re
 from bisect import bisect_left
 from collections import defaultdict
+from functools import lru_cache
 from hashlib import sha256
 from itertools import groupby
 
@@ -141,9 +142,18 @@ def models():
     return alignment.aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@lru_cache(maxsize=1)
+def byte_level():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 def whole(models, text):
     """Groups and overlapping pairs of a whole text, each pair as often as it stands, by comparing all tokens' ranges."""
-    a = models.a.encode(" " + text, add_special_tokens=False).ids if text else []
+    a = byte_level().encode(" " + text, add_special_tokens=False).ids if text else []
     b = models.b.encode(text) if text else []
     a_bytes, b_bytes = [models.a_bytes[i] for i in a], [models.b_bytes[i] for i in b]
     if not text or not b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
@@ -177,7 +187,7 @@ def expected(models, rows):
     return [(k, n_a, n_b, len(g), len(links), sum(counts[p] == top[p[0]] for p in links), sum(counts[p] for p in links), sha256(";".join(g).encode()).hexdigest() if n_a else "") for k, n_a, n_b, g, links in found]
 
 
-PIECES = ["the", " ", "  ", "\n", " \n ", "\t", "don't", "Straße", "naïve", "日本語", "😀", "<|endoftext|>", "<s>", "<0x41>", "　", "\xa0", "\xad", "\x1c", "\x00", "é", "▁", "12345", "...", "x" * 50, "internationalisation", "�"]
+PIECES = ["the", " ", "  ", "\n", " \n ", "\t", "don't", "Straße", "naïve", "日本語", "😀", "<|endoftext|>", "<s>", "<0x41>", "　", "\xa0", "\xad", "\x1c", "\x00", "é", "▁", "12345", "...", "x" * 50, "internationalisation", "�", "a.\nB", "ing\n", "\r\n", "\x1e", "'S 's"]
 
 
 def test_alignment_as_defined(spark, models):
@@ -197,14 +207,15 @@ def test_units_are_aligned_like_the_whole_text(models, text):
     group = alignment.Group()
     group.add(models, 1, text)
     n_a, n_b, groups, links = whole(models, text)
-    own = group.docs[0]
+    own = {k: v[0] for k, v in next(group.rows(0)).to_pydict().items()}
     assert (own["n_a"], own["n_b"], own["n_groups"], own["n_links"]) == (n_a, n_b, len(groups), len(links))
     assert own["groups_sha256"] == (sha256(";".join(groups).encode()).hexdigest() if n_a else "")
-    held = {int(p): int(t) for p, t in zip(group.pair[0], group.times[0], strict=True)} if n_a else {}
+    batches = list(group.rows(7))
+    held = {p: (docs, times) for b in batches[1:] for p, docs, times in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)}
     want = defaultdict(int)
     for a, b in links:
         want[a << 32 | b] += 1
-    assert held == want
+    assert held == {p: ([0], [n]) for p, n in want.items()}
 
 
 def test_very_long_texts_are_cut_into_slices(models):
@@ -212,6 +223,6 @@ def test_very_long_texts_are_cut_into_slices(models):
     group = alignment.Group()
     group.add(models, 1, text)
     n_a, n_b, groups, links = whole(models, text)
-    own = group.docs[0]
+    own = {k: v[0] for k, v in next(group.rows(0)).to_pydict().items()}
     assert len(text) > alignment.SLICE
     assert (own["n_a"], own["n_b"], own["n_groups"], own["n_links"], own["groups_sha256"]) == (n_a, n_b, len(groups), len(links), sha256(";".join(groups).encode()).hexdigest())
