@@ -225,6 +225,42 @@ def pinned_read(spark, sf_dir) -> DataFrame:
     return _published(spark, sf_dir).read("orders", 2).select("o_orderkey", "o_orderstatus")
 
 
+@R.add("generation_read", f"WITH {V1_SQL} SELECT n_name, CAST(COUNT(*) AS BIGINT) AS orders, CAST(COUNT(DISTINCT c_custkey) AS BIGINT) AS customers FROM v1 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def generation_read(spark, sf_dir) -> DataFrame:
+    """Three tables as they were in one generation, after all of them have been published anew, two of them together."""
+    lake, customers, nations = _lake(spark), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    with lake.together() as first:
+        for name, rows in (("orders", orders_v1(spark, sf_dir)), ("customer", customers), ("nation", nations)):
+            first.publish(name, rows)
+    then = lake.generation(first.number)
+    with lake.together() as second:
+        second.publish("orders", orders_v2(spark, sf_dir))
+        second.publish("customer", customers.withColumn("c_nationkey", (F.col("c_nationkey") + 1) % 25))
+    lake.publish("nation", nations.filter("n_nationkey < 20"))
+    joined = then.read("orders").join(then.read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(then.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("c_custkey").alias("customers"))
+
+
+@R.add("expired_versions", f"""WITH {V1_SQL}, {V2_SQL} SELECT CAST(1 AS BIGINT) AS version, CAST(COUNT(*) AS BIGINT) AS rows, true AS kept FROM v1 UNION ALL SELECT 2, COUNT(*), false FROM v2
+UNION ALL SELECT 3, COUNT(*), true FROM v2 WHERE o_orderkey % 19 <> 0""")
+def expired_versions(spark, sf_dir) -> DataFrame:
+    """Of three publications the first is pinned and the last current; the one between goes, its line in the log stays."""
+    lake = _published(spark, sf_dir)
+    lake.pin("first", 1)
+    removed = lake.expire(keep=1, grace=0)
+    assert removed.count() == 1
+    left = [n for n in (1, 2, 3) if _readable(lake, "orders", n)]
+    return lake.log().select("version", "rows", F.col("version").isin(left).alias("kept"))
+
+
+def _readable(lake: Lake, name: str, version: int) -> bool:
+    try:
+        lake.read(name, version).count()
+    except KeyError:
+        return False
+    return True
+
+
 @R.add("snapshot_history", f"""WITH {V1_SQL}, {V2_SQL} SELECT 'orders' AS "table", CAST(3 AS BIGINT) AS version, CAST(COUNT(*) AS BIGINT) AS rows, 'replace' AS operation, true AS current FROM v2 WHERE o_orderkey % 19 <> 0
 UNION ALL SELECT 'orders', 2, COUNT(*), 'replace', false FROM v2 UNION ALL SELECT 'orders', 1, COUNT(*), 'create', false FROM v1""")
 def snapshot_history(spark, sf_dir) -> DataFrame:

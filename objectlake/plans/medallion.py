@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..model import ObjectType
 from ..operators import changes, clean, fuse, objects
 from ..session import discard, materialise
 from ..sources import tables
-from ..sources.tables import Lake
+from ..sources.lake import Generation, Lake
 
 
 class Drift(ValueError):
@@ -52,16 +53,27 @@ def sync(lake: Lake, name: str, source: DataFrame, key: str, declared: dict[str,
     """One table: bronze as text, its changes since the last time, then silver; the silver version.
 
     Text is standardised before it is typed; any misfit refuses the table; expectations come before
-    duplicates; what they hold goes to quarantine.
+    duplicates; what they hold goes to quarantine. Bronze and its changes become visible at once, and so do
+    silver and what is held, so a sync that failed anywhere may be run again. Silver isn't made again from
+    the same bronze version by the same rules.
     """
-    bronze = tables.as_bronze(source.select(*declared))
-    last = lake.latest(f"bronze_{name}")
-    before = lake.read(f"bronze_{name}", last) if last else None
-    if before is not None:
-        if changes.partial_read(before, bronze).first()["refused"]:
+    bronze, silver = f"bronze_{name}", f"silver_{name}"
+    with lake.together() as now:  # the changes become visible with the version that they lead to
+        before = now.before(bronze)
+        rows = tables.as_bronze(source.select(*declared))
+        if before is not None and changes.partial_read(before, rows).first()["refused"]:
             raise changes.PartialRead(name)
-        lake.append("changelog", changes.checked_diff(before, bronze, key).select(F.lit(name).alias("table"), "id", "change", F.to_json("values").alias("values"), F.current_timestamp().alias("recorded_at")))
-    rows = lake.read(f"bronze_{name}", lake.publish(f"bronze_{name}", bronze))
+        last = now.latest(bronze)
+        if now.publish(bronze, rows) != last and before is not None:
+            now.append("changelog", changes.checked_diff(before, now.read(bronze), key).select(F.lit(name).alias("table"), "id", "change", F.to_json("values").alias("values"), F.current_timestamp().alias("recorded_at")))
+    with lake.together() as now:
+        made_from = sha256(repr((now.latest(bronze), key, sorted(declared.items()), rules)).encode()).hexdigest()
+        if now.about(silver) == made_from:
+            return now.latest(silver)
+        return _silver(now, name, now.read(bronze), key, declared, rules, made_from)
+
+
+def _silver(now: Generation, name: str, rows: DataFrame, key: str, declared: dict[str, str], rules: list[clean.Constraint], made_from: str) -> int:
     tidy = rows.withColumns({c: standardise(F.col(c)) for c, t in declared.items() if t == "string"})
     misfits = drift(tidy, declared).filter("misfits > 0").collect()  # a row for each declared column at most
     if misfits:
@@ -70,11 +82,11 @@ def sync(lake: Lake, name: str, source: DataFrame, key: str, declared: dict[str,
     kept, held, _ = clean.expectations(typed, rules)
     kept, doubled = clean.split_duplicates(kept, [key])
     finding = lambda df, field, reason: df.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("object_id"), field.alias("field"), reason.alias("reason"), F.current_timestamp().alias("detected_at"))
-    lake.append("quarantine", finding(held, F.col("_rule.field"), F.col("_rule.reason")).unionByName(finding(doubled, F.lit(key), F.lit("duplicate"))))
-    return lake.publish(f"silver_{name}", clean.with_lineage(kept, "source", name))
+    now.append("quarantine", finding(held, F.col("_rule.field"), F.col("_rule.reason")).unionByName(finding(doubled, F.lit(key), F.lit("duplicate"))))
+    return now.publish(f"silver_{name}", clean.with_lineage(kept, "source", name), about=made_from)
 
 
-def resolved_gold(lake: Lake, t: ObjectType, rule: Identity, approved: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolved_gold(lake: Generation, t: ObjectType, rule: Identity, approved: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One row for each object of all sources, with _fused_from; the conflicts: losing values and refused merges; and the written table behind both."""
     columns = {f.source: f.name for f in t.fields if f.name != t.id_field}
     fields = list(columns.values())
@@ -106,44 +118,48 @@ def build_gold(
     """One gold table for each type, audited before it is published, with its history and conflicts appended.
 
     A type with an Identity is resolved from its sources, approved pairs included; others are conformed
-    from one table. The audit counts links to objects that are in no published table of their type.
-    Tables are submitted side by side, targets of links first; a type whose table is not synced, or
-    whose audit fails (its problems go to refused), leaves the others alone and what it has published
-    as it was.
+    from one table. The audit counts links to objects that are in no table of their type. Tables are
+    submitted side by side, targets of links first, from one generation of silver tables, and all become
+    visible in one generation, so that no reader joins new objects with old ones. A type whose table is not
+    synced, or whose audit fails (its problems go to refused), leaves the others alone and what it has
+    published as it was.
     """
     ids = {t.name: t.id_field for t in types}
+    out: dict[str, int] = {}
+    failed: list[tables.AuditFailed] = []
 
-    def one(t: ObjectType) -> int:
-        rule, losing, written = (identities or {}).get(t.name), None, []
+    def one(now: Generation, t: ObjectType) -> int:
+        rule, losing, written, gold = (identities or {}).get(t.name), None, [], f"gold_{t.name}"
         if rule:
-            rows, losing, *written = resolved_gold(lake, t, rule, (approved or {}).get(t.name))
+            rows, losing, *written = resolved_gold(now, t, rule, (approved or {}).get(t.name))
         else:
-            rows = t.conform(lake.read(f"silver_{t.table}"))
+            rows = t.conform(now.read(f"silver_{t.table}"))
         rows = rows.withColumns({t.id_field: F.col(t.id_field).cast("string"), **{f.name: F.col(f.name).cast("string") for f in t.fields if f.links_to}})
-        there = {f.name: (lake.read(f"gold_{f.links_to}"), ids[f.links_to]) for f in t.fields if f.links_to in ids and f.links_to != t.name and lake.latest(f"gold_{f.links_to}")}
+        there = {f.name: (now.read(f"gold_{f.links_to}"), ids[f.links_to]) for f in t.fields if f.links_to in ids and f.links_to != t.name and now.latest(f"gold_{f.links_to}")}
         audit = lambda new, old: tables.audit(new, t.id_field, [f.name for f in t.fields if f.required], there, old.count() if old is not None else None)
-        last = lake.latest(f"gold_{t.name}")
-        version = lake.publish(f"gold_{t.name}", rows, audit)
+        last, before = now.latest(gold), now.before(gold)
+        version = now.publish(gold, rows, audit)
         if version != last:
-            if last:
-                lake.append(f"gold_history_{t.name}", changes.as_history(changes.diff(lake.read(f"gold_{t.name}", last), lake.read(f"gold_{t.name}", version), t.id_field), version))
+            if before is not None:
+                now.append(f"gold_history_{t.name}", changes.as_history(changes.diff(before, now.read(gold), t.id_field), version))
             if losing is not None:
-                lake.append(f"gold_conflicts_{t.name}", losing.select("entity_id", "kind", "field", "chosen", "chosen_source", "losing", "losing_source", F.lit(version).alias("version")))
+                now.append(f"gold_conflicts_{t.name}", losing.select("entity_id", "kind", "field", "chosen", "chosen_source", "losing", "losing_source", F.lit(version).alias("version")))
         discard(*written)
         return version
 
-    out: dict[str, int] = {}
-    with ThreadPoolExecutor(threads) as pool:
+    with lake.together() as now, ThreadPoolExecutor(threads) as pool:
         for wave in waves(types):
-            for t, done in [(t, pool.submit(one, t)) for t in wave]:
+            for t, done in [(t, pool.submit(one, now, t)) for t in wave]:
                 try:
                     out[t.name] = done.result()
                 except KeyError:  # its table has not been synced
                     continue
                 except tables.AuditFailed as e:
-                    if refused is None:
-                        raise
-                    refused[t.name] = str(e)
+                    failed.append(e)
+                    if refused is not None:
+                        refused[t.name] = str(e)
+    if failed and refused is None:
+        raise failed[0]
     return out
 
 

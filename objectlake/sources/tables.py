@@ -1,18 +1,15 @@
-"""Reading sources, and versioned Parquet tables with write-audit-publish.
-
-A table is a folder of versions v=1, v=2, ... and a publications log; a version is seen by readers
-once its row stands in the log, and stays as it is from then on.
-"""
+"""Reading sources; fingerprints, audits, integrity, health, freshness and retention of tables."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LOG = "table string, version long, published_at timestamp, rows long, operation string"
+from .lake import AuditFailed, Lake
+
+__all__ = ["AuditFailed", "Lake"]
 
 
 def read(spark: SparkSession, kind: str, path: str, columns: list[str] | None = None, **options: str) -> DataFrame:
@@ -67,68 +64,6 @@ def bulk_rows(rows: DataFrame, id_column: str) -> DataFrame:
     )
 
 
-class AuditFailed(ValueError):
-    """A version that must not be published."""
-
-
-@dataclass(frozen=True)
-class Lake:
-    """Versioned tables below a folder that all executors share."""
-
-    spark: SparkSession
-    root: str
-
-    def _path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/v={version}"
-
-    def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LOG).parquet(f"{self.root}/_publications")
-        except Exception as e:  # no publication yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], LOG)
-
-    def latest(self, table: str) -> int | None:
-        return self.log().filter(F.col("table") == table).agg(F.max("version")).first()[0]
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A pinned version, or the newest one published."""
-        version = version or self.latest(table)
-        if version is None:
-            raise KeyError(f"{table} has not been published")
-        return self.spark.read.parquet(self._path(table, version))
-
-    def publish(self, table: str, rows: DataFrame, audit=None, skip_unchanged: bool = True) -> int:
-        """Write the next version, audit what was written, and only then add it to the log.
-
-        audit(new, old or None) returns a DataFrame of problems; any row refuses the publication.
-        """
-        last = self.latest(table)
-        old = self.read(table, last) if last else None
-        if skip_unchanged and old is not None and unchanged(rows, old):
-            return last
-        version = (last or 0) + 1
-        rows.write.mode("overwrite").parquet(self._path(table, version))
-        new = self.spark.read.parquet(self._path(table, version))
-        problems = audit(new, old).limit(5).collect() if audit else []
-        if problems:
-            raise AuditFailed(f"{table}: {[r.asDict() for r in problems]}")
-        line = self.spark.range(1).select(
-            F.lit(table).alias("table"), F.lit(version).cast("long").alias("version"), F.current_timestamp().alias("published_at"),
-            F.lit(new.count()).cast("long").alias("rows"), F.lit("create" if last is None else "replace").alias("operation"),
-        )
-        line.coalesce(1).write.mode("append").parquet(f"{self.root}/_publications")
-        return version
-
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Append sinks: changelog, quarantine, history, conflicts."""
-        rows.write.mode("append").parquet(f"{self.root}/{table}")
-
-    def appended(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}")
-
-
 def recent_snapshots(log: DataFrame, keep: int = 5) -> DataFrame:
     """Each table's newest publications, and which one is current. log: table, version, published_at, rows, operation."""
     w = Window.partitionBy("table").orderBy(F.desc("version"))
