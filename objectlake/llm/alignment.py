@@ -30,7 +30,7 @@ from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from .tokens import tokenizer_path
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters and documents of a group; a longer document is a group of its own.
-GROUP_CHARS, GROUP_DOCS = 1 << 20, 512
+GROUP_CHARS, GROUP_DOCS = 1 << 21, 1024
 #: Characters that are cut into units at once, units that are remembered (twice, the older half is dropped), and the longest of them.
 SLICE, REMEMBERED, LONGEST = 1 << 20, 150_000, 40
 #: Characters of units that are encoded together.
@@ -57,17 +57,13 @@ UNIT = re.compile(f"(?<=[{PRINTABLE}])(?= .|\n[{PRINTABLE}])", re.DOTALL)
 ODD = re.compile(f"[^{PRINTABLE}][ \n]|\n[^{PRINTABLE}]|[ \n]\\Z|\x1e")
 
 #: One unit: its groups as text, how many tokens, groups and links it has, and its links as pairs (a << 32 | b), repeated as often as they stand.
-Aligned = tuple[str, int, int, int, list[int]]
+Aligned = tuple[str, int, int, int, tuple[int, ...]]
 
 
-def sliced_links(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """The slices of both id lists between common ends: the end, and where the slice starts and stops in either list."""
+def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], dict[int, int], dict[int, int]]:
+    """The ends that both lists have, in order, and how many tokens of either side are over at each of its ends."""
     a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True)), dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
-    i = j = 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        i2, j2 = a_at[end], b_at[end]
-        yield end, i, i2, j, j2
-        i, j = i2, j2
+    return sorted(a_at.keys() & b_at.keys()), a_at, b_at
 
 
 def overlapping(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int], i: int, i2: int, j: int, j2: int) -> list[int]:
@@ -113,6 +109,7 @@ class Aligner:
         self.b = m = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.b_bytes = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.vocab_size())]
         self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_text, self.b_text = [f"{i}|" for i in range(len(self.a_bytes))], list(map(str, range(len(self.b_bytes))))
         self.new: dict[str, Aligned | None] = {}
         self.old: dict[str, Aligned | None] = {}
 
@@ -128,19 +125,23 @@ class Aligner:
             return self.align(units[:half]) + self.align(units[half:])
         a_ends, b_ends = list(accumulate(map(self.a_size.__getitem__, a_ids))), list(accumulate(map(self.b_size.__getitem__, b_ids)))
         found, groups, pairs = [], [], []
-        ends = accumulate(map(len, data))
-        edge, a0, b0 = next(ends), 0, 0
-        for end, i, i2, j, j2 in sliced_links(a_ids, a_ends, b_ids, b_ends):
+        edges = accumulate(map(len, data))
+        edge, a_text, b_text = next(edges), self.a_text, self.b_text
+        ends, a_at, b_at = common_ends(a_ends, b_ends)
+        i = j = a0 = b0 = 0
+        for end in ends:
+            i2, j2 = a_at[end], b_at[end]
             if i2 - i == 1 and j2 - j == 1:
                 a, b = a_ids[i], b_ids[j]
-                groups.append(f"{a}|{b}")
+                groups.append(a_text[a] + b_text[b])
                 pairs.append(a << 32 | b)
             else:
                 groups.append(",".join(map(str, a_ids[i:i2])) + "|" + ",".join(map(str, b_ids[j:j2])))
                 pairs += overlapping(a_ids, a_ends, b_ids, b_ends, i, i2, j, j2)
+            i, j = i2, j2
             if end == edge:
-                found.append((";".join(groups), i2 - a0, j2 - b0, len(groups), pairs))
-                groups, pairs, edge, a0, b0 = [], [], next(ends, None), i2, j2
+                found.append((";".join(groups), i - a0, j - b0, len(groups), tuple(pairs)))  # tuples of numbers are no burden to the garbage collector
+                groups, pairs, edge, a0, b0 = [], [], next(edges, None), i, j
         return found[1:]
 
     def units_of(self, text: str) -> Iterator[list[str]]:
@@ -203,32 +204,34 @@ class Group:
 
     docs: list[dict] = field(default_factory=list)
     chars: int = 0
-    place: dict[str, int] = field(default_factory=dict)  # of each unit among those met
-    aligned: list[Aligned] = field(default_factory=list)
+    place: dict[str, int] = field(default_factory=dict)  # of each unit among those met, and its groups
+    text: dict[str, str] = field(default_factory=dict)
+    sizes: list[tuple[int, int, int]] = field(default_factory=list)  # tokens and groups of each unit met, and its pairs
+    pairs: list[tuple[int, ...]] = field(default_factory=list)
     doc: list[int] = field(default_factory=list)  # of each entry of a document and one of its units: the document, the unit, how often
     unit: list[int] = field(default_factory=list)
     times: list[int] = field(default_factory=list)
 
     def add(self, own: Aligner, doc_id: int | None, text: str) -> None:
-        place, digest, total = len(self.docs), sha256(), Counter()
+        number, digest, total = len(self.docs), sha256(), Counter()
         for units in own.units_of(text) if text else ():
             counted = Counter(units)
-            found = dict(zip(counted, own.known(counted), strict=True))
-            if None in found.values():
+            unmet = [u for u in counted if u not in self.place]
+            found = own.known(unmet)
+            if None in found:
                 total = Counter()
                 break
-            groups = {u: x[0] for u, x in found.items()}
-            digest.update(((";" if total else "") + ";".join(map(groups.__getitem__, units))).encode())
-            for u in found:
-                if u in self.place:
-                    continue
-                self.place[u] = len(self.aligned)
-                self.aligned.append(found[u])
+            for u, (groups, n_a, n_b, n_groups, pairs) in zip(unmet, found, strict=True):
+                self.place[u] = len(self.pairs)
+                self.text[u] = groups
+                self.sizes.append((n_a, n_b, n_groups))
+                self.pairs.append(pairs)
+            digest.update(((";" if total else "") + ";".join(map(self.text.__getitem__, units))).encode())
             total = total + counted if total else counted
-        self.doc += [place] * len(total)
+        self.doc += [number] * len(total)
         self.unit += map(self.place.__getitem__, total)
         self.times += total.values()
-        self.docs.append({"doc": place, "doc_id": doc_id, "groups_sha256": digest.hexdigest() if total else ""})
+        self.docs.append({"doc": number, "doc_id": doc_id, "groups_sha256": digest.hexdigest() if total else ""})
         self.chars += len(text)
 
     def full(self) -> bool:
@@ -237,8 +240,8 @@ class Group:
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
         """A row for each document, and one for each pair with its documents and how often they hold it."""
         doc, unit, times = (np.array(x, np.int64) for x in (self.doc, self.unit, self.times))
-        sizes = np.array([x[1:4] for x in self.aligned], np.int64).reshape(-1, 3)
-        n_links = np.array([len(x[4]) for x in self.aligned], np.int64)
+        sizes = np.fromiter(chain.from_iterable(self.sizes), np.int64).reshape(-1, 3)
+        n_links = np.fromiter(map(len, self.pairs), np.int64)
         sums = np.zeros((4, len(self.docs)), np.int64)
         for k, column in enumerate((*sizes.T, n_links)):
             np.add.at(sums[k], doc, times * column[unit])
@@ -246,7 +249,7 @@ class Group:
         yield _batch([{"group": number} | d | dict(zip(names, s, strict=True)) for d, s in zip(self.docs, sums.T.tolist(), strict=True)])
         if not len(doc):
             return
-        names_of, local = np.unique(np.array([p for x in self.aligned for p in x[4]], np.int64), return_inverse=True)
+        names_of, local = np.unique(np.fromiter(chain.from_iterable(self.pairs), np.int64), return_inverse=True)
         starts, n = np.cumsum(n_links) - n_links, n_links[unit]
         at = np.repeat(starts[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         packed = local[at].astype(np.int64) * len(self.docs) + np.repeat(doc, n)  # pair first, document second
