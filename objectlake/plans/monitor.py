@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import edits, watch
 from ..session import shared_folder
 from ..sources import tables
-from ..streaming import incremental
+from ..streaming import incremental, watching
 from .bindings import LOG_SQL, REQUESTS_SQL, request_log, table, write_log
 from .registry import Registry
 
@@ -156,16 +156,41 @@ def _replayed(spark, rows: DataFrame, files: int) -> tuple[str, str]:
 def tombstones_stream(spark, sf_dir) -> DataFrame:
     log = write_log(spark, sf_dir).drop("batch_id")
     source, root = _replayed(spark, log, 4)
-    state = incremental.tombstone_stream(incremental.stream(spark, source, log._jdf.schema().toDDL(), 2))
-    incremental.run_to_end(state, f"{root}/checkpoint", lambda df, k: df.write.mode("overwrite").parquet(f"{root}/out/{k}"))
-    last = 1  # four files, two to a batch
-    return spark.read.parquet(f"{root}/out/{last}").filter("operation = 'delete'").select("object_id")
+    index = incremental.tombstone_index(spark, f"{root}/index")
+    incremental.index_applied(incremental.stream(spark, source, log._jdf.schema().toDDL(), 2), index, f"{root}/checkpoint")
+    return index.read().filter("operation = 'delete'").select("object_id")
 
 
 @R.add("red_stream", f"WITH {REQUESTS_SQL} SELECT strftime(at_, '%Y-%m-%d') AS day, route, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) FILTER (status >= 400) AS BIGINT) AS errors FROM requests GROUP BY 1, 2")
 def red_stream(spark, sf_dir) -> DataFrame:
     requests = request_log(spark, sf_dir)
     source, root = _replayed(spark, requests, 4)
-    out = incremental.red_stream(incremental.stream(spark, source, requests._jdf.schema().toDDL(), 2))
-    incremental.run_to_end(out, f"{root}/checkpoint", lambda df, k: df.write.mode("overwrite").parquet(f"{root}/out/{k}"))
-    return spark.read.parquet(f"{root}/out/1").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "route", "n", "errors")
+    index = incremental.red_index(spark, f"{root}/index")
+    incremental.index_red(incremental.stream(spark, source, requests._jdf.schema().toDDL(), 2), index, f"{root}/checkpoint", late="60 days")  # the log covers a month, in no order
+    return index.read().select(F.date_format("start", "yyyy-MM-dd").alias("day"), "route", "n", "errors")
+
+
+DAILY_SQL = """c AS (SELECT event_type AS condition, 'user_' || (user_id % 10) AS user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS at_, CASE WHEN event_type = 'error' AND ts >= TIMESTAMP '2024-01-20' THEN 'v2' ELSE 'v1' END AS definition, CAST(COUNT(*) AS BIGINT) AS n FROM events GROUP BY 1, 2, 3, 4),
+w AS (SELECT *, LAG(n) OVER (PARTITION BY condition, user_id, definition ORDER BY at_) AS was FROM c),
+f AS (SELECT condition, user_id, at_, n, CASE WHEN n > was THEN 'gained ' || (n - was) ELSE 'fell ' || (was - n) END AS verdict FROM w WHERE n <> was)"""
+
+
+@R.add("watch_stream", f"WITH {DAILY_SQL} SELECT condition, user_id, strftime(at_, '%Y-%m-%d') AS day, n, verdict FROM f QUALIFY verdict IS DISTINCT FROM LAG(verdict) OVER (PARTITION BY condition, user_id ORDER BY at_)")
+def watch_stream(spark, sf_dir) -> DataFrame:
+    """The events' counts by day as they come in, in three stretches of time with a restart between them; errors are counted under a new definition from a day on."""
+    e = table(spark, sf_dir, "events").withColumn("condition", F.col("event_type")).withColumn("user_id", F.concat(F.lit("user_"), F.col("user_id") % 10))
+    day = F.date_trunc("day", "ts")
+    counts = e.groupBy("condition", "user_id", day.alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "definition", F.when((F.col("condition") == "error") & (F.col("at") >= F.expr("timestamp '2024-01-20'")), "v2").otherwise("v1")
+    ).select("condition", "user_id", "definition", "at", "n")
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    days = ["2024-01-10", "2024-01-20", "9999-01-01"]
+    before = "0001-01-01"
+    watching.keeps_state(spark)
+    for until in days:
+        counts.filter((F.col("at") >= F.lit(before).cast("timestamp")) & (F.col("at") < F.lit(until).cast("timestamp"))).write.mode("append").parquet(f"{root}/in")
+        fired = watching.watch_stream(incremental.stream(spark, f"{root}/in", counts._jdf.schema().toDDL()))
+        incremental.run_to_end(fired, f"{root}/checkpoint", lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/out/batch={batch}"))
+        before = until
+    found = spark.read.schema(watching.FIRED).parquet(f"{root}/out")
+    return found.select("condition", "user_id", F.date_format("at", "yyyy-MM-dd").alias("day"), "n", "verdict")
