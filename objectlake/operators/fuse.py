@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .components import connected_components
 
 #: Fellegi-Sunter: agreement given a match and given none, and the share of pairs that match.
@@ -139,6 +141,93 @@ def candidates(left: DataFrame, right: DataFrame, compared: list[str], blocks: l
     ).filter(F.col("probability") >= review).withColumn("disposition", F.when(F.col("probability") >= propose, "propose").otherwise("review"))
 
 
+#: Rows of a block that are compared in one group; a larger block is cut into slices, and pairs of slices are groups.
+BLOCK_ROWS = 2_000
+
+
+def refined(compared: list[str], blocks: list[list[str]], review: float) -> list[tuple[str, ...]]:
+    """Finer blocks that hold every likely pair of the given ones: each with as many further fields as a pair needs to reach review."""
+    found: list[tuple[str, ...]] = []
+    for block in blocks:
+        rest = [c for c in compared if c not in block]
+        agreeing = sum(c in compared for c in block)
+        more = next((k for k in range(len(rest) + 1) if _probability((agreeing + k) * math.log(M / U)) >= review), None)
+        if more is not None:
+            found += [tuple(sorted({*block, *some})) for some in combinations(rest, more)]
+    return list(dict.fromkeys(found))
+
+
+def _probability(weight: float) -> float:
+    return 1 / (1 + math.exp(-(weight + math.log(PRIOR / (1 - PRIOR)))))
+
+
+def _weight(agree: dict[str, Column]) -> Column:
+    each = [F.coalesce(F.when(a, F.lit(math.log(M / U))).when(~a, F.lit(math.log((1 - M) / (1 - U)))), F.lit(0.0)) for a in agree.values()]
+    return reduce(Column.__add__, each) + F.lit(math.log(PRIOR / (1 - PRIOR)))
+
+
+def _disposition(propose: float) -> Column:
+    return F.when(F.col("probability") >= propose, "propose").otherwise("review")
+
+
+def dedupe(
+    records: DataFrame, compared: list[str], blocks: list[list[str]] | None = None, review: float = REVIEW, propose: float = PROPOSE, block_rows: int = BLOCK_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Likely matches among all records of all storages: pairs, and the classes of equal records that they stand for.
+
+    records: id (unique text) and the compared fields, and those of blocks. Records equal in all these
+    are one class, named by its smallest id. The first result has left_id, right_id, probability, agreeing
+    and disposition of classes that reach review, left_id < right_id; the second id, class_id, and the
+    probability and disposition that records of the class have with each other (NULL where they stay below
+    review or the class has one record). Weights are those of candidates.
+
+    A pair needs a block of which all fields agree. Each block is refined by the further fields that a
+    likely pair must agree on at least, so blocks hold few pairs that fail. A pair belongs to the first
+    refined block on which it agrees and is produced there alone, with its weight tested in the same
+    stage. Blocks are counted first; those of more than block_rows classes are cut into slices.
+    """
+    named = list(dict.fromkeys([*compared, *(c for b in blocks or [] for c in b)]))
+    at = {c: f"f{k}" for k, c in enumerate(named)}  # names that clash with no other column here
+    records = records.select("id", *[F.col(c).alias(f) for c, f in at.items()])
+    shown, fields, compared, blocks = dict(zip(at.values(), named, strict=True)), list(at.values()), [at[c] for c in compared], [[at[c] for c in b] for b in blocks or [[compared[0]]]]
+    values = F.struct(*[F.col(c).cast("string").alias(c) for c in fields])
+    own = records.select(F.col("id").cast("string").alias("id"), F.sha2(F.to_json(values, {"ignoreNullFields": "false"}), 256).alias("_key"), *fields)
+    classes = materialise(own.groupBy("_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in fields]), "classes")
+    within = 1 / (1 + F.exp(-_weight({c: F.when(F.col(c).isNotNull(), F.lit(True)) for c in compared})))
+    blocked = reduce(Column.__or__, [reduce(Column.__and__, [F.col(c).isNotNull() for c in b]) for b in blocks])
+    likely = F.when((F.col("n") > 1) & blocked & (within >= review), within)
+    members = own.select("id", "_key").join(classes.select("_key", "class_id", likely.alias("probability")), "_key").select(
+        "id", "class_id", "probability", F.when(F.col("probability").isNotNull(), _disposition(propose)).alias("disposition")
+    )
+
+    rules = refined(compared, blocks, review)
+    if not rules:
+        none = classes.limit(0).select(F.col("class_id").alias("left_id"), F.col("class_id").alias("right_id"), F.lit(0.0).alias("probability"), F.lit("").alias("agreeing"))
+        return none.withColumn("disposition", _disposition(propose)), members
+    whole = lambda rule: reduce(Column.__and__, [F.col(c).isNotNull() for c in rule])
+    keys = F.array_compact(F.array(*[F.when(whole(rule), F.struct(F.lit(k).alias("rule"), F.xxhash64(*rule).alias("block"))) for k, rule in enumerate(rules)]))
+    in_blocks = classes.select("class_id", *fields, F.explode(keys).alias("b")).select("class_id", *fields, "b.*")
+    sizes = in_blocks.groupBy("rule", "block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("slices", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
+    sliced = materialise(in_blocks.join(sizes, ["rule", "block"]).withColumn("slice", F.pmod(F.xxhash64("class_id"), F.col("slices")).cast("int")), "blocks")
+    side = lambda name, low, high: sliced.select(
+        "rule", "block", F.col("class_id").alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in fields], F.col("slice").alias(f"{name}_slice"), F.explode(F.sequence(low, high)).alias(f"{name}_other")
+    )
+    last = F.col("slices") - 1
+    a = side("l", F.col("slice"), last).withColumnsRenamed({"l_slice": "low", "l_other": "high"})
+    b = side("r", F.lit(0), F.col("slice")).withColumnsRenamed({"r_other": "low", "r_slice": "high"})
+    agree = {c: F.col(f"l_{c}") == F.col(f"r_{c}") for c in fields}
+    all_of = lambda rule: F.coalesce(reduce(Column.__and__, [agree[c] for c in rule]), F.lit(False))
+    mine = reduce(Column.__or__, [(F.col("rule") == k) & all_of(rule) & reduce(Column.__and__, [~all_of(r) for r in rules[:k]], F.lit(True)) for k, rule in enumerate(rules)])
+    once = (F.col("low") < F.col("high")) | (F.col("l_id") < F.col("r_id"))
+    p = 1 / (1 + F.exp(-_weight({c: agree[c] for c in compared})))
+    found = a.join(b, ["rule", "block", "low", "high"]).filter(once & mine & (p >= review))
+    pairs = found.select(
+        F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id"), p.alias("probability"),
+        F.array_join(F.array_compact(F.array(*[F.when(agree[c], shown[c]) for c in compared])), ",").alias("agreeing"),
+    )
+    return pairs.withColumn("disposition", _disposition(propose)), members
+
+
 def propose(found: DataFrame, existing: DataFrame) -> DataFrame:
     """New proposals (left_id, right_id in order) that do not exist yet; both: left_id, right_id."""
     ordered = lambda df: df.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).distinct()

@@ -120,6 +120,29 @@ def match_candidates(spark, sf_dir) -> DataFrame:
 R.sql["match_candidates"] = R.sql["match_candidates"].replace("0.9986 ELSE 0.4502 END", "CAST(0.9986 AS DOUBLE) ELSE CAST(0.4502 AS DOUBLE) END")
 
 
+#: Records of both sources as classes of equal ones, the balance in cents; blocks by name and by nation.
+RECORDS_SQL = f"""{SOURCES_SQL}, r AS (SELECT source || ':' || source_id AS id, c_name, c_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM both_sources),
+k AS (SELECT MIN(id) AS class_id, c_name, c_nationkey, cents, COUNT(*) AS n FROM r GROUP BY ALL)"""
+
+
+def _deduped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = fuse.sourced(customer_sources(spark, sf_dir), FIELDS)
+    records = rows.select(F.concat_ws(":", "source", "source_id").alias("id"), "c_name", "c_nationkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    return fuse.dedupe(records, ["c_name", "c_nationkey", "cents"], [["c_name"], ["c_nationkey"]], review=0.4)
+
+
+@R.add("dedupe_pairs", f"""WITH {RECORDS_SQL} SELECT a.class_id AS left_id, b.class_id AS right_id, concat_ws(',', CASE WHEN a.c_name = b.c_name THEN 'c_name' END, CASE WHEN a.c_nationkey = b.c_nationkey THEN 'c_nationkey' END, CASE WHEN a.cents = b.cents THEN 'cents' END) AS agreeing
+FROM k a JOIN k b ON a.class_id < b.class_id AND (a.c_name = b.c_name)::INT + (a.c_nationkey = b.c_nationkey)::INT + (a.cents = b.cents)::INT >= 2""")
+def dedupe_pairs(spark, sf_dir) -> DataFrame:
+    """Within and across both sources: two of three fields agree."""
+    return _deduped(spark, sf_dir)[0].select("left_id", "right_id", "agreeing")
+
+
+@R.add("dedupe_members", f"WITH {RECORDS_SQL} SELECT id, class_id, CASE WHEN n > 1 THEN 'propose' END AS disposition FROM r JOIN k USING (c_name, c_nationkey, cents)")
+def dedupe_members(spark, sf_dir) -> DataFrame:
+    return _deduped(spark, sf_dir)[1].select("id", "class_id", "disposition")
+
+
 @R.add("new_proposals", "SELECT DISTINCT LEAST(CAST(c_custkey AS VARCHAR), 'crm-' || c_custkey) AS left_id, GREATEST(CAST(c_custkey AS VARCHAR), 'crm-' || c_custkey) AS right_id FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 0")
 def new_proposals(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
