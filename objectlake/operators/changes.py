@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from ..sources.lake import Generation
+
 #: Missing ids, or net rows, beyond which a read is taken for a partial one.
 SUSPECT = 0.5
 WIDENED = {("int", "bigint"), ("float", "double"), ("date", "timestamp"), ("smallint", "int")}
@@ -34,11 +39,22 @@ def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.withColumn("change", change).filter("change is not null").select("id", "change", F.coalesce("after", "before").alias("values"))
 
 
+def generation_diff(old: Generation, new: Generation, table: str) -> DataFrame:
+    """diff of a table that both generations publish by buckets of ids: only buckets that differ are read and joined."""
+    changed = new.differing(table, old)
+    return diff(old.read(table, changed), new.read(table, changed), new.entry(table)["key"])
+
+
 def checked_diff(old: DataFrame, new: DataFrame, key: str, accept: bool = False) -> DataFrame:
-    """diff, unless more than half of the old ids are missing and that has not been accepted."""
-    found = diff(old, new, key)
+    """diff, unless more than half of the old ids are missing and that has not been accepted. The join runs once; its result is written out."""
+    return checked(diff(old, new, key), lambda: old.select(key).distinct().count(), accept)
+
+
+def checked(found: DataFrame, all_ids: Callable[[], int], accept: bool = False) -> DataFrame:
+    """Changes written out, unless they take away more than half of all ids and that has not been accepted."""
+    found = materialise(found, "changes")
     if not accept:
-        gone, all_ = found.filter("change = 'DELETE'").count(), old.select(key).distinct().count()
+        gone, all_ = found.filter("change = 'DELETE'").count(), all_ids()
         if all_ and gone > SUSPECT * all_:
             raise PartialRead(f"{gone} of {all_} ids are missing")
     return found
@@ -73,10 +89,6 @@ def removed_column_verdicts(missing: DataFrame, edits: DataFrame) -> DataFrame:
     return missing.join(touched, "field", "left").select("field", F.when(refused, "refused").otherwise("absorbed").alias("verdict"))
 
 
-def worst_verdict(verdict: Column) -> Column:
-    return F.when(F.max(verdict == "refused"), "refused").otherwise("absorbed")
-
-
 def type_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """column, was, now, verdict (widened or CHANGED) for columns whose source type changed; both: column, type."""
     both = before.select("column", F.col("type").alias("was")).join(after.select("column", F.col("type").alias("now")), "column").filter("was <> now")

@@ -117,6 +117,17 @@ def snapshot_diff(spark, sf_dir) -> DataFrame:
     return changes.diff(orders_v1(spark, sf_dir), orders_v2(spark, sf_dir), "o_orderkey").select("id", "change", F.col("values.o_orderstatus").alias("status"))
 
 
+@R.add("generation_diff", DIFF_SQL + " SELECT id, change, status FROM d WHERE change IS NOT NULL AND CAST(id AS BIGINT) % 100 < 3 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'DELETE', o_orderstatus FROM orders WHERE o_orderkey % 1000 = 550")
+def generation_diff(spark, sf_dir) -> DataFrame:
+    """Changes between two generations of orders, of which ids in three hundredths change as in snapshot_diff and few others go: buckets that stay aren't read."""
+    lake, v1, v2, few = _lake(spark), orders_v1(spark, sf_dir), orders_v2(spark, sf_dir), "o_orderkey % 100 < 3"
+    for rows in (v1, v2.filter(few).unionByName(v1.filter(f"not ({few}) and o_orderkey % 1000 <> 550"))):
+        with lake.together() as now:
+            now.publish_buckets("orders", rows, "o_orderkey", 128)
+    found = changes.generation_diff(lake.generation(1), lake.generation(2), "orders")
+    return found.select("id", "change", F.col("values.o_orderstatus").alias("status"))
+
+
 @R.add("partial_read_guard", "SELECT CAST(COUNT(*) AS BIGINT) AS before, CAST(COUNT(*) FILTER (o_orderkey % 3 = 0) AS BIGINT) AS after, COUNT(*) FILTER (o_orderkey % 3 = 0) < 0.5 * COUNT(*) AS refused FROM orders")
 def partial_read_guard(spark, sf_dir) -> DataFrame:
     v1 = orders_v1(spark, sf_dir)

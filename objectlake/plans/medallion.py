@@ -59,13 +59,14 @@ def sync(lake: Lake, name: str, source: DataFrame, key: str, declared: dict[str,
     """
     bronze, silver = f"bronze_{name}", f"silver_{name}"
     with lake.together() as now:  # the changes become visible with the version that they lead to
-        before = now.before(bronze)
-        rows = tables.as_bronze(source.select(*declared))
-        if before is not None and changes.partial_read(before, rows).first()["refused"]:
-            raise changes.PartialRead(name)
-        last = now.latest(bronze)
-        if now.publish(bronze, rows) != last and before is not None:
-            now.append("changelog", changes.checked_diff(before, now.read(bronze), key).select(F.lit(name).alias("table"), "id", "change", F.to_json("values").alias("values"), F.current_timestamp().alias("recorded_at")))
+        rows, last = tables.as_bronze(source.select(*declared)), now.entry(bronze)
+        version = now.publish_buckets(bronze, rows, key)
+        if last is not None and version != last["version"]:
+            if now.entry(bronze)["rows"] < changes.SUSPECT * last["rows"]:
+                raise changes.PartialRead(name)
+            found = changes.checked(changes.generation_diff(Generation(lake, now.number, now.tables), now, bronze), lambda: last["rows"])
+            now.append("changelog", found.select(F.lit(name).alias("table"), "id", "change", F.to_json("values").alias("values"), F.current_timestamp().alias("recorded_at")))
+            discard(found)
     with lake.together() as now:
         made_from = sha256(repr((now.latest(bronze), key, sorted(declared.items()), rules)).encode()).hexdigest()
         if now.about(silver) == made_from:
