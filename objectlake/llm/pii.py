@@ -24,6 +24,7 @@ from objectlake.session import materialise
 
 from . import weak
 from .expressions import thinned
+from .memory import released
 
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates that the classifier is fitted on, at most; chosen by a hash, in no order of the table.
@@ -198,7 +199,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 [{"start": s, "kind": k, "end": e, "base": b, "votes": v, "x": x} for s, k, e, b, v, x in candidates(t)] for t in f["text"]
             ]})
 
-    return _texts(docs).mapInPandas(each, FOUND)
+    return _texts(docs).mapInPandas(lambda b: released(each(b)), FOUND)
 
 
 def train(found: DataFrame) -> SpanModel:
@@ -243,7 +244,7 @@ def spans_of(found: DataFrame, model: SpanModel) -> DataFrame:
                 rows.append((doc_id, *n, sha256(joined(base).encode()).hexdigest(), joined([x[:3] for x in stay]), len(stay) - len(base)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return found.mapInPandas(each, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return found.mapInPandas(lambda b: released(each(b)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def find(docs: DataFrame) -> DataFrame:

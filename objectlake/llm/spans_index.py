@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from objectlake.session import discard, materialise
 
 from .expressions import thinned, unused
+from .memory import by_bytes, release, released
 from .rows import keyed
 
 LENGTH, GRAM = 100, 16
@@ -41,6 +42,8 @@ GRAMS = LENGTH - GRAM + 1
 #: Bytes that are hashed at once; longer documents are read in overlapping stretches.
 STRETCH = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)
+#: Bytes of text whose runs are sorted together.
+SORTED = 12 << 20
 #: Batches that a whole table is dealt into, in the order of its rows.
 BATCHES = 4
 #: In a scan, which holds one row of a head, heads are spread over tasks if more than one of so many runs of the sampled
@@ -172,9 +175,9 @@ def _fresh(*columns: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs of documents (doc, sub, text). Of a context's runs in one Arrow batch only the first is indexed;
+    """Runs of documents (doc, sub, text). Of a context's runs in SORTED bytes only the first is indexed;
     the others are settled, and dealt out by other numbers, so that a hot head stays small."""
-    for b in batches:
+    for b in by_bytes(batches, 2, SORTED):
         data = [t.encode() for t in b.column(2).to_pylist()]
         long_ = [k for k, t in enumerate(data) if len(t) >= LENGTH]
         head_a, head_b, context, of, s, e = runs([data[k] for k in long_])
@@ -190,6 +193,8 @@ def suffix_array(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator
         state = np.where(fresh, NEW + HOT * np.isin(head_a ^ head_b, hot), SETTLED)
         columns[0] = np.where(fresh, head_a, (doc.view(np.uint64) * M1 + place.view(np.uint64) * M2).view(np.int64))
         yield _batch([c[keep] for c in (*columns, state)], ROW, TYPES)
+        del data, head_a, head_b, context, of, s, e, row, doc, sub, place, order, columns, fresh, lead, keep, state
+        release()
 
 
 #: What a merge-scan gives: runs repeated as a whole, runs to be compared, and first occurrences.
@@ -286,7 +291,7 @@ class SuffixFamily:
         has read them in order, so it writes their first occurrences and the batch's as one array.
         """
         hot = self.hot
-        batch = texts.mapInArrow(lambda b: suffix_array(b, hot), ROWS)
+        batch = texts.mapInArrow(lambda b: released(suffix_array(b, hot)), ROWS)
         for k, (_, level) in enumerate(self.levels):
             batch = batch.unionByName(level.withColumn("state", (F.lit(-LEVEL * (k + 1)) + F.col("state").bitwiseAND(F.lit(HOT))).cast("byte")))
         size, gone = 1, []
@@ -295,7 +300,7 @@ class SuffixFamily:
             self.merges += 1
             gone.append(self.levels.pop()[1])
         merged_levels = list(range(len(self.levels), len(self.levels) + len(gone))) if keep else None
-        scanned = materialise(_sorted(batch).mapInArrow(lambda b: merge_scan(b, merged_levels), ROWS), "scan")
+        scanned = materialise(_sorted(batch).mapInArrow(lambda b: released(merge_scan(b, merged_levels)), ROWS), "scan")
         if not keep:
             return scanned
         out = materialise(scanned.filter(F.col("state").isin(WHOLE, COMPARE)), "repeated")
@@ -457,11 +462,11 @@ def spans(texts: DataFrame, batches: int = BATCHES, hot: np.ndarray | None = Non
     to_compare = with_hot(scanned.filter(F.col("state") == COMPARE).select("doc", "sub", "head_a", "head_b", "context", "place"), block_runs)
     to_compare = to_compare.groupBy("doc", "sub").agg(F.collect_set(F.struct("head_a", "head_b", "context", "place", "hot")).alias("runs"))
     stretches = texts.join(to_compare, ["doc", "sub"]).select("doc", "sub", "text", "runs").mapInArrow(
-        contexts, "head_a long, head_b long, context long, doc long, sub long, s long, bytes binary, hot boolean"
+        lambda b: released(contexts(b)), "head_a long, head_b long, context long, doc long, sub long, s long, bytes binary, hot boolean"
     )
     deal = F.xxhash64("head_a", "head_b", F.when(F.col("hot"), F.col("context")).otherwise(0))
     ordered = stretches.repartition(deal).sortWithinPartitions("head_a", "head_b", "context", "doc", "sub", "s")
-    found = materialise(ordered.mapInArrow(lambda b: compare(b, block_runs), SPAN), "compared")
+    found = materialise(ordered.mapInArrow(lambda b: released(compare(b, block_runs)), SPAN), "compared")
     warm = found.filter(F.col("window").isNotNull())
     firsts = materialise(warm.groupBy("window", "other").agg(F.min(F.struct("doc", "sub", "start")).alias("first")), "windows")
     again = warm.join(firsts, ["window", "other"]).filter(F.struct("doc", "sub", "start") != F.col("first"))

@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from objectlake.session import materialise
 
 from .expressions import thinned, unused
+from .memory import release, released
 
 #: Labelled documents that the chain is fitted on, at most; chosen by hash of doc_id.
 TRAINING_DOCS = 8_000
@@ -33,6 +35,9 @@ REJECT = 0.5
 #: Documents whose terms are held at once.
 BLOCK = 500
 WORD = re.compile(r"[^\W\d_]+")
+GAP = re.compile(r"[\W\d_]")
+#: Characters whose words are listed at once.
+SLICE = 1 << 20
 
 # Words that mark a toxic document as belonging to a category.
 CATEGORIES = {
@@ -61,13 +66,21 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def terms(text: str) -> tuple[list[str], int]:
-    """Words of a whole text and the beginnings of longer ones, upper and lower case alike; how many words."""
-    words = WORD.findall(text.lower())
-    out = list(words)
+def words_of(text: str) -> Iterator[list[str]]:
+    """Words of a whole text, upper and lower case alike, in slices that cut no word."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + SLICE) if len(text) - at > SLICE else None
+        end = gap.end() if gap else len(text)
+        yield WORD.findall(text[at:end].lower())
+        at = end
+
+
+def terms(words: list[str]) -> Iterator[str]:
+    """Words and the beginnings of longer ones."""
+    yield from words
     for k in STEMS:
-        out += [w[:k] + "~" for w in words if len(w) > k]
-    return out, len(words)
+        yield from (w[:k] + "~" for w in words if len(w) > k)
 
 
 def features(texts: list[str], vocabulary: tuple[str, ...]) -> np.ndarray:
@@ -75,8 +88,12 @@ def features(texts: list[str], vocabulary: tuple[str, ...]) -> np.ndarray:
     n, place, known = len(vocabulary), {w: j for j, w in enumerate(vocabulary)}, frozenset(vocabulary)
     x = np.zeros((len(texts), 2 * n), "f4")
     for i, t in enumerate(texts):
-        own, n_words = terms(t)
-        for w, count in Counter(filter(known.__contains__, own)).items():
+        counted: Counter[str] = Counter()
+        n_words = 0
+        for words in words_of(t):
+            n_words += len(words)
+            counted.update(filter(known.__contains__, terms(words)))
+        for w, count in counted.items():
             x[i, place[w]] = np.log1p(count)
             x[i, n + place[w]] = min(1.0, 20 * count / max(n_words, 20))
     return x
@@ -141,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
             for k in range(0, len(f), BLOCK):
                 seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
                 for t, y in zip(f["text"][k : k + BLOCK], f["toxic"][k : k + BLOCK], strict=True):
-                    seen[int(y > 0)].update(set(terms(t)[0]))
+                    seen[int(y > 0)].update(set(chain.from_iterable(map(terms, words_of(t)))))
                 rows = [(w, seen[1][w], seen[0][w]) for w in seen[0].keys() | seen[1].keys()]
                 yield pd.DataFrame(rows, columns=["word", "bad", "good"])
 
@@ -149,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     lift = F.col("bad") / max(n_bad, 1) - F.col("good") / max(n_good, 1)
     spread = F.sqrt((F.col("bad") + F.col("good") + 1.0) / max(n_bad + n_good, 1))
     words = tuple(
-        r["word"] for r in labelled.mapInPandas(counted, "word string, bad long, good long")
+        r["word"] for r in labelled.mapInPandas(lambda b: released(counted(b)), "word string, bad long, good long")
         .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .filter("bad + good >= 3").orderBy(F.desc(F.abs(lift) / spread), "word").limit(VOCABULARY).collect()
     )
@@ -164,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
                 "fold": [crc32(t.encode()) % FOLDS for t in f["text"]],
             })
 
-    rows = labelled.mapInPandas(vectors, "x binary, y array<int>, fold int").collect()  # TRAINING_DOCS rows at most
+    rows = labelled.mapInPandas(lambda b: released(vectors(b)), "x binary, y array<int>, fold int").collect()  # TRAINING_DOCS rows at most
     x = np.frombuffer(b"".join(r["x"] for r in rows), "f4").reshape(len(rows), 2 * len(words))
     y = np.array([r["y"] for r in rows], "f4").reshape(len(rows), len(CHAIN))
     folds = np.array([r["fold"] for r in rows], int)
@@ -172,13 +189,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     return fit_chain(x, y, folds, words)
 
 
-def scored(docs: DataFrame, chain: Chain, name: str) -> DataFrame:
+def scored(docs: DataFrame, model: Chain, name: str) -> DataFrame:
     """docs with a struct of p_insult, p_contempt and p_toxic under a name. Null text counts as empty."""
 
     @F.pandas_udf(f"struct<{', '.join(f'p_{c}:double' for c in CHAIN)}>")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         own = [t or "" for t in texts]
-        parts = [chain.probabilities(features(own[k : k + BLOCK], chain.words)) for k in range(0, len(own), BLOCK)]
+        parts = [model.probabilities(features(own[k : k + BLOCK], model.words)) for k in range(0, len(own), BLOCK)]
+        release()
         return pd.DataFrame(np.round(np.vstack([np.zeros((0, len(CHAIN))), *parts]), 6), columns=[f"p_{c}" for c in CHAIN])
 
     return docs.withColumn(name, predicted(F.col("text").cast("string")))

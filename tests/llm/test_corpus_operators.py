@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from objectlake.llm import fingerprints, near_dedup, packing, pieces, pii, quality, sharding, shingles, spans_index, toxicity, urls, weak
+from objectlake.llm import fingerprints, memory, near_dedup, packing, pieces, pii, quality, sharding, shingles, spans_index, toxicity, urls, weak
 from objectlake.llm.rows import keyed
 from objectlake.llm.tokens import WordTokenizer, tokenizer_path
 
@@ -656,3 +656,20 @@ def test_spans_of_documents_longer_than_a_stretch():
     for a, b in zip(s, e, strict=True):
         covered[a : b + 1] = True
     assert covered.all()
+
+
+def test_terms_of_long_texts_are_counted_in_slices():
+    text = "Bad words, the BADDEST wording; 12x\n" * 90_000
+    assert len(text) > 3 * toxicity.SLICE
+    words = [w for part in toxicity.words_of(text) for w in part]
+    assert words == toxicity.WORD.findall(text.lower())
+    x = toxicity.features([text, ""], ("bad", "badd~", "absent"))
+    assert np.allclose(np.expm1(x[0, :2]), 90_000) and not x[1].any() and x[0, 2] == 0
+
+
+def test_batches_are_sliced_by_the_bytes_of_their_texts():
+    texts = ["a" * 5, None, "b" * 7, "é" * 50, "", "c" * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["k", "text"])
+    parts = [b.column(0).to_pylist() for b in memory.by_bytes([batch, batch.slice(0, 0)], 1, 12)]
+    assert parts == [[0, 1, 2], [3], [4, 5]]
+    assert [b.num_rows for b in memory.released(iter([batch]))] == [6]
