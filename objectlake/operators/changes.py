@@ -89,6 +89,19 @@ def removed_column_verdicts(missing: DataFrame, edits: DataFrame) -> DataFrame:
     return missing.join(touched, "field", "left").select("field", F.when(refused, "refused").otherwise("absorbed").alias("verdict"))
 
 
+def type_change_verdicts(misfits: DataFrame) -> DataFrame:
+    """column, data_type, verdict: refused wherever a value no longer fits its declared type; misfits: column, data_type, misfits."""
+    return misfits.select("column", "data_type", F.when(F.col("misfits") > 0, "refused").otherwise("absorbed").alias("verdict"))
+
+
+def misfits_of_old_types(drifted: DataFrame, rows: DataFrame) -> DataFrame:
+    """drifted (of type_drift) with misfits: how many values of the new rows can't be read under the old type."""
+    changed = drifted.select("column", "was").collect()  # a row for each column at most
+    counts = rows.agg(F.lit(0).alias("_"), *[F.count_if(F.col(r["column"]).isNotNull() & F.col(r["column"]).cast("string").try_cast(r["was"]).isNull()).alias(r["column"]) for r in changed])
+    each = counts.select(F.explode(F.array(*[F.struct(F.lit(r["column"]).alias("column"), F.col(r["column"]).alias("misfits")) for r in changed])).alias("c")).select("c.*") if changed else counts.select(F.lit("").alias("column"), F.lit(0).cast("long").alias("misfits")).limit(0)
+    return drifted.join(each, "column")
+
+
 def type_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """column, was, now, verdict (widened or CHANGED) for columns whose source type changed; both: column, type."""
     both = before.select("column", F.col("type").alias("was")).join(after.select("column", F.col("type").alias("now")), "column").filter("was <> now")

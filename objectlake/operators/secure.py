@@ -82,6 +82,36 @@ def partitions_touched(rows: DataFrame, security_value: str | None) -> DataFrame
     )
 
 
+def visible_values(ontology: Ontology, type_name: str, user: User, load: Load) -> DataFrame:
+    """field, filled: the fields that a user may discover, each with how many of the objects they may read have a value they may read."""
+    rows = readable(ontology, type_name, user, visible(ontology, type_name, user, load))
+    names = visible_schema(ontology, user).get(type_name, [])
+    if not names:
+        return rows.limit(0).select(F.lit("").alias("field"), F.lit(0).cast("long").alias("filled"))
+    counts = rows.agg(F.lit(0).alias("_"), *[F.count(n).alias(n) for n in names])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("filled")) for n in names])).alias("f")).select("f.*")
+
+
+def denied_bitmaps(rows: DataFrame, key: str, security_value: str | None) -> DataFrame:
+    """Which objects a read denies: boundary, bucket, bitmap and n, a row for each boundary and 32,768 ids.
+
+    rows carry their boundary and a number as key, from 0 up. What is kept of a read are a few rows,
+    however many objects it denies; denied_ids gives the ids back.
+    """
+    allowed = F.coalesce(F.col(BOUNDARY) == F.lit(security_value), F.lit(False))
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(F.col(key) + 1)).alias("bitmap")  # Spark numbers bits from 1
+    made = rows.filter(~allowed).groupBy(F.col(BOUNDARY).alias("boundary"), F.bitmap_bucket_number(F.col(key) + 1).alias("bucket")).agg(bits)
+    return made.withColumn("n", F.bitmap_count("bitmap"))
+
+
+def denied_ids(bitmaps: DataFrame) -> DataFrame:
+    """boundary and id of every object in the bitmaps."""
+    byte = bitmaps.select("boundary", "bucket", F.posexplode(F.split(F.hex("bitmap"), "(?<=\\G..)")).alias("at", "hex")).filter("hex <> '' and hex <> '00'")
+    bits = byte.select("boundary", "bucket", "at", F.conv("hex", 16, 10).cast("int").alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    held = bits.filter(F.expr("(byte & shiftleft(1, bit)) <> 0"))
+    return held.select("boundary", ((F.col("bucket") - 1) * 32_768 + F.col("at") * 8 + F.col("bit")).alias("id"))
+
+
 def per_user_counts(rows: DataFrame, users: DataFrame) -> DataFrame:
     """How many objects each user sees, in one job; users: user_id, security_value. Users without any count 0."""
     by = rows.groupBy(F.col(BOUNDARY).alias("security_value")).agg(F.count(F.lit(1)).alias("n"))

@@ -152,13 +152,16 @@ def history_of_object(spark, sf_dir) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).select("object_id", "change", "publication")
 
 
-@R.add("source_type_drift", """SELECT 'o_orderkey' AS "column", 'int' AS was, 'bigint' AS now, 'widened' AS verdict, CAST(COUNT(o_orderkey) AS BIGINT) AS filled, CAST(COUNT(DISTINCT o_orderkey) AS BIGINT) AS "values" FROM orders
-UNION ALL SELECT 'o_orderstatus', 'int', 'string', 'CHANGED', COUNT(o_orderstatus), COUNT(DISTINCT o_orderstatus) FROM orders""")
+@R.add("source_type_drift", """SELECT 'o_orderkey' AS "column", 'int' AS was, 'bigint' AS now, 'widened' AS verdict, CAST(COUNT(*) FILTER (TRY_CAST(o_orderkey AS INTEGER) IS NULL) AS BIGINT) AS misfits FROM orders
+UNION ALL SELECT 'o_orderstatus', 'int', 'string', 'CHANGED', COUNT(*) FILTER (o_orderkey % 10 <> 0) FROM orders""")
 def source_type_drift(spark, sf_dir) -> DataFrame:
-    """Columns whose type changed, with what they hold: the values that readers of the old type would meet."""
-    before = spark.createDataFrame([("o_orderkey", "int"), ("o_custkey", "bigint"), ("o_orderstatus", "int")], "column string, type string")
-    now = spark.createDataFrame(list(tables.source_types(orders_v1(spark, sf_dir)).items()), "column string, type string")
-    return changes.type_drift(before, now).join(_held_values(table(spark, sf_dir, "orders")), "column")
+    """Columns whose type differs between two published versions of a table, with the new values that the old type can't hold."""
+    lake, k = _lake(spark), F.col("o_orderkey")
+    rows = orders_v1(spark, sf_dir)
+    lake.publish("orders", rows.select(k.cast("int").alias("o_orderkey"), "o_custkey", (k % 3).cast("int").alias("o_orderstatus")))
+    lake.publish("orders", rows.withColumn("o_orderstatus", F.when(k % 10 == 0, "7").otherwise(F.col("o_orderstatus"))))
+    types = lambda n: spark.createDataFrame(list(tables.source_types(lake.read("orders", n)).items()), "column string, type string")
+    return changes.misfits_of_old_types(changes.type_drift(types(1), types(2)), lake.read("orders", 2))
 
 
 def _held_values(rows: DataFrame) -> DataFrame:
@@ -208,15 +211,19 @@ def unchanged_fingerprint(spark, sf_dir) -> DataFrame:
     return tables.fingerprint(v1).select(F.col("n").alias("rows"), F.lit(same).alias("same_reordered"), F.lit(edited).alias("same_edited"))
 
 
-ORDERS = {"o_orderkey": False, "o_custkey": False, "o_orderstatus": False, "o_totalprice": True, "o_orderdate": True, "o_orderpriority": True}
+ORDERS = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": True, "o_totalprice": False}
 
 
-@R.add("columns_changed", " UNION ALL ".join(f'SELECT \'{c}\' AS "column", CAST(COUNT({c}) AS BIGINT) AS filled, CAST(COUNT(DISTINCT {c}) AS BIGINT) AS "values", {added} AS added, true AS rebuilt FROM orders' for c, added in ORDERS.items()))
+@R.add("columns_changed", " UNION ALL ".join(f'SELECT \'{c}\' AS "column", {f"CAST(COUNT({c}) AS BIGINT)" if old else "CAST(NULL AS BIGINT)"} AS filled_before, CAST(COUNT({c}) AS BIGINT) AS filled, true AS rebuilt FROM orders' for c, old in ORDERS.items()))
 def columns_changed(spark, sf_dir) -> DataFrame:
-    """What each column holds, whether it is new since the first version, and whether the table is built anew for it."""
-    orders, before = table(spark, sf_dir, "orders"), orders_v1(spark, sf_dir)
-    found = _held_values(orders).withColumn("added", ~F.col("column").isin(before.columns))
-    return found.withColumn("rebuilt", F.lit(changes.columns_changed(before, orders)))
+    """What each column of two published versions holds in either, and whether the table is built anew for its columns."""
+    lake = _lake(spark)
+    lake.publish("orders", orders_v1(spark, sf_dir))
+    lake.publish("orders", table(spark, sf_dir, "orders").select(*ORDERS))
+    before, now = lake.read("orders", 1), lake.read("orders", 2)
+    held = lambda rows, name: _held_values(rows).select("column", F.col("filled").alias(name))
+    both = held(before, "filled_before").join(held(now, "filled"), "column", "full")
+    return both.withColumn("rebuilt", F.lit(changes.columns_changed(before, now)))
 
 
 def _lake(spark) -> Lake:
@@ -306,7 +313,8 @@ def integrity(spark, sf_dir) -> DataFrame:
     return tables.integrity(inventory, declared)
 
 
-@R.add("lake_overview")
+@R.add("lake_overview", """SELECT 'bronze_customer' AS "table", CAST(1 AS BIGINT) AS version, CAST(COUNT(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS held FROM customer
+UNION ALL SELECT 'silver_customer', 1, COUNT(*) FILTER (c_acctbal >= 0), COUNT(*) FILTER (c_acctbal < 0) FROM customer""")
 def lake_overview(spark, sf_dir) -> DataFrame:
     """The newest publication of a synced table with its held findings."""
     from .medallion import sync

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -144,6 +146,28 @@ _aggregate("min", "MIN(o_totalprice)")
 _aggregate("max", "MAX(o_totalprice)")
 
 
+@R.add("aggregate_mean", "SELECT p_brand AS \"group\", AVG(p_size) AS value FROM part WHERE p_brand IS NOT NULL GROUP BY 1")
+def aggregate_mean(spark, sf_dir) -> DataFrame:
+    return objects.ObjectSet.of(ONTOLOGY, "Part", loader(spark, sf_dir), ASIA).aggregate("avg", "p_size", "p_brand")
+
+
+@R.add("denied_ids", f"SELECT r_name AS boundary, o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey {CHAIN} WHERE r_name <> 'ASIA'")
+def denied_ids(spark, sf_dir) -> DataFrame:
+    """The orders that a read for Asia denies, kept as bitmaps by boundary and given back."""
+    return secure.denied_ids(secure.denied_bitmaps(secure.with_boundary(ONTOLOGY, "Order", loader(spark, sf_dir)), "o_orderkey", "ASIA"))
+
+
+_VISIBLE_SQL = [f"SELECT 'reader' AS user_id, '{c}' AS field, CAST(COUNT({c}) AS BIGINT) AS filled FROM customer {CHAIN} WHERE r_name = 'ASIA' UNION ALL SELECT 'finder', '{c}', CAST(0 AS BIGINT)" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")]
+
+
+@R.add("visible_values", " UNION ALL ".join(_VISIBLE_SQL))
+def visible_values(spark, sf_dir) -> DataFrame:
+    """What users see of customers: one may read them, one only discover that their fields exist, one nothing."""
+    users = [User("reader", "ASIA", frozenset({"read:Customer"})), User("finder", "ASIA", frozenset({"discover:Customer"})), User("other", "ASIA", frozenset({"read:Order"}))]
+    found = [secure.visible_values(ONTOLOGY, "Customer", u, loader(spark, sf_dir)).select(F.lit(u.user_id).alias("user_id"), "field", "filled") for u in users]
+    return reduce(DataFrame.unionByName, found)
+
+
 @R.add("aggregate_ungrouped", f"SELECT '' AS \"group\", MAX(o_totalprice) AS value FROM {ASIA_ORDERS}")
 def aggregate_ungrouped(spark, sf_dir) -> DataFrame:
     return _set(spark, sf_dir, "Order").aggregate("max", "o_totalprice")
@@ -218,13 +242,16 @@ def get_objects(spark, sf_dir) -> DataFrame:
     return secure.readable(ONTOLOGY, "Customer", clerk, rows).select("c_custkey", "c_name", "c_acctbal")
 
 
-@R.add("field_catalog", """SELECT column_name AS field, 'customer' AS "table", CAST(ordinal - 1 AS BIGINT) AS position, CAST((SELECT COUNT(*) FROM customer) AS BIGINT) AS objects
-FROM (VALUES ('c_custkey', 1), ('c_name', 2), ('c_nationkey', 3), ('c_acctbal', 4), ('c_mktsegment', 5)) v(column_name, ordinal)""")
+@R.add("field_catalog", " UNION ALL ".join(f"SELECT '{t}' AS type, '{f}' AS field, '{name}' AS \"table\", CAST({k} AS BIGINT) AS position, CAST(COUNT({c}) AS BIGINT) AS filled FROM {name}" for t, f, name, c, k in secure.field_catalog(ONTOLOGY)))
 def field_catalog(spark, sf_dir) -> DataFrame:
-    """The catalog of one type with the number of objects that its table holds."""
-    fields = spark.createDataFrame([r for r in secure.field_catalog(ONTOLOGY) if r[0] == "Customer"], "type string, field string, table string, column string, position long")
-    n = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("objects"))
-    return fields.crossJoin(n).select("field", "table", "position", "objects")  # a few fields by one row
+    """The catalog of all types with how many rows of its table fill each column; a scan for each table."""
+    fields = spark.createDataFrame(secure.field_catalog(ONTOLOGY), "type string, field string, table string, column string, position long")
+    counts = []
+    for t in ONTOLOGY.types.values():
+        names = [f.source for f in t.fields]
+        one = table(spark, sf_dir, t.table).agg(*[F.count(c).alias(c) for c in names])
+        counts.append(one.select(F.explode(F.array(*[F.struct(F.lit(t.name).alias("type"), F.lit(c).alias("column"), F.col(c).alias("filled")) for c in names])).alias("c")).select("c.*"))
+    return fields.join(reduce(DataFrame.unionByName, counts), ["type", "column"]).select("type", "field", "table", "position", "filled")
 
 
 @R.add("reauthorised_view", f"SELECT c_custkey FROM customer {CHAIN} WHERE r_name = 'ASIA' AND c_mktsegment = 'BUILDING'")

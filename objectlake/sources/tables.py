@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lake import AuditFailed, Lake
+from .lake import AuditFailed, Generation, Lake
 
 __all__ = ["AuditFailed", "Lake"]
 
 
-def read(spark: SparkSession, kind: str, path: str, columns: list[str] | None = None, **options: str) -> DataFrame:
-    """A source by format (parquet, csv, json, orc, jdbc, ...), named columns only."""
-    rows = spark.read.format(kind).options(**options).load(path)
+def read(spark: SparkSession, kind: str, path: str, columns: list[str] | None = None, schema: str | None = None, key: str | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A source by format (parquet, csv, json, orc, jdbc, ...), named columns only.
+
+    For jdbc, path is the URL and the option dbtable the table; with a key, a number column, its least and
+    greatest values are asked first and the table is read in parts by ranges of it.
+    """
+    reader = spark.read.format(kind).options(**options)
+    if schema:
+        reader = reader.schema(schema)
+    if kind != "jdbc":
+        rows = reader.load(path)
+    else:
+        if key:
+            asked = {k: v for k, v in options.items() if k != "dbtable"} | {"url": path, "query": f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {options['dbtable']}"}
+            low, high = spark.read.format("jdbc").options(**asked).load().first()
+            if low is not None:
+                reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts))
+        rows = reader.option("url", path).load()
     return rows.select(*columns) if columns else rows
 
 
@@ -94,6 +112,51 @@ def audit(rows: DataFrame, key: str, required: list[str], links: dict[str, tuple
     return found.filter("n > 0")
 
 
+@contextmanager
+def from_footers(spark: SparkSession) -> Iterator[None]:
+    """Counts of Parquet tables that are read and counted inside come from file footers; no data page is read."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def footer_count(rows: DataFrame) -> DataFrame:
+    """n, by the footers alone; to be built and collected inside from_footers."""
+    return rows.groupBy().count().withColumnRenamed("count", "n")
+
+
+def lake_findings(now: Generation, declared: dict[str, list[str]]) -> list[tuple[str, str, int | None]]:
+    """(table, finding, rows) of declared tables and their columns, from manifests and file footers.
+
+    A table that isn't there, a file that can't be read, a declared column that no file has, and other
+    rows than were published each give a finding. One row for each table comes to the driver.
+    """
+    out: list[tuple[str, str, int | None]] = []
+    with from_footers(now.lake.spark):
+        for name, columns in declared.items():
+            if now.entry(name) is None:
+                out.append((name, "declared but missing", None))
+                continue
+            try:
+                rows = now.read(name)
+                n = footer_count(rows).first()["n"]
+            except Exception as e:
+                if not re.search("not a Parquet file|CANNOT_READ|FAILED_READ_FILE|PATH_NOT_FOUND|does not exist|UNABLE_TO_INFER_SCHEMA|FileNotFound", str(e)):
+                    raise
+                out.append((name, "unreadable", None))
+                continue
+            out += [(name, f"missing column {c}", n) for c in columns if c not in columns_present(rows)]
+            if n != now.entry(name)["rows"]:
+                out.append((name, "other rows than published", n))
+    return out
+
+
 def integrity(inventory: DataFrame, declared: DataFrame) -> DataFrame:
     """table, finding. inventory: table, layer, rows; declared: table.
 
