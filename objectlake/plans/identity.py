@@ -94,11 +94,12 @@ def merge_components(spark, sf_dir) -> DataFrame:
 
 
 def document_links(docs: DataFrame) -> DataFrame:
-    """(a, b): every document and the first of those with its text, with its first or with its last 60 characters."""
+    """(a, b): every document and the first of those that share a line of at least 60 characters with it, or its whole text."""
     text = F.coalesce("text", F.lit(""))
-    keys = docs.select("doc_id", F.posexplode(F.array(F.md5(text), F.md5(F.substring(text, 1, 60)), F.md5(F.substring(text, -60, 60)))).alias("part", "key"))
-    first = keys.groupBy("part", "key").agg(F.min("doc_id").alias("b"))
-    return keys.join(first, ["part", "key"]).select(F.col("doc_id").alias("a"), "b").distinct()
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) >= 60)
+    keys = docs.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(F.sha2(text, 256)), F.transform(lines, lambda x: F.sha2(F.concat(x, F.lit("\n")), 256))))).alias("key"))
+    first = keys.groupBy("key").agg(F.min("doc_id").alias("b"))
+    return keys.join(first, "key").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 @R.add("merge_components_documents")
@@ -143,9 +144,10 @@ def dedupe_members(spark, sf_dir) -> DataFrame:
     return _deduped(spark, sf_dir)[1].select("id", "class_id", "disposition")
 
 
-@R.add("new_proposals", "SELECT DISTINCT LEAST(CAST(c_custkey AS VARCHAR), 'crm-' || c_custkey) AS left_id, GREATEST(CAST(c_custkey AS VARCHAR), 'crm-' || c_custkey) AS right_id FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 0")
+@R.add("new_proposals", "SELECT DISTINCT LEAST(CAST(c_custkey AS VARCHAR), 'crm-' || c_custkey) AS left_id, GREATEST(CAST(c_custkey AS VARCHAR), 'crm-' || c_custkey) AS right_id FROM customer WHERE c_custkey % 2 = 0")
 def new_proposals(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
+    """Every customer is found twice; every second pair has been proposed before."""
+    c = table(spark, sf_dir, "customer")
     pair = lambda df: df.select(F.concat(F.lit("crm-"), "c_custkey").alias("left_id"), F.col("c_custkey").cast("string").alias("right_id"))
     return fuse.propose(pair(c).union(pair(c)), pair(c.filter("c_custkey % 2 = 1")))
 

@@ -18,14 +18,14 @@ R = Registry()
 NOW = "timestamp '2024-01-28 00:00:00'"
 
 COUNTS_SQL = """b AS (SELECT event_type AS condition, 'user_' || (user_id % 10) AS user_id, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
-a AS (SELECT event_type AS condition, 'user_' || (user_id % 10) AS user_id, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2),
+a AS (SELECT event_type AS condition, 'user_' || (user_id % 10) AS user_id, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 1 GROUP BY 1, 2),
 w AS (SELECT a.condition, a.user_id, a.n, CASE WHEN a.n > 130 AND b.n <= 130 THEN 'above' WHEN a.n > 130 THEN 'still above' END AS verdict FROM a JOIN b USING (condition, user_id) WHERE a.n <> b.n)"""
 
 
 def _watched(spark, sf_dir, threshold: int | None) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("condition", F.col("event_type")).withColumn("user_id", F.concat(F.lit("user_"), F.col("user_id") % 10))
     count = lambda rows: rows.groupBy("condition", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return watch.count_watch(count(e.filter("event_id % 2 = 0")), count(e.filter("event_id % 3 <> 0")), threshold)
+    return watch.count_watch(count(e.filter("event_id % 2 = 0")), count(e.filter("event_id % 3 <> 0 or event_id % 2 = 1")), threshold)
 
 
 @R.add("count_watch", f"WITH {COUNTS_SQL} SELECT condition, user_id, n, verdict FROM w WHERE verdict IS NOT NULL")

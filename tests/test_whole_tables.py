@@ -23,7 +23,7 @@ def test_writes_and_decisions_cover_whole_tables(spark):
 
 
 def components(rows):
-    """The smallest id of each document's component, by union-find over texts and their ends."""
+    """The smallest id of each document's component, by union-find over texts and their longer lines."""
     parent, seen = {k: k for k, _ in rows}, {}
 
     def find(x):
@@ -32,7 +32,7 @@ def components(rows):
         return x
 
     for k, text in rows:
-        for part in (("text", text), ("head", text[:60]), ("tail", text[-60:])):
+        for part in (("text", text), *(("line", x) for x in text.split("\n") if len(x) >= 60)):
             a, b = sorted((find(k), find(seen.setdefault(part, k))))
             parent[b] = a
     return {k: find(k) for k, _ in rows}
@@ -46,9 +46,9 @@ def test_components_over_all_documents(spark):
 
 def test_components_of_a_chain_and_a_hot_group(spark):
     end = lambda k: f"{k:060d}"
-    rows = [(k, end(k) + end(k + 1)) for k in range(0, 1000)]  # 60 characters in common at neither end
-    rows += [(2000 + k, end(5000 + (k + 1) // 2) + f" {k} " + end(7000 + k // 2)) for k in range(600)]  # a chain by heads and tails in turn
-    rows += [(4000 + k, end(9000) + f" {k} " + end(10_000 + k)) for k in range(500)]  # one head
+    rows = [(k, end(k) + end(k + 1)) for k in range(0, 1000)]  # no line in common
+    rows += [(2000 + k, end(5000 + (k + 1) // 2) + f"\n{k}\n" + end(7000 + k // 2)) for k in range(600)]  # a chain by first and last lines in turn
+    rows += [(4000 + k, end(9000) + f"\n{k}\n" + end(10_000 + k)) for k in range(500)]  # one line
     want = components(rows)
     assert len({want[2000 + k] for k in range(600)}) == len({want[4000 + k] for k in range(500)}) == 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
