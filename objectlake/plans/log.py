@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import changes, edits, secure
+from ..operators import actions, changes, edits, secure
 from .bindings import LOG_SQL, ONTOLOGY, loader, table, users, write_log
 from .registry import Registry
 
@@ -122,6 +122,47 @@ def proposals(spark, sf_dir) -> DataFrame:
     return found.groupBy("request_id", "problem").agg(F.count(F.lit(1)).alias("writes"))
 
 
+#: A customer asks for their orders to be moved to a status, and for a note; priorities may be listed.
+MOVE = actions.Action(
+    ("orders", "status"),
+    (
+        actions.Step("update", "lists.orders", {"o_orderstatus": "parameter.status", "region": "user.region"}, (
+            actions.Criterion("current.o_orderstatus", "not_equals", "F", "the order is closed"),
+            actions.Criterion("current.o_totalprice", "less_than_or_equal", "parameter.limit", "too large", number=True),
+            actions.Criterion("current.o_orderpriority", "in", "lists.priorities", "not of these priorities"),
+            actions.Criterion("user.region", "in", ("ASIA", "EUROPE", "AFRICA", "AMERICA"), "no such region"),
+        )),
+        actions.Step("create", "parameter.note", {"id": "parameter.note", "by": "user.name"}),
+    ),
+    ("note", "limit", "priorities"), "id",
+)
+MOVE_SQL = f"""r AS (SELECT c_custkey, r_name, CASE WHEN c_custkey % 7 = 0 THEN 'missing status' WHEN c_custkey % 11 = 0 THEN 'unknown colour' WHEN c_custkey % 13 = 0 THEN 'duplicate object' WHEN c_custkey % 17 = 0 THEN 'no object' END AS problem
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey IN (SELECT o_custkey FROM orders)),
+u AS (SELECT c_custkey AS request_id, CAST(o_orderkey AS VARCHAR) AS object_id, 'update' AS operation, CASE WHEN c_custkey % 7 <> 0 THEN 'P' END AS value, o_orderstatus AS expected, problem,
+CASE WHEN o_orderstatus = 'F' THEN 'the order is closed' WHEN c_custkey % 2 = 0 AND o_totalprice > 200000 THEN 'too large' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND c_custkey % 3 = 0 THEN 'not of these priorities'
+WHEN r_name = 'MIDDLE EAST' THEN 'no such region' END AS failure, UNNEST(range(CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END)) AS _ FROM r JOIN orders ON o_custkey = c_custkey)"""
+
+
+@R.add("action_proposals", f"""WITH {MOVE_SQL} SELECT request_id, object_id, operation, value, expected, problem, failure FROM u
+UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 17 <> 0 THEN 'note-' || c_custkey END, 'create', CASE WHEN c_custkey % 17 <> 0 THEN 'note-' || c_custkey END, NULL, problem, NULL FROM r""")
+def action_proposals(spark, sf_dir) -> DataFrame:
+    """Every customer with orders makes one request; the values they ask for, what they expect to replace, and what refuses them."""
+    orders, c = table(spark, sf_dir, "orders"), F.col("c_custkey")
+    text = lambda *names: F.map_from_arrays(F.lit(list(names)).cast("array<string>"), F.array(*[F.col(n).cast("string") for n in names]))
+    state = orders.select(F.col("o_orderkey").cast("string").alias("object_id"), text("o_orderstatus", "o_totalprice", "o_orderpriority").alias("fields"))
+    own = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("ids"))
+    people = secure.with_boundary(ONTOLOGY, "Customer", loader(spark, sf_dir)).select("c_custkey", "c_name", F.col(secure.BOUNDARY).alias("region")).join(own, "c_custkey")
+    entry = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("k"), value.alias("v")))
+    parameters = F.map_from_entries(F.array_compact(F.array(
+        entry(c % 7 != 0, "status", F.lit("P")), entry(c % 17 != 0, "note", F.concat(F.lit("note-"), c)), entry(c % 2 == 0, "limit", F.lit("200000")), entry((c % 11 == 0) & (c % 7 != 0), "colour", F.lit("red")),
+    )))
+    ids = F.when(c % 13 == 0, F.concat("ids", "ids")).otherwise(F.col("ids"))
+    lists = F.map_from_entries(F.array_compact(F.array(entry(F.lit(True), "orders", ids), entry(c % 3 == 0, "priorities", F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))))))
+    requests = people.select(c.alias("request_id"), F.create_map(F.lit("region"), "region", F.lit("name"), "c_name").alias("user"), parameters.alias("parameters"), lists.alias("lists"))
+    found = actions.propose(requests, state, MOVE)
+    return found.select("request_id", "object_id", "operation", F.coalesce(F.col("changes")["o_orderstatus"], F.col("changes")["id"]).alias("value"), F.col("expected")["o_orderstatus"].alias("expected"), "problem", "failure")
+
+
 @R.add("criteria", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'the order is closed' WHEN o_totalprice > 400000 THEN 'too large' WHEN o_orderpriority <> '1-URGENT' THEN 'not urgent' END AS failure FROM orders""")
 def criteria(spark, sf_dir) -> DataFrame:
     rules = [
