@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import drift, lenient
-from ..functions.text import standardise
+from ..functions.text import standardised
 from ..operators import changes, clean
 from ..operators.clean import Constraint
 from ..session import shared_folder
@@ -32,7 +32,7 @@ b AS (SELECT doc_id, regexp_replace(text, '[ \\t\\x0b\\x0c\\x1c-\\x1f\\x{{85}}\\
 c AS (SELECT doc_id, regexp_replace(text, ' ?\\n ?', chr(10), 'g') AS text FROM b)
 SELECT doc_id, NULLIF(regexp_replace(text, '^[ \\n]+|[ \\n]+$', '', 'g'), 'N/A') AS text FROM c""")
 def standardise_text(spark, sf_dir) -> DataFrame:
-    return dirty_documents(spark, sf_dir).select("doc_id", standardise(F.col("text"), null_if=("N/A",)).alias("text"))
+    return standardised(dirty_documents(spark, sf_dir).select("doc_id", "text"), ["text"], null_if=("N/A",))
 
 
 def _raw_events(spark, sf_dir) -> DataFrame:

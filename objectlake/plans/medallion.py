@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import coerce, drift
-from ..functions.text import standardise
+from ..functions.text import standardised
 from ..model import ObjectType
 from ..operators import changes, clean, fuse, objects
 from ..session import discard, materialise
@@ -75,7 +75,7 @@ def sync(lake: Lake, name: str, source: DataFrame, key: str, declared: dict[str,
 
 
 def _silver(now: Generation, name: str, rows: DataFrame, key: str, declared: dict[str, str], rules: list[clean.Constraint], made_from: str) -> int:
-    tidy = rows.withColumns({c: standardise(F.col(c)) for c, t in declared.items() if t == "string"})
+    tidy = standardised(rows, [c for c, t in declared.items() if t == "string"])
     misfits = drift(tidy, declared).filter("misfits > 0").collect()  # a row for each declared column at most
     if misfits:
         raise Drift(f"{name}: {[r.asDict() for r in misfits]}")

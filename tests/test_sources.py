@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from objectlake.functions.text import standardised
 from objectlake.operators import changes, secure
 from objectlake.sources import tables
 from objectlake.sources.lake import Lake
@@ -62,3 +63,12 @@ def test_verdicts_and_misfits(spark):
     rows = spark.createDataFrame([(1, "7"), (1 << 40, "x"), (None, None)], "a long, b string")
     assert sorted((r.column, r.verdict, r.misfits) for r in changes.misfits_of_old_types(drifted, rows).collect()) == [("a", "widened", 1), ("b", "CHANGED", 1)]
     assert changes.misfits_of_old_types(drifted.limit(0), rows).count() == 0
+
+
+def test_only_texts_beyond_ascii_pass_through_python(spark):
+    rows = [(1, " a\t b ", None), (2, "e\u0301", "x  y"), (3, None, " \r\n z"), (4, None, None), (5, "n", "o\u0308 ")]
+    made = standardised(spark.createDataFrame(rows, "k int, a string, b string"), ["a", "b"])
+    assert sorted(map(tuple, made.collect()), key=lambda r: r[0]) == [(1, "a b", None), (2, "\u00e9", "x y"), (3, None, "z"), (4, None, None), (5, "n", "\u00f6")]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") >= 1 and made.filter("k = 1").count() == 1
+    assert standardised(made, []).columns == ["k", "a", "b"]
