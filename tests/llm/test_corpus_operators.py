@@ -673,3 +673,30 @@ def test_batches_are_sliced_by_the_bytes_of_their_texts():
     parts = [b.column(0).to_pylist() for b in memory.by_bytes([batch, batch.slice(0, 0)], 1, 12)]
     assert parts == [[0, 1, 2], [3], [4, 5]]
     assert [b.num_rows for b in memory.released(iter([batch]))] == [6]
+
+
+def near_copies(rows, share, seed):
+    """Of each longer text a copy with some words replaced, and their plain similarity."""
+    rng = random.Random(seed)
+    out = []
+    for doc_id, text in rows:
+        words = text.split(" ")
+        if len(words) < 60:
+            continue
+        for k in rng.sample(range(len(words)), max(1, int(share * len(words)))):
+            words[k] = f"new{rng.randrange(10**6)}"
+        copy = " ".join(words)
+        out.append((doc_id, copy, plain_similarity(text, copy)))
+    return out
+
+
+def test_recall_on_near_copies(spark, rows):
+    """Copies of 0.8 or more by plain similarity share their original's class."""
+    single = {text: doc_id for doc_id, text in rows}
+    copies = near_copies([(d, t) for t, d in single.items()], 0.012, 12)
+    docs = spark.createDataFrame([(d, t) for t, d in single.items()] + [(d + 1_000_000, t) for d, t, _ in copies], "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in near_dedup.classify(docs).collect()}
+    wanted = [(d, s) for d, _, s in copies if s >= 0.8]
+    found = [classes[d] == classes[d + 1_000_000] for d, _ in wanted]
+    print(f"recall {np.mean(found):.4f} of {len(found)} near copies")
+    assert len(found) > 50 and np.mean(found) >= 0.97
