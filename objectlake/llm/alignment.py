@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from objectlake.session import materialise
 
+from . import memory
 from .tokens import tokenizer_path
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -198,6 +199,9 @@ def aligner(byte_model: str, piece_model: str) -> Aligner:
     return Aligner(tokenizer_path(byte_model), tokenizer_path(piece_model))
 
 
+memory.REMEMBERED["units"] = aligner.cache_clear
+
+
 @dataclass
 class Group:
     """Documents whose links are gathered by pair."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,15 +16,23 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
-def release() -> None:
+#: What operators remember from task to task in a worker, by name, and how to forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def release(keep: str = "") -> None:
+    """Give back what is free, and forget what other operators have remembered in this worker."""
+    for name, forget in REMEMBERED.items():
+        if name != keep:
+            forget()
     pa.default_memory_pool().release_unused()
     _trim()(0)
 
 
-def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; memory is released when they end."""
+def released(batches: Iterator[pa.RecordBatch], keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches; memory is released when they end, but for what is remembered under keep."""
     yield from batches
-    release()
+    release(keep)
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:

@@ -179,7 +179,7 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
                 sums[part] = sums[part] + own if part in sums else own.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "n"])
 
-    rows = materialise(texts.select("text").mapInArrow(lambda b: released(counted(b)), "part int, n binary").repartition("part").mapInArrow(lambda b: released(added(b)), "part int, n binary"), "sketch")
+    rows = materialise(texts.select("text").mapInArrow(lambda b: released(counted(b), "shingles"), "part int, n binary").repartition("part").mapInArrow(lambda b: released(added(b), "shingles"), "part int, n binary"), "sketch")
     out, total = np.zeros((DEPTH * WIDTH // PART, PART), np.int64), 0
     for r in rows.collect():  # a row for each part, whatever the corpus
         if r["part"] < 0:
@@ -235,7 +235,7 @@ def sign(texts: DataFrame, known: Weights) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[given]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(n), lists], ["doc", "sub", "key_a", "key_b", "n_shingles", "bands"])
 
-    return texts.mapInArrow(lambda b: released(each(b)), SIGNED)
+    return texts.mapInArrow(lambda b: released(each(b), "shingles"), SIGNED)
 
 
 def vectors(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def vectors(texts: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(place, j - i), *lists], ["id", "shingles", "counts"])
                 place += j - i
 
-    return texts.join(ids, ["doc", "sub"]).select("id", "text").mapInArrow(lambda b: released(each(b)), "id long, shingles array<long>, counts array<long>")
+    return texts.join(ids, ["doc", "sub"]).select("id", "text").mapInArrow(lambda b: released(each(b), "shingles"), "id long, shingles array<long>, counts array<long>")
 
 
 def similarity(ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, known: Weights) -> float:
@@ -283,7 +283,7 @@ def verified(pairs: DataFrame, own: DataFrame, known: Weights, threshold: float)
     return (
         pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"), F.col("counts").alias("n_a")), "a")
         .join(own.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"), F.col("counts").alias("n_b")), "b")
-        .select("a", "b", "of_a", "n_a", "of_b", "n_b").mapInArrow(lambda b: released(each(b)), "a long, b long")
+        .select("a", "b", "of_a", "n_a", "of_b", "n_b").mapInArrow(lambda b: released(each(b), "shingles"), "a long, b long")
     )
 
 
@@ -368,7 +368,7 @@ def links(texts: DataFrame, known_texts: DataFrame, entries: DataFrame, known: W
         .join(own, "id").repartition("group").sortWithinPartitions("group")
         .select("group", "id", "component", "roving", "shingles", "counts")
     )
-    more = groups.mapInArrow(lambda b: released(compared(b, known, threshold)), "a long, b long")
+    more = groups.mapInArrow(lambda b: released(compared(b, known, threshold), "shingles"), "a long, b long")
     more = materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
     discard(led, own, component, now, open_, dealt)
     return found.unionByName(more)

@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(lambda b: released(tokenize(b)), PIECES + ", ids array<int>" * with_ids)
+    return source.mapInArrow(lambda b: released(tokenize(b), "words"), PIECES + ", ids array<int>" * with_ids)
 
 
 def first_fit(rest: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:

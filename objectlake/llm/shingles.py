@@ -7,6 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from . import memory
+
 WORDS = 5
 #: Bytes of text that are hashed at once; a longer text is a block of its own.
 BLOCK = 1 << 20
@@ -23,6 +25,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+memory.REMEMBERED["shingles"] = _powers.cache_clear
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * M2
     return h ^ (h >> np.uint64(29))

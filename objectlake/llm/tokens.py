@@ -15,8 +15,10 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 
+from . import memory
+
 #: Parts that a worker's newer generation holds; there are two. About 220 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters that are split at once.
 GIANT = 4_000_000
 BLANK = re.compile("[ \n]")
@@ -145,6 +147,9 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+memory.REMEMBERED["words"] = word_tokenizer.cache_clear
+
+
 def id_lists(buffers: list[bytes]) -> pa.ListArray:
     """Lists of 32-bit ids from their bytes."""
     offsets, total = [0], 0

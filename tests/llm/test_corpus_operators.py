@@ -700,3 +700,15 @@ def test_recall_on_near_copies(spark, rows):
     found = [classes[d] == classes[d + 1_000_000] for d, _ in wanted]
     print(f"recall {np.mean(found):.4f} of {len(found)} near copies")
     assert len(found) > 50 and np.mean(found) >= 0.97
+
+
+def test_workers_forget_what_other_operators_remembered():
+    forgotten = []
+    before = dict(memory.REMEMBERED)
+    memory.REMEMBERED.update({"x": lambda: forgotten.append("x"), "y": lambda: forgotten.append("y")})
+    try:
+        assert list(memory.released(iter([1, 2]), "x")) == [1, 2]
+    finally:
+        memory.REMEMBERED.clear()
+        memory.REMEMBERED.update(before)
+    assert forgotten == ["y"] and {"words", "shingles"} <= set(before)
