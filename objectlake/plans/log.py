@@ -136,8 +136,9 @@ MOVE = actions.Action(
     ),
     ("note", "limit", "priorities"), "id",
 )
-MOVE_SQL = f"""r AS (SELECT c_custkey, r_name, CASE WHEN c_custkey % 7 = 0 THEN 'missing status' WHEN c_custkey % 11 = 0 THEN 'unknown colour' WHEN c_custkey % 13 = 0 THEN 'duplicate object' WHEN c_custkey % 17 = 0 THEN 'no object' END AS problem
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey IN (SELECT o_custkey FROM orders)),
+MOVE_SQL = f"""r AS (SELECT c_custkey, r_name, CASE WHEN c_custkey % 7 = 0 THEN 'missing status' WHEN c_custkey % 11 = 0 THEN 'unknown colour' WHEN c_custkey % 17 = 0 THEN 'no object'
+WHEN CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END * n > 1000 THEN 'too many objects' WHEN c_custkey % 13 = 0 THEN 'duplicate object' END AS problem
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey),
 u AS (SELECT c_custkey AS request_id, CAST(o_orderkey AS VARCHAR) AS object_id, 'update' AS operation, CASE WHEN c_custkey % 7 <> 0 THEN 'P' END AS value, o_orderstatus AS expected, problem,
 CASE WHEN o_orderstatus = 'F' THEN 'the order is closed' WHEN c_custkey % 2 = 0 AND o_totalprice > 200000 THEN 'too large' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND c_custkey % 3 = 0 THEN 'not of these priorities'
 WHEN r_name = 'MIDDLE EAST' THEN 'no such region' END AS failure, UNNEST(range(CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END)) AS _ FROM r JOIN orders ON o_custkey = c_custkey)"""

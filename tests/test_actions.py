@@ -1,5 +1,9 @@
 """Action templates: values, expected values, created ids, and what refuses a request."""
 
+import duckdb
+import pytest
+
+from objectlake import catalogue
 from objectlake.operators.actions import Action, Criterion, Step, propose
 
 REQUESTS = "request_id int, user map<string,string>, parameters map<string,string>, lists map<string,array<string>>"
@@ -57,3 +61,28 @@ def test_requests_are_refused_as_a_whole(spark):
 
 def test_no_requests(spark):
     assert not run(spark, [], RENAME)
+
+
+@pytest.mark.parametrize("orders", [3, 501])
+def test_several_problems_of_a_request_and_its_sql(spark, tmp_path, orders):
+    """Customer 221 names orders twice and no note; 501 orders twice are too many for 13."""
+    tables = {
+        "region": [(2, "ASIA")], "nation": [(8, "INDIA", 2)], "customer": [(k, f"Customer#{k:09d}", 8, 1.0, "BUILDING") for k in (13, 17, 221)],
+        "orders": [(1000 * k + n, k, "O", 10.0, "1-URGENT") for k in (13, 17, 221) for n in range(orders)],
+    }
+    kinds = {
+        "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_name string, n_regionkey int",
+        "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+        "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    }
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        df = spark.createDataFrame(rows, kinds[name])
+        if name == "orders":
+            df = df.selectExpr("*", "timestamp '1995-01-01 00:00:00' as o_orderdate")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    found = catalogue.QUERIES["action_proposals"](spark, str(tmp_path))
+    want = con.sql(catalogue.ORACLES["action_proposals"])
+    assert sorted((tuple(r[c] for c in want.columns) for r in found.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    assert {(r.request_id, r.problem) for r in found.collect()} == {(13, "duplicate object" if orders == 3 else "too many objects"), (17, "no object"), (221, "no object")}
