@@ -214,16 +214,20 @@ def unchanged_fingerprint(spark, sf_dir) -> DataFrame:
 ORDERS = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": True, "o_totalprice": False}
 
 
-@R.add("columns_changed", " UNION ALL ".join(f'SELECT \'{c}\' AS "column", {f"CAST(COUNT({c}) AS BIGINT)" if old else "CAST(NULL AS BIGINT)"} AS filled_before, CAST(COUNT({c}) AS BIGINT) AS filled, true AS rebuilt FROM orders' for c, old in ORDERS.items()))
+@R.add("columns_changed", " UNION ALL ".join(
+    f'SELECT \'{c}\' AS "column", ' + ", ".join(
+        f'{f"CAST(COUNT({what}) AS BIGINT)" if there else "CAST(NULL AS BIGINT)"} AS "{name}"'
+        for there, names in ((old, ("filled_before", "values_before")), (True, ("filled", "values"))) for what, name in zip((c, f"DISTINCT {c}"), names)
+    ) + f", {'false' if old else 'true'} AS added, true AS rebuilt FROM orders" for c, old in ORDERS.items()
+))
 def columns_changed(spark, sf_dir) -> DataFrame:
-    """What each column of two published versions holds in either, and whether the table is built anew for its columns."""
+    """What each column of two published versions holds in either (rows with a value, different values), whether it is new, and whether the table is built anew for its columns."""
     lake = _lake(spark)
     lake.publish("orders", orders_v1(spark, sf_dir))
     lake.publish("orders", table(spark, sf_dir, "orders").select(*ORDERS))
     before, now = lake.read("orders", 1), lake.read("orders", 2)
-    held = lambda rows, name: _held_values(rows).select("column", F.col("filled").alias(name))
-    both = held(before, "filled_before").join(held(now, "filled"), "column", "full")
-    return both.withColumn("rebuilt", F.lit(changes.columns_changed(before, now)))
+    both = _held_values(before).select("column", F.col("filled").alias("filled_before"), F.col("values").alias("values_before")).join(_held_values(now), "column", "full")
+    return both.withColumns({"added": ~F.col("column").isin(before.columns), "rebuilt": F.lit(changes.columns_changed(before, now))})
 
 
 def _lake(spark) -> Lake:

@@ -22,6 +22,15 @@ def test_writes_and_decisions_cover_whole_tables(spark):
     assert {r.proposal_id for r in run("approved_pairs")} == {r.proposal_id for r in decided if r.decision == "approved"}
 
 
+def test_columns_are_counted_by_different_values_too(spark):
+    found = {r.column: r for r in catalogue.QUERIES["columns_changed"](spark, SF).collect()}
+    for c, r in found.items():
+        values = [x[0] for x in spark.read.parquet(f"{SF}/orders.parquet").select(c).collect() if x[0] is not None]
+        assert (r.filled, r["values"], r.added) == (len(values), len(set(values)), c == "o_totalprice")
+        assert (r.filled_before, r.values_before) == ((None, None) if r.added else (len(values), len(set(values))))
+    assert len(found) == 4
+
+
 def components(rows):
     """The smallest id of each document's component, by union-find over texts and their longer lines."""
     parent, seen = {k: k for k, _ in rows}, {}
