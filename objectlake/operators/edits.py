@@ -289,6 +289,30 @@ def _tried(now: Column, writes: Column) -> Column:
     return F.aggregate(writes, start, step)
 
 
+def _rounds(touches: DataFrame, run: int) -> list[DataFrame]:
+    """For each round, the rows that it decides: batch_id, object_id, width (objects of the batch), place (on the object), round.
+
+    touches: batch_id and object_id, each pair once. Which round decides a batch hangs on who waits for whom
+    alone, not on values, so no sub-write takes part.
+    """
+    width = touches.groupBy("batch_id").agg(F.count(F.lit(1)).alias("width"))
+    left, due = materialise(touches.join(width, "batch_id"), "undecided"), []
+    order = Window.partitionBy("object_id").orderBy("batch_id")
+    several_before = F.max(F.col("width") > 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    while not left.isEmpty():
+        placed = left.withColumns({"place": F.row_number().over(order), "_several": several_before}).filter(F.col("place") <= run)
+        front = materialise(placed.filter("not _several or width > 1 and place = 1").drop("_several"), "front")
+        several = front.filter("width > 1")
+        ready = several.groupBy("batch_id", "width").agg(F.count(F.lit(1)).alias("n")).filter("n = width").select("batch_id")
+        now_due = several.join(ready, "batch_id", "left_semi").unionByName(front.filter("width = 1")).withColumn("round", F.lit(len(due)))
+        due.append(materialise(now_due, "due"))
+        rest = materialise(left.join(due[-1], "batch_id", "left_anti"), "undecided")
+        discard(front, left)
+        left = rest
+    discard(left)
+    return due
+
+
 def apply_in_order(state: DataFrame, writes: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """The new state, and (batch_id, status) of every batch: applied as a whole or abandoned, in the order of batch_id.
 
@@ -301,56 +325,67 @@ def apply_in_order(state: DataFrame, writes: DataFrame, run: int = RUN) -> tuple
     A fixpoint over the graph of batches and objects: in each round the batches that are the first
     undecided one on all their objects are decided, together with up to run batches of each object that
     touch it alone and come before the next that touches others. Rounds are as many as the longest chain of
-    batches that wait for each other, at most; each one's state is written out, and only objects that are
-    written to take part. Null maps are empty ones. Writes without a batch_id or an object_id are left out.
+    batches that wait for each other, at most. They are found first, over ids alone; then the sub-writes are
+    written out in the order of rounds, so that a round reads its own. Each round's state is written out, and
+    only objects that are written to take part. Null maps are empty ones. Writes without a batch_id or an
+    object_id are left out.
     """
     none = F.create_map().cast("map<string,string>")
     held = lambda c: F.coalesce(c, none)
-    steps = writes.filter("batch_id is not null and object_id is not null").groupBy("batch_id", "object_id").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "operation", F.to_json(held("expected")).alias("expected"), F.to_json(held("changes")).alias("changes")))).alias("steps")
+    writes = writes.filter("batch_id is not null and object_id is not null")
+    due = _rounds(writes.select("batch_id", "object_id").distinct(), run)
+    here = state.select("object_id", F.struct(F.lit(True).alias("here"), held("fields").alias("fields")).cast(_NOW).alias("now"))
+    if not due:
+        return state.select("object_id", held("fields").alias("fields")), writes.select("batch_id", F.lit("applied").alias("status"))
+    decided = reduce(DataFrame.unionByName, due)
+    # Maps have no order, their entries have.
+    steps = writes.groupBy("batch_id", "object_id").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "operation", F.map_entries(held("expected")).alias("expected"), F.map_entries(held("changes")).alias("changes")))).alias("steps")
     )
-    as_map = lambda c: F.from_json(c, "map<string,string>")
+    as_map = F.map_from_entries
     steps = steps.withColumn("steps", F.transform("steps", lambda w: F.struct(w["operation"].alias("operation"), as_map(w["expected"]).alias("expected"), as_map(w["changes"]).alias("changes"))))
-    width = steps.groupBy("batch_id").agg(F.count(F.lit(1)).alias("width"))
-    left = materialise(steps.join(width, "batch_id"), "undecided")
-    here = state.select("object_id", F.struct(F.lit(True).alias("here"), held("fields").alias("fields")).cast(_NOW).alias("now"))
+    steps = materialise(steps.join(decided, ["batch_id", "object_id"]).sortWithinPartitions("round"), "steps")
+    kinds = {r["round"]: r for r in decided.groupBy("round").agg(F.max(F.col("width") > 1).alias("wide"), F.max(F.col("width") == 1).alias("alone")).collect()}  # a row for each round
     absent = F.struct(F.lit(False).alias("here"), none.alias("fields")).cast(_NOW)
-    touched = left.select("object_id").distinct()
+    touched = decided.select("object_id").distinct()
     now = materialise(touched.join(here, "object_id", "left").select("object_id", F.coalesce("now", absent).alias("now")), "objects")
-    decided: list[DataFrame] = []
-    while not left.isEmpty():
-        place = F.row_number().over(Window.partitionBy("object_id").orderBy("batch_id"))
-        front = materialise(left.withColumn("place", place).filter(F.col("place") <= run), "front")
-        several = front.filter("width > 1")
-        ready = several.filter("place = 1").groupBy("batch_id", "width").agg(F.count(F.lit(1)).alias("n")).filter("n = width").select("batch_id")
-        wide = several.join(ready, "batch_id", "left_semi").join(now, "object_id").select("batch_id", "object_id", _tried(F.col("now"), F.col("steps")).alias("t"))
-        wide = materialise(wide, "tried")
-        verdict = wide.groupBy("batch_id").agg(F.bool_and("t.ok").alias("ok"))
-
-        until = several.groupBy("object_id").agg(F.min("batch_id").alias("until"))
-        alone = front.filter("width = 1").join(until, "object_id", "left").filter("until is null or batch_id < until")
-        runs = alone.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("place", "batch_id"))).alias("order"), F.map_from_entries(F.collect_list(F.struct("place", "steps"))).alias("steps"))
-
-        def one(acc: Column, batch: Column) -> Column:
-            t = _tried(acc, F.col("steps")[batch["place"]])
-            return F.struct(
-                F.when(t["ok"], t["here"]).otherwise(acc["here"]).alias("here"), F.when(t["ok"], t["fields"]).otherwise(acc["fields"]).alias("fields"),
-                F.concat(acc["verdicts"], F.array(F.struct(batch["batch_id"].alias("batch_id"), t["ok"].alias("ok")))).alias("verdicts"),
-            )
-
-        kind = f"array<struct<batch_id:{dict(left.dtypes)['batch_id']},ok:boolean>>"
-        start = F.struct(F.col("now.here").alias("here"), F.col("now.fields").alias("fields"), F.array().cast(kind).alias("verdicts"))
-        folded = materialise(runs.join(now, "object_id").select("object_id", F.aggregate("order", start, one).alias("t")), "folded")
-
-        verdicts = materialise(verdict.unionByName(folded.select(F.explode("t.verdicts").alias("v")).select("v.batch_id", "v.ok")), "verdicts")
-        changed = wide.join(verdict.filter("ok"), "batch_id", "left_semi").select("object_id", "t").unionByName(folded.select("object_id", F.struct(F.lit(True).alias("ok"), "t.here", "t.fields").alias("t")))
-        new = now.join(changed, "object_id", "left").select("object_id", F.when(F.col("t").isNotNull(), F.struct("t.here", "t.fields").cast(_NOW)).otherwise(F.col("now")).alias("now"))
-        new, rest = materialise(new, "objects"), materialise(left.join(verdicts, "batch_id", "left_anti"), "undecided")
-        discard(front, wide, folded, now, left)
-        now, left = new, rest
-        decided.append(verdicts)
-    found = reduce(DataFrame.unionByName, decided) if decided else left.select("batch_id", F.lit(True).alias("ok"))
-    status = found.select("batch_id", F.when(F.col("ok"), "applied").otherwise("abandoned").alias("status"))
+    batch_id = dict(steps.dtypes)["batch_id"]
+    as_now = lambda t: F.struct(t["here"].alias("here"), t["fields"].alias("fields")).cast(_NOW)
+    found: list[DataFrame] = []
+    for n in range(len(due)):
+        own = steps.filter(F.col("round") == n)
+        still, changed, verdicts, scratch = now, [], [], [now]
+        if kinds[n]["wide"]:
+            first = own.filter("width > 1").select("object_id", "batch_id", "steps")
+            tried = now.join(first, "object_id", "left").select("object_id", "batch_id", "now", F.when(F.col("batch_id").isNotNull(), _tried(F.col("now"), F.col("steps"))).alias("t"))
+            tried = materialise(tried, "tried")
+            still, wide = tried.filter("batch_id is null").select("object_id", "now"), tried.filter("batch_id is not null")
+            verdict = materialise(wide.groupBy("batch_id").agg(F.bool_and("t.ok").alias("ok")), "verdicts")
+            verdicts.append(verdict)
+            changed.append(wide.join(verdict, "batch_id").select("object_id", F.when(F.col("ok"), as_now(F.col("t"))).otherwise(F.col("now")).alias("now")))
+            scratch.append(tried)
+        if kinds[n]["alone"]:
+            runs = own.filter("width = 1").groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("place", "batch_id"))).alias("order"), F.map_from_entries(F.collect_list(F.struct("place", "steps"))).alias("steps"))
+
+            def one(acc: Column, batch: Column) -> Column:
+                t = _tried(acc, F.col("steps")[batch["place"]])
+                return F.struct(
+                    F.when(t["ok"], t["here"]).otherwise(acc["here"]).alias("here"), F.when(t["ok"], t["fields"]).otherwise(acc["fields"]).alias("fields"),
+                    F.concat(acc["verdicts"], F.array(F.struct(batch["batch_id"].alias("batch_id"), t["ok"].alias("ok")))).alias("verdicts"),
+                )
+
+            kind = f"array<struct<batch_id:{batch_id},ok:boolean>>"
+            start = F.struct(F.col("now.here").alias("here"), F.col("now.fields").alias("fields"), F.array().cast(kind).alias("verdicts"))
+            folded = materialise(runs.join(now, "object_id").select("object_id", F.aggregate("order", start, one).alias("t")), "folded")
+            verdicts.append(materialise(folded.select(F.explode("t.verdicts").alias("v")).select("v.batch_id", "v.ok"), "verdicts"))
+            after = folded.select("object_id", as_now(F.col("t")).alias("_after"))
+            still = still.join(after, "object_id", "left").select("object_id", F.coalesce("_after", "now").alias("now"))
+            scratch.append(folded)
+        now = materialise(reduce(DataFrame.unionByName, [still, *changed]), "objects")
+        discard(*scratch)
+        found += verdicts
+    discard(steps, *due)
+    status = reduce(DataFrame.unionByName, found).select("batch_id", F.when(F.col("ok"), "applied").otherwise("abandoned").alias("status"))
     untouched = state.select("object_id", held("fields").alias("fields")).join(now.select("object_id"), "object_id", "left_anti")
     return untouched.unionByName(now.filter("now.here").select("object_id", F.col("now.fields").alias("fields"))), status
 

@@ -84,3 +84,11 @@ def test_nothing_to_apply_and_writes_without_keys(spark):
     assert got == ({1: v("a")}, {})
     new, status = edits.apply_in_order(spark.createDataFrame([], STATE), spark.createDataFrame([(None, 0, 1, "create", None, v("a")), (1, 0, None, "create", None, v("a"))], WRITES))
     assert not new.collect() and not status.collect()
+
+
+def test_rounds_are_found_over_ids_alone(spark):
+    """Batch 2 waits for 1 on object 2, batches 3 and 4 touch object 9 alone, and 5 waits for all."""
+    touches = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 9), (4, 9), (5, 3), (5, 9)]
+    due = edits._rounds(spark.createDataFrame(touches, "batch_id long, object_id long"), 256)
+    assert [sorted({r.batch_id for r in d.collect()}) for d in due] == [[1, 3, 4], [2], [5]]
+    assert set(due[0].columns) == {"batch_id", "object_id", "width", "place", "round"}
