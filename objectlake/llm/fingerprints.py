@@ -28,24 +28,31 @@ RANGE_ROWS = 20_000
 ROW = ["doc", "sub"]
 
 
-def draws() -> Column:
-    """A long for each sample of _term that occurs _n times; the smallest of a text's terms is its sample.
+def drawn(weighed: DataFrame) -> DataFrame:
+    """doc, sub, own, edited and _draws: a long for each sample of _term that occurs _n times; the smallest of a text's terms is its sample.
 
     The long names term and t: for t = 0 it is the term's hash as it stands, else
-    ``1 - exp(-a exp(-r t))`` on the same scale. Logarithms are only taken for _n > 1, whose own is _ln.
+    ``1 - exp(-a exp(-r t))`` on the same scale. Logarithms are only taken for _n > 1, each once: a, e1 and v
+    are columns, as within one expression they would be computed again wherever they occur.
     """
+    h, g = (lambda j: f"xxhash64(_term, {j})"), (lambda j: f"xxhash64(_term, {SAMPLES + j})")
+    exponential = lambda bits: f"-ln(({bits} + 0.5D) / {float(1 << 32):.1f}D)"
+    a = lambda j: f"-ln(({(1 << 52) - 1} - shiftrightunsigned({h(j)}, 12) + 0.5D) / {float(1 << 52):.1f}D)"
+    e1, e2 = (lambda j: exponential(f"({g(j)} & 4294967295)")), (lambda j: exponential(f"shiftrightunsigned({g(j)}, 32)"))
 
     def sample(j: int) -> str:
-        h, g = f"xxhash64(_term, {j})", f"xxhash64(_term, {SAMPLES + j})"
-        a = f"-ln(({(1 << 52) - 1} - shiftrightunsigned({h}, 12) + 0.5D) / {float(1 << 52):.1f}D)"
-        e1, e2 = (f"-ln(({bits} + 0.5D) / {float(1 << 32):.1f}D)" for bits in (f"({g} & 4294967295)", f"shiftrightunsigned({g}, 32)"))
-        v = f"ln(({e1}) / ({a}) + 1)"
-        r = f"({v} + ({e2}))"
-        moved = f"({a}) * exp(-{r} * (floor((_ln - {v}) / {r}) + 1))"
-        first = f"shiftrightunsigned({h}, 1)"
-        return f"CASE WHEN _n = 1 THEN {first} WHEN (_n - 1) * ({a}) < {e1} THEN {first} ELSE CAST(-expm1(-({moved})) * {WHOLE}D AS BIGINT) END"
-
-    return F.expr(f"array({', '.join(map(sample, range(SAMPLES)))})")
+        r = f"(_v{j} + ({e2(j)}))"
+        moved = f"_a{j} * exp(-{r} * (floor((_ln - _v{j}) / {r}) + 1))"
+        return f"CASE WHEN _v{j} IS NULL THEN shiftrightunsigned({h(j)}, 1) ELSE CAST(-expm1(-({moved})) * {WHOLE}D AS BIGINT) END"
+
+    kept, every = [*ROW, "_term", "_n", "own", "edited"], range(SAMPLES)
+    several = weighed.select(*kept, *[F.expr(f"CASE WHEN _n > 1 THEN {what(j)} END AS _{name}{j}") for name, what in (("a", a), ("e", e1)) for j in every])
+    moving = several.select(*kept, F.expr("CASE WHEN _n > 1 THEN ln(_n) END AS _ln"), *[F.col(f"_a{j}") for j in every], *[
+        F.expr(f"CASE WHEN _n > 1 AND NOT (_n - 1) * _a{j} < _e{j} THEN ln(_e{j} / _a{j} + 1) END AS _v{j}") for j in every
+    ])
+    # The lambda keeps this projection out of whole-stage code: its many draws in one method would be
+    # too long for the JIT, while a plain projection splits them into short methods.
+    return moving.select(*ROW, F.transform(F.array("own"), lambda x: x)[0].alias("own"), "edited", F.expr(f"array({', '.join(map(sample, every))})").alias("_draws"))
 
 
 def signatures(parts: DataFrame) -> DataFrame:
@@ -67,12 +74,7 @@ def signatures(parts: DataFrame) -> DataFrame:
         F.when(F.col("_own") == F.col("_edited"), F.array(one(F.col("_own"), True, True)))
         .otherwise(F.array(one(F.col("_own"), True, False), one(F.col("_edited"), False, True)))
     ).alias("_w")).filter("_w.n > 0").select(*ROW, "_term", F.col("_w.n").cast("double").alias("_n"), "_w.own", "_w.edited")
-    # The lambda keeps this projection out of whole-stage code: its many draws in one method would be
-    # too long for the JIT, while a plain projection splits them into short methods.
-    drawn = weighed.withColumn("_ln", F.ln("_n")).select(
-        *ROW, F.transform(F.array("own"), lambda x: x)[0].alias("own"), "edited", draws().alias("_draws")
-    )
-    least = drawn.groupBy(*ROW).agg(
+    least = drawn(weighed).groupBy(*ROW).agg(
         *[F.expr(f"min(CASE WHEN {side} THEN _draws[{j}] END) AS _{side}_{j}") for side in ("own", "edited") for j in range(SAMPLES)]
     )
     folded = lambda c: f"CAST(shiftright(shiftleft({c} ^ shiftright({c}, 32), 32), 32) AS INT)"

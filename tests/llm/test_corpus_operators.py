@@ -712,3 +712,15 @@ def test_workers_forget_what_other_operators_remembered():
         memory.REMEMBERED.clear()
         memory.REMEMBERED.update(before)
     assert forgotten == ["y"] and {"words", "shingles"} <= set(before)
+
+
+def test_draws_of_repeated_terms_come_from_columns(spark):
+    """A term that occurs once is drawn by its hash; one that occurs more often is drawn lower or alike, and its logarithms are computed once."""
+    from objectlake.llm import fingerprints
+
+    rows = [(n, 0, 7_000_001, float(n), True, True) for n in (1, 2, 50)]
+    weighed = spark.createDataFrame(rows, "doc long, sub long, _term long, _n double, own boolean, edited boolean")
+    drawn = fingerprints.drawn(weighed)
+    got = {r.doc: r._draws for r in drawn.collect()}
+    assert all(a >= b for a, b in zip(got[1], got[2])) and sum(a > b for a, b in zip(got[1], got[50])) > 50
+    assert got[1] == spark.sql(f"select array({', '.join(f'shiftrightunsigned(xxhash64(7000001L, {j}), 1)' for j in range(fingerprints.SAMPLES))})").first()[0]
