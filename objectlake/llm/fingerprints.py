@@ -33,26 +33,30 @@ def drawn(weighed: DataFrame) -> DataFrame:
 
     The long names term and t: for t = 0 it is the term's hash as it stands, else
     ``1 - exp(-a exp(-r t))`` on the same scale. Logarithms are only taken for _n > 1, each once: a, e1 and v
-    are columns, as within one expression they would be computed again wherever they occur.
+    are columns, as within one expression they would be computed again wherever they occur. They are arrays, one
+    a row and null for _n = 1: a column for each sample would make rows of some 200 columns, mostly empty.
     """
     h, g = (lambda j: f"xxhash64(_term, {j})"), (lambda j: f"xxhash64(_term, {SAMPLES + j})")
     exponential = lambda bits: f"-ln(({bits} + 0.5D) / {float(1 << 32):.1f}D)"
     a = lambda j: f"-ln(({(1 << 52) - 1} - shiftrightunsigned({h(j)}, 12) + 0.5D) / {float(1 << 52):.1f}D)"
     e1, e2 = (lambda j: exponential(f"({g(j)} & 4294967295)")), (lambda j: exponential(f"shiftrightunsigned({g(j)}, 32)"))
+    each = lambda sample: f"array({', '.join(map(sample, range(SAMPLES)))})"
+    several = lambda sample, name: F.expr(f"CASE WHEN _n > 1 THEN {each(sample)} END").alias(name)
 
-    def sample(j: int) -> str:
-        r = f"(_v{j} + ({e2(j)}))"
-        moved = f"_a{j} * exp(-{r} * (floor((_ln - _v{j}) / {r}) + 1))"
-        return f"CASE WHEN _v{j} IS NULL THEN shiftrightunsigned({h(j)}, 1) ELSE CAST(-expm1(-({moved})) * {WHOLE}D AS BIGINT) END"
+    def moved(j: int) -> str:
+        r = f"(_v[{j}] + _e2[{j}])"
+        return f"CASE WHEN _v[{j}] IS NULL THEN shiftrightunsigned({h(j)}, 1) ELSE CAST(-expm1(-(_a[{j}] * exp(-{r} * (floor((_ln - _v[{j}]) / {r}) + 1)))) * {WHOLE}D AS BIGINT) END"
 
-    kept, every = [*ROW, "_term", "_n", "own", "edited"], range(SAMPLES)
-    several = weighed.select(*kept, *[F.expr(f"CASE WHEN _n > 1 THEN {what(j)} END AS _{name}{j}") for name, what in (("a", a), ("e", e1)) for j in every])
-    moving = several.select(*kept, F.expr("CASE WHEN _n > 1 THEN ln(_n) END AS _ln"), *[F.col(f"_a{j}") for j in every], *[
-        F.expr(f"CASE WHEN _n > 1 AND NOT (_n - 1) * _a{j} < _e{j} THEN ln(_e{j} / _a{j} + 1) END AS _v{j}") for j in every
-    ])
-    # The lambda keeps this projection out of whole-stage code: its many draws in one method would be
+    # A lambda keeps each projection out of whole-stage code: its many draws in one method would be
     # too long for the JIT, while a plain projection splits them into short methods.
-    return moving.select(*ROW, F.transform(F.array("own"), lambda x: x)[0].alias("own"), "edited", F.expr(f"array({', '.join(map(sample, every))})").alias("_draws"))
+    apart = F.transform(F.array("own"), lambda x: x)[0].alias("own")
+    kept = [*ROW, "_term", "_n", apart, "edited"]
+    drawn_a = weighed.select(*kept, several(a, "_a"), several(e1, "_e1"), several(e2, "_e2"))
+    moving = drawn_a.select(*kept, "_a", "_e2", F.expr("CASE WHEN _n > 1 THEN ln(_n) END AS _ln"), several(
+        lambda j: f"CASE WHEN NOT (_n - 1) * _a[{j}] < _e1[{j}] THEN ln(_e1[{j}] / _a[{j}] + 1) END", "_v"
+    ))
+    alone = each(lambda j: f"shiftrightunsigned({h(j)}, 1)")
+    return moving.select(*ROW, apart, "edited", F.expr(f"CASE WHEN _n > 1 THEN {each(moved)} ELSE {alone} END AS _draws"))
 
 
 def signatures(parts: DataFrame) -> DataFrame:
@@ -74,8 +78,9 @@ def signatures(parts: DataFrame) -> DataFrame:
         F.when(F.col("_own") == F.col("_edited"), F.array(one(F.col("_own"), True, True)))
         .otherwise(F.array(one(F.col("_own"), True, False), one(F.col("_edited"), False, True)))
     ).alias("_w")).filter("_w.n > 0").select(*ROW, "_term", F.col("_w.n").cast("double").alias("_n"), "_w.own", "_w.edited")
-    least = drawn(weighed).groupBy(*ROW).agg(
-        *[F.expr(f"min(CASE WHEN {side} THEN _draws[{j}] END) AS _{side}_{j}") for side in ("own", "edited") for j in range(SAMPLES)]
+    # Most terms bear on both texts alike, so each row meets one set of minima; three rows for each text are left.
+    least = drawn(weighed).groupBy(*ROW, "own", "edited").agg(*[F.expr(f"min(_draws[{j}]) AS _{j}") for j in range(SAMPLES)]).groupBy(*ROW).agg(
+        *[F.expr(f"min(CASE WHEN {side} THEN _{j} END) AS _{side}_{j}") for side in ("own", "edited") for j in range(SAMPLES)]
     )
     folded = lambda c: f"CAST(shiftright(shiftleft({c} ^ shiftright({c}, 32), 32), 32) AS INT)"
     return least.select(*ROW, *[

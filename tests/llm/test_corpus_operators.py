@@ -724,3 +724,16 @@ def test_draws_of_repeated_terms_come_from_columns(spark):
     got = {r.doc: r._draws for r in drawn.collect()}
     assert all(a >= b for a, b in zip(got[1], got[2])) and sum(a > b for a, b in zip(got[1], got[50])) > 50
     assert got[1] == spark.sql(f"select array({', '.join(f'shiftrightunsigned(xxhash64(7000001L, {j}), 1)' for j in range(fingerprints.SAMPLES))})").first()[0]
+
+
+def test_draws_travel_as_arrays(spark):
+    """Rows of draws have few columns, whatever the samples, and each row meets one set of minima; a term that weighs less in one text is a draw of each."""
+    from objectlake.llm import fingerprints
+
+    rows = [(1, 0, 7_000_001, float(n), own, not own) for n, own in ((1, True), (3, False))]
+    weighed = spark.createDataFrame(rows, "doc long, sub long, _term long, _n double, own boolean, edited boolean")
+    plan = fingerprints.drawn(weighed)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"_{name}{fingerprints.SAMPLES - 1}#" not in plan for name in "aev")
+    words = spark.createDataFrame([(1, 0, [["x", "y", "y"], ["z"], ["z", "z"]]), (2, 0, [["x", "y", "y", "z"], [""], ["z"]])], "doc long, sub long, words array<array<string>>")
+    found = {r.doc: r for r in fingerprints.signatures(words).collect()}
+    assert found[1].own == found[2].own and found[1].edited == found[2].edited and found[1].own != found[1].edited
