@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objectlake.llm import near_dedup, packing, pii, spans_index, toxicity
-from objectlake.session import materialise, ship
+from objectlake.session import materialise, ship, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,26 +23,26 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.remove(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.remove(docs, small_batches(ship(spark)).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    small_batches(ship(spark))
     return near_dedup.remove(docs)
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    small_batches(ship(spark))
     return _counted(spans_index.without_spans(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    small_batches(ship(spark))
     return _counted(pii.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    small_batches(ship(spark))
     return packing.pack(docs)
 
 

@@ -11,7 +11,7 @@ from . import memory
 
 WORDS = 5
 #: Bytes of text that are hashed at once; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 ID_BITS = np.uint64(48)
 ID_MASK = np.uint64((1 << 48) - 1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -58,7 +58,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(begins):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    up, down = _powers(1 << max(21, int(len(raw)).bit_length()))
+    up, down = _powers(1 << max(20, int(len(raw)).bit_length()))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * M1 * up[: len(raw)], out=total[1:])
     word = mixed((total[ends] - total[begins]) * down[begins])

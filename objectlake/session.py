@@ -46,6 +46,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of rows that are handed to a Python worker at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand texts to Python workers a few megabytes at once, unless the session asks for less.
+
+    The JVM and the worker each hold a whole batch, the worker also as strings; 10,000 whole texts
+    are some 40 MB, and longer ones more. What is computed does not depend on it.
+    """
+    if not 0 < int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH))) <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 

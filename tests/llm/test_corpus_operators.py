@@ -737,3 +737,20 @@ def test_draws_travel_as_arrays(spark):
     words = spark.createDataFrame([(1, 0, [["x", "y", "y"], ["z"], ["z", "z"]]), (2, 0, [["x", "y", "y", "z"], [""], ["z"]])], "doc long, sub long, words array<array<string>>")
     found = {r.doc: r for r in fingerprints.signatures(words).collect()}
     assert found[1].own == found[2].own and found[1].edited == found[2].edited and found[1].own != found[1].edited
+
+
+def test_stages_hand_texts_to_workers_in_small_batches(spark):
+    """10,000 texts of 2 KB are several batches; the session's own smaller setting stays."""
+    from objectlake.session import BATCH, BATCH_BYTES, small_batches
+
+    before = spark.conf.get(BATCH)
+    try:
+        small_batches(spark)
+        texts = spark.range(0, 10_000, 1, 1).select(F.repeat(F.lit("ab"), 1000).alias("text"))
+        sizes = [r.n for r in texts.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n long").collect()]
+        assert len(sizes) > 1 and max(sizes) < 2 * BATCH_BYTES
+        spark.conf.set(BATCH, "65536")
+        small_batches(spark)
+        assert spark.conf.get(BATCH) == "65536"
+    finally:
+        spark.conf.set(BATCH, before)
