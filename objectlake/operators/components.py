@@ -13,12 +13,12 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ki
 
     Large-star and small-star steps: each id hands its smallest neighbour to its other neighbours, so
     long chains shrink to stars in a logarithmic number of rounds. Only edges move; each round is
-    written out, which cuts lineage, and the rounds end when no edge changes.
+    written out, which cuts lineage, and the rounds end when all edges are stars.
     """
     both = links.select(F.col(left).cast(kind).alias("a"), F.col(right).cast(kind).alias("b")).filter("a is not null and b is not null")
-    ids = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
-    edges = materialise(both.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    given = materialise(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "given")
+    edges = given.filter("a <> b")
+    while _open(edges):
         # Large star: every larger neighbour of a node is tied to the smallest of its neighbours and itself.
         around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -33,11 +33,15 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ki
             .union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         )
         new = materialise(small, "edges")
-        changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(new, ["a", "b"], "left_anti").limit(1).count()
         discard(edges)
         edges = new
-        if not changed:
-            break
-    return ids.join(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component")
-    )
+    # An edge leads to a smaller id, so an id's component is the smallest that it is named with.
+    own = lambda rows, c: rows.select(F.col(c).alias("id"), F.col(c).alias("component"))
+    named = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(own(edges, "b")).union(own(given.filter("a = b"), "a"))
+    return named.groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _open(edges: DataFrame) -> bool:
+    """Whether edges (a > b) are not yet stars: an id has two smaller neighbours, or one smaller and one larger."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return bool(ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 and up > 0").limit(1).count())
