@@ -89,7 +89,9 @@ def split_duplicates(rows: DataFrame, key: list[str], keep_last_by: str | None =
         counted = rows.join(counts, same).drop(*names.values())
         return counted.filter("_n = 1").drop("_n"), counted.filter("_n > 1").drop("_n")
     c = F.col(keep_last_by)
-    values = rows.groupBy(*renamed, c.alias("_value")).agg(F.count(F.lit(1)).alias("_times"))
+    # Nearly every row has a key and value of its own: counting before the shuffle would hold a task's whole input.
+    dealt = rows.select(*renamed, c.alias("_value")).repartition(*names.values(), "_value")
+    values = dealt.groupBy(*names.values(), "_value").agg(F.count(F.lit(1)).alias("_times"))
     groups = values.groupBy(*names.values()).agg(
         F.sum("_times").alias("_n"), F.max("_value").alias("_last"), ((F.max("_times") == 1) & (F.count("_value") == F.count(F.lit(1)))).alias("_clear")
     )
